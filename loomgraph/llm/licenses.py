@@ -88,7 +88,7 @@ p AS (SELECT rowid_ AS r, unnest(s) AS sentence, generate_subscripts(s, 1) AS pl
 d AS (SELECT row_number() OVER () AS r, doc_id FROM (SELECT doc_id FROM documents ORDER BY doc_id, text)),
 f AS (SELECT r, count(*) AS n, string_agg(place::VARCHAR || ':' || id, ',' ORDER BY place) AS sentences, '|' || string_agg(id, '|' ORDER BY place) || '|' AS line
   FROM p JOIN k ON trim(regexp_replace(lower(p.sentence), '[^a-z0-9]+', ' ', 'g')) = k.sentence GROUP BY r),
-h AS (SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(sentences, '') AS sentences, list_filter([{hits}], x -> x IS NOT NULL) AS hits FROM d LEFT JOIN f USING (r))
+h AS (SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(sentences, '') AS sentences, list_filter([{hits}], lambda x: x IS NOT NULL) AS hits FROM d LEFT JOIN f USING (r))
 SELECT doc_id, n_sentences, sentences, array_to_string(hits, ',') AS licenses, CASE {kinds} ELSE 'none' END AS license_class FROM h
 """
 
