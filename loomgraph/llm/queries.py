@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import exact_dedup, licenses, mixing, sharding
+from loomgraph.llm import chat, exact_dedup, jaccard, licenses, mixing, pieces, quality, sharding, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_chat": chat.op2_chat,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_sharding": sharding.op4_sharding,
+    "op5_quality": quality.op5_quality,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_licenses": licenses.op7_licenses,
+    "op8_topk": topk.op8_topk,
+    "op9_pieces": pieces.op9_pieces,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
+#: Where there is none, SQL cannot express the operator or takes too long on whole tables; tests/llm has a brute-force version.
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op7_licenses": licenses.OP7_SQL,
+    "op8_topk": topk.OP8_SQL,
 }

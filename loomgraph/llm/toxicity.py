@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import table
 from loomgraph.session import ship
 
-#: Bound on the training sample: so many labelled documents of each class (the smallest hashes of their ids), so many bytes of each.
+#: Bound on the training sample: so many labelled documents of each class (the smallest hashes of their ids).
 SAMPLE = 1_500
-SAMPLE_BYTES = 20_000
 WINDOW = 24
 LEVEL = 3
 CONTENT = 8_192
@@ -173,7 +172,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
     for y in (0, 1):
         part = usable.where(F.col("toxic") == y).orderBy("place").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).join(F.broadcast(picked), "doc_id").orderBy("place", "text").limit(4 * sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("place", "text").limit(4 * sample)
     return [(r["text"], int(r["toxic"])) for r in rows.select("text", "toxic").collect()]
 
 
