@@ -32,6 +32,7 @@ from loomgraph.session import ship
 WORDS = 4
 PERCENT = 85
 BLOCK = 128
+PAIRS_A_ROW = 50
 KNOWN_WORDS = 300_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -140,10 +141,14 @@ def keepers(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def boundary(kept: DataFrame, percent: int) -> int:
-    """The largest size of light sets: where subsets of the light and lists of the heavy cost least together."""
+    """The largest size of light sets: where subsets of the light and lists of the heavy cost least together.
+
+    Costs are in rows: a light set makes a row for each subset. A heavy set makes one for each list it is in, and meets as
+    many sets as its longest list holds; a pair in a block product costs about a PAIRS_A_ROWth of a shuffled row.
+    """
     step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     subsets = F.size("light") * (F.size("light") - 1) / 2
-    lists = F.aggregate("heavy", F.lit(0.0), lambda s, x: s + x["f"])
+    lists = F.size("heavy") + F.aggregate("heavy", F.lit(0).cast("long"), lambda s, x: F.greatest(s, x["f"])) / PAIRS_A_ROW
     rows = sorted((r["step"], r["most"], r["s"], r["l"]) for r in kept.groupBy(step.alias("step")).agg(F.max("n").alias("most"), F.sum(subsets).alias("s"), F.sum(lists).alias("l")).collect())
     best, at = None, 0
     for k in range(len(rows) + 1):
