@@ -147,6 +147,8 @@ def search_block(block: dict, qids: np.ndarray, weights: np.ndarray, k: int) ->
         size = np.abs(q)
         for i in range(int(size.max(initial=0)).bit_length()):
             at = np.flatnonzero((size >> i) & 1)
+            if not len(at):
+                continue
             picked = both[(q[at] < 0).astype(int), at]
             for j in range(bits):
                 columns.setdefault(i + j, []).append(picked[:, j])
