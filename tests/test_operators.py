@@ -1,0 +1,92 @@
+import itertools
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from loomgraph.functions.scalars import review_threshold
+from loomgraph.operators import clustering, graph, lifecycle, normalise
+from loomgraph.sources import snapshot
+
+
+def edges(spark, pairs):
+    return spark.createDataFrame(pairs, "src string, dst string")
+
+
+def test_strong_components(spark):
+    got = graph.strong_components(edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("e", "f"), ("f", "e"), ("x", "a")]))
+    assert {(r["node"], r["component"]) for r in got.collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("e", "e"), ("f", "e")}
+
+
+def test_levels_and_cycles(spark):
+    dag = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")]
+    assert {r["node"]: r["level"] for r in graph.levels(edges(spark, dag)).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+    assert not graph.has_cycle(edges(spark, dag))
+    assert graph.has_cycle(edges(spark, [*dag, ("d", "b")]))
+
+
+def test_components_of_a_long_path(spark):
+    n = 40
+    e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 100), (200, 201), (None, 5)], "a long, b long")
+    got = {r["node"]: r["component"] for r in graph.components(e).collect()}
+    assert got == {**dict.fromkeys(range(n + 1), 0), 100: 100, 200: 200, 201: 200}
+    assert graph.components(e.limit(0)).count() == 0
+
+
+def test_betweenness_of_a_path(spark):
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(edges(spark, [("a", "b"), ("b", "c")])).collect()}
+    assert got.get("b") == 1.0 and not got.get("a")
+
+
+def test_collapse_last_phase_wins(spark):
+    e = spark.createDataFrame([("a", "b", "precedes", 5, 0), ("a", "b", "above", 6, 0)], "src string, dst string, edge_type string, phase int, seq long")
+    assert graph.collapse(e).first()["edge_type"] == "above"
+
+
+def test_assignment_is_optimal():
+    rng = random.Random(3)
+    for n, m in [(1, 1), (3, 3), (2, 4), (4, 2), (5, 5)]:
+        c = np.array([[rng.random() for _ in range(m)] for _ in range(n)])
+        got = sum(c[i, j] for i, j in clustering.assignment(c))
+        small, big = (c, m) if n <= m else (c.T, n)
+        assert abs(got - min(sum(small[i, p[i]] for i in range(len(small))) for p in itertools.permutations(range(big), len(small)))) < 1e-9
+
+
+def test_linkage_of_two_near_vectors(spark):
+    v = [(1, [1.0, 0.0]), (2, [0.99, 0.14]), (3, [0.0, 1.0])]
+    got = {r["id"]: r["cluster"] for r in clustering.average_linkage(spark.createDataFrame(v, "id long, vector array<double>"), 0.04).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_similar_pairs_without_a_block(spark):
+    rng = np.random.default_rng(1)
+    v = [(i, rng.normal(size=4).tolist()) for i in range(30)]
+    df = spark.createDataFrame(v, "id long, vector array<double>")
+    cos = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    want = {(i, j) for (i, a), (j, b) in itertools.combinations(v, 2) if cos(a, b) >= 0.6}
+    assert {(r["a"], r["b"]) for r in normalise.similar_pairs(df, df, 0.6, blocks=3).collect()} == want
+
+
+def test_promotion_rules(spark):
+    cols = "id string, subject_id string, predicate string, object_id string, knowledge_origin string, status string, source_model string, confidence double, cpc double, framings int, evaluated boolean"
+    base = lambda i, s, o, m, c, cpc=0.0: (i, s, "requires", "x", o, "proposed", m, c, cpc, 3, True)
+    rows = [base("1", "a", "physical", "m", 0.5, 0.85), base("2", "b", "physical", "m", 0.5, 0.84), base("3", "c", "physical", "m1", 0.85), base("4", "c", "physical", "m2", 0.85), base("5", "d", "cultural", "m1", 0.95), base("6", "d", "cultural", "m2", 0.95), base("7", "e", "physical", "m1", 0.75), base("8", "e", "physical", "m2", 0.75)]
+    after, accepted = lifecycle.promote(spark.createDataFrame(rows, cols))
+    assert {r["id"] for r in accepted.collect()} == {"1", "3", "4"}
+    assert {r["id"] for r in after.where("status = 'accepted'").collect()} == {"1", "3", "4"}
+    assert lifecycle.promote(after, enabled=False)[1].count() == 0
+
+
+def test_threshold_rounds_half_to_even(spark):
+    assert spark.range(1).select(review_threshold(F.lit(300))).first()[0] == 6
+
+
+def test_store_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("1", ["a"]), ("2", [])], "id string, tags array<string>")
+    snapshot.save_store({"t": rows}, f"file://{tmp_path}/store")
+    assert sorted(map(tuple, snapshot.load_store(spark, f"file://{tmp_path}/store")["t"].collect())) == sorted(map(tuple, rows.collect()))
+    new = spark.createDataFrame([("2", ["n"]), ("3", None), ("", None)], rows.schema)
+    assert {r["id"]: r["tags"] for r in snapshot.upsert(rows, new).collect()} == {"1": ["a"], "2": [], "3": None}
+    assert {r["id"]: r["tags"] for r in snapshot.upsert(rows, new, replace=True).collect()} == {"1": ["a"], "2": ["n"], "3": None}
+    snapshot.write_csv(rows, f"file://{tmp_path}/csv")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/csv").count() == 2
