@@ -69,7 +69,13 @@ class Hmm:
                     shows[k][i][v] += 1
         self.start, self.step = np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True))
         values = ([*MARKERS, "none"], range(13), (False, True), range(13))
-        self.shows = [{v: np.log([(c[v] + (3 if k == 0 and v == r else 0.5)) / (sum(c.values()) + 0.5 * len(vs) + 3) for c, r in zip(cs, roles, strict=True)]) for v in vs} for k, (vs, cs) in enumerate(zip(values, shows, strict=True))]
+
+        def share(k: int, counts: Counter, role: str, v, n: int) -> float:
+            # a speaker's own marker is likely, another's is not, however few lines of the role there are
+            prior = 1 / n if k else 0.2 if v == role else 0.01 if v in MARKERS else 0.78
+            return (counts[v] + 20 * prior) / (sum(counts.values()) + 20)
+
+        self.shows = [{v: np.log([share(k, c, r, v, len(vs)) for c, r in zip(cs, roles, strict=True)]) for v in vs} for k, (vs, cs) in enumerate(zip(values, shows, strict=True))]
         self.stay = np.log(np.where(np.eye(n) > 0, 1 - 1e-6 * (n - 1), 1e-6))
         self.open = np.log(np.full((n, n), 1 / n))
 
