@@ -25,7 +25,7 @@ from loomgraph.session import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEPT = 200_000
+KEPT = 150_000
 
 
 def load_pieces(path: str = MODEL) -> dict:
@@ -43,12 +43,15 @@ class Codec:
     def __init__(self, pieces: dict, kept: int = KEPT):
         import ahocorasick
 
-        self.byte_ids, self.kept, self.cache = pieces["bytes"], kept, {}
+        self.byte_ids, self.kept = pieces["bytes"], kept
+        self.new: dict[str, bytes] = {}  # chunks seen lately, and those before: when new is full it becomes old
+        self.old: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton()
         for text, i, score in pieces["plain"]:
             self.automaton.add_word(text, (len(text), i, score))
         self.automaton.make_automaton()
         self.penalty = min((s for *_, s in pieces["plain"]), default=0.0) - 10
+        self.single = {t for t, *_ in pieces["plain"] if len(t) == 1}
         self.out = {i: text.encode() for text, i, _ in pieces["plain"]} | {i: bytes([b]) for b, i in self.byte_ids.items()}
         inner = any(" " in t.lstrip(" ") for t, *_ in pieces["plain"])
         self.chunks = (lambda t: [t]) if inner else re.compile(" *[^ ]+| +").findall
@@ -56,6 +59,17 @@ class Codec:
     def viterbi(self, text: str) -> list[int]:
         """The ids of the best path. Of equal scores the longest last piece wins; bytes come last."""
         n = len(text)
+        if self.single.issuperset(text):  # every position has a piece that ends there, better than any bytes
+            best, back = [0.0] + [-1e300] * n, [None] * (n + 1)
+            for end, piece in self.automaton.iter(text):
+                score = best[end + 1 - piece[0]] + piece[2]
+                if score > best[end + 1]:
+                    best[end + 1], back[end + 1] = score, piece
+            ids, end = [], n
+            while end:
+                ids.append(back[end][1])
+                end -= back[end][0]
+            return ids[::-1]
         best, back = [0.0] * (n + 1), [None] * (n + 1)
         found = self.automaton.iter(text)
         hit = next(found, None)
@@ -77,22 +91,25 @@ class Codec:
             end -= length
         return ids[::-1]
 
-    def encode(self, text: str) -> list[int]:
-        ids, cache = [], self.cache
+    def encode(self, text: str) -> np.ndarray:
+        out, new, old = [], self.new, self.old
         for chunk in self.chunks(text):
-            got = cache.get(chunk)
+            got = new.get(chunk)
             if got is None:
-                got = self.viterbi(chunk)
+                got = old.get(chunk)
+                if got is None:
+                    got = np.array(self.viterbi(chunk), np.int32).tobytes()
                 if len(chunk) <= 64:
-                    if len(cache) >= self.kept:
-                        cache.clear()
-                    cache[chunk] = got
-            ids += got
-        return ids
-
-    def decode(self, ids) -> str:
+                    if len(new) >= self.kept:
+                        self.old, self.new = new, {}
+                        new, old = self.new, self.old
+                    new[chunk] = got
+            out.append(got)
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def decode(self, ids: np.ndarray) -> str:
         out = self.out
-        return b"".join([out.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        return b"".join([out.get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace")
 
 
 _codecs: dict = {}
@@ -124,7 +141,8 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", into: str = "
         codec = _codec(shared, KEPT)
         for batch in batches:
             for part in _parts(batch, at):
-                rows = [None if t is None else np.array(codec.encode(t), np.int32) for t in part.column(at).to_pylist()]
+                texts = part.column(at)
+                rows = [codec.encode(texts[i].as_py()) if texts[i].is_valid else None for i in range(part.num_rows)]
                 offsets = np.concatenate([[0], np.cumsum([0 if r is None else len(r) for r in rows])]).astype(np.int32)
                 flat = np.concatenate([r for r in rows if r is not None] or [np.zeros(0, np.int32)])
                 mask = pa.array([r is None for r in rows], pa.bool_())
@@ -141,20 +159,25 @@ def decode(coded: DataFrame, path: str = MODEL, pieces: str = "pieces", into: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, KEPT)
         for batch in batches:
-            yield _added(batch, pa.array([None if r is None else codec.decode(r) for r in batch.column(at).to_pylist()], pa.string()), into)
+            for part in _parts(batch, at):
+                rows = part.column(at)
+                texts = [codec.decode(rows[i].values.to_numpy()) if rows[i].is_valid else None for i in range(part.num_rows)]
+                yield _added(part, pa.array(texts, pa.string()), into)
 
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(into, T.StringType())]))
 
 
-def _parts(batch: pa.RecordBatch, at: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most some megabytes of text, a row at least."""
-    sizes = np.array([len(x) for x in batch.column(at).to_pylist() if x is not None] or [0])
-    if sizes.sum() <= most:
-        yield batch
-        return
-    step = max(1, int(most // max(1, sizes.mean())))
-    for i in range(0, batch.num_rows, step):
-        yield batch.slice(i, step)
+def _parts(batch: pa.RecordBatch, at: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of some megabytes of the column, a row at least."""
+    sizes = np.diff(batch.column(at).offsets.to_numpy()) if pa.types.is_list(batch.column(at).type) else np.diff(np.frombuffer(batch.column(at).buffers()[1], np.int32)[batch.column(at).offset :][: batch.num_rows + 1])
+    start, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        held += n
+        if held >= most:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def token_rows(docs: DataFrame, path: str = MODEL) -> DataFrame:
