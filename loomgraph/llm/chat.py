@@ -11,9 +11,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched, groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,20 +154,16 @@ def train(turns: DataFrame, sample: int = SAMPLE) -> Hmm:
     return Hmm([(r["conv_id"], r["turn"], r["role"], r["text"]) for r in rows.collect()])
 
 
-def _pieces(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """The runs of equal keys in sorted frames, each whole."""
-    held = None
-    for frame in frames:
-        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        if frame.empty:
-            continue
-        ends = np.flatnonzero((frame[keys].fillna(-(1 << 62)).diff().abs().sum(axis=1) > 0).to_numpy()[1:]) + 1
-        starts = [0, *ends.tolist()]
-        for a, b in zip(starts, starts[1:], strict=False):
-            yield tuple(frame[keys].iloc[a]), frame.iloc[a:b]
-        held = frame.iloc[starts[-1] :]
-    if held is not None and len(held):
-        yield tuple(held[keys].iloc[0]), held
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The runs of equal leading columns in sorted batches, each whole, as rows of Python values."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for key, group in groupby(rows, key=lambda r: r[:keys]):
+        yield key, list(group)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
+    for part in batched(rows, most):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
 
 def parse(turns: DataFrame, model: Hmm | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -178,53 +175,65 @@ def parse(turns: DataFrame, model: Hmm | None = None, chunk: int = CHUNK) -> Dat
     spark = ship(turns.sparkSession)
     shared = spark.sparkContext.broadcast(model or train(turns))
     rows = turns.select("conv_id", "turn", "text", F.floor(F.coalesce("turn", F.lit(0)) / chunk).cast("long").alias("piece"))
-    keys = ["conv_id", "piece"]
+    numbers, ids = pa.list_(pa.float64()), [("conv_id", pa.int64()), ("piece", pa.int64())]
+    summed = pa.schema([*ids, ("lead", numbers), ("body", numbers)])
+    seamed = pa.schema([*ids, ("before", pa.int32()), ("after", pa.int32())])
+    rendered = pa.schema([ids[0], ("turn", pa.int64()), ("role", pa.string()), ("n_turns", pa.int32()), ("rendered", pa.string())])
 
     def ordered(df: DataFrame, *more: str) -> DataFrame:
         return df.repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", *more)
 
-    def sum_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hmm, out = shared.value, []
-        for key, piece in _pieces(frames, keys):
-            lead, body = hmm.summary(piece["text"].tolist())
-            out.append((*key, lead.tolist(), body.ravel().tolist()))
-            if len(out) >= 2_000:
-                yield pd.DataFrame(out, columns=[*keys, "lead", "body"])
-                out = []
-        yield pd.DataFrame(out, columns=[*keys, "lead", "body"])
-
-    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hmm = shared.value
+
+        def rows() -> Iterator[tuple]:
+            for key, piece in _groups(batches, 2):
+                lead, body = hmm.summary([r[3] for r in piece])
+                yield (*key, lead.tolist(), body.ravel().tolist())
+
+        return _batches(rows(), summed, 2_000)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(shared.value.roles)
-        for _, conv in _pieces(frames, ["conv_id"]):
-            scores, backs = None, []
-            for lead, body in zip(conv["lead"], conv["body"], strict=True):
-                if scores is None:
-                    scores = np.array(lead)
-                    backs.append(np.full(n, -1))
-                else:
-                    held = scores[:, None] + np.array(body).reshape(n, n)
-                    backs.append(held.argmax(0))
-                    scores = held.max(0)
-            at, seams = int(scores.argmax()), []
-            for back in reversed(backs):
-                seams.append((int(back[at]), at))
-                at = int(back[at])
-            yield conv[keys].assign(before=[s[0] for s in reversed(seams)], after=[s[1] for s in reversed(seams)])
-
-    def write_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+        def rows() -> Iterator[tuple]:
+            for _, conv in _groups(batches, 1):
+                scores, backs = None, []
+                for *_, lead, body in conv:
+                    if scores is None:
+                        scores = np.array(lead)
+                        backs.append(np.full(n, -1))
+                    else:
+                        held = scores[:, None] + np.array(body).reshape(n, n)
+                        backs.append(held.argmax(0))
+                        scores = held.max(0)
+                at, seams = int(scores.argmax()), []
+                for back in reversed(backs):
+                    seams.append((int(back[at]), at))
+                    at = int(back[at])
+                yield from ((*r[:2], *seam) for r, seam in zip(conv, reversed(seams), strict=True))
+
+        return _batches(rows(), seamed, 10_000)
+
+    def write_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm = shared.value
-        for _, piece in _pieces(frames, keys):
-            texts = piece["text"].tolist()
-            found = hmm.decode(texts, int(piece["before"].iloc[0]), int(piece["after"].iloc[0]))
-            names = [[hmm.roles[i] for i in x] for x in found]
-            done = [render(t, r) for t, r in zip(texts, names, strict=True)]
-            yield piece[["conv_id", "turn"]].assign(role=[r[0] for r in names], n_turns=[d[1] for d in done], rendered=[d[0] for d in done])
-
-    summaries = ordered(rows, "turn", "text").mapInPandas(sum_up, "conv_id long, piece long, lead array<double>, body array<double>")
-    seams = summaries.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInPandas(chain, "conv_id long, piece long, before int, after int")
+
+        def rows() -> Iterator[tuple]:
+            for (conv, _), piece in _groups(batches, 2):
+                found = hmm.decode([r[3] for r in piece], *piece[0][4:6])
+                for (_, _, turn, text, *_), states in zip(piece, found, strict=True):
+                    roles = [hmm.roles[i] for i in states]
+                    done, n = render(text, roles)
+                    yield conv, turn, roles[0], n, done
+
+        return _batches(rows(), rendered, chunk)
+
+    rows = rows.select("conv_id", "piece", "turn", "text")
+    summaries = ordered(rows, "turn", "text").mapInArrow(sum_up, "conv_id long, piece long, lead array<double>, body array<double>")
+    seams = summaries.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(chain, "conv_id long, piece long, before int, after int")
     seams = seams.select(F.col("conv_id").alias("c"), F.col("piece").alias("p"), "before", "after")
     joined = rows.join(seams, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("piece") == F.col("p"))).drop("c", "p")
-    return ordered(joined, "turn", "text").mapInPandas(write_out, "conv_id long, turn long, role string, n_turns int, rendered string")
+    return ordered(joined, "turn", "text").mapInArrow(write_out, "conv_id long, turn long, role string, n_turns int, rendered string")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

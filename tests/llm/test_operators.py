@@ -263,6 +263,13 @@ def test_chat_pieces_do_not_matter(spark):
     assert chat.parse(df.limit(0), model).count() == 0
 
 
+def test_chat_keeps_large_ids_beside_null_ones(spark):
+    big = (1 << 60) + 1
+    turns = [(None, None, "user", "Human: hi"), (big, 0, "user", "User: a?"), (big + 1, 700, "assistant", "Answer: x"), (big, 1, "assistant", None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1)
+    assert sorted(((r["conv_id"], r["turn"]) for r in chat.parse(df).collect()), key=str) == sorted(((c, t) for c, t, *_ in turns), key=str)
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
