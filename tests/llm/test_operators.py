@@ -112,6 +112,51 @@ def test_licenses(docs):
     assert {r["doc_id"]: r for r in licenses.scan(docs, rules=rules).collect()}[len(TEXTS) - 1]["license_matches"] == ["pair"]
 
 
+APACHE = '''# Copyright 2020 Some Authors
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+'''
+GPL = ''' * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+'''
+MIT = '''MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+'''
+
+
+def test_licenses_wrapped_over_lines(spark):
+    texts = [APACHE, GPL, MIT, GPL.replace(" * ", "REM "), "Licensed under the\n\nApache License, Version 2.0", "one\nthe MIT License\nis not all.\nReleased under\r\nthe MIT License.\nAll rights reserved."]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["license_class"] for r in rows] == ["permissive", "copyleft", "permissive", "copyleft", "none", "proprietary"]
+    assert [r["license_matches"][0] if r["license_matches"] else None for r in rows] == ["Apache-2.0-header", "GPL-3.0-header", "MIT-text", "GPL-3.0-header", None, "MIT"]
+    assert [(x["place"], x["id"]) for x in rows[0]["license_sentences"]] == [(2, "apache-header"), (4, "apache-at")]
+    assert [(x["place"], x["id"]) for x in rows[5]["license_sentences"]] == [(4, "mit-ref"), (6, "reserved")]
+    joined = spark.createDataFrame([(0, " ".join(APACHE.replace("#", "").split()[4:]))], "doc_id long, text string")
+    assert licenses.scan(joined).first()["license_class"] == "permissive"
+
+
 def shingles(text, words):
     w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
     return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
