@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import cosine, norm
+from loomgraph.session import ship
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block: str | None = None, blocks: int = 64) -> DataFrame:
     """(a, b, score): ids of left and right whose vectors reach the cosine, each unordered pair once.
 
     Exact. With a block column only rows of a block meet, by equi-join. Without, both sides are dealt into blocks and
-    every block of one meets every block of the other by equi-join on the pair of blocks, so no task sees a whole side.
+    every block of one meets every block of the other, so no task sees a whole side: as a product of matrices, or by
+    equi-join where the threshold lets pairs in that have no cosine (their score is 0).
     """
+    if not block and threshold > 0:
+        return _block_products(left, right, threshold, blocks)
     l = left.select(F.col("id").alias("a"), F.col("vector").alias("va"), *([F.col(block).alias("k")] if block else []))  # noqa: E741
     r = right.select(F.col("id").alias("b"), F.col("vector").alias("vb"), *([F.col(block).alias("k")] if block else []))
     if not block:
@@ -24,6 +30,45 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block: st
     return pairs.select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("score")).where(F.col("score") >= threshold)
 
 
+def _units(vectors: pd.Series) -> dict:
+    """Vectors of each length over their norms, by length with their places; what is zero, null or not finite is zero, as cosine has it."""
+    by: dict = {}
+    size = vectors.map(len).to_numpy()
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        v = np.array([[np.nan if x is None else x for x in vectors.iloc[i]] for i in at], float).reshape(len(at), n)
+        with np.errstate(all="ignore"):
+            v = v / np.sqrt((v * v).sum(1, keepdims=True))
+        by[n] = at, np.where(np.isfinite(v).all(1, keepdims=True), v, 0.0)
+    return by
+
+
+def _block_products(left: DataFrame, right: DataFrame, threshold: float, blocks: int) -> DataFrame:
+    ship(left.sparkSession)
+    each, mine = F.sequence(F.lit(0), F.lit(blocks - 1)), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    l = left.where("vector is not null").select(F.col("id").alias("a"), F.col("vector").alias("va"), mine.alias("i"), F.explode(each).alias("j"))  # noqa: E741
+    r = right.where("vector is not null").select(F.col("id").alias("b"), F.col("vector").alias("vb"), F.explode(each).alias("i"), mine.alias("j"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": [], "score": []})]
+        if not len(x) or not len(y):
+            return out[0]
+        ys = _units(y["vb"])
+        for n, (at, u) in _units(x["va"]).items():
+            if n in ys:
+                to, v = ys[n]
+                for start in range(0, len(at), 1024):
+                    score = np.round(u[start : start + 1024] @ v.T, 6)
+                    a, b = np.nonzero(score >= threshold)
+                    one, other = x["a"].to_numpy()[at[start + a]], y["b"].to_numpy()[to[b]]
+                    keep = one < other
+                    out.append(pd.DataFrame({"a": one[keep], "b": other[keep], "score": score[a, b][keep]}))
+        return pd.concat(out[1:] or out)
+
+    found = l.groupBy("i", "j").cogroup(r.groupBy("i", "j"))
+    return found.applyInPandas(run, f"a {dict(left.dtypes)['id']}, b {dict(right.dtypes)['id']}, score double")
+
+
 def best_match(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """id, best, score: the candidate of highest cosine for each row; candidates are a vocabulary of at most 10,000, so they are broadcast."""
     pairs = rows.join(F.broadcast(candidates.select(F.col("id").alias("candidate"), F.col("vector").alias("cv")).limit(10_000)), F.size("vector") == F.size("cv"))

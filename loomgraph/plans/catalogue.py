@@ -280,6 +280,16 @@ def oV1_cosine_pairs(t):
     return normalise.similar_pairs(v, v, 0.25, "label")
 
 
+def _vectors(t):
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+@query()
+def oV1_cosine_pairs_global(t):
+    """The pairs of all labels; oV1_cosine_pairs and its SQL are those within a label."""
+    return normalise.similar_pairs(_vectors(t), _vectors(t), 0.25)
+
+
 @query("""WITH d AS (SELECT id, count(*) AS degree FROM (SELECT subject_id AS id FROM kg_assertions UNION ALL SELECT object_id FROM kg_assertions WHERE object_id <> subject_id) GROUP BY id),
 m AS (SELECT p_name AS cluster, 'P' || p_partkey AS id, p_partkey AS seq, coalesce(degree, 0) AS degree FROM part LEFT JOIN d ON d.id = 'P' || p_partkey)
 SELECT id, cluster, first_value(id) OVER (PARTITION BY cluster ORDER BY degree DESC, seq) AS canonical FROM m""")
@@ -300,6 +310,16 @@ def oV4_clusters(t):
     return clustering.average_linkage(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"), 0.7, True, "label")
 
 
+@query()
+def oV4_components_global(t):
+    return graph.components(normalise.similar_pairs(_vectors(t), _vectors(t), 0.3))
+
+
+@query()
+def oV4_clusters_global(t):
+    return clustering.average_linkage(_vectors(t), 0.7)
+
+
 @query()
 def oV7_lap(t):
     rows = t.embeddings.select(F.col("label").alias("entity"), (F.col("vec_id") % 3).cast("int").alias("framing"), F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))

@@ -2,10 +2,12 @@ import itertools
 import random
 
 import numpy as np
+from compare import SF
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import review_threshold
 from loomgraph.operators import clustering, graph, lifecycle, normalise
+from loomgraph.plans import catalogue
 from loomgraph.sources import snapshot
 
 
@@ -67,6 +69,40 @@ def test_similar_pairs_without_a_block(spark):
     assert {(r["a"], r["b"]) for r in normalise.similar_pairs(df, df, 0.6, blocks=3).collect()} == want
 
 
+def global_pairs(spark, least):
+    rows = catalogue.Tables(spark, SF).embeddings.collect()
+    v = np.array([r["embedding"] for r in rows], float)
+    score = np.round((v / np.linalg.norm(v, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
+    return rows, score, {(rows[i]["vec_id"], rows[j]["vec_id"]) for i, j in np.argwhere(score >= least) if rows[i]["vec_id"] < rows[j]["vec_id"]}
+
+
+def test_global_pairs_and_components_cross_labels(spark):
+    rows, _, want = global_pairs(spark, 0.25)
+    label = {r["vec_id"]: r["label"] for r in rows}
+    assert {(r["a"], r["b"]) for r in catalogue.QUERIES["oV1_cosine_pairs_global"](spark, SF).collect()} == want
+    assert any(label[a] != label[b] for a, b in want)
+    near = global_pairs(spark, 0.3)[2]
+    comp = {i: i for p in near for i in p}
+    for a, b in near:
+        low, high = sorted((comp[a], comp[b]))
+        comp = {k: low if c == high else c for k, c in comp.items()}
+    assert {r["node"]: r["component"] for r in catalogue.QUERIES["oV4_components_global"](spark, SF).collect()} == comp
+
+
+def test_global_clusters_are_average_linkage_of_all(spark):
+    rows = sorted(global_pairs(spark, 0.3)[0], key=lambda r: r["vec_id"])
+    labels = clustering.linkage(np.array([r["embedding"] for r in rows], float), 0.7, True)
+    got = {r["id"]: r["cluster"] for r in catalogue.QUERIES["oV4_clusters_global"](spark, SF).collect()}
+    assert got == {r["vec_id"]: rows[labels[i]]["vec_id"] for i, r in enumerate(rows)}
+
+
+def test_pairs_of_odd_vectors(spark):
+    v = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [1.0, 0.0, 0.0]), (7, [5.0, 0.0, 0.0])]
+    df = spark.createDataFrame(v, "id long, vector array<double>")
+    assert sorted(map(tuple, normalise.similar_pairs(df, df, 0.5, blocks=2).collect())) == [(1, 2, 1.0), (6, 7, 1.0)]
+    assert normalise.similar_pairs(df, df, 0.0, blocks=2).count() == 21
+
+
 def test_promotion_rules(spark):
     cols = "id string, subject_id string, predicate string, object_id string, knowledge_origin string, status string, source_model string, confidence double, cpc double, framings int, evaluated boolean"
     base = lambda i, s, o, m, c, cpc=0.0: (i, s, "requires", "x", o, "proposed", m, c, cpc, 3, True)
