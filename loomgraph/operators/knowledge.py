@@ -88,15 +88,21 @@ def touching(relations: DataFrame, entities: DataFrame, ids: DataFrame) -> DataF
 def search(queries: DataFrame, vectors: DataFrame, live: DataFrame, k: int = 10, min_score: float = 0.0, bound: int = 10_000) -> DataFrame:
     """query_id, item_id, score: the k most similar vectors by cosine, then without items that are not live.
 
-    queries are a stated, bounded set (checked), so they are broadcast against all vectors; the k best of each come from
-    one window, whose groups Spark cuts to k rows before the shuffle.
+    Up to bound queries are broadcast against all vectors. More are dealt into blocks of about bound by a hash of their
+    id, and the blocks are searched one after another, so that any number of queries is answered. The k best of each
+    query come from one window, whose groups Spark cuts to k rows before the shuffle.
     """
-    if queries.limit(bound + 1).count() > bound:
-        raise ValueError(f"more than {bound} queries: ask in several calls")
-    pairs = vectors.join(F.broadcast(queries), F.size("vector") == F.size("query_vector"))
-    scored = pairs.select("query_id", "item_id", F.round(cosine(F.col("query_vector"), F.col("vector")), 6).alias("score")).where(F.col("score") >= min_score)
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id"))).where(F.col("rank") <= k)
-    return best.join(live.select("item_id"), "item_id", "left_semi").select("query_id", "item_id", "score")
+    n = queries.count()
+    blocks = max(1, -(-n // bound))
+    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = None
+    for i in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.coalesce(place, F.lit(0)) == i)
+        pairs = vectors.join(F.broadcast(some), F.size("vector") == F.size("query_vector"))
+        scored = pairs.select("query_id", "item_id", F.round(cosine(F.col("query_vector"), F.col("vector")), 6).alias("score")).where(F.col("score") >= min_score)
+        best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id"))).where(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found.join(live.select("item_id"), "item_id", "left_semi").select("query_id", "item_id", "score")
 
 
 def property_sets(psets: DataFrame, entities: DataFrame, defaults: DataFrame) -> DataFrame:

@@ -141,6 +141,14 @@ def oQ10_search(t):
     return knowledge.search(q, v.select("item_id", "vector"), v.where("label <> 3"), 10, 0.1)
 
 
+@query()
+def oQ10_search_all(t):
+    """Every vector whose id is divisible by 100 is a query; oQ10_search and its SQL ask for ten."""
+    v = t.embeddings.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
+    q = v.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return knowledge.search(q, v.select("item_id", "vector"), v.where("label <> 3"), 10, 0.1)
+
+
 @query("""WITH p AS (SELECT DISTINCT 'P' || p_partkey AS entity_id, p_brand AS ifc_class, p_type AS property_name FROM part WHERE p_partkey % 3 <> 0)
 SELECT entity_id, ifc_class, string_agg(property_name, '|' ORDER BY property_name) AS properties, 'curated' AS source FROM p GROUP BY 1, 2
 UNION ALL SELECT id, 'Any', entity_type || '-default', 'default' FROM kg_entities WHERE id NOT IN (SELECT entity_id FROM p)""")

@@ -6,7 +6,7 @@ from compare import SF
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import review_threshold
-from loomgraph.operators import clustering, graph, lifecycle, normalise
+from loomgraph.operators import clustering, graph, knowledge, lifecycle, normalise
 from loomgraph.plans import catalogue
 from loomgraph.sources import snapshot
 
@@ -96,6 +96,23 @@ def test_global_clusters_are_average_linkage_of_all(spark):
     assert got == {r["vec_id"]: rows[labels[i]]["vec_id"] for i, r in enumerate(rows)}
 
 
+def test_search_answers_every_hundredth_vector(spark):
+    rows, score, _ = global_pairs(spark, 0.25)
+    want = []
+    for i, r in enumerate(rows):
+        if r["vec_id"] % 100 == 0:
+            best = sorted((-score[i, j], rows[j]["vec_id"], j) for j in range(len(rows)) if score[i, j] >= 0.1)[:10]
+            want += [(r["vec_id"], item) for _, item, j in best if rows[j]["label"] != 3]
+    assert sorted((r["query_id"], r["item_id"]) for r in catalogue.QUERIES["oQ10_search_all"](spark, SF).collect()) == sorted(want)
+
+
+def test_search_takes_queries_in_blocks(spark):
+    v = catalogue.Tables(spark, SF).embeddings.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    q = v.where("item_id < 40").select(F.col("item_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    whole, parts = (sorted(map(tuple, knowledge.search(q, v, v, 5, 0.1, bound=b).collect())) for b in (10_000, 7))
+    assert whole == parts and {r[0] for r in whole} == set(range(40))
+
+
 def test_pairs_of_odd_vectors(spark):
     v = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [1.0, 0.0, 0.0]), (7, [5.0, 0.0, 0.0])]
     df = spark.createDataFrame(v, "id long, vector array<double>")
