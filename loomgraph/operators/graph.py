@@ -56,6 +56,12 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 1_000_000) ->
     return found
 
 
+def around(edges: DataFrame, start: DataFrame, max_depth: int = 50) -> DataFrame:
+    """(start, node, depth) of everything within max_depth steps of start (columns start, node) along edges in either direction."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return reachable(edges.select("src", "dst").unionByName(back), start, max_depth)
+
+
 def unreachable(nodes: DataFrame, edges: DataFrame, entrances: DataFrame) -> DataFrame:
     """nodes (id) that no entrance (id) leads to."""
     seen = reachable(edges, entrances.select(F.lit(0).alias("start"), F.col("id").alias("node"))).select(F.col("node").alias("id"))
@@ -223,4 +229,4 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return label
 
 
-__all__ = ["betweenness", "collapse", "communities", "components", "cross_sections", "degree", "has_cycle", "histogram", "levels", "reachable", "strong_components", "top_subgraph", "triangles", "typed_edges", "undirected", "unreachable"]
+__all__ = ["around", "betweenness", "collapse", "communities", "components", "cross_sections", "degree", "has_cycle", "histogram", "levels", "reachable", "strong_components", "top_subgraph", "triangles", "typed_edges", "undirected", "unreachable"]

@@ -124,6 +124,14 @@ def oQ9_process_levels(t):
     return graph.reachable(dag, start, 5)
 
 
+@query()
+def oQ9_process_around(t):
+    """From every order, in both directions, as far as the reference goes; oQ9_process_levels and its SQL take five steps forward from some."""
+    dag = t.kg_process_dag
+    nodes = dag.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return graph.around(dag, nodes.select(F.col("node").alias("start"), "node"), 50)
+
+
 @query("""WITH RECURSIVE w AS (SELECT src AS node, 0 AS level FROM kg_process_dag WHERE src NOT IN (SELECT dst FROM kg_process_dag)
 UNION ALL SELECT d.dst, w.level + 1 FROM w JOIN kg_process_dag d ON d.src = w.node) SELECT node, max(level)::INTEGER AS level FROM w GROUP BY node""")
 def oQ9_topo_levels(t):

@@ -27,6 +27,30 @@ def test_levels_and_cycles(spark):
     assert graph.has_cycle(edges(spark, [*dag, ("d", "b")]))
 
 
+def test_around_goes_both_ways_and_fifty_steps(spark):
+    path = [(f"n{i}", f"n{i + 1}") for i in range(60)]
+    start = spark.createDataFrame([("n5", "n5"), ("n60", "n60")], "start string, node string")
+    got = {(r["start"], r["node"]): r["depth"] for r in graph.around(edges(spark, path), start).collect()}
+    assert got == {(f"n{s}", f"n{i}"): abs(i - s) for s in (5, 60) for i in range(61) if abs(i - s) <= 50}
+
+
+def test_process_around_starts_everywhere(spark):
+    near = {}
+    for r in catalogue.Tables(spark, SF).kg_process_dag.collect():
+        near.setdefault(r["src"], set()).add(r["dst"])
+        near.setdefault(r["dst"], set()).add(r["src"])
+    want = set()
+    for s in near:
+        depth, ahead = {s: 0}, [s]
+        for x in ahead:
+            for y in near[x] - depth.keys() if depth[x] < 50 else ():
+                depth[y] = depth[x] + 1
+                ahead.append(y)
+        want |= {(s, x, d) for x, d in depth.items()}
+    rows = catalogue.QUERIES["oQ9_process_around"](spark, SF).collect()
+    assert {(r["start"], r["node"], r["depth"]) for r in rows} == want and len(rows) == len(want)
+
+
 def test_components_of_a_long_path(spark):
     n = 40
     e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 100), (200, 201), (None, 5)], "a long, b long")
