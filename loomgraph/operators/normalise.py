@@ -69,13 +69,30 @@ def _block_products(left: DataFrame, right: DataFrame, threshold: float, blocks:
     return found.applyInPandas(run, f"a {dict(left.dtypes)['id']}, b {dict(right.dtypes)['id']}, score double")
 
 
-def best_match(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """id, best, score: the candidate of highest cosine for each row; candidates are a vocabulary of at most 10,000, so they are broadcast."""
-    pairs = rows.join(F.broadcast(candidates.select(F.col("id").alias("candidate"), F.col("vector").alias("cv")).limit(10_000)), F.size("vector") == F.size("cv"))
+def best_match(rows: DataFrame, candidates: DataFrame, bound: int = 10_000, blocks: int = 16) -> DataFrame:
+    """id, best, score: the candidate of highest cosine for each row, of equals the largest.
+
+    Up to bound candidates are broadcast. With more, every block of rows meets every block of candidates by equi-join.
+    """
+    c = candidates.select(F.col("id").alias("candidate"), F.col("vector").alias("cv"))
+    same = F.size("vector") == F.size("cv")
+    if c.limit(bound + 1).count() <= bound:
+        pairs = rows.join(F.broadcast(c), same)
+    else:
+        each = F.sequence(F.lit(0), F.lit(blocks - 1))
+        l = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("i"), F.explode(each).alias("j"))  # noqa: E741
+        c = c.select("candidate", "cv", F.explode(each).alias("i"), F.pmod(F.xxhash64("candidate"), F.lit(blocks)).cast("int").alias("j"))
+        pairs = l.join(c, ["i", "j"]).where(same)
     scored = pairs.select("id", "candidate", F.round(cosine(F.col("vector"), F.col("cv")), 6).alias("score"))
     return scored.groupBy("id").agg(F.max(F.struct("score", F.col("candidate"))).alias("m")).select("id", F.col("m.candidate").alias("best"), F.col("m.score").alias("score"))
 
 
+def centroids(rows: DataFrame, label: str = "label") -> DataFrame:
+    """(id, vector): each label with the mean of its vectors."""
+    means = rows.select(label, F.posexplode("vector").alias("pos", "x")).groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("vector")).select(F.col(label).alias("id"), "vector")
+
+
 def bands(matches: DataFrame, auto: float = 0.85, ambiguous: float = 0.60) -> DataFrame:
     return matches.withColumn("band", F.when(F.col("score") >= auto, "auto").when(F.col("score") >= ambiguous, "ambiguous").otherwise("pending"))
 

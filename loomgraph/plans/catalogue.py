@@ -349,6 +349,13 @@ def oN4_bands(t):
     return normalise.bands(normalise.best_match(v, v.where("id < 9")), 0.3, 0.15)
 
 
+@query()
+def oN4_bands_centroids(t):
+    """Candidates are the centroids of all labels; oN4_bands and its SQL take nine vectors."""
+    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return normalise.bands(normalise.best_match(v.select("id", "vector"), normalise.centroids(v)), 0.3, 0.15)
+
+
 @query("SELECT l_partkey, l_orderkey, i.id AS item_id FROM (SELECT l_partkey, l_orderkey, ' ' || upper(p_name) AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1) r LEFT JOIN (SELECT lower(trim(p_name)) AS key, arg_min('P' || p_partkey, p_partkey) AS id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) i ON i.key = lower(trim(r.name))")
 def oN1_references(t):
     refs = t.lineitem.where("l_linenumber = 1").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_partkey", "l_orderkey", F.concat(F.lit(" "), F.upper("p_name")).alias("name"))

@@ -137,6 +137,26 @@ def test_search_takes_queries_in_blocks(spark):
     assert whole == parts and {r[0] for r in whole} == set(range(40))
 
 
+def test_best_match_of_many_candidates(spark):
+    v = [(i, [1.0, 0.001 * i]) for i in range(10_050)]
+    rows = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.5])], "id long, vector array<double>")
+    got = normalise.best_match(rows, spark.createDataFrame(v, "id long, vector array<double>")).collect()
+    assert {r["id"]: (r["best"], r["score"]) for r in got} == {1: (10_049, round(10.049 / (1 + 10.049**2) ** 0.5, 6)), 2: (501, 1.0)}
+
+
+def test_bands_meet_all_centroids(spark):
+    rows = global_pairs(spark, 0.25)[0]
+    by = {}
+    for r in rows:
+        by.setdefault(r["label"], []).append(r["embedding"])
+    mean = {k: np.mean(np.array(v, float), axis=0) for k, v in by.items()}
+    cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 6)
+    want = {r["vec_id"]: max((cos(r["embedding"], m), k) for k, m in mean.items()) for r in rows}
+    got = catalogue.QUERIES["oN4_bands_centroids"](spark, SF).collect()
+    assert {r["id"]: (r["score"], r["best"]) for r in got} == want
+    assert all(r["band"] == ("auto" if r["score"] >= 0.3 else "ambiguous" if r["score"] >= 0.15 else "pending") for r in got)
+
+
 def test_pairs_of_odd_vectors(spark):
     v = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [1.0, 0.0, 0.0]), (7, [5.0, 0.0, 0.0])]
     df = spark.createDataFrame(v, "id long, vector array<double>")
