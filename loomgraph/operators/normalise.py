@@ -97,10 +97,23 @@ def bands(matches: DataFrame, auto: float = 0.85, ambiguous: float = 0.60) -> Da
     return matches.withColumn("band", F.when(F.col("score") >= auto, "auto").when(F.col("score") >= ambiguous, "ambiguous").otherwise("pending"))
 
 
-def resolve_references(refs: DataFrame, items: DataFrame) -> DataFrame:
-    """refs (owner, pos, name) with item_id, by exact name in the order of seq, or null (still pending)."""
+def resolve_references(refs: DataFrame, items: DataFrame, threshold: float = 0.85, blocks: int = 16) -> DataFrame:
+    """refs (owner, pos, name) with item_id: by exact name in the order of seq, else by best cosine, or null (still pending).
+
+    The cosine step is taken if refs and items have a vector. It asks once for each name left over, and the item of
+    highest cosine that reaches the threshold wins, of equals the first by seq; every block of names meets every block of items.
+    """
     best = items.groupBy(norm(F.col("name")).alias("key")).agg(F.min_by("id", "seq").alias("item_id"))
-    return refs.withColumn("key", norm(F.col("name"))).join(best, "key", "left").drop("key")
+    found = refs.withColumn("key", norm(F.col("name"))).join(best, "key", "left")
+    if "vector" not in refs.columns or "vector" not in items.columns:
+        return found.drop("key")
+    each = F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = found.where("item_id is null and vector is not null").groupBy("key").agg(F.min("vector").alias("vector"))
+    left = left.select(F.col("key").alias("asked"), "vector", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("i"), F.explode(each).alias("j"))
+    own = items.where("vector is not null").select(F.col("id").alias("near"), F.col("vector").alias("cv"), "seq", F.explode(each).alias("i"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("j"))
+    pairs = left.join(own, ["i", "j"]).where(F.size("vector") == F.size("cv")).select("asked", "near", "seq", cosine(F.col("vector"), F.col("cv")).alias("score"))
+    near = pairs.where(F.round("score", 6) >= threshold).groupBy("asked").agg(F.min_by("near", F.struct(-F.col("score"), F.col("seq"))).alias("near"))
+    return found.join(near, F.col("key") == F.col("asked"), "left").withColumn("item_id", F.coalesce("item_id", "near")).drop("key", "asked", "near", "vector")
 
 
 def origins(children: DataFrame) -> DataFrame:

@@ -363,6 +363,16 @@ def oN1_references(t):
     return normalise.resolve_references(refs, items).select("l_partkey", "l_orderkey", "item_id")
 
 
+@query()
+def oN1_references_similar(t):
+    """All lines, by name and else by cosine; oN1_references and its SQL take the first lines and names. Part p has vector p modulo their number."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("at"), F.col("embedding").alias("vector"))
+    parts = t.part.crossJoin(vectors.agg(F.count("*").alias("n"))).withColumn("at", F.expr("p_partkey % n")).join(vectors, "at", "left")
+    refs = t.lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_partkey", "l_orderkey", "l_linenumber", F.concat(F.lit(" "), F.upper("p_name")).alias("name"), "vector")
+    items = parts.where("p_partkey % 2 = 0").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("seq"), "vector")
+    return normalise.resolve_references(refs, items).select("l_partkey", "l_orderkey", "l_linenumber", "item_id")
+
+
 CHILDREN = "(SELECT subject_id AS node, * FROM kg_assertions)"
 
 

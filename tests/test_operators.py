@@ -157,6 +157,18 @@ def test_bands_meet_all_centroids(spark):
     assert all(r["band"] == ("auto" if r["score"] >= 0.3 else "ambiguous" if r["score"] >= 0.15 else "pending") for r in got)
 
 
+def test_references_by_name_then_by_cosine(spark):
+    items = spark.createDataFrame([("a", "Light", 1, [1.0, 0.0]), ("b", "Noise", 2, [0.0, 1.0]), ("c", "noise", 3, [0.0, 1.0]), ("d", "Void", 4, None)], "id string, name string, seq long, vector array<double>")
+    refs = [(1, " NOISE ", [1.0, 0.0]), (2, "daylight", [1.0, 0.3]), (3, "far", [1.0, 1.0]), (4, "din", [0.1, 2.0]), (5, "zero", [0.0, 0.0]), (6, "none", None), (7, "din", [0.1, 2.0])]
+    got = normalise.resolve_references(spark.createDataFrame(refs, "pos long, name string, vector array<double>"), items).collect()
+    assert {r["pos"]: r["item_id"] for r in got} == {1: "b", 2: "a", 3: None, 4: "b", 5: None, 6: None, 7: "b"} and len(got) == 7
+
+
+def test_references_take_all_lines(spark):
+    rows = catalogue.QUERIES["oN1_references_similar"](spark, SF)
+    assert rows.count() == catalogue.Tables(spark, SF).lineitem.count() and rows.where("l_linenumber > 1 and item_id is not null").count() > 0
+
+
 def test_pairs_of_odd_vectors(spark):
     v = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [1.0, 0.0, 0.0]), (7, [5.0, 0.0, 0.0])]
     df = spark.createDataFrame(v, "id long, vector array<double>")
