@@ -31,6 +31,12 @@ CONTENT = 8_192
 CONTEXT = 16
 STEPS = (1, 2, 3, 4, 5, 6, 8)
 FOLDS = 5
+#: A segment needs so many toxic documents, and of the segments kept at most this share may be there by chance.
+HANDFUL = 5
+RATE = 0.001
+#: Bytes of toxic words in the dictionary, and of a word that is held whole.
+SPECIAL = 32_768
+LONG = 40
 
 
 def words(text: str | None) -> list[bytes]:
@@ -38,46 +44,93 @@ def words(text: str | None) -> list[bytes]:
 
 
 def _subs(word: bytes) -> Iterator[bytes]:
-    for i in range(min(len(word), 40) - 3):
-        for j in range(i + 4, min(len(word), i + 10, 40) + 1):
+    for i in range(len(word) - 3):
+        for j in range(i + 4, min(len(word), i + 10) + 1):
             yield word[i:j]
 
 
-def toxic_words(toxic: Counter, ordinary: Counter, scale: float, documents: int) -> list[bytes]:
-    """Words of toxic text around its telling segments, the most telling last. toxic, ordinary: documents by word."""
-    least = max(3, documents // 100)
+def _often(counts: Counter, least: int) -> Counter:
+    """Segments of the words that are counted least times or more. Hashed counts come first, so that rare segments are never held."""
+    rough = np.zeros(1 << 22, np.int64)
+    for w, n in counts.items():
+        rough[list({hash(x) & 0x3FFFFF for x in _subs(w)})] += n
+    wide = rough >= least
     seen: Counter = Counter()
-    for w, n in toxic.items():
-        for x in set(_subs(w)):
+    for w, n in counts.items():
+        for x in {x for x in _subs(w) if wide[hash(x) & 0x3FFFFF]}:
             seen[x] += n
-    wide = {x for x, n in seen.items() if n >= least}
+    return Counter({x: n for x, n in seen.items() if n >= least})
+
+
+def _significant(seen: Counter, also: Counter, scale: float) -> set:
+    """Segments that toxic text has too often for chance: Chernoff bounds of the binomial tail, false discoveries kept below RATE."""
+    q = scale / (1 + scale)
+    keys = list(seen)
+    t, o = np.array([seen[x] for x in keys], float), np.array([also[x] for x in keys], float)
+    n = t + o
+    tail = -(t * np.log(t / (n * q)) + np.where(o > 0, o * np.log(np.maximum(o, 1) / (n * (1 - q))), 0))
+    tail = np.where(t > n * q, tail, 0.0)
+    order = np.argsort(tail, kind="stable")
+    good = np.flatnonzero(tail[order] <= np.log(RATE * np.arange(1, len(keys) + 1) / max(1, len(keys))))
+    return {keys[i] for i in order[: good[-1] + 1]} if len(good) else set()
+
+
+def toxic_words(toxic: Counter, ordinary: Counter, scale: float) -> list[bytes]:
+    """Words of toxic text around its telling segments, SPECIAL bytes of them, the most telling last. toxic, ordinary: documents by word.
+
+    A segment is telling if HANDFUL toxic documents have it, far more than ordinary ones and too many for chance.
+    """
+    seen = _often(toxic, HANDFUL)
+    if not seen:
+        return []
     also: Counter = Counter()
     for w, n in ordinary.items():
-        for x in set(_subs(w)) & wide:
+        for x in {x for x in _subs(w) if x in seen}:
             also[x] += n
-    telling = {x for x in wide if seen[x] > 12 * (also[x] + 0.5) * scale}
+    telling = {x for x in _significant(seen, also, scale) if seen[x] > 12 * (also[x] + 0.5) * scale}
     holders = defaultdict(list)
     for w in toxic:
-        for x in set(_subs(w)) & telling:
+        for x in {x for x in _subs(w) if x in telling}:
             holders[x].append(w)
     queue = [(-seen[x], -len(x), x) for x in telling]
     heapify(queue)
     covered: set = set()
-    chosen: list[tuple[bytes, int]] = []
+    chosen: list[list[bytes]] = []
     while queue:  # greedy cover: the segment that explains most documents not yet explained
         _, length, x = heappop(queue)
         now = sum(toxic[w] for w in holders[x] if w not in covered)
-        if now < max(least, documents // 25):
+        if now < HANDFUL:
             continue
         if queue and -now > queue[0][0]:
             heappush(queue, (-now, length, x))
             continue
-        chosen.append((x, now))
-        covered.update(holders[x])
-    out: list[bytes] = []
-    for x, _ in chosen:
-        out += sorted(holders[x], key=lambda w: (-toxic[w], w))[:40]
-    return list(dict.fromkeys(out))[::-1]
+        covered.update(w for w in holders[x] if len(w) <= LONG)
+        chosen.append([_near(w, x) for w in sorted(holders[x], key=lambda w: (-toxic[w], w))])
+    out: dict[bytes, None] = {}
+    size = 0
+    for nth in range(max(map(len, chosen), default=0)):  # a word of each segment in turn, so that none takes all the room
+        for ws in chosen:
+            if nth < len(ws) and ws[nth] not in out and size + len(ws[nth]) < SPECIAL:
+                out[ws[nth]] = None
+                size += len(ws[nth]) + 1
+    return list(out)[::-1]
+
+
+def _near(word: bytes, segment: bytes) -> bytes:
+    """The word, or of a long unspaced run what is around the segment."""
+    at = word.index(segment)
+    return word if len(word) <= LONG else word[max(0, at - 8) : at + len(segment) + 8]
+
+
+def _counted(texts: list[list[bytes]]) -> Counter:
+    """Documents by word, but no more than the word has different neighbours: copies of a document are no further evidence."""
+    docs: Counter = Counter()
+    near = defaultdict(set)
+    for ws in texts:
+        docs.update(set(ws))
+        for before, w, after in zip([b"", *ws], ws, [*ws[1:], b""]):
+            near[w].add(hash((before, after)))
+    return Counter({w: min(n, len(near[w])) for w, n in docs.items()})
 
 
 class Model:
@@ -136,14 +189,11 @@ def train(rows: list[tuple[str | None, int]], share: float | None = None) -> Mod
     """
     rows = [(t, y) for t, y in rows if t and t.strip()]
     learn, tune = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if i % 3 == 0]
-    count, size, docs = (Counter(), Counter()), [1, 1], [0, 0]
-    for t, y in learn:
-        ws = words(t)
-        count[y].update(set(ws))
-        size[y] += sum(map(len, ws))
-        docs[y] += 1
+    texts = [[words(t) for t, y in learn if y == k] for k in (0, 1)]
+    count = [_counted(x) for x in texts]
+    size = [1 + sum(len(w) for ws in x for w in ws) for x in texts]
     common = b" ".join(w for w, _ in sorted(count[0].items(), key=lambda x: (x[1], x[0]))[-CONTENT // 2 :])[-CONTENT:]
-    special = b" ".join(toxic_words(count[1], count[0], size[1] / size[0], docs[1]))
+    special = b" ".join(toxic_words(count[1], count[0], size[1] / size[0]))
     context = common[-CONTEXT:]
     model = Model(common or b" " * 8, (common[:-CONTEXT] + b" " + special + b" " + context) if common else special or b" " * 8, context)
     if tune and len({y for _, y in tune}) == 2:

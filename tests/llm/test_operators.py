@@ -292,6 +292,29 @@ def test_toxicity_held_out(spark):
     assert toxicity.classify(docs.limit(0), toxicity.train([])).count() == 0
 
 
+def test_toxicity_of_a_long_tail():
+    rng = np.random.default_rng(6)
+    tail = ["".join(rng.choice(list("bcdfghklmnprstvz"), 8)) for _ in range(300)]
+    plain = [f"{a}{b}" for a in ("lo", "mi", "ta", "re", "ka") for b in ("na", "so", "vi", "du", "pe")]
+
+    def text(bad, glue=" "):
+        w = [str(x) for x in rng.choice(plain, 60)]
+        for at in rng.integers(0, 60, 8) if bad else ():
+            w[at] = str(rng.choice(tail))
+        return glue.join(w)
+
+    model = toxicity.train([(text(i % 2), i % 2) for i in range(1200)])
+    scores = [model.score(model.features(text(i % 2))) >= 0.5 for i in range(200)]
+    assert sum(s == (i % 2 == 1) for i, s in enumerate(scores)) > 180
+
+
+def test_toxic_segments_of_long_unspaced_words():
+    run = lambda i, x: ("abcdefgh"[i % 8] * 60 + x).encode()
+    toxic, ordinary = ({run(i, x) + str(i).encode(): 1 for i in range(30)} for x in ("gronk", "pleas"))
+    words = toxicity.toxic_words(toxicity.Counter(toxic), toxicity.Counter(ordinary), 1.0)
+    assert any(b"gronk" in w for w in words) and sum(map(len, words)) < toxicity.SPECIAL
+
+
 def test_chat_pieces_do_not_matter(spark):
     turns = []
     for c in range(30):
