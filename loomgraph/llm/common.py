@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,16 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back.
-
-    The table cuts the lineage and survives lost executors; it is removed when the application ends.
-    """
+def save(df: DataFrame, name: str) -> str:
+    """df as a Parquet table in the shared folder; its path. The table is removed when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df saved and read back: that cuts the lineage and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(save(df, name))
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -56,6 +61,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run as a function of Arrow batches that gives its memory back when a task ends: Python workers are used again, and each stage has its own."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return tidy
+
+
+def slices(batch, rows: int = 512) -> Iterator:
+    """A batch in slices of rows at most, so that what is computed of them stays small."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. Pure ASCII text takes the fast lower()."""
     upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
