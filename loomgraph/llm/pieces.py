@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import lean, table
 from loomgraph.session import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEPT = 150_000
+#: Chunks that a task remembers with their ids; twice as many at most.
+KEPT = 40_000
 
 
 def load_pieces(path: str = MODEL) -> dict:
@@ -112,59 +113,61 @@ class Codec:
         return b"".join([out.get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace")
 
 
-_codecs: dict = {}
-
-
-def _codec(shared, kept: int) -> Codec:
-    if shared.value["key"] not in _codecs:
-        _codecs.clear()
-        _codecs[shared.value["key"]] = Codec(shared.value, kept)
-    return _codecs[shared.value["key"]]
-
-
 def _share(spark: SparkSession, path: str):
     ship(spark)
-    pieces = load_pieces(path)
-    return spark.sparkContext.broadcast(pieces | {"key": f"{path}:{len(pieces['plain'])}"})
+    return spark.sparkContext.broadcast(load_pieces(path))
 
 
 def _added(batch: pa.RecordBatch, column: pa.Array, name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
 
+def _ids(codec: Codec, texts: pa.Array) -> pa.Array:
+    """The ids of texts, null for null."""
+    rows = [codec.encode(t.as_py()) if t.is_valid else None for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([0 if r is None else len(r) for r in rows])]).astype(np.int32)
+    flat = np.concatenate([r for r in rows if r is not None] or [np.zeros(0, np.int32)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+def _texts(codec: Codec, ids: pa.Array) -> pa.Array:
+    return pa.array([codec.decode(r.values.to_numpy()) if r.is_valid else None for r in ids], pa.string())
+
+
 def encode(docs: DataFrame, path: str = MODEL, text: str = "text", into: str = "pieces") -> DataFrame:
-    """docs and the ids of their texts, array<int>. A null text gives null, an empty text an empty array."""
+    """docs and the ids of their texts, array<int>; one row for each row of docs, repeated ones too.
+
+    A null text gives null, an empty text an empty array, an empty table no rows. A column of docs named like the new one
+    is replaced; all others are passed through and play no part.
+    """
     docs = docs.drop(into)
     shared, at = _share(docs.sparkSession, path), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, KEPT)
+        codec = Codec(shared.value)
         for batch in batches:
             for part in _parts(batch, at):
-                texts = part.column(at)
-                rows = [codec.encode(texts[i].as_py()) if texts[i].is_valid else None for i in range(part.num_rows)]
-                offsets = np.concatenate([[0], np.cumsum([0 if r is None else len(r) for r in rows])]).astype(np.int32)
-                flat = np.concatenate([r for r in rows if r is not None] or [np.zeros(0, np.int32)])
-                mask = pa.array([r is None for r in rows], pa.bool_())
-                yield _added(part, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=mask), into)
+                yield _added(part, _ids(codec, part.column(at)), into)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(coded: DataFrame, path: str = MODEL, pieces: str = "pieces", into: str = "decoded") -> DataFrame:
-    """coded and the texts of its ids; ids that stand for no text (controls) give nothing, null gives null."""
+    """coded and the texts of its ids; one row for each row of coded, repeated ones too.
+
+    Ids that stand for no text (controls) give nothing, null gives null, an empty table no rows. A column of coded named
+    like the new one is replaced.
+    """
     coded = coded.drop(into)
     shared, at = _share(coded.sparkSession, path), coded.columns.index(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, KEPT)
+        codec = Codec(shared.value)
         for batch in batches:
             for part in _parts(batch, at):
-                rows = part.column(at)
-                texts = [codec.decode(rows[i].values.to_numpy()) if rows[i].is_valid else None for i in range(part.num_rows)]
-                yield _added(part, pa.array(texts, pa.string()), into)
+                yield _added(part, _texts(codec, part.column(at)), into)
 
-    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(into, T.StringType())]))
+    return coded.mapInArrow(lean(run), T.StructType([*coded.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def _parts(batch: pa.RecordBatch, at: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -181,9 +184,19 @@ def _parts(batch: pa.RecordBatch, at: int, most: int = 4_000_000) -> Iterator[pa
 
 
 def token_rows(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, pieces and whether decoding them gives the text back."""
-    both = decode(encode(docs.select("doc_id", "text"), path), path)
-    return both.select("doc_id", "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
+    """doc_id, pieces and whether decoding them gives the text back; encoded and decoded in one pass, by one worker for each task."""
+    docs = docs.select("doc_id", "text")
+    shared = _share(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(shared.value)
+        for batch in batches:
+            for part in _parts(batch, 1):
+                ids = _ids(codec, part.column(1))
+                same = [a == b for a, b in zip(part.column(1).to_pylist(), _texts(codec, ids).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(same, pa.bool_())], names=["doc_id", "pieces", "exact"])
+
+    return docs.mapInArrow(lean(run), T.StructType([docs.schema["doc_id"], T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())]))
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
