@@ -43,9 +43,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return rows.select("source", "source_size", F.when(F.col("final").isNull(), F.col("most")).otherwise(F.least("most", F.col("weight") * F.col("final"))).alias("target"))
 
 
-def coin(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from 52 bits of an MD5 of seed and id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def coin(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from 52 bits of an MD5 of seed and id, or of the text of a row without an id."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
@@ -53,7 +53,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     """docs with size, source_size, target, rate and copies, one row per document.
 
     Null text has size 0; null source is a source of its own; a source without words has rate 0; repeated rows each
-    count and share their coin; an empty table gives no rows. Columns of these names in docs are replaced.
+    count and share their coin, rows without an id if their texts are equal; an empty table gives no rows. Columns of these names in docs are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "rate", "copies")
     sized = docs.withColumn("size", word_count(F.col("text")))
@@ -65,12 +65,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col(key)), "left").drop(key)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumn("rate", rate)
-    extra = (coin(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
+    extra = (coin(F.col("doc_id"), F.col("text"), seed) < F.col("rate") - F.floor("rate")).cast("long")
     return joined.withColumn("copies", F.floor("rate").cast("long") + extra)
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every document as often as the mix takes it, with the columns of docs."""
+    """The mixed corpus: every document as often as the mix takes it, with the columns of docs.
+
+    Nulls, repeats and empty tables as in mix. A document whose source has no words is not taken, and neither is any with
+    no copies; an empty text in a source with words is taken like its neighbours. docs may have columns of any name.
+    """
     copy = fresh(docs, "mix_copy")
     mixed = mix(docs, **options).where(F.col("copies") > 0)
     return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
@@ -82,15 +86,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) AS coin, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS most FROM s),
 f AS (SELECT *, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS place,
   ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(most) OVER p, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS level
   FROM w WINDOW p AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(most, coalesce(weight * (SELECT arg_min(level, place) FROM f WHERE level * weight < most), most)) AS target FROM f),
-j AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+j AS (SELECT d.doc_id, d.coin, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, (floor(rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM j)
+c AS (SELECT *, (floor(rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || coin), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM j)
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
 """
