@@ -6,9 +6,10 @@
    thousands of documents share drop out, and a set that shares less than need has no partner at all.
 2. Light sets, up to a boundary size, meet on the 2-element subsets of what they keep; heavy sets meet every set in the
    inverted lists of single shingles. The boundary is where the two costs, summed over the sets, are least.
-3. Sets that meet, directly or through others, form a crowd; linked sets are always in one. Each pair of a crowd that
-   sizes allow is verified once on the whole sets, by matrix products over blocks of BLOCK sets, so neither a frequent
-   shingle nor a large group of near copies is gathered in one task.
+3. Sets that meet, directly or through others, form a crowd; linked sets are always in one. A crowd that has fewer pairs
+   than its meeting places together (near copies) is verified as a whole, a looser one place by place. Pairs that sizes
+   allow are verified on the whole sets, by matrix products over blocks of BLOCK sets, so neither a frequent shingle nor
+   a large group of near copies is gathered in one task.
 
 Equal sets are one set throughout. The result is the components of the links; no pair is lost, none is listed.
 Shingles and sets are compared by 64-bit hashes.
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import fresh, shared_dir, small, table, written
+from loomgraph.llm.common import fresh, lean, shared_dir, small, table, written
 from loomgraph.operators.components import components
 from loomgraph.session import ship
 
@@ -96,7 +97,7 @@ def _scan(words: int, percent: int):
                 prefix.append(s[:p])
                 offsets.append(offsets[-1] + p)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefix or [np.zeros(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), lists], names=["doc_id", "n", "sid", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), lists], names=["doc_id", "own", "n", "sid", "prefix"])
 
     return run
 
@@ -175,8 +176,29 @@ def crowds(members: DataFrame, folder: str) -> DataFrame:
     return members.select("sid", "n").distinct().join(found, "sid")
 
 
+def groups(members: DataFrame, crowd: DataFrame) -> DataFrame:
+    """(crowd, sid, n): the groups of sets within which all links lie, each crowd whole or place by place, by cost.
+
+    A crowd is what meetings connect; where these run on and on, it has far more pairs than its places have. Then its
+    places are its groups, those with the same members once. Costs are squares of sizes, as pairs are verified in blocks.
+    """
+    rows = members.join(crowd.select("sid", "crowd"), "sid")
+    key = F.xxhash64("sid")
+    place = rows.groupBy("place").agg(F.first("crowd").alias("crowd"), F.count("*").alias("g"), F.sum(F.pmod(key, F.lit(1 << 31))).alias("x"), F.bit_xor(key).alias("y"))
+    place = written(place.where("g > 1").groupBy("crowd", "g", "x", "y").agg(F.min("place").alias("place")), "meeting-places")
+    cost = place.groupBy("crowd").agg(F.sum(F.col("g").cast("double") * F.col("g")).alias("by_place"))
+    size = crowd.groupBy("crowd").agg(F.count("*").alias("size"))
+    loose = size.where(F.col("size") > BLOCK).join(cost, "crowd").where(F.col("by_place") < F.col("size").cast("double") * F.col("size")).select("crowd")
+    loose = small(written(loose, "loose"))
+    whole = crowd.join(loose, "crowd", "left_anti").select("crowd", "sid", "n")
+    if loose.isEmpty():
+        return whole
+    apart = place.join(loose, "crowd", "left_semi").select("place")
+    return whole.unionByName(members.join(apart, "place").select(F.col("place").alias("crowd"), "sid", "n"))
+
+
 def units(crowd: DataFrame, percent: int) -> DataFrame:
-    """(unit, crowd, block, sid, n): pieces of work. A crowd of up to BLOCK sets is whole in one; of a larger one, blocks meet whose sizes allow links.
+    """(unit, crowd, block, sid, n): pieces of work on groups. One of up to BLOCK sets is whole in one; of a larger one, blocks meet whose sizes allow links.
 
     Sizes are cut into bands so that linked sets are in the same band or neighbouring ones; a band has blocks of about BLOCK sets.
     """
@@ -189,6 +211,7 @@ def units(crowd: DataFrame, percent: int) -> DataFrame:
     bands = many.groupBy("crowd", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     near = lambda k, name: bands.select("crowd", (F.col("band") + k).alias("band"), F.col("blocks").alias(name))
     meets = bands.join(near(-1, "above"), ["crowd", "band"], "left").join(near(1, "below"), ["crowd", "band"], "left")
+    meets = small(written(meets, "bands"))  # a row for each band of each crowd that is more than a block
     placed = many.join(meets, ["crowd", "band"]).withColumn("x", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     own = F.struct(F.col("band").alias("band"), F.col("x").alias("x"))
 
@@ -251,23 +274,34 @@ def _verify(percent: int):
     return run
 
 
-def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
+def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """A row for each row of docs: doc_id, own (a hash of its text), n (size of its set), sid, and what its component has of all
+    rows: component_id (its smallest doc_id), first (doc_id and own of the row that stays for it, ids before none) and rows.
 
-    Null and empty texts have no shingles and are linked with nothing. Texts of equal sets are linked. Repeated rows each
-    get a row. Other columns of docs play no part; an empty table gives no rows.
+    sid and what follows are null where there are no shingles.
     """
     spark = ship(docs.sparkSession)
-    scan = docs.select("doc_id", "text").mapInArrow(_scan(words, percent), "doc_id long, n long, sid long, prefix array<long>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
+    scan = rows.mapInArrow(lean(_scan(words, percent)), "doc_id long, own long, n long, sid long, prefix array<long>")
     scanned = written(scan, "sets")
     links = written(set_links(docs, scanned, words, percent), "links")
     comps = components(links, folder=shared_dir(spark))
-    by_set = scanned.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")
+    by_set = scanned.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(order).alias("first"), F.count("*").alias("rows"))
     named = by_set.join(comps.withColumnRenamed("node", "sid"), "sid", "left")
-    named = written(named.select("sid", "least", F.coalesce("component", "sid").alias("component")), "named")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "component").select(F.col("sid").alias("own"), "component_id")
-    rows = scanned.select("doc_id", "n", "sid").join(ids, F.col("sid") == F.col("own"), "left")
+    named = written(named.select("sid", "least", "first", "rows", F.coalesce("component", "sid").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("first"), F.sum("rows").alias("rows"))
+    sets = named.select("sid", "component").join(least, "component").select(F.col("sid").alias("of"), "component_id", "first", "rows")
+    return scanned.select("doc_id", "own", "n", "sid").join(sets, F.col("sid") == F.col("of"), "left").drop("of")
+
+
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
+
+    Null and empty texts have no shingles and are linked with nothing. Texts of equal sets are linked. Repeated rows each
+    get a row. Other columns of docs play no part; an empty table gives no rows.
+    """
+    rows = grouped(docs, words, percent)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -278,7 +312,7 @@ def set_links(docs: DataFrame, scanned: DataFrame, words: int, percent: int) ->
     members = written(places(kept, boundary(kept, percent), percent), "places")
     crowd = written(crowds(members, shared_dir(docs.sparkSession)), "crowds")
     whole = whole_sets(docs, scanned, crowd.select("sid"), words)
-    work = units(crowd, percent).join(whole, "sid")
+    work = units(written(groups(members, crowd), "groups"), percent).join(whole, "sid")
     return work.groupBy("unit").applyInPandas(_verify(percent), "a long, b long")
 
 
@@ -287,15 +321,31 @@ def whole_sets(docs: DataFrame, scanned: DataFrame, needed: DataFrame, words: in
     holder = scanned.join(needed, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     key = small(written(holder.select(F.col("doc_id").alias("holder")).distinct(), "holders"))
     rows = docs.select("doc_id", "text").join(key, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi").select("text")
-    found = rows.mapInArrow(_whole(words), "sid long, shingles binary")  # the set of a row, which an id that is not unique may not tell
+    found = rows.mapInArrow(lean(_whole(words)), "sid long, shingles binary")  # the set of a row, which an id that is not unique may not tell
     return written(found.join(needed, "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles")), "whole")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that are linked, directly or not, with a document of a smaller doc_id."""
-    gone = classes(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias(fresh(docs, "near_gone")))
-    gone = small(written(gone, "near-gone").distinct())
-    return docs.join(gone, F.col("doc_id") == F.col(gone.columns[0]), "left_anti")
+    """docs with one row of each group of texts that are linked, directly or not: that of the smallest doc_id.
+
+    Rows are told apart by id and text, so rows that share an id, or have none, are judged by their own texts; a row with
+    an id goes before one without. Of repeated rows one stays. Null and empty texts are linked with nothing and all stay.
+    Columns of docs may have any name; an empty table gives no rows.
+    """
+    rows = grouped(docs, words, percent).where("rows > 1").select("doc_id", "own", F.struct("doc_id", "own").eqNullSafe(F.struct("first.doc_id", "first.own")).alias("stays"))
+    pairs = written(rows.groupBy("doc_id", "own").agg(F.first("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "near-gone")
+    name = [fresh(docs, c) for c in ("near_doc", "near_own", "near_key")]
+    keyed = docs.withColumn(name[2], F.xxhash64("text"))
+
+    def of(part: DataFrame, how: str) -> DataFrame:
+        return keyed.join(part, F.col("doc_id").eqNullSafe(F.col(name[0])) & F.col(name[2]).eqNullSafe(F.col(name[1])), how)
+
+    pairs = pairs.withColumnsRenamed({"doc_id": name[0], "own": name[1]})
+    stay = of(small(pairs.select(*name[:2])), "left_anti").drop(name[2])
+    again = pairs.where("stays").select(*name[:2])
+    if again.isEmpty():
+        return stay
+    return stay.unionByName(of(again, "left_semi").dropDuplicates(["doc_id", name[2]]).drop(name[2]))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
