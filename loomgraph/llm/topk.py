@@ -4,7 +4,9 @@ Components are quantised to integers, and a block of rows is kept as bit slices:
 bitmap over the rows. The scores of a query against a whole block are then sums of bitmaps: slices are added by
 carry-save bitmap arithmetic, weighted by the bits of the query, into the slices of the score. The k best rows come
 from the most significant score slice downward; rows that tie at the boundary lie in id order, so the first are taken
-exactly. Blocks answer for themselves; the k best of the blocks' answers are the k best of all.
+exactly. A task searches the blocks it reads one after another and keeps the k best of each query; the k best of the
+tasks' answers are the k best of all. The bitmaps stay where they were written: queries go to them, in waves of bounded
+size, so nothing of the index is shuffled.
 """
 
 from __future__ import annotations
@@ -16,24 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table, written
+from loomgraph.llm.common import lean, save, table, written
 from loomgraph.session import ship
 
 K = 5
 SCALE = 256
 BLOCK_ROWS = 16_384
-BLOCK_QUERIES = 512
+#: Bytes of query vectors that are broadcast at a time, and rows of the index that go to Python together.
+WAVE = 32_000_000
+INDEX_ROWS = 8
 
-INDEX = "block string, dims int, n int, low long, bits int, ids binary, slices binary"
-QUERIES = "qblock string, dims int, ids binary, weights binary"
-ANSWERS = "qblock string, place int, query_id long, vec_id long, score long"
+INDEX = "dims int, n int, low long, bits int, ids binary, slices binary"
+QUERIES = "dims int, ids binary, weights binary"
+ANSWERS = "place long, query_id long, vec_id long, score long"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
-    """(name, dims, ids, integers) of up to rows vectors of one length each."""
-    from pyspark import TaskContext
-
-    part, count, held = TaskContext.get().partitionId(), 0, {}
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dims, ids, integers) of up to rows vectors of one length each."""
+    held: dict = {}
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         vectors = batch.column(1)
@@ -48,35 +50,35 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[str,
             got[2] += len(at)
             while got[2] >= rows:
                 i, v = np.concatenate(got[0]), np.concatenate(got[1])
-                yield f"{part}-{count}", int(dims), i[:rows], v[:rows]
-                count += 1
+                yield int(dims), i[:rows], v[:rows]
                 got[:] = [[i[rows:]], [v[rows:]], len(i) - rows]
     for dims, (i, v, n) in held.items():
         if n:
-            yield f"{part}-{count}", dims, np.concatenate(i), np.concatenate(v)
-            count += 1
+            yield dims, np.concatenate(i), np.concatenate(v)
 
 
 def _index(rows: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, dims, ids, v in _blocks(batches, rows):
+        for dims, ids, v in _blocks(batches, rows):
             order = np.argsort(ids, kind="stable")
             ids, v = ids[order], v[order]
             low = int(v.min(initial=0))
             bits = max(1, int(v.max(initial=0) - low).bit_length())
-            u = np.zeros((dims, -(-len(ids) // 64) * 64), np.uint64)
-            u[:, : len(ids)] = (v - low).T.astype(np.uint64)
-            planes = ((u[:, None, :] >> np.arange(bits, dtype=np.uint64)[:, None]) & np.uint64(1)).astype(np.uint8)
-            slices = np.packbits(planes, axis=2, bitorder="little").view("<u8")
-            yield pa.RecordBatch.from_pylist([{"block": name, "dims": dims, "n": len(ids), "low": low, "bits": bits, "ids": ids.tobytes(), "slices": slices.tobytes()}], _arrow(INDEX))
+            slices = np.zeros((dims, bits, -(-len(ids) // 64)), "<u8")
+            row = np.zeros(slices.shape[2] * 64, np.uint64)
+            for d in range(dims):  # a dimension at a time, so that the unpacked bits stay small
+                row[: len(ids)] = (v[:, d] - low).astype(np.uint64)
+                planes = ((row >> np.arange(bits, dtype=np.uint64)[:, None]) & np.uint64(1)).astype(np.uint8)
+                slices[d] = np.packbits(planes, axis=1, bitorder="little").view("<u8")
+            yield pa.RecordBatch.from_pylist([{"dims": dims, "n": len(ids), "low": low, "bits": bits, "ids": ids.tobytes(), "slices": slices.tobytes()}], _arrow(INDEX))
 
     return build
 
 
 def _queries(rows: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, dims, ids, v in _blocks(batches, rows):
-            yield pa.RecordBatch.from_pylist([{"qblock": name, "dims": dims, "ids": ids.tobytes(), "weights": v.tobytes()}], _arrow(QUERIES))
+        for dims, ids, v in _blocks(batches, rows):
+            yield pa.RecordBatch.from_pylist([{"dims": dims, "ids": ids.tobytes(), "weights": v.tobytes()}], _arrow(QUERIES))
 
     return build
 
@@ -168,15 +170,26 @@ def search_block(block: dict, qids: np.ndarray, weights: np.ndarray, k: int) ->
             yield place, qid, int(ids[r]), x
 
 
-def _search(k: int):
+def _search(shared, k: int):
+    """The k best of all blocks of a task for each query of the wave: shared holds (first place, dims, ids, weights) of its blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                qids = np.frombuffer(row["qids"], np.int64)
-                weights = np.frombuffer(row["weights"], np.int64).reshape(len(qids), row["dims"])
-                found = list(search_block(row, qids, weights, k))
-                cols = list(zip(*found, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array([row["qblock"]] * len(found), pa.string()), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], schema=_arrow(ANSWERS))
+            for i in range(batch.num_rows):
+                block = {c: batch.column(c)[i].as_py() for c in ("dims", "bits", "low", "ids", "slices")}
+                for first, dims, qids, weights in shared.value:
+                    if dims != block["dims"]:
+                        continue
+                    w = np.frombuffer(weights, np.int64).reshape(-1, dims) if dims else np.zeros((len(qids) // 8, 0), np.int64)
+                    for place, qid, vec_id, score in search_block(block, np.frombuffer(qids, np.int64), w, k):
+                        best.setdefault(first + place, []).append((-score, vec_id, qid))
+                for place, found in best.items():
+                    if len(found) > k:
+                        best[place] = sorted(found)[:k]
+        rows = [(place, qid, vec_id, -score) for place, found in best.items() for score, vec_id, qid in found]
+        for start in range(0, len(rows), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[start : start + 100_000], strict=True)], schema=_arrow(ANSWERS))
 
     return run
 
@@ -188,36 +201,55 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return vectors.where(F.coalesce(sound, F.lit(False))).select("vec_id", F.transform(x, lambda v: F.floor(v.cast("double") * F.lit(float(scale))).cast("long")).alias("v"))
 
 
-def build_index(vectors: DataFrame, rows: int = BLOCK_ROWS, scale: int = SCALE) -> DataFrame:
-    """The bit-sliced index, a row per block, as a written table."""
-    return written(quantised(vectors, scale).mapInArrow(_index(rows), INDEX), "bit-slices")
+def build_index(vectors: DataFrame, rows: int = BLOCK_ROWS, scale: int = SCALE) -> str:
+    """The path of the bit-sliced index, a table of a row per block."""
+    return save(quantised(vectors, scale).mapInArrow(lean(_index(rows)), INDEX), "bit-slices")
+
+
+def _fit(vectors: DataFrame, scale: int) -> None:
+    """Raises ValueError where scores could leave 64 bits: most dimensions times the square of the largest component."""
+    x = F.transform("embedding", lambda v: F.when(~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))), F.abs(v.cast("double"))))
+    r = vectors.agg(F.max(F.array_max(x)).alias("most"), F.max(F.size("embedding")).alias("dims")).first()
+    if r["most"] is not None and ((r["most"] * scale + 1) ** 2) * r["dims"] >= 2.0**63:
+        raise ValueError(f"components up to {r['most']:g} in {r['dims']} dimensions: their integer inner products may not fit 64 bits")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, rows: int = BLOCK_ROWS, query_rows: int = BLOCK_QUERIES) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, rows: int = BLOCK_ROWS, wave: int = WAVE) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of vectors with the largest integer inner product for each row of queries.
 
     Ties go to the smaller vec_id. Rows with the query's own vec_id are not among its answers, and vectors of another
     length are not comparable. Fewer than k candidates give fewer rows, none give none. A repeated query row is
-    answered each time, a repeated candidate is as many candidates.
+    answered each time, a repeated candidate is as many candidates. Vectors that are null or hold a null or non-finite
+    component take no part; components so large that a score might not fit 64 bits raise a ValueError before any search.
     """
-    ship(vectors.sparkSession)
+    spark = ship(vectors.sparkSession)
+    _fit(vectors, scale)
+    _fit(queries, scale)
     index = build_index(vectors, rows, scale)
-    asked = written(quantised(queries, scale).mapInArrow(_queries(query_rows), QUERIES), "queries").withColumnRenamed("ids", "qids")
-    # every block of queries meets every block of the index: an equi-join on block names, so the bitmaps move once for each meeting
-    meetings = asked.select("qblock", "dims").join(index.select("block", "dims"), "dims").drop("dims")
-    n = max(1, min(4096, asked.count() * index.count()))
-    work = meetings.join(asked.drop("dims"), "qblock").join(index, "block").repartition(n)
-    spark = vectors.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    found = work.select("qblock", "qids", "weights", "dims", "n", "low", "bits", "ids", "slices").mapInArrow(_search(k), ANSWERS)
-    before = spark.conf.get(key)
-    spark.conf.set(key, "8")  # a row holds megabytes; the plan is run here, under this setting
-    try:
-        answers = written(found, "answers")
-    finally:
-        spark.conf.set(key, before)
-    best = Window.partitionBy("qblock", "place").orderBy(F.col("score").desc(), "vec_id")
-    return answers.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = written(quantised(queries, scale).mapInArrow(lean(_queries(512)), QUERIES), "queries")
+    own = spark.newSession()  # with a setting of its own: a row of the index holds megabytes
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(INDEX_ROWS))
+    blocks = own.read.schema(INDEX).parquet(index)
+    answers: list[str] = []
+    place, held, size = 0, [], 0
+
+    def answer() -> None:
+        shared = spark.sparkContext.broadcast(held)
+        found = blocks.mapInArrow(lean(_search(shared, k)), ANSWERS)
+        answers.append(save(found, "answers"))
+        shared.unpersist()
+
+    for r in asked.toLocalIterator():  # blocks of queries, a wave of them at a time
+        held.append((place, r["dims"], bytes(r["ids"]), bytes(r["weights"])))
+        place, size = place + len(r["ids"]) // 8, size + len(r["weights"])
+        if size >= wave:
+            answer()
+            held, size = [], 0
+    if held:
+        answer()
+    found = spark.read.schema(ANSWERS).parquet(*answers) if answers else spark.createDataFrame([], ANSWERS)
+    best = Window.partitionBy("place").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
