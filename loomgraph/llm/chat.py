@@ -3,7 +3,8 @@
 States are the roles. A line shows its speaker marker, its length and whether it asks; a new message and a marker let
 the role change, other lines stay with it. Viterbi finds the best roles of a whole conversation, however long: a
 conversation is cut into pieces of CHUNK turns, each is summed up by its best scores from any role to any role, the
-small summaries are chained to fix the roles at the seams, and every piece is decoded between its seams.
+small summaries are chained to fix the roles at the seams, and every piece is decoded between its seams. The model's
+counts are taken over all labelled turns but those held out, on the executors.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import lean, small, table, written
 from loomgraph.session import ship
 
-#: Bound on the training sample of labelled turns, whole conversations in order of a hash of their ids.
-SAMPLE = 6_000
+#: Turns of a piece of a conversation; a piece in which turns repeat or have no number is cut by a hash of the text too.
 CHUNK = 512
+FINE = 1 << 16
+#: What would end a turn or begin one in rendered text is written with a backslash when it is text.
+FORGED = re.compile(r"<(\\*)\|im_(start|end)")
 ROLES = ("assistant", "system", "user")
 #: Speaker markers at the start of a line, by what they stand for (fixed values).
 MARKERS = {"user": ("user", "human", "you", "question", "q"), "assistant": ("assistant", "ai", "bot", "model", "answer", "a"), "system": ("system", "instructions", "context")}
@@ -44,30 +47,24 @@ def seen(line: str) -> tuple[str, int, bool]:
 
 
 class Hmm:
-    """Log probabilities by counts with one added: start, message to message, and what lines show."""
+    """Log probabilities by counts with one added: start, message to message, and what lines show.
 
-    def __init__(self, turns: list[tuple], roles=ROLES):
+    start, step: counts by role, and by role and next role; shows: counts by what is shown (marker, size of line, question,
+    size of message), role and value.
+    """
+
+    def __init__(self, start_counts: dict, step_counts: dict, shown: dict, roles=ROLES):
         self.roles = roles
         at = {r: i for i, r in enumerate(roles)}
         n = len(roles)
         start, step = np.ones(n), np.ones((n, n))
+        for r, count in start_counts.items():
+            start[at[r]] += count
+        for (r, then), count in step_counts.items():
+            step[at[r], at[then]] += count
         shows = [[Counter() for _ in roles] for _ in range(4)]
-        last = None
-        for conv, _, role, text in turns:
-            if role not in at:
-                last = None
-                continue
-            i = at[role]
-            if last is None or last[0] != conv:
-                start[i] += 1
-            else:
-                step[last[1], i] += 1
-            last = (conv, i)
-            lines = (text or "").split("\n")
-            shows[3][i][min(12, len(text or "").bit_length())] += 1
-            for line in lines:
-                for k, v in enumerate(seen(line)):
-                    shows[k][i][v] += 1
+        for (k, r, v), count in shown.items():
+            shows[k][at[r]][v] += count
         self.start, self.step = np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True))
         values = ([*MARKERS, "none"], range(13), (False, True), range(13))
 
@@ -132,33 +129,83 @@ class Hmm:
 
 
 def render(text: str | None, roles: list[str]) -> tuple[str, int]:
-    """Canonical turns: a header line with the role, the lines without markers, an end line; and their number."""
+    """Canonical turns: a header line with the role, the lines, an end line; and their number.
+
+    A marker is left out where it names the role that was found; a word before a colon that names another is text. Turn
+    marks inside the text get a backslash, so that no text can open or end a turn.
+    """
     out, last, n = [], None, 0
     for line, role in zip((text or "").split("\n"), roles, strict=True):
         who, rest = marker(line)
-        if role != last or (who != "none" and out and rest != line):
+        named = who == role
+        if role != last or (named and rest != line):
             if last is not None:
                 out.append("<|im_end|>")
             out.append(f"<|im_start|>{role}")
             last, n = role, n + 1
-        if rest or who == "none":
-            out.append(rest)
+        if rest or not named:
+            out.append(FORGED.sub(r"<\\\1|im_\2", rest if named else line))
     return "\n".join([*out, "<|im_end|>"]) + "\n", n
 
 
-def train(turns: DataFrame, sample: int = SAMPLE) -> Hmm:
-    """A model of at most sample labelled turns; conversations with crc32(conv_id) mod 5 = 0 are held out."""
+def unrender(rendered: str) -> list[tuple[str, str]]:
+    """(role, text) of rendered turns, backslashes taken back."""
+    turns = re.findall(r"<\|im_start\|>(\w+)\n(.*?)<\|im_end\|>\n", rendered, re.S)
+    return [(role, re.sub(r"<\\(\\*)\|im_(start|end)", r"<\1|im_\2", text.removesuffix("\n"))) for role, text in turns]
+
+
+def train(turns: DataFrame) -> Hmm:
+    """A model of all labelled turns but the conversations with crc32(conv_id) mod 5 = 0, which are held out.
+
+    The driver gets sums only, as many as there are roles and values.
+    """
     usable = turns.where(F.col("role").isin(*ROLES) & (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 != 0))
-    place = F.md5(F.col("conv_id").cast("string"))
-    rows = usable.select("conv_id", "turn", "role", "text", place.alias("place")).orderBy("place", "conv_id", "turn").limit(sample)
-    return Hmm([(r["conv_id"], r["turn"], r["role"], r["text"]) for r in rows.collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = text or ""
+                counts[3, role, str(min(12, len(text).bit_length()))] += 1
+                for line in text.split("\n"):
+                    for k, v in enumerate(seen(line)):
+                        counts[k, role, str(v)] += 1
+        rows = [(*key, n) for key, n in counts.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["k", "role", "v", "n"])
+
+    shown = ship(turns.sparkSession) and usable.select("role", "text").mapInArrow(lean(run), "k int, role string, v string, n long")
+    value = {0: str, 1: int, 2: "True".__eq__, 3: int}
+    shown = {(r["k"], r["role"], value[r["k"]](r["v"])): r["n"] for r in shown.groupBy("k", "role", "v").agg(F.sum("n").alias("n")).collect()}
+    one = usable.where("turn is not null").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    first = one.groupBy("conv_id").agg(F.min_by("role", "turn").alias("role")).groupBy("role").count()
+    then = one.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("then"))
+    step = one.join(then, ["conv_id", "turn"]).groupBy("role", "then").count()
+    return Hmm({r["role"]: r["count"] for r in first.collect()}, {(r["role"], r["then"]): r["count"] for r in step.collect()}, shown)
+
+
+def pieces(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """conv_id, turn, text and piece, which orders the pieces of a conversation and is bounded in size.
+
+    A piece is chunk turn numbers. Where so many rows share them that a piece would be more than four chunks, it is cut by
+    turn and by a hash of the text, and turns without a number, which come first, always are.
+    """
+    low = F.floor(F.col("turn") / chunk).cast("long")
+    fine = F.pmod(F.xxhash64("text"), F.lit(FINE)).cast("long")
+    rows = turns.select("conv_id", "turn", "text", low.alias("low"))
+    full = rows.where("low is not null").groupBy("conv_id", "low").agg(F.count("*").alias("n")).where(F.col("n") > 4 * chunk)
+    full = small(written(full.select(F.col("conv_id").alias("c"), F.col("low").alias("l"), F.lit(True).alias("full")), "full-pieces"))
+    rows = rows.join(full, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("low") == F.col("l")), "left")
+    cut = F.when(F.col("low").isNull(), fine + 1).when(F.col("full"), (F.col("turn") - F.col("low") * chunk) * FINE + fine + 1).otherwise(F.lit(0).cast("long"))
+    return rows.select("conv_id", "turn", "text", F.struct(F.col("low"), cut.alias("cut")).alias("piece"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """The runs of equal leading columns in sorted batches, each whole, as rows of Python values."""
     rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-    for key, group in groupby(rows, key=lambda r: r[:keys]):
-        yield key, list(group)
+    for _, group in groupby(rows, key=lambda r: str(r[:keys])):
+        whole = list(group)
+        yield whole[0][:keys], whole
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
@@ -170,12 +217,13 @@ def parse(turns: DataFrame, model: Hmm | None = None, chunk: int = CHUNK) -> Dat
     """One row per message (conv_id, turn, text): conv_id, turn, role (of its first line), n_turns, rendered.
 
     The roles of the input are used for training only. Null text counts as empty; a null conv_id is one conversation,
-    a null turn comes first; messages of equal turn follow one another by their text. An empty table gives no rows.
+    a null turn comes first; messages of equal turn, and those without, follow one another by their text, or in a crowded
+    piece by a hash of it and then the text. Repeated rows each get a row. An empty table gives no rows.
     """
     spark = ship(turns.sparkSession)
     shared = spark.sparkContext.broadcast(model or train(turns))
-    rows = turns.select("conv_id", "turn", "text", F.floor(F.coalesce("turn", F.lit(0)) / chunk).cast("long").alias("piece"))
-    numbers, ids = pa.list_(pa.float64()), [("conv_id", pa.int64()), ("piece", pa.int64())]
+    kind = "struct<low:bigint,cut:bigint>"
+    numbers, ids = pa.list_(pa.float64()), [("conv_id", pa.int64()), ("piece", pa.struct([("low", pa.int64()), ("cut", pa.int64())]))]
     summed = pa.schema([*ids, ("lead", numbers), ("body", numbers)])
     seamed = pa.schema([*ids, ("before", pa.int32()), ("after", pa.int32())])
     rendered = pa.schema([ids[0], ("turn", pa.int64()), ("role", pa.string()), ("n_turns", pa.int32()), ("rendered", pa.string())])
@@ -228,12 +276,12 @@ def parse(turns: DataFrame, model: Hmm | None = None, chunk: int = CHUNK) -> Dat
 
         return _batches(rows(), rendered, chunk)
 
-    rows = rows.select("conv_id", "piece", "turn", "text")
-    summaries = ordered(rows, "turn", "text").mapInArrow(sum_up, "conv_id long, piece long, lead array<double>, body array<double>")
-    seams = summaries.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(chain, "conv_id long, piece long, before int, after int")
+    rows = pieces(turns, chunk).select("conv_id", "piece", "turn", "text")
+    summaries = ordered(rows, "turn", "text").mapInArrow(lean(sum_up), f"conv_id long, piece {kind}, lead array<double>, body array<double>")
+    seams = summaries.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(lean(chain), f"conv_id long, piece {kind}, before int, after int")
     seams = seams.select(F.col("conv_id").alias("c"), F.col("piece").alias("p"), "before", "after")
-    joined = rows.join(seams, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("piece") == F.col("p"))).drop("c", "p")
-    return ordered(joined, "turn", "text").mapInArrow(write_out, "conv_id long, turn long, role string, n_turns int, rendered string")
+    joined = rows.join(seams, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("piece").eqNullSafe(F.col("p"))).drop("c", "p")
+    return ordered(joined, "turn", "text").mapInArrow(lean(write_out), "conv_id long, turn long, role string, n_turns int, rendered string")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,9 +218,12 @@ def test_topk(spark):
         if q % 50 == 0:
             best = sorted((-int(x @ y), i) for i, y in good if i != q and len(y) == len(x))[:5]
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    got = topk.search(df, df.where("vec_id % 50 = 0"), rows=64, query_rows=3).collect()
+    got = topk.search(df, df.where("vec_id % 50 = 0"), rows=64, wave=64).collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
+    assert topk.search(df, df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.search(spark.createDataFrame([(1, [1e17] * 4)], "vec_id long, embedding array<double>"), df)
 
 
 def test_pieces_round_trip(docs):
@@ -327,6 +330,7 @@ def test_chat_pieces_do_not_matter(spark):
     assert whole == sorted(map(str, chat.parse(df, model, chunk=3).collect())) and len(whole) == len(turns)
     rows = {(r["conv_id"], r["turn"]): r for r in chat.parse(df, model).collect()}
     assert all(rows[c, t]["role"] == ("user", "assistant")[t % 2] for c in range(30) for t in range(20))
+    assert rows[None, None]["n_turns"] == 2
     assert rows[None, None]["rendered"] == "<|im_start|>user\nhi\n<|im_end|>\n<|im_start|>assistant\nhello\n<|im_end|>\n"
     assert chat.parse(df.limit(0), model).count() == 0
 
