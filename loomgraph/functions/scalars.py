@@ -7,9 +7,13 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Rank of knowledge origins, and words that make a force's direction explicit.
+#: Rank of knowledge origins, predicates and relations of the core vocabulary, and words that make a force's
+#: direction explicit.
 ORIGIN_RANK = {"physical": 0, "engineering": 1, "architectural": 2, "cultural": 3}
 CORE_PREDICATES = ("requires", "depends_on", "protects_from", "unsuitable_for", "improves", "conflicts_with", "contains", "connects_to", "supports")
+SPATIAL_RELATIONS = ("adjacent_to", "contains", "connects_to", "accessible_from", "above", "below", "enclosed_by")
+INCREASE_WORDS = ("increased", "improved", "enhanced", "maximised", "maximized", "greater", "higher", "more", "better", "stronger", "expanded", "adequate", "sufficient", "optimised", "optimized")
+DECREASE_WORDS = ("reduced", "minimised", "minimized", "decreased", "limited", "lower", "less", "fewer", "smaller", "restricted", "constrained", "avoided", "prevented", "eliminated")
 
 
 def norm(c: Column) -> Column:
@@ -52,14 +56,14 @@ def review_threshold(n: Column) -> Column:
 
 
 def word_forms(word: Column) -> Column:
-    """Singular and plural variants of a lower-case word, as an array: ies to y, es and s dropped, else s added and y to ies."""
+    """Singular and plural variants of a lower-case word, as an array: ies to y, es and s dropped in long enough words, else s added and y to ies."""
     n = F.length(word)
     cut = lambda k: F.substring(word, F.lit(1), n - k)
-    plural = F.when(word.endswith("y"), F.array(F.concat(word, F.lit("s")), F.concat(cut(1), F.lit("ies")))).otherwise(F.array(F.concat(word, F.lit("s"))))
+    plural = F.when(word.endswith("y") & (n > 2), F.array(F.concat(word, F.lit("s")), F.concat(cut(1), F.lit("ies")))).otherwise(F.array(F.concat(word, F.lit("s"))))
     return (
         F.when(word.endswith("ies") & (n > 4), F.array(F.concat(cut(3), F.lit("y"))))
-        .when(word.endswith("ses"), F.array(cut(2)))
-        .when(word.endswith("es"), F.array(cut(1), cut(2)))
+        .when(word.endswith("ses") & (n > 4), F.array(cut(2)))
+        .when(word.endswith("es") & (n > 4), F.array(cut(1), cut(2)))
         .when(word.endswith("s") & ~word.endswith("ss") & (n > 3), F.array(cut(1)))
         .otherwise(plural)
     )
@@ -67,3 +71,52 @@ def word_forms(word: Column) -> Column:
 
 def has_any_word(text: Column, words) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(text), w))
+
+
+def direction_named(name: Column, direction: Column) -> Column:
+    """Whether a force's name holds a word for its direction, as any part of it: increase has its words, all else those of decrease."""
+    return F.when(direction == "increase", has_any_word(name, INCREASE_WORDS)).otherwise(has_any_word(name, DECREASE_WORDS))
+
+
+def parse_date(c: Column, fallback: Column | None = None) -> Column:
+    """An ISO date and time, with zone or without, in UTC; what is none is the fallback (by default the time of the query)."""
+    return F.coalesce(F.try_to_timestamp(c), F.current_timestamp() if fallback is None else fallback)
+
+
+def format_date(c: Column) -> Column:
+    """ISO text of a timestamp, to the second."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def slug(name: Column) -> Column:
+    """Lower case, spaces to hyphens, without quotes, commas and full stops."""
+    return F.translate(F.lower(name), " ',.", "-")
+
+
+def assertion_text(predicate: Column, rationale: Column, conditions: Column | None = None) -> Column:
+    """What of an assertion is embedded: predicate, its conditions if given, and the rationale, what is empty left out."""
+    joined = [] if conditions is None else [F.nullif(F.array_join(conditions, "; "), F.lit(""))]
+    return F.concat_ws(" | ", predicate, *joined, F.nullif(rationale, F.lit("")))
+
+
+def constraint_text(kind: Column, rule: Column) -> Column:
+    return F.concat(kind, F.lit(": "), rule)
+
+
+def pattern_text(name: Column, problem: Column) -> Column:
+    return F.concat(name, F.lit(": "), F.substring(problem, 1, 120))
+
+
+def pattern_section(number: Column) -> Column:
+    """The part of the book that a pattern's number lies in (fixed values)."""
+    return F.when(number.between(1, 94), "Town and Country").when(number.between(95, 204), "Buildings").when(number.between(205, 253), "Construction").otherwise("Unknown")
+
+
+def stated_confidence(mark: Column) -> Column:
+    """Two stars 1.0, one 0.8, none 0.5."""
+    return F.when(mark == "**", 1.0).when(mark == "*", 0.8).otherwise(0.5)
+
+
+def name_key(*parts: Column) -> Column:
+    """A deterministic id from a natural key."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)

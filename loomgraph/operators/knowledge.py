@@ -109,13 +109,52 @@ def property_sets(psets: DataFrame, entities: DataFrame, defaults: DataFrame) ->
     """entity_id, ifc_class, properties, source: curated properties by class, else the defaults of the entity's type."""
     own = psets.groupBy("entity_id", "ifc_class").agg(F.array_join(F.array_sort(F.collect_list("property_name")), "|").alias("properties")).withColumn("source", F.lit("curated"))
     bare = entities.join(psets, entities["id"] == psets["entity_id"], "left_anti")
-    fallback = bare.join(F.broadcast(defaults), "entity_type").select(F.col("id").alias("entity_id"), "ifc_class", "properties", F.lit("default").alias("source"))
+    few = defaults.limit(10_001).count() <= 10_000  # a row for each type, as a rule
+    fallback = bare.join(F.broadcast(defaults) if few else defaults, "entity_type").select(F.col("id").alias("entity_id"), "ifc_class", "properties", F.lit("default").alias("source"))
     return own.unionByName(fallback)
 
 
+def constraints(rows: DataFrame, entities: DataFrame, ids: DataFrame, limit: int = 20, min_confidence: float = 0.0, include_proposed: bool = False, context: str | None = None) -> DataFrame:
+    """Rows of subjects (id), filtered, ranked and cut to limit for each subject: constraints, failure modes, patterns. A context counts where rows have applicability."""
+    own = rows.join(ids.select(F.col("id").alias("asked")).distinct(), F.col("subject_id") == F.col("asked"), "left_semi")
+    own = shared_filter(own, min_confidence, include_proposed)
+    if context is not None and "applicability" in rows.columns:
+        own = own.where(in_context(F.col("applicability"), context))
+    return with_names(ranked(own, limit, "subject_id"), entities, "subject")
+
+
+def acting_forces(forces: DataFrame, ids: DataFrame, limit: int = 20, min_confidence: float = 0.0, include_proposed: bool = False) -> DataFrame:
+    """(entity_id, id, name, direction, rank): forces whose affects name an entity (id), ranked for each entity; a force that names it twice counts once."""
+    flat = shared_filter(forces, min_confidence, include_proposed).withColumn("entity_id", F.explode(F.array_distinct("affects")))
+    own = flat.join(ids.select(F.col("id").alias("asked")).distinct(), F.col("entity_id") == F.col("asked"), "left_semi")
+    return ranked(own, limit, "entity_id").select("entity_id", "id", "name", "direction", "rank")
+
+
+def pattern_forces(patterns: DataFrame, forces: DataFrame) -> DataFrame:
+    """patterns with forces (the names of force_ids in their order, unknown ids as themselves, else the raw descriptions) and a warning where only descriptions are there."""
+    flat = patterns.select("id", F.posexplode("force_ids").alias("pos", "force"))
+    named = flat.join(forces.select(F.col("id").alias("force"), "name"), "force", "left").select("id", "pos", F.coalesce("name", "force").alias("name"))
+    lists = named.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("_names"))
+    rows = patterns.join(lists, "id", "left")
+    raw = F.coalesce("force_descriptions", F.array().cast("array<string>"))
+    return rows.withColumn("forces", F.coalesce("_names", raw)).withColumn("forces_warning", F.when(F.col("_names").isNull() & (F.size(raw) > 0), "unresolved_descriptions")).drop("_names")
+
+
+def not_found(requests: DataFrame, entities: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:
+    """(error, query): a row for each request whose name is no entity."""
+    return resolve(requests, entities, aliases, name).where("entity_id is null").select(F.lit("entity_not_found").alias("error"), F.col(name).alias("query"))
+
+
 def propose(requests: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """Requests (subject, predicate, object) as assertion rows, or the error that keeps them from being one. The predicate is free."""
     rows = resolve(requests, entities, aliases, "subject").withColumnRenamed("entity_id", "subject_id")
     rows = resolve(rows, entities, aliases, "object").withColumnRenamed("entity_id", "object_id")
     error = F.when(F.col("subject_id").isNull(), "subject_not_found").when(F.col("object_id").isNull(), "object_not_found")
     return rows.select("subject", "predicate", "object", "subject_id", "object_id", F.coalesce(error, F.lit("proposed")).alias("outcome"), F.when(error.isNull(), F.sha2(F.concat_ws("|", "subject_id", "predicate", "object_id"), 256)).alias("id"))
+
+
+def proposed_rows(requests: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The assertion rows that good requests (subject, predicate, object, rationale, and confidence and origin or null) append."""
+    more = requests.select("subject", "predicate", "object", "rationale", F.coalesce("confidence", F.lit(0.7)).alias("confidence"), F.coalesce("origin", F.lit("architectural")).alias("knowledge_origin"))
+    good = propose(requests.select("subject", "predicate", "object").distinct(), entities, aliases).where("outcome = 'proposed'")
+    return good.join(more, ["subject", "predicate", "object"]).select("id", "subject_id", "predicate", "object_id", "confidence", "knowledge_origin", "rationale", F.lit("proposed").alias("status"), F.lit("mcp_agent").alias("source_model"))

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from loomgraph.functions.scalars import review_threshold
 
 HARD = ("physical", "engineering")
+#: What makes two rows of a type the same statement; relations in a process are not promoted.
+NATURAL_KEYS = {
+    "assertion": ("subject_id", "predicate", "object_id"),
+    "constraint": ("subject_id", "rule", "constraint_type"),
+    "pattern": ("name",),
+    "force": ("name",),
+    "antipattern": ("name", "subject_id"),
+    "spatial_relation": ("subject_id", "relation", "object_id"),
+}
 
 
 def promote_single(assertions: DataFrame) -> DataFrame:
@@ -16,9 +25,13 @@ def promote_single(assertions: DataFrame) -> DataFrame:
 
 
 def promote_groups(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Natural keys of still proposed, evaluated rows that enough models hold with enough confidence: two and 0.80 if any is hard, else three and 0.90."""
-    groups = rows.where((F.col("status") == "proposed") & F.col("evaluated")).groupBy(*key).agg(F.count_distinct("source_model").alias("models"), F.round(F.avg("confidence"), 6).alias("mean"), F.bool_or(F.col("knowledge_origin").isin(*HARD)).alias("hard"), F.count("*").alias("n"))
-    return groups.where(F.when(F.col("hard"), (F.col("models") >= 2) & (F.col("mean") >= 0.8)).otherwise((F.col("models") >= 3) & (F.col("mean") >= 0.9)))
+    """Natural keys of still proposed, evaluated rows that enough models hold with enough confidence: two and 0.80 if any is hard, else three and 0.90.
+
+    The mean is compared as it is, in decimals, so that neither rounding nor the order of adding decides; mean is for reading.
+    """
+    total = F.sum(F.col("confidence").cast("decimal(18,9)"))
+    groups = rows.where((F.col("status") == "proposed") & F.col("evaluated")).groupBy(*key).agg(F.count_distinct("source_model").alias("models"), F.round(F.avg("confidence"), 6).alias("mean"), (total >= F.lit(0.8).cast("decimal(18,9)") * F.count("*")).alias("fair"), (total >= F.lit(0.9).cast("decimal(18,9)") * F.count("*")).alias("high"), F.bool_or(F.col("knowledge_origin").isin(*HARD)).alias("hard"), F.count("*").alias("n"))
+    return groups.where(F.when(F.col("hard"), (F.col("models") >= 2) & F.col("fair")).otherwise((F.col("models") >= 3) & F.col("high"))).drop("fair", "high")
 
 
 def promote(assertions: DataFrame, enabled: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -27,7 +40,7 @@ def promote(assertions: DataFrame, enabled: bool = True) -> tuple[DataFrame, Dat
         return assertions, assertions.where("false").select("id", F.lit("").alias("reviewer"))
     one = promote_single(assertions).select("id", F.col("source_model").alias("reviewer"))
     rest = assertions.join(one, "id", "left_anti")
-    key = ["subject_id", "predicate", "object_id"]
+    key = list(NATURAL_KEYS["assertion"])
     won = rest.where((F.col("status") == "proposed") & F.col("evaluated")).join(promote_groups(rest, key).select(key), key, "left_semi")
     accepted = one.unionByName(won.select("id", F.lit("consensus").alias("reviewer")))
     marked = assertions.join(accepted.select("id", F.lit("accepted").alias("new")), "id", "left")
@@ -41,6 +54,48 @@ def status_log(accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return decisions, log
 
 
+def promote_type(rows: DataFrame, item_type: str) -> DataFrame:
+    """(id, reviewer) of the rows of any type that the agreement of models promotes; a null in the natural key counts as a value."""
+    key = list(NATURAL_KEYS[item_type])
+    filled = rows.withColumns({k: F.coalesce(F.col(k), F.lit("")) for k in key})
+    ready = filled.where((F.col("status") == "proposed") & F.col("evaluated"))
+    return ready.join(promote_groups(filled, key).select(key), key, "left_semi").select("id", F.lit("consensus").alias("reviewer"))
+
+
+def changed(rows: DataFrame, item_type: str, status: str, by: str, at=None) -> DataFrame:
+    """Log rows for rows (id, status) that get a new status."""
+    return rows.select(F.col("id").alias("item_id"), F.lit(item_type).alias("item_type"), F.col("status").alias("old_status"), F.lit(status).alias("new_status"), (F.current_timestamp() if at is None else F.lit(at)).alias("changed_at"), F.lit(by).alias("changed_by"))
+
+
+def with_status(rows: DataFrame, ids: DataFrame, status: str) -> DataFrame:
+    """rows in which those whose id is among ids have a new status."""
+    hit = ids.select(F.col("id").alias("_hit")).distinct()
+    return rows.join(hit, F.col("id") == F.col("_hit"), "left").withColumn("status", F.when(F.col("_hit").isNotNull(), status).otherwise(F.col("status"))).drop("_hit")
+
+
+def purge_tables(tables: dict[str, DataFrame], run, run_column: str = "extraction_run_id", at=None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, log): every row of the run that is not deprecated becomes it, in all tables, with a log row each."""
+    out, log = {}, None
+    mine = lambda t: F.coalesce(F.col(run_column) == F.lit(run), F.lit(False)) & (F.col("status") != "deprecated")
+    for name, t in tables.items():
+        part = changed(t.where(mine(t)), name, "deprecated", "purge", at)
+        log = part if log is None else log.unionByName(part)
+        out[name] = t.withColumn("status", F.when(mine(t), "deprecated").otherwise(F.col("status")))
+    return out, log
+
+
+def decisions_for(decisions: DataFrame, items: DataFrame) -> DataFrame:
+    """Review decisions about items (id); an item has a decision if it has a row here."""
+    return decisions.join(items.select(F.col("id").alias("item_id")).distinct(), "item_id", "left_semi")
+
+
+def pairs_for(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Conflict pairs with one of items (id) at either end, once each."""
+    asked = items.select(F.col("id").alias("asked")).distinct()
+    ends = pairs.join(asked, F.col("item_a_id") == F.col("asked"), "left_semi").unionByName(pairs.join(asked, F.col("item_b_id") == F.col("asked"), "left_semi"))
+    return ends.dropDuplicates(["item_a_id", "item_b_id"])
+
+
 def purge(tables: dict[str, DataFrame], run: str) -> DataFrame:
     """(table, old_status, n): rows of the run that purging deprecates."""
     parts = [t.where((F.col("source_model") == run) & (F.col("status") != "deprecated")).groupBy(F.lit(name).alias("table"), F.col("status").alias("old_status")).agg(F.count("*").alias("n")) for name, t in tables.items()]

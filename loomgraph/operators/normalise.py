@@ -11,17 +11,21 @@ from loomgraph.functions.scalars import cosine, norm
 from loomgraph.session import ship
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block: str | None = None, blocks: int = 64) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block: str | None = None, blocks: int | None = None) -> DataFrame:
     """(a, b, score): ids of left and right whose vectors reach the cosine, each unordered pair once.
 
-    Exact. With a block column only rows of a block meet, by equi-join. Without, both sides are dealt into blocks and
-    every block of one meets every block of the other, so no task sees a whole side: as a product of matrices, or by
-    equi-join where the threshold lets pairs in that have no cosine (their score is 0).
+    Exact. With a block column only rows of a block meet. Both sides are dealt into parts and every part of one meets every
+    part of the other, so no task sees a whole side (blocks: how many parts, by default so that one has some thousand rows): as a product of matrices of unit vectors, or by equi-join where the
+    threshold lets pairs in that have no cosine (their score is 0).
     """
+    if blocks is None:
+        blocks = max(1, -(-max(left.count(), right.count()) // 4096))
     if not block and threshold > 0:
         return _block_products(left, right, threshold, blocks)
     l = left.select(F.col("id").alias("a"), F.col("vector").alias("va"), *([F.col(block).alias("k")] if block else []))  # noqa: E741
     r = right.select(F.col("id").alias("b"), F.col("vector").alias("vb"), *([F.col(block).alias("k")] if block else []))
+    if block and threshold > 0:
+        return _block_products(left, right, threshold, blocks, block)
     if not block:
         each = F.sequence(F.lit(0), F.lit(blocks - 1))
         l = l.withColumn("i", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int")).withColumn("j", F.explode(each)).withColumn("k", F.struct("i", "j")).drop("i", "j")  # noqa: E741
@@ -43,11 +47,20 @@ def _units(vectors: pd.Series) -> dict:
     return by
 
 
-def _block_products(left: DataFrame, right: DataFrame, threshold: float, blocks: int) -> DataFrame:
+def _block_products(left: DataFrame, right: DataFrame, threshold: float, blocks: int, label: str | None = None) -> DataFrame:
+    """Pairs by products of blocks of unit vectors. A label is cut into blocks by its size, so that a frequent one is no hot group."""
     ship(left.sparkSession)
-    each, mine = F.sequence(F.lit(0), F.lit(blocks - 1)), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    l = left.where("vector is not null").select(F.col("id").alias("a"), F.col("vector").alias("va"), mine.alias("i"), F.explode(each).alias("j"))  # noqa: E741
-    r = right.where("vector is not null").select(F.col("id").alias("b"), F.col("vector").alias("vb"), F.explode(each).alias("i"), mine.alias("j"))
+    keys = ["k"] if label else []
+    sides = [df.where("vector is not null").select("id", "vector", *([F.col(label).alias("k")] if label else [])) for df in (left, right)]
+    if label:
+        size = sides[0].unionByName(sides[1]).groupBy("k").agg(F.count("*").alias("rows"))
+        size = size.select(F.col("k").alias("of"), F.least(F.lit(blocks), F.ceil(F.col("rows") / 4096)).cast("int").alias("parts"))
+        sides = [df.join(size, F.col("k") == F.col("of")).drop("of") for df in sides]
+    else:
+        sides = [df.withColumn("parts", F.lit(blocks)) for df in sides]
+    each, mine = F.sequence(F.lit(0), F.col("parts") - 1), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    l = sides[0].select(*keys, F.col("id").alias("a"), F.col("vector").alias("va"), mine.alias("i"), F.explode(each).alias("j"))  # noqa: E741
+    r = sides[1].select(*keys, F.col("id").alias("b"), F.col("vector").alias("vb"), F.explode(each).alias("i"), mine.alias("j"))
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"a": [], "b": [], "score": []})]
@@ -65,7 +78,7 @@ def _block_products(left: DataFrame, right: DataFrame, threshold: float, blocks:
                     out.append(pd.DataFrame({"a": one[keep], "b": other[keep], "score": score[a, b][keep]}))
         return pd.concat(out[1:] or out)
 
-    found = l.groupBy("i", "j").cogroup(r.groupBy("i", "j"))
+    found = l.groupBy(*keys, "i", "j").cogroup(r.groupBy(*keys, "i", "j"))
     return found.applyInPandas(run, f"a {dict(left.dtypes)['id']}, b {dict(right.dtypes)['id']}, score double")
 
 
@@ -128,17 +141,28 @@ def majority_origin(counts: DataFrame) -> DataFrame:
 
 
 def process_divergence(process: DataFrame) -> DataFrame:
-    """Pairs of which at least two models say different things about the constraint: predecessor_id, successor_id, models, n, first."""
+    """Pairs of which at least two models say different things about the constraint: predecessor_id, successor_id, models, n, first.
+
+    The least and the greatest model or constraint tell that there are two; models are counted for the pairs found only.
+    """
     live = process.where(F.col("status").isin("accepted", "proposed"))
-    groups = live.groupBy("predecessor_id", "successor_id").agg(F.count_distinct("source_model").alias("models"), F.count_distinct("hard_constraint").alias("says"), F.count("*").alias("n"), F.min(F.struct("seq", "id")).alias("first"))
-    return groups.where("models >= 2 and says > 1").select("predecessor_id", "successor_id", "models", "n", F.col("first.id").alias("first"))
+    key = ["predecessor_id", "successor_id"]
+    groups = live.groupBy(key).agg(F.min("source_model").alias("m"), F.max("source_model").alias("m2"), F.bool_or("hard_constraint").alias("any"), F.bool_and("hard_constraint").alias("all"), F.count("*").alias("n"), F.min(F.struct("seq", "id")).alias("first"))
+    groups = groups.where("m <> m2 and any and not all")
+    models = live.join(groups.select(key), key, "left_semi").select(*key, "source_model").distinct().groupBy(key).agg(F.count("*").alias("models"))
+    return groups.join(models, key).select(*key, "models", "n", F.col("first.id").alias("first"))
 
 
-def cascade(children: DataFrame) -> DataFrame:
-    """Nodes that become conflicted: more than half of their children are conflicted or deprecated, and one is conflicted."""
-    bad = F.col("status").isin("conflicted", "deprecated")
-    groups = children.groupBy("node").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.bool_or(F.col("status") == "conflicted").alias("any"))
-    return groups.where("any and bad * 2 > n").select("node", "n", "bad")
+def cascade(children: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Nodes that become conflicted: more than half of their children are conflicted or deprecated, and one is conflicted.
+
+    children: node, status (null for a child that does not exist, which counts among all). nodes (node, status): those
+    that are conflicted or deprecated already stay as they are.
+    """
+    bad = F.coalesce(F.col("status").isin("conflicted", "deprecated"), F.lit(False))
+    groups = children.groupBy("node").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.bool_or(F.coalesce(F.col("status") == "conflicted", F.lit(False))).alias("any"))
+    found = groups.where("any and bad * 2 > n").select("node", "n", "bad")
+    return found if nodes is None else found.join(nodes.where(~F.col("status").isin("conflicted", "deprecated")).select("node"), "node", "left_semi")
 
 
 def coverage(truth: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
@@ -165,3 +189,180 @@ def first_by_name(rows: DataFrame, name: str = "name", order: str = "seq") -> Da
     """The first row of each trimmed, lowered name."""
     w = Window.partitionBy(norm(F.col(name))).orderBy(order)
     return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+
+
+def merge(entities: DataFrame, aliases: DataFrame, assertions: DataFrame, elected: DataFrame) -> dict[str, DataFrame]:
+    """entities, aliases and assertions after elected (id, canonical) was carried out.
+
+    Losers become merged and their names aliases of the winner; assertions point at winners, so one between two that merged
+    becomes a loop. Nothing else is re-pointed, the losers' own aliases neither.
+    """
+    lost = elected.where("id <> canonical").select(F.col("id").alias("loser"), F.col("canonical").alias("winner"))
+    named = entities.join(lost, F.col("id") == F.col("loser")).select(F.col("winner").alias("entity_id"), F.col("name").alias("alias"), "seq")
+    gone = entities.join(lost.select(F.col("loser").alias("id"), F.lit(True).alias("_gone")), "id", "left")
+    out = assertions
+    for end in ("subject_id", "object_id"):
+        out = out.join(lost.withColumnsRenamed({"loser": "_from", "winner": "_to"}), F.col(end) == F.col("_from"), "left").withColumn(end, F.coalesce("_to", end)).drop("_from", "_to")
+    return {
+        "entities": gone.withColumn("status", F.when(F.col("_gone"), "merged").otherwise(F.col("status"))).drop("_gone"),
+        "aliases": aliases.unionByName(named, allowMissingColumns=True),
+        "assertions": out,
+    }
+
+
+def fill_references(owners: DataFrame, items: DataFrame, names: str, ids: str, vectors: DataFrame | None = None, threshold: float = 0.85, others_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(owners, pending): the names in an array column turned into ids, which are added to the ids that are there.
+
+    owners: id and the two array columns; items: id, name, seq, status, deprecated ones left out. A name is found exactly
+    (case and outer spaces aside, the first by seq), else by the best cosine that reaches the threshold, where vectors
+    (key, vector) has one for the name and the item's name; with others_only an owner is not its own reference. What is not
+    found is pending (id, name). The names are cleared. Without any item nothing changes.
+    """
+    live = items.where("status <> 'deprecated'").select(F.col("id").alias("item"), norm(F.col("name")).alias("key"), F.struct("seq", "id").alias("order"))
+    if live.isEmpty():
+        return owners, owners.select("id", F.lit("").alias("name")).limit(0)
+    flat = owners.select("id", F.posexplode(names).alias("pos", "name")).withColumn("name", F.trim("name")).where("name <> ''").withColumn("key", norm(F.col("name")))
+    hits = flat.join(live, "key")
+    hits = hits.where("item <> id") if others_only else hits
+    exact = hits.groupBy("id", "pos").agg(F.min_by("item", "order").alias("exact"))
+    found = flat.join(exact, ["id", "pos"], "left").withColumn("near", F.lit(None).cast("string"))
+    if vectors is not None:
+        asked = found.where("exact is null").select("key").distinct().join(vectors, "key")
+        best = _two_nearest(asked, live.join(vectors, "key").select("item", "order", F.col("vector").alias("cv")), threshold)
+        found = found.drop("near").join(best, "key", "left")
+        own = F.filter("near", lambda x: (x != F.col("id"))) if others_only else F.col("near")
+        found = found.withColumn("near", F.get(own, F.lit(0)).cast("string"))
+    found = found.withColumn("item", F.coalesce(F.col("exact").cast("string"), "near"))
+    new = found.where("item is not null").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("_new"))
+    filled = owners.join(new, "id", "left")
+    more = F.array_except(F.coalesce("_new", F.array().cast("array<string>")), F.col(ids))
+    filled = filled.withColumn(ids, F.concat(F.col(ids), more)).withColumn(names, F.array().cast("array<string>")).drop("_new")
+    return filled.select(*owners.columns), found.where("item is null").select("id", "name")
+
+
+def _two_nearest(asked: DataFrame, items: DataFrame, threshold: float, blocks: int = 16) -> DataFrame:
+    """(key, near): up to two items of highest cosine at or above the threshold, the best first; block by block."""
+    each = F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = asked.select("key", "vector", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("i"), F.explode(each).alias("j"))
+    right = items.select("item", "order", "cv", F.explode(each).alias("i"), F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int").alias("j"))
+    pairs = left.join(right, ["i", "j"]).where(F.size("vector") == F.size("cv")).select("key", "item", "order", F.round(cosine(F.col("vector"), F.col("cv")), 6).alias("score")).where(F.col("score") >= threshold)
+    top = Window.partitionBy("key").orderBy(F.col("score").desc(), "order")
+    two = pairs.withColumn("nth", F.row_number().over(top)).where("nth <= 2")
+    return two.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.col("item").cast("string").alias("item")))), lambda x: x["item"]).alias("near"))
+
+
+def fill_pending_entities(forces: DataFrame, pending: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(forces, pending): pending names (entity_name, source_force_id) that a lookup (key, entity_id) knows are added to affects, and no longer pending.
+
+    A pending name goes even if its force does not exist.
+    """
+    rows = pending.withColumn("key", norm(F.col("entity_name"))).join(names.select("key", "entity_id"), "key", "left")
+    new = rows.where("entity_id is not null").groupBy(F.col("source_force_id").alias("id")).agg(F.array_sort(F.collect_set("entity_id")).alias("_new"))
+    filled = forces.join(new, "id", "left")
+    filled = filled.withColumn("affects", F.concat("affects", F.array_except(F.coalesce("_new", F.array().cast("array<string>")), "affects"))).drop("_new")
+    return filled.select(*forces.columns), rows.where("entity_id is null").select(*pending.columns)
+
+
+def map_predicates(assertions: DataFrame, mapped: DataFrame, core, reviewer: str) -> tuple[DataFrame, DataFrame]:
+    """(assertions, log): predicates rewritten by mapped (predicate, canonical) where the canonical one is of the core."""
+    good = mapped.where(F.col("canonical").isin(*core) & (F.col("predicate") != F.col("canonical"))).select("predicate", "canonical").distinct()
+    rows = assertions.join(F.broadcast(good) if good.limit(10_001).count() <= 10_000 else good, "predicate", "left")
+    out = rows.withColumn("predicate", F.coalesce("canonical", "predicate")).select(*assertions.columns)
+    return out, good.select(F.col("predicate").alias("from_predicate"), F.col("canonical").alias("to_predicate"), F.lit(reviewer).alias("reviewer"))
+
+
+def predicate_plan(assertions: DataFrame, vectors: DataFrame, core, mappings: DataFrame | None = None, answers: DataFrame | None = None, model: str = "model") -> DataFrame:
+    """(predicate, canonical, how) of every predicate in use that is not of the core.
+
+    mapped: an earlier mapping has it, rows are not rewritten again; embedding: the closest core predicate reaches 0.85;
+    llm:<model>: between 0.60 and that, an answer (predicate, answer) names a core predicate; pending: all else.
+    """
+    used = assertions.select("predicate").distinct().where(~F.col("predicate").isin(*core))
+    at = vectors.select(F.col("key").alias("id"), "vector")
+    scored = bands(best_match(used.select(F.col("predicate").alias("id")).join(at, "id"), at.where(F.col("id").isin(*core))))
+    rows = used.join(scored.withColumnRenamed("id", "predicate"), "predicate", "left")
+    early = (mappings if mappings is not None else assertions.select(F.lit("").alias("from_predicate"), F.lit("").alias("to_predicate")).limit(0)).groupBy(F.col("from_predicate").alias("predicate")).agg(F.min("to_predicate").alias("earlier"))
+    said = (answers.select("predicate", F.lower(F.trim("answer")).alias("said")) if answers is not None else rows.select("predicate", F.lit(None).cast("string").alias("said")).limit(0)).groupBy("predicate").agg(F.min("said").alias("said"))
+    rows = rows.join(early, "predicate", "left").join(said, "predicate", "left")
+    how = F.when(F.col("earlier").isNotNull(), "mapped").when(F.col("band") == "auto", "embedding").when((F.col("band") == "ambiguous") & F.col("said").isin(*core), f"llm:{model}").otherwise("pending")
+    canonical = F.when(how == "mapped", F.col("earlier")).when(how == "embedding", F.col("best")).when(how != "pending", F.col("said"))
+    return rows.select("predicate", canonical.alias("canonical"), how.alias("how"))
+
+
+def abstraction_groups(assertions: DataFrame, least: int = 3) -> DataFrame:
+    """Live assertions of subjects that have at least so many of them."""
+    live = assertions.where(F.col("status").isin("accepted", "proposed"))
+    enough = live.groupBy("subject_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("subject_id")
+    return live.join(enough, "subject_id", "left_semi")
+
+
+def abstractions(assertions: DataFrame, labels: DataFrame, proposed: int = 0, cap: int = 5_000, least: int = 3) -> DataFrame:
+    """(id, subject_id, cluster, child_ids, prompt) of clusters (labels: id, cluster) of at least so many live assertions of a subject.
+
+    assertions: id, subject_id, subject, predicate, object, rationale, conditions, status, seq. Children and the numbered
+    lines of the prompt are in the order of seq and id. With proposed abstractions waiting, only as many are made as the
+    queue has room for, in the order of subjects and clusters.
+    """
+    rows = abstraction_groups(assertions, least).join(labels, "id")
+    line = F.concat(F.concat_ws(" ", "subject", "predicate", "object"), F.when(F.coalesce("rationale", F.lit("")) != "", F.concat(F.lit(" — "), "rationale")).otherwise(""), F.when(F.size("conditions") > 0, F.concat(F.lit(" [when: "), F.array_join("conditions", "; "), F.lit("]"))).otherwise(""))
+    groups = rows.groupBy("subject_id", "cluster").agg(F.array_sort(F.collect_list(F.struct("seq", "id", line.alias("line")))).alias("all"), F.count("*").alias("n")).where(F.col("n") >= least)
+    text = F.array_join(F.transform("all", lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x["line"])), "\n")
+    made = groups.select("subject_id", "cluster", F.transform("all", lambda x: x["id"]).alias("child_ids"), text.alias("prompt"))
+    made = made.withColumn("id", F.sha2(F.concat_ws("|", F.lit("abstraction"), "child_ids"), 256))
+    return made.orderBy("subject_id", "cluster").limit(max(0, cap - proposed))
+
+
+def accept_abstractions(made: DataFrame, statements: DataFrame, verdicts: DataFrame | None = None, model: str = "model", judge: str | None = None) -> DataFrame:
+    """Abstraction rows: made with a statement (id, statement, abstraction_rationale, confidence), without those that a judge rejects.
+
+    verdicts: id, verdict. A verdict of yes (something new is claimed) rejects; a missing one does not, nor does any if the
+    judge is the model itself.
+    """
+    rows = made.join(statements, "id")
+    if verdicts is not None and judge != model:
+        rows = rows.join(verdicts.where(F.lower(F.trim("verdict")) == "yes").select("id"), "id", "left_anti")
+    return rows.select("id", "statement", "child_ids", "abstraction_rationale", "confidence", F.col("prompt").alias("source_prompt"), F.lit("proposed").alias("status"), F.lit(model).alias("source_model"))
+
+
+def parents(nodes: DataFrame, children: DataFrame) -> DataFrame:
+    """Abstractions (id, child_ids) that have one of children (id) among theirs."""
+    flat = nodes.select("id", F.explode("child_ids").alias("child"))
+    hit = flat.join(children.select(F.col("id").alias("child")).distinct(), "child", "left_semi").select("id").distinct()
+    return nodes.join(hit, "id", "left_semi")
+
+
+def proposed(nodes: DataFrame) -> DataFrame:
+    return nodes.where("status = 'proposed'")
+
+
+def verify(truth: DataFrame, rows: DataFrame, vectors: DataFrame | None = None, threshold: float = 0.90, target: float = 0.80) -> tuple[DataFrame, DataFrame]:
+    """(coverage, unmatched) of ground truth by accepted rows that were not entered by hand.
+
+    truth and rows: id, subject_id, predicate, object_id, status, source_model. Exact on the key, else by the best cosine of
+    vectors (id, vector). coverage: total, matched, ratio, passed.
+    """
+    key = ["subject_id", "predicate", "object_id"]
+    corpus = rows.where("source_model <> 'human' and status = 'accepted'")
+    left = truth.join(corpus.select(key).distinct(), key, "left_anti")
+    if vectors is not None:
+        near = best_match(left.select("id").join(vectors, "id"), corpus.select("id").join(vectors, "id"))
+        left = left.join(near.where(F.col("score") >= threshold).select("id"), "id", "left_anti")
+    n = truth.agg(F.count("*").alias("total")).crossJoin(left.agg(F.count("*").alias("missing")))  # one row each
+    ratio = F.coalesce(F.try_divide(F.col("total") - F.col("missing"), F.col("total")), F.lit(0.0))
+    return n.select("total", (F.col("total") - F.col("missing")).alias("matched"), F.round(ratio, 6).alias("ratio"), ((F.col("total") == 0) | (ratio >= target)).alias("passed")), left
+
+
+def todo(patterns: DataFrame, assertions: DataFrame, core, least: int = 3) -> DataFrame:
+    """The dry run of normalisation: (what, n) of patterns and references to resolve, predicates outside the core, and groups and rows to abstract."""
+    refs = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0))
+    one = lambda df, name, x: df.agg(F.lit(name).alias("what"), x.cast("long").alias("n"))
+    groups = abstraction_groups(assertions, least)
+    parts = [
+        one(patterns, "patterns with force references", F.count_if(F.size("force_descriptions") > 0)), one(patterns, "force references", refs("force_descriptions")), one(patterns, "pattern references", refs("related_pattern_names")),
+        one(assertions.where(~F.col("predicate").isin(*core)).select("predicate").distinct(), "predicates outside the core", F.count("*")),
+        one(groups.select("subject_id").distinct(), "groups to abstract", F.count("*")), one(groups, "rows to abstract", F.count("*")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
