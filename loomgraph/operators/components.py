@@ -2,46 +2,34 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.session import Scratch
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that executors share for intermediate tables (spark.checkpoint.dir), else the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
-def _saved(df: DataFrame, base: str, n: int) -> DataFrame:
-    path = f"{base}/{n}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", folder: str | None = None, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", folder: str | None = None) -> DataFrame:
     """(node, component): each node of an edge with the smallest node it is connected to.
 
     Every round hangs the neighbours of a node below its smallest neighbour, first the larger ones, then the smaller
     ones; the number of rounds grows with the logarithm of the longest path. Minima are taken by partial aggregation
-    and joined back, so a node with very many neighbours is not gathered anywhere. Each round is a written table.
+    and joined back, so a node with very many neighbours is not gathered anywhere. Each round is a written table, and the
+    one before it is deleted. It ends when a round changes nothing.
     Self-loops only name their node; null ends are ignored; no edges give no rows.
     """
-    spark = edges.sparkSession
-    base = f"{folder or scratch(spark)}/components-{uuid.uuid4().hex}"
+    save = Scratch(edges, "components", folder)
     raw = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
-    loops = _saved(raw.where("u = v").select(F.col("u").alias("node")).distinct(), base, 0)
-    now = _saved(raw.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), base, 1)
+    loops = save(raw.where("u = v").select(F.col("u").alias("node")).distinct())
+    now = save(raw.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _print(now)
-    for n in range(2, rounds + 2):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = _saved(small, base, n)
+        now = save(small)
+        save.drop(save.n - 1)
         then, seen = seen, _print(now)
         if then == seen:
             break

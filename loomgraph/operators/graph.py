@@ -5,26 +5,12 @@ Loops keep their frontier in written tables of the shared folder, so lineage sta
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.components import components, scratch
-from loomgraph.session import ship
-
-
-class Scratch:
-    """Written intermediate tables of one loop."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.base, self.n = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}", 0
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+from loomgraph.functions.scalars import pattern_section, slug
+from loomgraph.operators.components import components
+from loomgraph.session import Scratch
 
 
 def typed_edges(parts: list[tuple[str, int, DataFrame]]) -> DataFrame:
@@ -91,7 +77,7 @@ def has_cycle(edges: DataFrame) -> bool:
     return nodes.join(levels(edges), "node", "left_anti").limit(1).count() > 0
 
 
-def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) for strongly connected components of two nodes or more, named by their smallest node.
 
     Trim nodes without a way in or out, colour the rest by the largest node that reaches them, and take for each root of
@@ -100,7 +86,7 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     save = Scratch(edges, "scc")
     rest = save(edges.where("src <> dst").select("src", "dst").distinct())
     out = None
-    for _ in range(rounds):
+    while True:
         size = -1
         while (n := rest.count()) not in (size, 0):
             size = n
@@ -168,65 +154,282 @@ def cross_sections(edges: DataFrame, sections: DataFrame) -> DataFrame:
     return rows.groupBy(F.least("x", "y").alias("section_a"), F.greatest("x", "y").alias("section_b")).agg(F.count("*").alias("n"))
 
 
-def betweenness(edges: DataFrame, most: int = 100_000) -> DataFrame:
-    """(node, betweenness), normalised, undirected, by Brandes' accumulation, sources dealt over the executors.
+def betweenness(edges: DataFrame, parts: int = 1) -> DataFrame:
+    """(node, betweenness), normalised, undirected, by Brandes' accumulation as joins: layers outward from every source, then back.
 
-    Every source walks the whole graph, so the adjacency is broadcast; more than most edges are refused.
+    A layer holds (source, node, paths) and is written, so the work is as large as sources times edges but no task holds
+    the graph; parts deals the sources into so many rounds. Nodes that lie on no shortest path have 0.
     """
     e = undirected(edges)
-    rows = e.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} edges")
-    near: dict = {}
-    for r in rows:
-        near.setdefault(r["src"], []).append(r["dst"])
-        near.setdefault(r["dst"], []).append(r["src"])
-    shared = ship(edges.sparkSession).sparkContext.broadcast(near)
-    n = len(near)
-
-    def run(frames):
-        import pandas as pd
-
-        total: dict = {}
-        for frame in frames:
-            for s in frame["node"]:
-                adj, order, dist, paths, before = shared.value, [s], {s: 0}, {s: 1}, {}
-                for v in order:
-                    for w in adj[v]:
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            order.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] = paths.get(w, 0) + paths[v]
-                            before.setdefault(w, []).append(v)
-                depend = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before.get(w, ()):
-                        depend[v] += paths[v] / paths[w] * (1 + depend[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + depend[w]
-        yield pd.DataFrame({"node": list(total), "part": list(total.values())})
-
-    nodes = degree(e).select("node").repartition(max(1, min(n, 64)))
-    parts = nodes.mapInPandas(run, "node string, part double")
+    save = Scratch(edges, "between")
+    both = save(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    nodes = save(both.select(F.col("src").alias("node")).distinct())
+    n = nodes.count()
+    total = nodes.select("node", F.lit(0.0).alias("part"))
+    for p in range(parts):
+        mine = nodes.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == p)
+        layers = [save(mine.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
+        seen = layers[0].select("source", "node")
+        while True:
+            ahead = layers[-1].join(both, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+            layer = save(ahead.join(seen, ["source", "node"], "left_anti"))
+            if layer.isEmpty():
+                break
+            layers.append(layer)
+            seen = seen.unionByName(layer.select("source", "node"))
+        below = layers[-1].withColumn("dep", F.lit(0.0))
+        for layer in reversed(layers[:-1]):
+            total = total.unionByName(below.select("node", F.col("dep").alias("part")))
+            up = below.select("source", F.col("node").alias("w"), F.col("paths").alias("more"), "dep").join(both, F.col("w") == F.col("src")).select("source", F.col("dst").alias("node"), "more", "dep")
+            gains = up.join(layer, ["source", "node"]).groupBy("source", "node").agg(F.sum(F.col("paths") / F.col("more") * (1 + F.col("dep"))).alias("dep"))
+            below = save(layer.join(gains, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep")))
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return parts.groupBy("node").agg(F.round(F.sum("part") * scale, 6).alias("betweenness"))
+    return total.groupBy("node").agg(F.round(F.sum("part") * scale, 6).alias("betweenness"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community) by deterministic label propagation: the most frequent label around a node, of equals the smallest."""
-    save = Scratch(edges, "labels")
-    e = undirected(edges)
-    both = save(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    label = save(both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
-    for _ in range(rounds):
-        votes = both.join(label, F.col("dst") == F.col("node")).groupBy("src", "community").agg(F.count("*").alias("n"))
-        new = save(votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("k"), "community")).alias("m")).select(F.col("src").alias("node"), F.col("m.community").alias("community")))
-        same = new.join(label.withColumnRenamed("community", "old"), "node").where("community <> old").limit(1).count() == 0
-        label = new
-        if same:
+def communities(edges: DataFrame) -> DataFrame:
+    """(node, community) by the Louvain method, named by the smallest node: nodes move to where modularity gains most, then
+    communities become nodes, until nothing gains.
+
+    In a round, a community takes part in one move at most, the best by gain and then by node, so the gains of a round add
+    up and every round raises modularity; that ends it, and makes it the same on every run.
+    """
+    save = Scratch(edges, "louvain")
+    e = undirected(edges).withColumn("w", F.lit(1.0))
+    e = save(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
+    whole = e.agg(F.sum("w")).first()[0] or 1.0
+    place = save(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
+    while True:
+        degrees = e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+        com = save(degrees.withColumn("c", F.col("node")))
+        moved = False
+        while True:
+            size = com.groupBy(F.col("c").alias("of")).agg(F.sum("k").alias("size"))
+            toward = e.where("src <> dst").join(com.select(F.col("node").alias("dst"), F.col("c").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("w").alias("w"))
+            rows = toward.join(com, "node").join(size, F.col("to") == F.col("of")).drop("of")
+            own = rows.where("to = c").select("node", F.col("w").alias("w0"))
+            home = size.select(F.col("of").alias("c"), F.col("size").alias("size0"))
+            rows = rows.where("to <> c").join(own, "node", "left").join(home, "c")
+            gain = F.col("w") - F.coalesce("w0", F.lit(0.0)) - F.col("k") * (F.col("size") - F.col("size0") + F.col("k")) / F.lit(whole)
+            best = rows.withColumn("gain", F.round(gain, 9)).where("gain > 0").groupBy("node", "c").agg(F.max(F.struct("gain", F.col("to"))).alias("m"))
+            best = save(best.select("node", "c", F.col("m.to").alias("to"), F.col("m.gain").alias("gain")))
+            ends = best.select(F.explode(F.array("c", "to")).alias("at"), "node", "gain").groupBy("at").agg(F.max(F.struct("gain", "node")).alias("top"))
+            first = best.join(ends.select(F.col("at").alias("c"), F.col("top.node").alias("n1")), "c").join(ends.select(F.col("at").alias("to"), F.col("top.node").alias("n2")), "to").where("node = n1 and node = n2")
+            new = save(com.join(first.select("node", "to"), "node", "left").select("node", "k", F.coalesce("to", "c").alias("c")))
+            if best.isEmpty():
+                break
+            com, moved = new, True
+        if not moved:
             break
-    return label
+        place = save(place.join(com.select(F.col("node").alias("community"), "c"), "community").select("node", F.col("c").alias("community")))
+        ends = com.select("node", "c")
+        e = save(e.join(ends.withColumnsRenamed({"node": "src", "c": "a"}), "src").join(ends.withColumnsRenamed({"node": "dst", "c": "b"}), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+    names = place.groupBy("community").agg(F.min("node").alias("name"))
+    return place.join(names, "community").select("node", F.col("name").alias("community"))
+
+
+def modularity(edges: DataFrame, place: DataFrame) -> float:
+    """How much denser than by chance the communities (node, community) of undirected edges are."""
+    e = undirected(edges)
+    com = place.select("node", "community")
+    both = e.join(com.withColumnsRenamed({"node": "src", "community": "a"}), "src").join(com.withColumnsRenamed({"node": "dst", "community": "b"}), "dst")
+    m, inside = both.agg(F.count("*"), F.count_if(F.col("a") == F.col("b"))).first()
+    squares = degree(e).join(com, "node").groupBy("community").agg(F.sum("degree").alias("k")).agg(F.sum(F.col("k").cast("double") * F.col("k"))).first()[0]
+    return inside / m - squares / (2 * m) ** 2 if m else 0.0
+
 
+def allowed(min_status: str = "proposed") -> list[str]:
+    """The statuses that a graph is built from."""
+    return ["accepted"] if min_status == "accepted" else ["accepted", "proposed"]
 
-__all__ = ["around", "betweenness", "collapse", "communities", "components", "cross_sections", "degree", "has_cycle", "histogram", "levels", "reachable", "strong_components", "top_subgraph", "triangles", "typed_edges", "undirected", "unreachable"]
+
+def build(tables: dict[str, DataFrame], min_status: str = "proposed") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a store: nodes (id, node_type, name, status), edges (src, dst, edge_type, edge_category, phase, seq, assertion_id, hard_constraint).
+
+    tables: entities (all statuses), assertions, abstractions (child_ids), patterns, forces (affects), antipatterns, process,
+    spatial. Phases add edges in that order; the ends of an edge must be nodes of its phase or an earlier one, except that
+    abstractions make bare nodes of children that are none. Missing tables add nothing.
+    """
+    ok = F.col("status").isin(allowed(min_status))
+    t = {k: (v if k == "entities" else v.where(ok)) for k, v in tables.items()}
+    text = lambda df, *names: next((F.col(n) for n in names if n in df.columns), F.lit(None)).cast("string")
+    seq = lambda df: (F.col("seq") if "seq" in df.columns else F.lit(0)).cast("long")
+    parts = [(t["entities"], "entity", 0)] + [(t[k], kind, phase) for k, kind, phase in (("assertions", "assertion", 1), ("abstractions", "abstraction_node", 2), ("patterns", "pattern", 3), ("forces", "force", 4), ("antipatterns", "antipattern", 5)) if k in t]
+    nodes = None
+    for df, kind, phase in parts:
+        part = df.select("id", F.lit(kind).alias("node_type"), text(df, "name", "predicate", "statement").alias("name"), "status", F.lit(phase).alias("phase"))
+        nodes = part if nodes is None else nodes.unionByName(part)
+    none = {"assertion_id": F.lit(None).cast("string"), "hard_constraint": F.lit(None).cast("boolean")}
+
+    def edge(df: DataFrame, src, dst, kind, category: str, phase: int, **more) -> DataFrame:
+        extra = none | more
+        return df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), kind.alias("edge_type"), F.lit(category).alias("edge_category"), F.lit(phase).alias("phase"), seq(df).alias("seq"), *[c.alias(n) for n, c in extra.items()])
+
+    edges = []
+    if "assertions" in t:
+        edges.append(edge(t["assertions"], "subject_id", "object_id", F.col("predicate"), "assertion", 1, assertion_id=F.col("id")))
+    if "abstractions" in t:
+        children = t["abstractions"].select("id", F.posexplode("child_ids").alias("seq", "child"))
+        edges.append(edge(children, "id", "child", F.lit("aggregates"), "structural", 2))
+        bare = children.select(F.col("child").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
+        nodes = nodes.unionByName(bare.select("id", *[F.lit(None).cast("string").alias(c) for c in ("node_type", "name", "status")], F.lit(2).alias("phase")))
+    for k, phase in (("patterns", 3), ("antipatterns", 5)):
+        if k in t:
+            edges.append(edge(t[k].where("subject_id is not null"), "id", "subject_id", F.lit("applies_to"), "structural", phase))
+    if "forces" in t:
+        edges.append(edge(t["forces"].select("id", F.posexplode("affects").alias("seq", "affected")), "id", "affected", F.lit("acts_on"), "structural", 4))
+    if "process" in t:
+        edges.append(edge(t["process"], "predecessor_id", "successor_id", F.lit("precedes"), "structural", 6, hard_constraint=F.col("hard_constraint")))
+    if "spatial" in t:
+        edges.append(edge(t["spatial"], "subject_id", "object_id", F.col("relation"), "spatial", 7))
+    all_ = edges[0]
+    for e in edges[1:]:
+        all_ = all_.unionByName(e)
+    known = nodes.groupBy("id").agg(F.min("phase").alias("since"))
+    for end in ("src", "dst"):
+        all_ = all_.join(known.select(F.col("id").alias(end), F.col("since").alias(f"_{end}")), end).where(F.col(f"_{end}") <= F.col("phase")).drop(f"_{end}")
+    return nodes.drop("phase"), all_.select("src", "dst", "edge_type", "edge_category", "phase", "seq", "assertion_id", "hard_constraint")
+
+
+def collapse_all(edges: DataFrame) -> DataFrame:
+    """One edge for each (src, dst): every attribute as the last edge that had it wrote it, so a later edge hides the type of an earlier one."""
+    when = F.struct("phase", "seq", "edge_type", F.coalesce("assertion_id", F.lit("")))
+    last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), when)).alias(c)
+    return edges.groupBy("src", "dst").agg(*[last(c) for c in ("edge_type", "edge_category", "assertion_id", "hard_constraint")], F.count("*").alias("n"))
+
+
+def precedes(edges: DataFrame) -> DataFrame:
+    """(src, dst) that still precede one another once a pair has one edge: a spatial edge on the same pair hides it."""
+    return (collapse_all(edges) if "phase" in edges.columns else edges).where("edge_type = 'precedes'").select("src", "dst")
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the undirected components that hold seeds (id): whole components, with all edges between their nodes."""
+    comps = components(edges, "src", "dst")
+    mine = comps.join(seeds.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
+    ids = comps.join(mine, "component", "left_semi").select(F.col("node").alias("id")).unionByName(seeds.select("id")).distinct()
+    return nodes.join(ids, "id", "left_semi"), edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+
+
+def sequences(edges: DataFrame, start: DataFrame, names: DataFrame, max_depth: int = 50) -> DataFrame:
+    """start, entity, n, sequence, has_cycle, cycle, truncated for each start (start): what it precedes and what precedes it, in order.
+
+    sequence holds names, ordered by the longest path from a source and then by id; every edge points forward in it. With a
+    cycle among what was reached, the order is by id and cycle names one. truncated: something lies at max_depth. A start
+    without edges is its own sequence. names: id, name; an unknown id is its own name.
+    """
+    save = Scratch(edges, "sequence")
+    step = save(edges.select("src", "dst").distinct())
+    asked = start.select("start").distinct()
+    found = save(around(step, asked.select("start", F.col("start").alias("node")), max_depth))
+    inside = found.select("start", F.col("node").alias("src")).join(step, "src").join(found.select("start", F.col("node").alias("dst")), ["start", "dst"])
+    order = save(levels(step.where("src <> dst")))
+    loops = step.where("src = dst").select(F.col("src").alias("node"))
+    blocked = step.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(order.select("node"), "node", "left_anti").unionByName(loops)
+    unsure = found.join(blocked, "node", "left_semi").select("start").distinct()
+    # only starts near a cycle are looked at one by one: nodes are (start, node) there
+    pair = lambda c: F.struct("start", F.col(c).alias("node"))
+    own = save(inside.join(unsure, "start", "left_semi").select(pair("src").alias("src"), pair("dst").alias("dst")))
+    rounds = strong_components(own)
+    ring = rounds.groupBy("component").agg(F.count("*").alias("n")).groupBy("component.start").agg(F.min("component").alias("component"))
+    members = rounds.join(ring, "component").select("node", "component")
+    lap = own.join(members.withColumnsRenamed({"node": "src", "component": "a"}), "src").join(members.withColumnsRenamed({"node": "dst", "component": "b"}), "dst").where("a = b").where("src <> dst")
+    lap = lap.groupBy("src").agg(F.min("dst").alias("dst"))  # one way on from each node of the ring: it leads round
+    single = own.where("src = dst").select(F.col("src.start").alias("start"), F.col("src.node").alias("src"), F.col("dst.node").alias("dst"))
+    turns = lap.select(F.col("src.start").alias("start"), F.col("src.node").alias("src"), F.col("dst.node").alias("dst")).unionByName(single)
+    label = names.select(F.col("id").alias("node"), "name")
+    turns = turns.join(label.withColumnsRenamed({"node": "src", "name": "from_name"}), "src", "left").withColumn("from_name", F.coalesce("from_name", F.col("src").cast("string")))
+    text = turns.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "from_name"))).alias("ways"))
+    kind = dict(start.dtypes)["start"]
+    text = text.select("start", "ways").mapInPandas(_laps, f"start {kind}, cycle string")
+    shown = found.join(order, "node", "left").join(label, "node", "left").withColumn("name", F.coalesce("name", F.col("node").cast("string")))
+    shown = shown.join(text.select("start", "cycle"), "start", "left")
+    rank = F.when(F.col("cycle").isNull(), F.coalesce("level", F.lit(0))).otherwise(0)
+    out = shown.groupBy("start").agg(F.array_sort(F.collect_list(F.struct(rank.alias("level"), "node", "name"))).alias("all"), F.first("cycle").alias("cycle"), (F.max("depth") >= max_depth).alias("truncated"), F.count("*").alias("n"))
+    out = out.join(label.withColumnsRenamed({"node": "start", "name": "entity"}), "start", "left")
+    return out.select("start", F.coalesce("entity", F.col("start").cast("string")).alias("entity"), "n", F.transform("all", lambda x: x["name"]).alias("sequence"), F.col("cycle").isNotNull().alias("has_cycle"), "cycle", "truncated")
+
+
+def _laps(frames):
+    """A cycle as text for each start, found by following its ways from the smallest node until a node comes again."""
+    import pandas as pd
+
+    for frame in frames:
+        out = []
+        for start, ways in zip(frame["start"], frame["ways"], strict=True):
+            to = {w["src"]: (w["dst"], w["from_name"]) for w in ways}
+            at, path = ways[0]["src"], []
+            while at in to and at not in path:
+                path.append(at)
+                at = to[at][0]
+            ring = [to[x][1] for x in path[path.index(at) :]] if at in path else [to[x][1] for x in path]
+            out.append((start, " -> ".join([*ring, ring[0]])))
+        yield pd.DataFrame(out, columns=["start", "cycle"])
+
+
+def pattern_graph(patterns: DataFrame, related: DataFrame) -> DataFrame:
+    """(src, dst, source): undirected edges between patterns (number, slug, name, lower: slugs), from the book, then from related (name, refs).
+
+    A reference is a slug or a name. The book's edges come first, a pair has one edge, and what resolves to nothing or to
+    itself is left out.
+    """
+    by = patterns.select("slug", "number").unionByName(patterns.select(slug(F.col("name")).alias("slug"), "number")).groupBy("slug").agg(F.min("number").alias("number"))
+    book = patterns.select(F.col("number").alias("x"), F.explode("lower").alias("ref"), F.lit(0).alias("late"))
+    stored = related.join(by, slug(F.col("name")) == F.col("slug")).select(F.col("number").alias("x"), F.explode("refs").alias("ref"), F.lit(1).alias("late"))
+    to = by.select(F.col("slug").alias("to_slug"), F.col("number").alias("y"))
+    flat = book.unionByName(stored)
+    exact = flat.join(to, F.col("ref") == F.col("to_slug"), "left").drop("to_slug")
+    named = to.withColumnsRenamed({"to_slug": "to_name", "y": "z"})
+    found = exact.join(named, slug(F.col("ref")) == F.col("to_name"), "left").select("x", F.coalesce("y", "z").alias("y"), "late").where("y is not null and x <> y")
+    one = found.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.min("late").alias("late"))
+    return one.select("src", "dst", F.when(F.col("late") == 0, "book").otherwise("store").alias("source"))
+
+
+def sections(numbers: DataFrame, column: str = "number") -> DataFrame:
+    return numbers.select(F.col(column).alias("node"), pattern_section(F.col(column)).alias("section"))
+
+
+def hubs(degrees: DataFrame, k: int = 15, least: bool = False) -> DataFrame:
+    """The k nodes of highest degree, or of lowest, of equals the smaller node."""
+    return degrees.orderBy(F.col("degree") if least else F.col("degree").desc(), "node").limit(k)
+
+
+def degree_stats(degrees: DataFrame) -> DataFrame:
+    """One row: nodes, least, most, mean and median degree; of an even number the upper middle one."""
+    ranked = degrees.groupBy("degree").agg(F.count("*").alias("n"))  # a row for each degree that occurs
+    upto = ranked.withColumn("upto", F.sum("n").over(Window.orderBy("degree").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    return upto.agg(F.sum("n").alias("nodes"), F.min("degree").alias("least"), F.max("degree").alias("most"), F.round(F.sum(F.col("degree") * F.col("n")) / F.sum("n"), 6).alias("mean"), F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("degree"))).alias("median"))
+
+
+def cross_degree(edges: DataFrame, sections: DataFrame, k: int = 15) -> DataFrame:
+    """(node, degree): the k nodes with most edges into other sections."""
+    a, b = sections.select(F.col("node").alias("src"), F.col("section").alias("x")), sections.select(F.col("node").alias("dst"), F.col("section").alias("y"))
+    across = undirected(edges).join(a, "src").join(b, "dst").where("x <> y")
+    return hubs(degree(across.select("src", "dst")), k)
+
+
+def clustering_coefficient(edges: DataFrame) -> DataFrame:
+    """(node, coefficient): closed pairs among the neighbours of a node; 0 with fewer than two."""
+    d = degree(undirected(edges))
+    rows = d.join(triangles(edges), "node", "left")
+    return rows.select("node", F.when(F.col("degree") > 1, F.coalesce("triangles", F.lit(0)) * 2 / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0).alias("coefficient"))
+
+
+def measures(edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, density, clustering (mean), components, and diameter and mean path of the largest component.
+
+    Distances go breadth first from every node of that component at once.
+    """
+    save = Scratch(edges, "measures")
+    e = save(undirected(edges))
+    comps = save(components(e, "src", "dst"))
+    size = comps.groupBy("component").agg(F.count("*").alias("size"))
+    largest = size.orderBy(F.col("size").desc(), "component").limit(1)
+    inside = comps.join(largest.select("component"), "component", "left_semi").select("node")
+    far = around(e, inside.select(F.col("node").alias("start"), "node"), 1_000_000_000).where("depth > 0").agg(F.max("depth").alias("diameter"), F.round(F.avg("depth"), 6).alias("mean_path"))
+    n = comps.agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"))
+    rows = n.crossJoin(e.agg(F.count("*").alias("edges"))).crossJoin(clustering_coefficient(e).agg(F.round(F.avg("coefficient"), 6).alias("clustering"))).crossJoin(far)  # one row each
+    return rows.select("nodes", "edges", F.round(F.try_divide(F.col("edges") * 2, F.col("nodes") * (F.col("nodes") - 1)), 6).alias("density"), "clustering", "components", "diameter", "mean_path")
+
+
+__all__ = ["allowed", "around", "betweenness", "build", "clustering_coefficient", "collapse", "collapse_all", "communities", "components", "cross_degree", "cross_sections", "degree", "degree_stats", "has_cycle", "histogram", "hubs", "levels", "measures", "modularity", "pattern_graph", "precedes", "reachable", "sections", "sequences", "strong_components", "subgraph", "top_subgraph", "triangles", "typed_edges", "undirected", "unreachable"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("proposed", "accepted", "deprecated", "conflicted")
@@ -83,3 +83,70 @@ def chunks(docs: DataFrame, size: int = 1000) -> DataFrame:
     n = F.ceil(F.length("text") / size).cast("int")
     rows = docs.where(F.length("text") > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), n - 1)))
     return rows.withColumn("piece", F.substring("text", F.col("chunk") * size + 1, F.lit(size))).select("doc_id", "chunk", "piece")
+
+
+def view_exists(spark: SparkSession, name: str) -> bool:
+    """Whether the session knows a table or view of this name."""
+    return spark.catalog.tableExists(name)
+
+
+def failed_references(pending: DataFrame) -> DataFrame:
+    """Pending force references whose name failed its validation."""
+    return pending.where("failure_type = 'validation_failure'")
+
+
+def foreign_vectors(embeddings: DataFrame, model: str) -> DataFrame:
+    """(model, n): vectors of other models than the one that is set."""
+    return embeddings.where(F.col("model") != model).groupBy("model").agg(F.count("*").alias("n"))
+
+
+def repair(items: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, pairs): conflicted items that no pair names are proposed again, pairs with a deprecated member are deleted."""
+    lost = orphaned_conflicted(items, pairs).select(F.col("id").alias("_id"))
+    rows = items.join(lost, F.col("id") == F.col("_id"), "left").withColumn("status", F.when(F.col("_id").isNotNull(), "proposed").otherwise(F.col("status"))).drop("_id")
+    key = ["item_a_id", "item_b_id"]
+    return rows, pairs.join(stale_pairs(pairs, items).select(key), key, "left_anti")
+
+
+def cache_rows(cache: DataFrame, model: str | None = None, entity: str | None = None, since=None, before=None, limit: int | None = 20) -> DataFrame:
+    """Cache rows of a model, an entity, a time, newest first, of equals by hash."""
+    for column, value in (("model", model), ("entity_name", entity)):
+        cache = cache if value is None else cache.where(F.col(column) == value)
+    cache = cache if since is None else cache.where(F.col("cached_at") >= F.lit(since))
+    cache = cache if before is None else cache.where(F.col("cached_at") < F.lit(before))
+    cache = cache.orderBy(F.col("cached_at").desc(), "prompt_hash")
+    return cache if limit is None else cache.limit(limit)
+
+
+def clear_cache(cache: DataFrame, model: str | None = None, entity: str | None = None, before=None) -> DataFrame:
+    """cache without the rows that all given filters match; without any filter none is left."""
+    hit = F.lit(True)
+    for column, value in (("model", model), ("entity_name", entity)):
+        hit = hit if value is None else hit & F.coalesce(F.col(column) == value, F.lit(False))
+    hit = hit if before is None else hit & (F.col("cached_at") < F.lit(before))
+    return cache.where(~hit)
+
+
+def _one_of(c: str, *values: str) -> Column:
+    return F.col(c).isin(*values)
+
+
+#: What rows of each type must satisfy (fixed values of the vocabularies).
+ENTITY_TYPES = ("component", "system", "space", "material", "activity", "ifc_class")
+ORIGINS = ("physical", "engineering", "architectural", "cultural", "human", "imported", "schema")
+
+
+def validators(item_type: str) -> dict[str, Column]:
+    """The rules for rows of a type, for invalid_rows: confidence in 0 to 1, known values, a rationale for relations in a process, no origin for abstractions."""
+    rules = {"status": _one_of("status", *STATUSES, *(("merged",) if item_type == "entity" else ()))}
+    if item_type == "entity":
+        return rules | {"entity_type": _one_of("entity_type", *ENTITY_TYPES)}
+    rules["confidence"] = F.col("confidence").between(0, 1)
+    if item_type == "abstraction_node":
+        return rules | {"knowledge_origin": F.col("knowledge_origin").isNull()}
+    rules["knowledge_origin"] = _one_of("knowledge_origin", *ORIGINS)
+    if item_type == "process_relation":
+        rules["rationale"] = F.trim("rationale") != ""
+    if item_type == "force":
+        rules["direction"] = _one_of("direction", "increase", "decrease")
+    return rules
