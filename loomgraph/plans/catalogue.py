@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.scalars import decode_list, has_any_word, in_context, review_threshold, word_forms
 from loomgraph.operators import clustering, graph, integrity, knowledge, lifecycle, normalise
 from loomgraph.plans.projection import table, view, with_views
+from loomgraph.session import Scratch
 from loomgraph.sources import snapshot
 from loomgraph.streaming import transitions
 
@@ -182,8 +183,8 @@ def oQB_context(t):
 
 
 SINGLE = "status = 'proposed' AND evaluated AND knowledge_origin IN ('physical', 'engineering') AND cpc >= 0.85 AND framings >= 3"
-GROUPS = "SELECT {key}, count(DISTINCT source_model) AS models, round(avg(confidence), 6) AS mean, bool_or(knowledge_origin IN ('physical', 'engineering')) AS hard, count(*) AS n FROM {rows} WHERE status = 'proposed' AND evaluated GROUP BY {key}"
-WINS = "CASE WHEN hard THEN models >= 2 AND mean >= 0.8 ELSE models >= 3 AND mean >= 0.9 END"
+GROUPS = "SELECT {key}, count(DISTINCT source_model) AS models, round(avg(confidence), 6) AS mean, sum(CAST(confidence AS DECIMAL(18, 9))) AS total, bool_or(knowledge_origin IN ('physical', 'engineering')) AS hard, count(*) AS n FROM {rows} WHERE status = 'proposed' AND evaluated GROUP BY {key}"
+WINS = "CASE WHEN hard THEN models >= 2 AND total >= CAST(0.8 AS DECIMAL(18, 9)) * n ELSE models >= 3 AND total >= CAST(0.9 AS DECIMAL(18, 9)) * n END"
 FLIPPED = "(SELECT * REPLACE (CASE WHEN linenumber_ % 2 = 0 THEN 'proposed' ELSE status END AS status) FROM (SELECT *, CAST(string_split(id, '-')[4] AS INT) AS linenumber_ FROM kg_assertions))"
 
 
@@ -210,7 +211,9 @@ g AS ({GROUPS.format(key='subject_id, predicate, object_id', rows='rest')}), w A
 a AS (SELECT * FROM one UNION ALL SELECT r.id, 'consensus' FROM rest r JOIN w USING (subject_id, predicate, object_id) WHERE r.status = 'proposed' AND r.evaluated)
 SELECT reviewer, count(*) AS decisions, count(*) AS log_rows FROM a GROUP BY reviewer""")
 def oP5_side_effects(t):
-    decisions, log = lifecycle.status_log(lifecycle.promote(_evaluated(t))[1])
+    rows = _evaluated(t)
+    accepted = lifecycle.promote(rows)[1]
+    decisions, log = lifecycle.status_log(Scratch(rows, "accepted")(accepted))  # both come from one written delta
     return decisions.groupBy("reviewer").agg(F.count("*").alias("decisions")).join(log.groupBy(F.col("changed_by").alias("reviewer")).agg(F.count("*").alias("log_rows")), "reviewer")
 
 
@@ -250,8 +253,8 @@ def oE1_dedup_first(t):
 
 
 @query("""WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part), f AS (SELECT word, unnest(
-CASE WHEN word LIKE '%ies' AND length(word) > 4 THEN [left(word, -3) || 'y'] WHEN word LIKE '%ses' THEN [left(word, -2)] WHEN word LIKE '%es' THEN [left(word, -1), left(word, -2)]
-WHEN word LIKE '%s' AND word NOT LIKE '%ss' AND length(word) > 3 THEN [left(word, -1)] WHEN word LIKE '%y' THEN [word || 's', left(word, -1) || 'ies'] ELSE [word || 's'] END) AS form FROM w) SELECT word, form FROM f""")
+CASE WHEN word LIKE '%ies' AND length(word) > 4 THEN [left(word, -3) || 'y'] WHEN word LIKE '%ses' AND length(word) > 4 THEN [left(word, -2)] WHEN word LIKE '%es' AND length(word) > 4 THEN [left(word, -1), left(word, -2)]
+WHEN word LIKE '%s' AND word NOT LIKE '%ss' AND length(word) > 3 THEN [left(word, -1)] WHEN word LIKE '%y' AND length(word) > 2 THEN [word || 's', left(word, -1) || 'ies'] ELSE [word || 's'] END) AS form FROM w) SELECT word, form FROM f""")
 def oE3b_forms(t):
     words = t.part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
     return words.select("word", F.explode(word_forms(F.col("word"))).alias("form"))
@@ -563,3 +566,6 @@ def oT1_window_counts(t):
 @query("SELECT 'U' || user_id AS item_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1")
 def oT2_latest(t):
     return transitions.latest(t.kg_log)
+
+
+from loomgraph.plans import graph_queries, store_queries  # noqa: E402, F401  (they add their queries)

@@ -22,7 +22,7 @@ UNION ALL SELECT 'N' || n_nationkey, n_name, 'space', 'accepted', false, CAST(30
 UNION ALL SELECT 'R' || r_regionkey, r_name, 'space', 'accepted', r_regionkey = 0, CAST(4000000000000 + r_regionkey AS BIGINT) FROM {region}""",
     "kg_aliases": "SELECT 'P' || p_partkey AS entity_id, p_brand || ' ' || p_partkey AS alias, CAST(p_partkey AS BIGINT) AS seq FROM {part}",
     "kg_assertions": """
-SELECT DISTINCT CAST(l_orderkey AS VARCHAR(20)) || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS id,
+SELECT CAST(l_orderkey AS VARCHAR(20)) || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS id,
   'P' || l_partkey AS subject_id, 'S' || l_suppkey AS object_id,
   CASE l_linenumber WHEN 1 THEN 'requires' WHEN 2 THEN 'depends_on' WHEN 3 THEN 'contains' WHEN 4 THEN 'supports' WHEN 5 THEN 'connects_to' WHEN 6 THEN 'protects_from' ELSE 'feeds' END AS predicate,
   round(1 - 5 * l_discount, 4) AS confidence,
@@ -46,6 +46,22 @@ UNION ALL SELECT 'S' || s_suppkey, 'enclosed_by', 'N' || s_nationkey FROM {suppl
 UNION ALL SELECT 'C' || c_custkey, 'adjacent_to', 'N' || c_nationkey FROM {customer}""",
     "kg_log": """
 SELECT event_id AS id, 'U' || user_id AS item_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_status, event_type AS new_status, ts AS changed_at FROM {events}""",
+    "kg_constraints": """
+SELECT 'K' || o_orderkey AS id, 'C' || o_custkey AS subject_id, o_orderpriority AS rule, CASE WHEN o_orderstatus = 'F' THEN 'hard' ELSE 'soft' END AS constraint_type, o_orderkey % 2 = 0 AS evaluated,
+  CASE WHEN o_orderkey % 7 = 6 THEN 'deprecated' WHEN o_orderkey % 7 = 5 THEN 'conflicted' WHEN o_orderkey % 7 < 2 THEN 'accepted' ELSE 'proposed' END AS status, CASE o_orderkey % 4 WHEN 0 THEN 'physical' WHEN 1 THEN 'engineering' WHEN 2 THEN 'architectural' ELSE 'cultural' END AS knowledge_origin, round(0.5 + CAST(o_orderkey % 51 AS DOUBLE) / 100, 4) AS confidence, 'm' || (o_orderkey % 3) AS source_model, CAST(o_orderkey AS BIGINT) AS seq FROM {orders}""",
+    "kg_forces": """
+SELECT 'F' || s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'Increased ' WHEN 1 THEN 'Reduced ' ELSE 'Plain ' END || s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'increase' ELSE 'decrease' END AS direction,
+  '["P' || s_suppkey || '","N' || s_nationkey || '","X' || s_suppkey || '"]' AS affects, CASE WHEN s_suppkey % 7 = 6 THEN 'deprecated' WHEN s_suppkey % 7 = 5 THEN 'conflicted' WHEN s_suppkey % 7 < 2 THEN 'accepted' ELSE 'proposed' END AS status, CASE s_suppkey % 4 WHEN 0 THEN 'physical' WHEN 1 THEN 'engineering' WHEN 2 THEN 'architectural' ELSE 'cultural' END AS knowledge_origin, round(0.5 + CAST(s_suppkey % 51 AS DOUBLE) / 100, 4) AS confidence, 'm' || (s_suppkey % 3) AS source_model, CAST(s_suppkey AS BIGINT) AS seq FROM {supplier}""",
+    "kg_patterns": """
+SELECT 'T' || p_partkey AS id, p_name || ' pattern ' || p_partkey AS name, 'P' || p_partkey AS subject_id, p_type AS problem, p_brand AS solution,
+  '["F' || (p_partkey % 10) || '","none"]' AS force_ids, '["' || p_brand || '"]' AS force_descriptions, '["' || p_name || ' PATTERN ' || p_partkey || '","' || p_type || '"]' AS related_pattern_names,
+  CASE WHEN p_partkey % 7 = 6 THEN 'deprecated' WHEN p_partkey % 7 = 5 THEN 'conflicted' WHEN p_partkey % 7 < 2 THEN 'accepted' ELSE 'proposed' END AS status, CASE p_partkey % 4 WHEN 0 THEN 'physical' WHEN 1 THEN 'engineering' WHEN 2 THEN 'architectural' ELSE 'cultural' END AS knowledge_origin, round(0.5 + CAST(p_partkey % 51 AS DOUBLE) / 100, 4) AS confidence, 'm' || (p_partkey % 3) AS source_model, CAST(p_partkey AS BIGINT) AS seq FROM {part}""",
+    "kg_antipatterns": """
+SELECT 'A' || p_partkey AS id, 'No ' || p_name AS name, 'P' || (p_partkey % 50) AS subject_id, CASE WHEN p_partkey % 7 = 6 THEN 'deprecated' WHEN p_partkey % 7 = 5 THEN 'conflicted' WHEN p_partkey % 7 < 2 THEN 'accepted' ELSE 'proposed' END AS status, CASE p_partkey % 4 WHEN 0 THEN 'physical' WHEN 1 THEN 'engineering' WHEN 2 THEN 'architectural' ELSE 'cultural' END AS knowledge_origin, round(0.5 + CAST(p_partkey % 51 AS DOUBLE) / 100, 4) AS confidence, 'm' || (p_partkey % 3) AS source_model, CAST(p_partkey AS BIGINT) AS seq FROM {part} WHERE p_partkey % 3 = 0""",
+    "kg_abstractions": """
+SELECT 'B' || p_partkey AS id, p_type AS statement, '["A' || p_partkey || '","Z' || (p_partkey % 9) || '"]' AS child_ids, CASE WHEN p_partkey % 7 = 6 THEN 'deprecated' WHEN p_partkey % 7 = 5 THEN 'conflicted' WHEN p_partkey % 7 < 2 THEN 'accepted' ELSE 'proposed' END AS status, CASE p_partkey % 4 WHEN 0 THEN 'physical' WHEN 1 THEN 'engineering' WHEN 2 THEN 'architectural' ELSE 'cultural' END AS knowledge_origin, round(0.5 + CAST(p_partkey % 51 AS DOUBLE) / 100, 4) AS confidence, 'm' || (p_partkey % 3) AS source_model, CAST(p_partkey AS BIGINT) AS seq FROM {part} WHERE p_partkey % 4 = 0""",
+    "kg_loops": """
+SELECT 'L' || o_orderkey AS id, 'C' || o_custkey AS predecessor_id, 'C' || ((7 * o_custkey + o_orderkey % 3) % 100) AS successor_id, CASE WHEN o_orderkey % 5 = 4 THEN 'deprecated' ELSE 'proposed' END AS status FROM {orders}""",
     "kg_cache": "SELECT lang AS model, source AS entity_name, text AS response FROM {documents}",
 }
 
