@@ -1,41 +1,42 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on toxic text, and every window of a document is
-compressed with either behind the same context. What the toxic dictionary saves tells how much the window is like
-toxic text. Shares of windows above calibrated savings go into a logistic score.
-
-The usual dictionary trainer keeps what is frequent, which in both classes is the same ordinary language (measured:
-held-out AUC 0.70). So both dictionaries share the content learned from ordinary text, and the toxic one also holds the
-words around segments that toxic text has far more often than ordinary text. Both are raw-content dictionaries.
+Two zstandard dictionaries are trained, one on ordinary documents and one on toxic ones, and every window of a document is
+compressed with either behind the same context. What the toxic dictionary saves tells how much the window is like toxic
+text. How many windows save more than calibrated amounts goes into a logistic score.
+
+Trained on whole documents, both dictionaries would hold what is frequent, and that is the same ordinary language. So what
+both classes share is taken out of the toxic documents first: of their words those are left that hold a segment which toxic
+text has far too often for chance. The toxic dictionary is trained on that residue and stands behind the content of the
+ordinary one, so that shared language costs the same with either. Both are raw-content dictionaries.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import lean, slices, table
 from loomgraph.session import ship
 
-#: Bound on the training sample: so many labelled documents of each class (the smallest hashes of their ids).
+#: Bounds on the training sample: so many labelled documents of each class (the smallest hashes of their ids), and bytes of all.
 SAMPLE = 1_500
-WINDOW = 24
-LEVEL = 3
-CONTENT = 8_192
+SAMPLE_BYTES = 64_000_000
+WINDOW = 16
+LEVEL, MATCH = 11, 4
+#: Bytes of the ordinary dictionary and of what the toxic one has besides, and of the context before each window.
+CONTENT, SPECIAL = 8_192, 16_384
 CONTEXT = 16
 STEPS = (1, 2, 3, 4, 5, 6, 8)
 FOLDS = 5
 #: A segment needs so many toxic documents, and of the segments kept at most this share may be there by chance.
 HANDFUL = 5
 RATE = 0.001
-#: Bytes of toxic words in the dictionary, and of a word that is held whole.
-SPECIAL = 32_768
+#: Bytes of a word that is held whole.
 LONG = 40
 
 
@@ -75,45 +76,39 @@ def _significant(seen: Counter, also: Counter, scale: float) -> set:
     return {keys[i] for i in order[: good[-1] + 1]} if len(good) else set()
 
 
-def toxic_words(toxic: Counter, ordinary: Counter, scale: float) -> list[bytes]:
-    """Words of toxic text around its telling segments, SPECIAL bytes of them, the most telling last. toxic, ordinary: documents by word.
-
-    A segment is telling if HANDFUL toxic documents have it, far more than ordinary ones and too many for chance.
-    """
+def telling(toxic: Counter, ordinary: Counter, scale: float) -> set:
+    """Segments that HANDFUL toxic documents have, far more than ordinary ones and too many for chance. toxic, ordinary: documents by word."""
     seen = _often(toxic, HANDFUL)
     if not seen:
-        return []
+        return set()
     also: Counter = Counter()
     for w, n in ordinary.items():
         for x in {x for x in _subs(w) if x in seen}:
             also[x] += n
-    telling = {x for x in _significant(seen, also, scale) if seen[x] > 12 * (also[x] + 0.5) * scale}
-    holders = defaultdict(list)
-    for w in toxic:
-        for x in {x for x in _subs(w) if x in telling}:
-            holders[x].append(w)
-    queue = [(-seen[x], -len(x), x) for x in telling]
-    heapify(queue)
-    covered: set = set()
-    chosen: list[list[bytes]] = []
-    while queue:  # greedy cover: the segment that explains most documents not yet explained
-        _, length, x = heappop(queue)
-        now = sum(toxic[w] for w in holders[x] if w not in covered)
-        if now < HANDFUL:
-            continue
-        if queue and -now > queue[0][0]:
-            heappush(queue, (-now, length, x))
-            continue
-        covered.update(w for w in holders[x] if len(w) <= LONG)
-        chosen.append([_near(w, x) for w in sorted(holders[x], key=lambda w: (-toxic[w], w))])
-    out: dict[bytes, None] = {}
-    size = 0
-    for nth in range(max(map(len, chosen), default=0)):  # a word of each segment in turn, so that none takes all the room
-        for ws in chosen:
-            if nth < len(ws) and ws[nth] not in out and size + len(ws[nth]) < SPECIAL:
-                out[ws[nth]] = None
-                size += len(ws[nth]) + 1
-    return list(out)[::-1]
+    return {x for x in _significant(seen, also, scale) if seen[x] > 12 * (also[x] + 0.5) * scale}
+
+
+def residue(docs: list[list[bytes]], segments: set) -> list[bytes]:
+    """What is left of each document (its words) when only words with a telling segment stay; documents without any are left out."""
+    kept: dict[bytes, bytes] = {}
+    for w in {w for ws in docs for w in ws}:
+        found = [x for x in _subs(w) if x in segments]
+        if found:
+            kept[w] = _near(w, max(found, key=len))
+    rest = (b" ".join(kept[w] for w in ws if w in kept) for ws in docs)
+    return [r + b" " for r in rest if len(r) >= 8]
+
+
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """The content of a dictionary that zstandard trains on the samples; where they are too few for it, the samples themselves."""
+    import zstandard
+
+    try:
+        raw = zstandard.train_dictionary(size, samples, k=40, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+    start = raw.find(b"\x01\0\0\0\x04\0\0\0\x08\0\0\0")  # the first offsets, which stand between the tables and the content
+    return raw[start + 12 :] if start >= 0 else b"".join(samples)[-size:]
 
 
 def _near(word: bytes, segment: bytes) -> bytes:
@@ -133,12 +128,15 @@ def _counted(texts: list[list[bytes]]) -> Counter:
     return Counter({w: min(n, len(near[w])) for w, n in docs.items()})
 
 
+FEATURES = 2 * len(STEPS) + 1
+
+
 class Model:
     """What the executors need: two dictionaries and the logistic weights, a few tens of kilobytes."""
 
     def __init__(self, ordinary: bytes, toxic: bytes, context: bytes):
-        self.parts, self.weights = (ordinary, toxic, context), np.zeros(len(STEPS) + 1)
-        self.mean, self.spread = np.zeros(len(STEPS)), np.ones(len(STEPS))
+        self.parts, self.weights = (ordinary, toxic, context), np.zeros(FEATURES + 1)
+        self.mean, self.spread = np.zeros(FEATURES), np.ones(FEATURES)
         self.made = None
 
     def __getstate__(self):
@@ -149,10 +147,11 @@ class Model:
 
         if self.made is None:
             out = []
+            how = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=MATCH, write_content_size=0, write_checksum=0, write_dict_id=0)
             for content in self.parts[:2]:
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=LEVEL)
-                out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
+                d.precompute_compress(compression_params=how)
+                out.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d).compress)
             self.made = out
         return self.made
 
@@ -173,8 +172,10 @@ class Model:
         return np.array(out, np.int64)
 
     def features(self, text: str | None) -> np.ndarray:
+        """Logarithms of the share and of the number of windows that save STEPS bytes, and of the number of all."""
         saved = self.savings(text)
-        return np.log((np.array([(saved >= k).sum() for k in STEPS]) + 0.02) / (len(saved) + 4.0))
+        count = np.array([(saved >= k).sum() for k in STEPS])
+        return np.r_[np.log((count + 0.02) / (len(saved) + 4.0)), np.log(count + 0.1), np.log(len(saved) + 1.0)]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         z = (features - self.mean) / self.spread @ self.weights[1:] + self.weights[0]
@@ -192,10 +193,10 @@ def train(rows: list[tuple[str | None, int]], share: float | None = None) -> Mod
     texts = [[words(t) for t, y in learn if y == k] for k in (0, 1)]
     count = [_counted(x) for x in texts]
     size = [1 + sum(len(w) for ws in x for w in ws) for x in texts]
-    common = b" ".join(w for w, _ in sorted(count[0].items(), key=lambda x: (x[1], x[0]))[-CONTENT // 2 :])[-CONTENT:]
-    special = b" ".join(toxic_words(count[1], count[0], size[1] / size[0]))
-    context = common[-CONTEXT:]
-    model = Model(common or b" " * 8, (common[:-CONTEXT] + b" " + special + b" " + context) if common else special or b" " * 8, context)
+    context = b" ".join(w for w, _ in sorted(count[0].items(), key=lambda x: (x[1], x[0]))[-CONTEXT:])[-CONTEXT:]
+    common = dictionary([b" ".join(ws) for ws in texts[0]], CONTENT)
+    special = dictionary(residue(texts[1], telling(count[1], count[0], size[1] / size[0])), SPECIAL)
+    model = Model(common + b" " + context + b" " * 8, common + b" " + special + b" " + context + b" " * 8, context)
     if tune and len({y for _, y in tune}) == 2:
         x, y = np.array([model.features(t) for t, _ in tune]), np.array([y for _, y in tune], float)
         model.mean, model.spread = x.mean(0), x.std(0) + 1e-6
@@ -218,15 +219,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int]]:
-    """At most sample documents of each class, none of them held out, in order of a hash of their ids."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """At most sample documents of each class and most bytes in all, none of them held out, in order of a hash of their ids.
+
+    Ids and lengths are looked at first; only the texts of the documents chosen leave the executors.
+    """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic", F.md5(F.concat(F.lit("tox:"), F.col("doc_id").cast("string"))).alias("place"))
     picked = None
     for y in (0, 1):
         part = usable.where(F.col("toxic") == y).orderBy("place").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("place", "text").limit(4 * sample)
-    return [(r["text"], int(r["toxic"])) for r in rows.select("text", "toxic").collect()]
+    size = docs.select("doc_id", F.octet_length("text").alias("bytes")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.sum(F.coalesce("bytes", F.lit(0))).alias("bytes"))
+    chosen, total = [], 0
+    for r in sorted(size.collect(), key=lambda r: (r["place"], r["toxic"])):  # as many rows as the sample has
+        total += r["bytes"]
+        if total <= most:
+            chosen.append((r["doc_id"], r["toxic"], r["place"]))
+    spark = docs.sparkSession
+    ids = spark.createDataFrame(chosen, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, place string")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("place", "text", "toxic").collect()
+    return [(r["text"], int(r["toxic"])) for r in sorted(rows, key=lambda r: (r["place"], r["text"] or "", r["toxic"]))]
 
 
 def toxic_share(labels: DataFrame) -> float | None:
@@ -235,17 +247,21 @@ def toxic_share(labels: DataFrame) -> float | None:
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of whole texts; null and empty texts have no windows and get the score of none."""
+    """doc_id and score of whole texts, one row for each row of docs, repeated ones too.
+
+    Null and empty texts have no windows and get the score of none. Equal texts get equal scores, as nothing but the text
+    counts; other columns of docs play no part. An empty table gives no rows.
+    """
     shared = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            texts = batch.column(1)
-            x = np.array([own.features(texts[i].as_py()) for i in range(batch.num_rows)]).reshape(-1, len(STEPS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.score(x), pa.float64())], names=["doc_id", "score"])
+        for part in (p for batch in batches for p in slices(batch)):
+            texts = part.column(1)
+            x = np.array([own.features(texts[i].as_py()) for i in range(part.num_rows)]).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.score(x), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
