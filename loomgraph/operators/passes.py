@@ -83,7 +83,7 @@ def process(answers: DataFrame, entities: DataFrame) -> dict[str, DataFrame]:
     activity. Self-loops go; the first of each (predecessor, successor, model) stays, others that differ from it count.
     """
     rows = answers.where((F.trim(F.coalesce("rationale", F.lit(""))) != "") & (F.trim("predecessor") != "") & (F.trim("successor") != ""))
-    known = entities.where("status <> 'merged'").groupBy(F.lower("name").alias("key")).agg(F.min_by("id", "seq").alias("found"))
+    known = entities.where("status <> 'merged'").groupBy(F.lower("name").alias("key")).agg(F.min_by("id", F.struct("seq", "id")).alias("found"))
     asked = rows.select(F.explode(F.array("predecessor", "successor")).alias("name"), "seq", "source_model")
     first = asked.groupBy(F.lower("name").alias("key")).agg(F.min(F.struct("seq", "name", "source_model")).alias("x"))
     all_ = first.join(known, "key", "left").withColumn("id", F.coalesce("found", name_key(F.lit("activity"), F.col("key"))))
@@ -200,8 +200,8 @@ def schema_classes(mentions: DataFrame, entities: DataFrame) -> tuple[DataFrame,
     first mention, with full confidence and origin schema.
     """
     rows = mentions.where(F.col("name").startswith("Ifc")).withColumn("key", F.lower("name"))
-    classes = entities.where("entity_type = 'ifc_class'").groupBy(F.lower("name").alias("key")).agg(F.max_by("id", "seq").alias("by_class"))
-    exact = entities.groupBy("name").agg(F.min_by("id", "seq").alias("by_name"))
+    classes = entities.where("entity_type = 'ifc_class'").groupBy(F.lower("name").alias("key")).agg(F.max_by("id", F.struct("seq", "id")).alias("by_class"))
+    exact = entities.groupBy("name").agg(F.min_by("id", F.struct("seq", "id")).alias("by_name"))
     one = rows.groupBy("key").agg(F.min(F.struct("seq", "name", "description")).alias("x")).select("key", "x.*")
     one = one.join(classes, "key", "left").join(exact, "name", "left").withColumn("id", F.coalesce("by_class", "by_name", name_key(F.lit("ifc_class"), F.col("key"))))
     new = one.where("by_class is null and by_name is null").select("id", "name", "description", F.lit("ifc_class").alias("entity_type"), F.lit("proposed").alias("status"), F.lit(1.0).alias("confidence"), F.lit("schema").alias("knowledge_origin"), "seq")

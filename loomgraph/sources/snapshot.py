@@ -49,7 +49,7 @@ def export_names(rows: DataFrame, entities: DataFrame, *columns: str) -> DataFra
 
 def import_names(rows: DataFrame, entities: DataFrame, *columns: str) -> DataFrame:
     """rows with <c>_resolved for each column: by exact name (the last of equals, merged ones too), then by id, else null."""
-    by_name = entities.groupBy("name").agg(F.max_by("id", "seq").alias("_by_name"))
+    by_name = entities.groupBy("name").agg(F.max_by("id", F.struct("seq", "id")).alias("_by_name"))
     ids = entities.select(F.col("id").alias("_id"))
     for c in columns:
         rows = rows.join(by_name, rows[c] == by_name["name"], "left").drop("name").join(ids, F.col(c) == F.col("_id"), "left")
