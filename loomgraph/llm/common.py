@@ -5,44 +5,31 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.session import remove, shared_dir
+
 #: A word, as the contracts define it: a run of anything but ASCII space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows up to which a list of keys is broadcast; its size is counted first, and longer lists are joined by shuffling.
 BROADCAST_ROWS = 200_000
 
-_own_dir: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="loomgraph-"))
-    return _own_dir[0]
-
-
 def save(df: DataFrame, name: str) -> str:
     """df as a Parquet table in the shared folder; its path. The table is removed when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
@@ -51,16 +38,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(save(df, name))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        sc = spark.sparkContext
-        if sc._jsc is not None:
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended first; the folder is scratch space
-        return
-
-
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run as a function of Arrow batches that gives its memory back when a task ends: Python workers are used again, and each stage has its own."""
 

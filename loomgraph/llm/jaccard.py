@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import fresh, lean, shared_dir, small, table, written
+from loomgraph.llm.common import fresh, lean, small, table, written
 from loomgraph.operators.components import components
-from loomgraph.session import ship
+from loomgraph.session import shared_dir, ship
 
 WORDS = 4
 PERCENT = 85
