@@ -63,14 +63,18 @@ class Codec:
         if self.single.issuperset(text):  # every position has a piece that ends there, better than any bytes
             best, back = [0.0] + [-1e300] * n, [None] * (n + 1)
             for end, piece in self.automaton.iter(text):
-                score = best[end + 1 - piece[0]] + piece[2]
-                if score > best[end + 1]:
-                    best[end + 1], back[end + 1] = score, piece
+                length, _, own = piece
+                end += 1
+                score = best[end - length] + own
+                if score > best[end]:
+                    best[end], back[end] = score, piece
             ids, end = [], n
             while end:
-                ids.append(back[end][1])
-                end -= back[end][0]
-            return ids[::-1]
+                length, i, _ = back[end]
+                ids.append(i)
+                end -= length
+            ids.reverse()
+            return ids
         best, back = [0.0] * (n + 1), [None] * (n + 1)
         found = self.automaton.iter(text)
         hit = next(found, None)
