@@ -1,4 +1,4 @@
-"""Average-linkage clusters and optimal matching, in Pandas functions over groups that a threshold keeps small."""
+"""Average-linkage clusters in rounds over blocks, and optimal matching in a Pandas function over small groups."""
 
 from __future__ import annotations
 
@@ -7,53 +7,135 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators.components import components
-from loomgraph.operators.normalise import similar_pairs
-from loomgraph.session import ship
+from loomgraph.session import Scratch, ship
 
+#: Rows of a block: one task holds two blocks, and a matrix of one block by itself in the last step.
+BLOCK = 4096
 
-def linkage(vectors: np.ndarray, threshold: float, strict: bool) -> np.ndarray:
-    """Labels of average-linkage clusters by cosine distance; merging stops at the threshold (below it if strict)."""
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = vectors / np.where(norms > 0, norms, 1)
-    dist = 1 - np.clip(unit @ unit.T, -1, 1)
-    labels = np.arange(len(vectors))
-    live = list(range(len(vectors)))
-    size = np.ones(len(vectors))
+
+def linkage(sums: np.ndarray, sizes: np.ndarray, threshold: float, strict: bool) -> np.ndarray:
+    """Labels of average-linkage clusters of clusters, given as sums of unit vectors and sizes, by chains of nearest neighbours.
+
+    A label is the place of a cluster's first member. A cluster whose nearest neighbour is beyond the threshold is
+    finished: no merge of others brings them nearer.
+    """
+    mean, size = sums / sizes[:, None], sizes.astype(float)
+    dist = 1 - np.clip(np.round(mean @ mean.T, 12), -1, 1)
     np.fill_diagonal(dist, np.inf)
-    while len(live) > 1:
-        part = dist[np.ix_(live, live)]
-        i, j = divmod(int(part.argmin()), len(live))
-        if not (part[i, j] < threshold or (not strict and part[i, j] <= threshold)):
-            break
-        a, b = sorted((live[i], live[j]))
-        dist[a] = dist[:, a] = (size[a] * dist[a] + size[b] * dist[b]) / (size[a] + size[b])
-        dist[a, a] = np.inf
-        size[a] += size[b]
-        labels[labels == b] = a
-        live.remove(b)
+    labels, live, chain = np.arange(len(sums)), np.ones(len(sums), bool), []
+    while live.any():
+        if not chain:
+            chain = [int(live.argmax())]
+        a = chain[-1]
+        b = int(dist[a].argmin())
+        if not (dist[a, b] < threshold or (not strict and dist[a, b] <= threshold)):
+            live[a], dist[a], dist[:, a] = False, np.inf, np.inf
+            chain.pop()
+        elif len(chain) > 1 and dist[a, chain[-2]] <= dist[a, b]:
+            low, high = sorted((a, chain[-2]))
+            dist[low] = dist[:, low] = (size[low] * dist[low] + size[high] * dist[high]) / (size[low] + size[high])
+            size[low] += size[high]
+            dist[low, low], dist[high], dist[:, high], live[high] = np.inf, np.inf, np.inf, False
+            labels[labels == high] = low
+            chain = chain[:-2]
+        else:
+            chain.append(b)
     return labels
 
 
-def average_linkage(items: DataFrame, threshold: float, strict: bool = True, block: str | None = None) -> DataFrame:
-    """(id, cluster): exact average-linkage clusters of items (id, vector), named by their smallest id.
+def _unit(vector: str):
+    """vector over its norm; null where it has none (zero, null or not finite)."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when((norm > 0) & (norm < float("inf")), F.transform(vector, lambda x: x.cast("double") / norm))
 
-    Every cluster lies in one component of the pairs within the threshold, and merges in different components do not
-    touch, so components are clustered on their own.
-    """
-    ship(items.sparkSession)
-    pairs = similar_pairs(items, items, round(1 - threshold - 1e-6, 9), block)
-    comps = components(pairs).select(F.col("node").alias("id"), "component")
-    rows = items.join(comps, "id").select("id", "component", "vector")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id").reset_index(drop=True)
-        labels = linkage(np.array(part["vector"].tolist(), float), threshold, strict)
-        return pd.DataFrame({"id": part["id"], "cluster": part["id"].to_numpy()[labels]})
+def _nearest(live: DataFrame, threshold: float, strict: bool, blocks: int) -> DataFrame:
+    """(cluster, other) of live (cluster, s, n): the neighbour of least distance within the threshold, the smaller name of equals.
 
-    kind = dict(items.dtypes)["id"]
-    found = rows.groupBy("component").applyInPandas(run, f"id {kind}, cluster {kind}")
-    return found.unionByName(items.join(comps, "id", "left_anti").select("id", F.col("id").alias("cluster")))
+    Each pair is scored once, in the task of its two blocks, so both ends see the same number; a task returns the best of
+    each row and column.
+    """
+    place = F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int")
+    rows = live.select(F.size("s").alias("dim"), place.alias("p"), "cluster", F.transform("s", lambda x: x / F.col("n")).alias("mean"))
+    left = rows.select("dim", F.col("p").alias("i"), F.explode(F.sequence("p", F.lit(blocks - 1))).alias("j"), "cluster", "mean")
+    right = rows.select("dim", F.explode(F.sequence(F.lit(0), "p")).alias("i"), F.col("p").alias("j"), "cluster", "mean")
+    kind = dict(live.dtypes)["cluster"]
+
+    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"cluster": [], "d": [], "other": []})
+        x, y = (side.sort_values("cluster", ignore_index=True) for side in (x, y))
+        u, v = (np.array(side["mean"].tolist(), float) for side in (x, y))
+        same, out = key[1] == key[2], []
+        top, at = np.full(len(y), np.inf), np.zeros(len(y), int)
+        for start in range(0, len(x), 512):
+            dist = 1 - np.clip(np.round(u[start : start + 512] @ v.T, 12), -1, 1)
+            if same:
+                dist[np.arange(len(y))[None, :] <= np.arange(start, start + len(dist))[:, None]] = np.inf
+            b, least = dist.argmin(1), dist.min(1)
+            ok = least <= threshold
+            out.append(pd.DataFrame({"cluster": x["cluster"].to_numpy()[start : start + 512][ok], "d": least[ok], "other": y["cluster"].to_numpy()[b[ok]]}))
+            a, least = dist.argmin(0), dist.min(0)
+            nearer = least < top
+            top[nearer], at[nearer] = least[nearer], start + a[nearer]
+        ok = top <= threshold
+        out.append(pd.DataFrame({"cluster": y["cluster"].to_numpy()[ok], "d": top[ok], "other": x["cluster"].to_numpy()[at[ok]]}))
+        return pd.concat([o for o in out if len(o)] or out[:1], ignore_index=True)
+
+    keys = ["dim", "i", "j"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"cluster {kind}, d double, other {kind}")
+    near = found.where(F.col("d") < threshold if strict else F.col("d") <= threshold)
+    return near.groupBy("cluster").agg(F.min(F.struct("d", "other")).alias("best")).select("cluster", "best.other")
+
+
+def average_linkage(items: DataFrame, threshold: float, strict: bool = True, block: int = BLOCK) -> DataFrame:
+    """(id, cluster): exact average-linkage clusters of items (id, vector) by cosine distance, named by their smallest id.
+
+    Merging stops at the threshold (below it if strict). A cluster is its size and the sum of its unit vectors, whose
+    products give the mean distance of two clusters, so no cluster is gathered. Equal vectors are one cluster from the
+    start. In each round all pairs that are each other's nearest merge at once, which leads to the same clusters as one
+    merge after another; a cluster without neighbour within the threshold is finished. When at most block clusters are
+    left, one task does the rest. Among equal distances the smaller names merge first. A vector that is null, zero or
+    holds what is null or not finite stays alone, and vectors of different lengths never merge.
+    """
+    ship(items.sparkSession)
+    save = Scratch(items, "linkage")
+    rows = save(items.select("id", _unit("vector").alias("v")))
+    kind = dict(rows.dtypes)["id"]
+    groups = save(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    live = save(groups.select(F.col("rep").alias("cluster"), F.transform("v", lambda x: x * F.col("n")).alias("s"), "n"))
+    roots = save(groups.select("rep", F.col("rep").alias("cluster")))
+
+    def moved(roots: DataFrame, merges: DataFrame) -> DataFrame:
+        """roots after merges (old, new)."""
+        return save(roots.join(merges, F.col("cluster") == F.col("old"), "left").select("rep", F.coalesce("new", "cluster").alias("cluster")))
+
+    while (left := live.count()) > block:
+        near = save(_nearest(live, threshold, strict, -(-left // block)))
+        if near.isEmpty():
+            live = live.limit(0)
+            break
+        back = near.select(F.col("cluster").alias("new"), F.col("other").alias("old"))
+        merges = save(near.join(back, (F.col("cluster") == F.col("old")) & (F.col("other") == F.col("new"))).where("new < old").select("old", "new"))
+        gone = merges.join(live, F.col("old") == F.col("cluster")).select("new", F.col("s").alias("s2"), F.col("n").alias("n2"))
+        stay = live.join(near, "cluster", "left_semi").join(merges, F.col("cluster") == F.col("old"), "left_anti").join(gone, F.col("cluster") == F.col("new"), "left")
+        summed = F.when(F.col("s2").isNull(), F.col("s")).otherwise(F.zip_with("s", "s2", lambda x, y: x + y))
+        live = save(stay.select("cluster", summed.alias("s"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")))
+        roots = moved(roots, merges)
+
+    def finish(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("cluster", ignore_index=True)
+        labels = linkage(np.array(part["s"].tolist(), float), part["n"].to_numpy(float), threshold, strict)
+        return pd.DataFrame({"old": part["cluster"], "new": part["cluster"].to_numpy()[labels]})
+
+    rest = live.withColumn("dim", F.size("s")).groupBy("dim").applyInPandas(finish, f"old {kind}, new {kind}")
+    named = save(groups.join(moved(roots, rest), "rep"))
+    alone = named.where("n = 1").select(F.col("rep").alias("id"), "cluster")
+    # A vector that many rows share is a hot key: its rows are dealt over salts.
+    salts = 16
+    copies = named.where("n > 1").select("v", "cluster", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    many = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(copies, ["v", "salt"]).select("id", "cluster")
+    return alone.unionByName(many).unionByName(rows.where("v is null").select("id", F.col("id").alias("cluster")))
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:

@@ -108,26 +108,21 @@ def oQ7_forces_membership(t):
     return _supplier_lists(t).where(F.array_contains("affects", "S3")).select("id")
 
 
-@query("SELECT coalesce(s.name, r.subject_id) AS subject, r.relation, coalesce(o.name, r.object_id) AS object FROM kg_spatial r LEFT JOIN kg_entities s ON s.id = r.subject_id LEFT JOIN kg_entities o ON o.id = r.object_id WHERE r.subject_id LIKE 'N%' OR r.object_id LIKE 'N%'")
+@query("SELECT coalesce(s.name, r.subject_id) AS subject, r.relation, coalesce(o.name, r.object_id) AS object FROM kg_spatial r LEFT JOIN kg_entities s ON s.id = r.subject_id LEFT JOIN kg_entities o ON o.id = r.object_id WHERE r.subject_id IN (SELECT id FROM kg_entities) OR r.object_id IN (SELECT id FROM kg_entities)")
 def oQ8_spatial(t):
-    ids = t.kg_entities.where("id like 'N%'").select("id")
-    return knowledge.touching(t.kg_spatial, t.kg_entities, ids).select("subject", "relation", "object")
+    return knowledge.touching(t.kg_spatial, t.kg_entities, t.kg_entities.select("id")).select("subject", "relation", "object")
 
 
-START = "SELECT src FROM kg_process_dag WHERE CAST(substr(src, 2) AS BIGINT) % 50 = 0"
-
-
-@query(f"""WITH RECURSIVE w AS (SELECT DISTINCT src AS start, src AS node, 0 AS depth FROM kg_process_dag WHERE src IN ({START})
-UNION SELECT w.start, d.dst, w.depth + 1 FROM w JOIN kg_process_dag d ON d.src = w.node WHERE w.depth < 5) SELECT start, node, min(depth)::INTEGER AS depth FROM w GROUP BY start, node""")
+@query("""WITH RECURSIVE w AS (SELECT DISTINCT src AS start, src AS node, 0 AS depth FROM kg_process_dag
+UNION SELECT w.start, d.dst, w.depth + 1 FROM w JOIN kg_process_dag d ON d.src = w.node WHERE w.depth < 50) SELECT start, node, min(depth)::INTEGER AS depth FROM w GROUP BY start, node""")
 def oQ9_process_levels(t):
     dag = t.kg_process_dag
-    start = dag.where(F.substring("src", 2, 20).cast("long") % 50 == 0).select(F.col("src").alias("start"), F.col("src").alias("node"))
-    return graph.reachable(dag, start, 5)
+    return graph.reachable(dag, dag.select(F.col("src").alias("start"), F.col("src").alias("node")), 50)
 
 
 @query()
 def oQ9_process_around(t):
-    """From every order, in both directions, as far as the reference goes; oQ9_process_levels and its SQL take five steps forward from some."""
+    """From every order, in both directions; oQ9_process_levels goes forward only."""
     dag = t.kg_process_dag
     nodes = dag.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     return graph.around(dag, nodes.select(F.col("node").alias("start"), "node"), 50)
@@ -142,17 +137,9 @@ def oQ9_topo_levels(t):
 COS = "round(list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / sqrt(list_sum(list_transform({a}, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform({b}, lambda x: x::DOUBLE * x::DOUBLE))), 6)"
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, v.label, {COS.format(a='q.embedding', b='v.embedding')} AS score FROM embeddings q JOIN embeddings v ON q.vec_id < 10),
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, v.label, {COS.format(a='q.embedding', b='v.embedding')} AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS n FROM s WHERE score >= 0.1) SELECT query_id, item_id, score FROM r WHERE n <= 10 AND label <> 3""")
 def oQ10_search(t):
-    v = t.embeddings.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
-    q = v.where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("vector").alias("query_vector"))
-    return knowledge.search(q, v.select("item_id", "vector"), v.where("label <> 3"), 10, 0.1)
-
-
-@query()
-def oQ10_search_all(t):
-    """Every vector whose id is divisible by 100 is a query; oQ10_search and its SQL ask for ten."""
     v = t.embeddings.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
     q = v.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("vector").alias("query_vector"))
     return knowledge.search(q, v.select("item_id", "vector"), v.where("label <> 3"), 10, 0.1)
@@ -293,22 +280,15 @@ def oE12_chunks(t):
     return integrity.chunks(t.documents.select("doc_id", "text")).select("doc_id", "chunk", F.length("piece").alias("chars"))
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, {COS.format(a='a.embedding', b='b.embedding')} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {COS.format(a='a.embedding', b='b.embedding')} >= 0.25")
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, {COS.format(a='a.embedding', b='b.embedding')} AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COS.format(a='a.embedding', b='b.embedding')} >= 0.25")
 def oV1_cosine_pairs(t):
-    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return normalise.similar_pairs(v, v, 0.25, "label")
+    return normalise.similar_pairs(_vectors(t), _vectors(t), 0.25)
 
 
 def _vectors(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-@query()
-def oV1_cosine_pairs_global(t):
-    """The pairs of all labels; oV1_cosine_pairs and its SQL are those within a label."""
-    return normalise.similar_pairs(_vectors(t), _vectors(t), 0.25)
-
-
 @query("""WITH d AS (SELECT id, count(*) AS degree FROM (SELECT subject_id AS id FROM kg_assertions UNION ALL SELECT object_id FROM kg_assertions WHERE object_id <> subject_id) GROUP BY id),
 m AS (SELECT p_name AS cluster, 'P' || p_partkey AS id, p_partkey AS seq, coalesce(degree, 0) AS degree FROM part LEFT JOIN d ON d.id = 'P' || p_partkey)
 SELECT id, cluster, first_value(id) OVER (PARTITION BY cluster ORDER BY degree DESC, seq) AS canonical FROM m""")
@@ -317,25 +297,14 @@ def oV6_election(t):
     return normalise.elect(members, normalise.degrees(t.kg_assertions)).select("id", "cluster", "canonical")
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE {COS.format(a='a.embedding', b='b.embedding')} >= 0.3),
+@query(f"""WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {COS.format(a='a.embedding', b='b.embedding')} >= 0.3),
 w AS (SELECT a AS node, a AS other FROM p UNION SELECT w.node, p.b FROM w JOIN p ON p.a = w.other) SELECT node, min(other) AS component FROM w GROUP BY node""")
 def oV4_components(t):
-    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return graph.components(normalise.similar_pairs(v, v, 0.3, "label"))
-
-
-@query()
-def oV4_clusters(t):
-    return clustering.average_linkage(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"), 0.7, True, "label")
-
-
-@query()
-def oV4_components_global(t):
     return graph.components(normalise.similar_pairs(_vectors(t), _vectors(t), 0.3))
 
 
 @query()
-def oV4_clusters_global(t):
+def oV4_clusters(t):
     return clustering.average_linkage(_vectors(t), 0.7)
 
 
@@ -345,30 +314,24 @@ def oV7_lap(t):
     return clustering.match_framings(rows, 0.2).withColumn("consistency", F.round("consistency", 6))
 
 
-@query(f"""WITH s AS (SELECT v.vec_id AS id, c.vec_id AS best, {COS.format(a='v.embedding', b='c.embedding')} AS score FROM embeddings v JOIN embeddings c ON c.vec_id < 9),
+@query(f"""WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), y AS (SELECT label, pos, avg(x) AS x FROM x GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY pos) AS mean FROM y GROUP BY 1),
+s AS (SELECT v.vec_id AS id, c.label AS best, {COS.format(a='v.embedding', b='c.mean')} AS score FROM embeddings v CROSS JOIN c),
 m AS (SELECT id, max({{'score': score, 'best': best}}) AS m FROM s GROUP BY id) SELECT id, m.best AS best, m.score AS score, CASE WHEN m.score >= 0.3 THEN 'auto' WHEN m.score >= 0.15 THEN 'ambiguous' ELSE 'pending' END AS band FROM m""")
 def oN4_bands(t):
-    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return normalise.bands(normalise.best_match(v, v.where("id < 9")), 0.3, 0.15)
-
-
-@query()
-def oN4_bands_centroids(t):
-    """Candidates are the centroids of all labels; oN4_bands and its SQL take nine vectors."""
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     return normalise.bands(normalise.best_match(v.select("id", "vector"), normalise.centroids(v)), 0.3, 0.15)
 
 
-@query("SELECT l_partkey, l_orderkey, i.id AS item_id FROM (SELECT l_partkey, l_orderkey, ' ' || upper(p_name) AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1) r LEFT JOIN (SELECT lower(trim(p_name)) AS key, arg_min('P' || p_partkey, p_partkey) AS id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) i ON i.key = lower(trim(r.name))")
+@query("SELECT l_partkey, l_orderkey, l_linenumber, i.id AS item_id FROM (SELECT l_partkey, l_orderkey, l_linenumber, ' ' || upper(p_name) AS name FROM lineitem JOIN part ON l_partkey = p_partkey) r LEFT JOIN (SELECT lower(trim(p_name)) AS key, arg_min('P' || p_partkey, p_partkey) AS id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) i ON i.key = lower(trim(r.name))")
 def oN1_references(t):
-    refs = t.lineitem.where("l_linenumber = 1").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_partkey", "l_orderkey", F.concat(F.lit(" "), F.upper("p_name")).alias("name"))
+    refs = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_partkey", "l_orderkey", "l_linenumber", F.concat(F.lit(" "), F.upper("p_name")).alias("name"))
     items = t.part.where("p_partkey % 2 = 0").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("seq"))
-    return normalise.resolve_references(refs, items).select("l_partkey", "l_orderkey", "item_id")
+    return normalise.resolve_references(refs, items).select("l_partkey", "l_orderkey", "l_linenumber", "item_id")
 
 
 @query()
 def oN1_references_similar(t):
-    """All lines, by name and else by cosine; oN1_references and its SQL take the first lines and names. Part p has vector p modulo their number."""
+    """By name and else by cosine; oN1_references and its SQL go by name only. Part p has vector p modulo their number."""
     vectors = t.embeddings.select(F.col("vec_id").alias("at"), F.col("embedding").alias("vector"))
     parts = t.part.crossJoin(vectors.agg(F.count("*").alias("n"))).withColumn("at", F.expr("p_partkey % n")).join(vectors, "at", "left")
     refs = t.lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_partkey", "l_orderkey", "l_linenumber", F.concat(F.lit(" "), F.upper("p_name")).alias("name"), "vector")

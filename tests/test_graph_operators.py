@@ -103,21 +103,46 @@ def global_pairs(spark, least):
 def test_global_pairs_and_components_cross_labels(spark):
     rows, _, want = global_pairs(spark, 0.25)
     label = {r["vec_id"]: r["label"] for r in rows}
-    assert {(r["a"], r["b"]) for r in catalogue.QUERIES["oV1_cosine_pairs_global"](spark, SF).collect()} == want
+    assert {(r["a"], r["b"]) for r in catalogue.QUERIES["oV1_cosine_pairs"](spark, SF).collect()} == want
     assert any(label[a] != label[b] for a, b in want)
     near = global_pairs(spark, 0.3)[2]
     comp = {i: i for p in near for i in p}
     for a, b in near:
         low, high = sorted((comp[a], comp[b]))
         comp = {k: low if c == high else c for k, c in comp.items()}
-    assert {r["node"]: r["component"] for r in catalogue.QUERIES["oV4_components_global"](spark, SF).collect()} == comp
+    assert {r["node"]: r["component"] for r in catalogue.QUERIES["oV4_components"](spark, SF).collect()} == comp
+
+
+def plain_linkage(vectors, threshold, strict=True):
+    """One merge after another of the two nearest clusters, from all distances."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    dist, groups = 1 - unit @ unit.T, [[i] for i in range(len(vectors))]
+    while len(groups) > 1:
+        d, x, y = min((dist[np.ix_(groups[x], groups[y])].mean(), x, y) for x, y in itertools.combinations(range(len(groups)), 2))
+        if not (d < threshold or (not strict and d <= threshold)):
+            break
+        groups[x] += groups.pop(y)
+    return {i: min(g) for g in groups for i in g}
 
 
 def test_global_clusters_are_average_linkage_of_all(spark):
     rows = sorted(global_pairs(spark, 0.3)[0], key=lambda r: r["vec_id"])
-    labels = clustering.linkage(np.array([r["embedding"] for r in rows], float), 0.7, True)
-    got = {r["id"]: r["cluster"] for r in catalogue.QUERIES["oV4_clusters_global"](spark, SF).collect()}
-    assert got == {r["vec_id"]: rows[labels[i]]["vec_id"] for i, r in enumerate(rows)}
+    want = plain_linkage(np.array([r["embedding"] for r in rows[:120]], float), 0.7)
+    df = spark.createDataFrame([(i, r["embedding"]) for i, r in enumerate(rows[:120])], "id long, vector array<float>")
+    for block in (7, 40, 4096):
+        assert {r["id"]: r["cluster"] for r in clustering.average_linkage(df, 0.7, block=block).collect()} == want
+    whole, parts = ({r["id"]: r["cluster"] for r in clustering.average_linkage(df, 0.8, block=b).collect()} for b in (4096, 16))
+    assert whole == parts and len(set(whole.values())) < len(set(want.values()))
+    assert len(catalogue.QUERIES["oV4_clusters"](spark, SF).collect()) == len(rows)
+
+
+def test_linkage_of_copies_and_odd_vectors(spark):
+    v = [(i, [1.0, 0.0]) for i in range(40)] + [(i, [2.0, 0.0]) for i in range(40, 60)] + [(60, [0.0, 0.0]), (61, None), (62, [1.0, None]), (63, [float("nan"), 1.0]), (64, [1.0, 0.0, 0.0]), (65, [5.0, 0.0, 0.0]), (66, [])]
+    df = spark.createDataFrame(v, "id long, vector array<double>")
+    for block in (1, 4096):
+        got = clustering.average_linkage(df, 0.3, block=block).collect()
+        assert {r["id"]: r["cluster"] for r in got} == {**dict.fromkeys(range(60), 0), 60: 60, 61: 61, 62: 62, 63: 63, 64: 64, 65: 64, 66: 66} and len(got) == len(v)
+    assert clustering.average_linkage(df.limit(0), 0.3).count() == 0
 
 
 def test_search_answers_every_hundredth_vector(spark):
@@ -127,7 +152,7 @@ def test_search_answers_every_hundredth_vector(spark):
         if r["vec_id"] % 100 == 0:
             best = sorted((-score[i, j], rows[j]["vec_id"], j) for j in range(len(rows)) if score[i, j] >= 0.1)[:10]
             want += [(r["vec_id"], item) for _, item, j in best if rows[j]["label"] != 3]
-    assert sorted((r["query_id"], r["item_id"]) for r in catalogue.QUERIES["oQ10_search_all"](spark, SF).collect()) == sorted(want)
+    assert sorted((r["query_id"], r["item_id"]) for r in catalogue.QUERIES["oQ10_search"](spark, SF).collect()) == sorted(want)
 
 
 def test_search_takes_queries_in_blocks(spark):
@@ -152,7 +177,7 @@ def test_bands_meet_all_centroids(spark):
     mean = {k: np.mean(np.array(v, float), axis=0) for k, v in by.items()}
     cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 6)
     want = {r["vec_id"]: max((cos(r["embedding"], m), k) for k, m in mean.items()) for r in rows}
-    got = catalogue.QUERIES["oN4_bands_centroids"](spark, SF).collect()
+    got = catalogue.QUERIES["oN4_bands"](spark, SF).collect()
     assert {r["id"]: (r["score"], r["best"]) for r in got} == want
     assert all(r["band"] == ("auto" if r["score"] >= 0.3 else "ambiguous" if r["score"] >= 0.15 else "pending") for r in got)
 
