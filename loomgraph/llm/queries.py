@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, exact_dedup, jaccard, licenses, mixing, pieces, quality, sharding, topk, toxicity
+from loomgraph.llm import chat, erasure, exact_dedup, jaccard, licenses, mixing, pieces, quality, sharding, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_pieces": pieces.op9_pieces,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_erasure": erasure.op11_erasure,
 }
 #: Where there is none, SQL cannot express the operator or takes too long on whole tables; tests/llm has a brute-force version.
 SQL = {
