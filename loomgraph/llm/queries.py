@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, erasure, exact_dedup, jaccard, licenses, mixing, pieces, quality, sharding, topk, toxicity
+from loomgraph.llm import chat, erasure, exact_dedup, jaccard, licenses, manifest, mixing, pieces, quality, sharding, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pieces": pieces.op9_pieces,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_erasure": erasure.op11_erasure,
+    "op12_manifest": manifest.op12_manifest,
 }
 #: Where there is none, SQL cannot express the operator or takes too long on whole tables; tests/llm has a brute-force version.
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op7_licenses": licenses.OP7_SQL,
     "op8_topk": topk.OP8_SQL,
+    "op12_manifest": manifest.OP12_SQL,
 }
