@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, erasure, exact_dedup, jaccard, licenses, manifest, mixing, pieces, quality, sharding, topk, toxicity
+from loomgraph.llm import chat, erasure, exact_dedup, jaccard, licenses, manifest, mixing, pieces, quality, sharding, topk, toxicity, url_filters
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_erasure": erasure.op11_erasure,
     "op12_manifest": manifest.op12_manifest,
+    "op13_url_filters": url_filters.op13_url_filters,
 }
 #: Where there is none, SQL cannot express the operator or takes too long on whole tables; tests/llm has a brute-force version.
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op7_licenses": licenses.OP7_SQL,
     "op8_topk": topk.OP8_SQL,
     "op12_manifest": manifest.OP12_SQL,
+    "op13_url_filters": url_filters.OP13_SQL,
 }
