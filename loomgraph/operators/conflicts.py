@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, lifecycle, normalise
+from loomgraph.operators import graph, lifecycle, normalise, similarity
 
 BAD = ("conflicted", "deprecated")
 LIVE = ("proposed", "accepted")
@@ -31,12 +31,10 @@ def candidates(items: DataFrame, vectors: DataFrame, known: DataFrame, threshold
     play no part.
     """
     live = items.where(F.col("status").isin(*LIVE)).select("id", "evaluated").join(vectors.select("id", "vector"), "id")
-    pairs = normalise.similar_pairs(live, live, threshold)
-    new = live.where("not evaluated").select("id")
-    first = pairs.join(new, F.col("a") == F.col("id"), "left_semi").select(F.col("a").alias("item_a_id"), F.col("b").alias("item_b_id"), "score")
-    rest = pairs.join(new, F.col("a") == F.col("id"), "left_anti").join(new, F.col("b") == F.col("id"), "left_semi").select(F.col("b").alias("item_a_id"), F.col("a").alias("item_b_id"), "score")
+    pairs = similarity.delta_pairs(live.where("not evaluated"), live, threshold)
+    found = pairs.select(F.col("a").alias("item_a_id"), F.col("b").alias("item_b_id"), "score")
     seen = unordered(known).select("low", "high")
-    return unordered(first.unionByName(rest)).join(seen, ["low", "high"], "left_anti").drop("low", "high")
+    return unordered(found).join(seen, ["low", "high"], "left_anti").drop("low", "high")
 
 
 def apply_classes(items: DataFrame, classified: DataFrame, item_type: str, conflicted: int = 0, cap: int = QUEUE_CAP, limit: int | None = None) -> dict[str, DataFrame]:

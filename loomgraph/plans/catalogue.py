@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import decode_list, has_any_word, in_context, review_threshold, word_forms
 from loomgraph.operators import clustering, graph, integrity, knowledge, lifecycle, normalise
 from loomgraph.plans.projection import table, view, with_views
-from loomgraph.session import Scratch
+from loomgraph.session import Scratch, shared_dir
 from loomgraph.sources import snapshot
-from loomgraph.streaming import transitions
+from loomgraph.streaming import arrivals, transitions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -531,4 +533,11 @@ def oT2_latest(t):
     return transitions.latest(t.kg_log)
 
 
+@query()
+def oT3_stream(t):
+    """Clicks as a stream in order of arrival, in three starts on one checkpoint, with late and repeated rows: counts by hour and kind."""
+    events = t.clicks.select(F.col("click_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.col("arrived_at").cast("timestamp").alias("arrived"), "kind", "value")
+    return arrivals.replay(events, f"{shared_dir(t.spark)}/loomgraph-stream-{uuid.uuid4().hex}")
+
+
 from loomgraph.plans import graph_queries, store_queries  # noqa: E402, F401  (they add their queries)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import decode_list, pattern_section, slug
-from loomgraph.operators import conflicts, graph, lifecycle, normalise
+from loomgraph.operators import conflicts, graph, lifecycle, normalise, similarity
 from loomgraph.plans.catalogue import BUSY, COS, JOINS, NAMED, _trade, query
 
 LIVE = "status IN ('accepted', 'proposed')"
@@ -228,3 +228,25 @@ def oQ13_assertions(t):
 
     ids = t.rows([("P1",), ("P2",), ("S3",)], "id string")
     return assertion_query(t.kg_assertions, t.kg_entities, ids, 0.7, True).select("id", "subject", "predicate", "object", "status")
+
+
+NEW = f"""(SELECT vec_id AS id, embedding, label = 7 AS new FROM embeddings WHERE vec_id % 5 <> 4)"""
+
+
+def _delta(t):
+    """Items of label 7 came after the last batch and are not evaluated; all that are proposed are live."""
+    live = t.embeddings.where("vec_id % 5 <> 4").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return live.where("label = 7"), live
+
+
+@query(f"""WITH p AS (SELECT a.id AS a, b.id AS b, {COS.format(a='a.embedding', b='b.embedding')} AS score FROM {NEW} a JOIN {NEW} b ON a.new AND a.id <> b.id AND (NOT coalesce(b.new, false) OR a.id < b.id))
+SELECT a, b, score FROM p WHERE score >= 0.4""")
+def oN10_delta(t):
+    """Each item that came new against all live ones."""
+    return similarity.delta_pairs(*_delta(t), 0.4)
+
+
+@query()
+def oN10_work(t):
+    """What oN10_delta meets and scores, beside the square of the live items."""
+    return similarity.work(*_delta(t), 0.4)
