@@ -11,7 +11,7 @@ from loomgraph.functions.scalars import decode_list, has_any_word, in_context, r
 from loomgraph.operators import clustering, graph, integrity, knowledge, lifecycle, normalise
 from loomgraph.plans.projection import table, view, with_views
 from loomgraph.session import Scratch, shared_dir
-from loomgraph.sources import snapshot
+from loomgraph.sources import snapshot, store
 from loomgraph.streaming import arrivals, transitions
 
 QUERIES: dict = {}
@@ -540,4 +540,27 @@ def oT3_stream(t):
     return arrivals.replay(events, f"{shared_dir(t.spark)}/loomgraph-stream-{uuid.uuid4().hex}")
 
 
+@query()
+def oT4_changes(t):
+    """The last state of every client, its changes streamed into a versioned store."""
+    return arrivals.replay_changes(t.client_changes, f"{shared_dir(t.spark)}/loomgraph-changes-{uuid.uuid4().hex}")
+
+
+@query()
+def oS13_store(t):
+    """Entities after a version of four tables, an upsert by which proposed ones that an accepted assertion names are accepted, and a writer that died."""
+    versions = store.Store(t.spark, f"{shared_dir(t.spark)}/loomgraph-store-{uuid.uuid4().hex}")
+    versions.commit({"entities": store.keyed(t.kg_entities.withColumn("revision", F.lit(0))), "assertions": t.kg_assertions, "aliases": t.kg_aliases, "spatial": t.kg_spatial}, keys={"entities": ["id"]})
+    old = versions.read()
+    named = old["assertions"].where("status = 'accepted'").select(F.explode(F.array("subject_id", "object_id")).alias("id")).distinct()
+    risen = store.live(old["entities"]).where("status = 'proposed'").join(named, "id", "left_semi").withColumn("status", F.lit("accepted")).withColumn("revision", F.lit(1))
+    versions.upsert("entities", risen, ["revision"])
+    try:
+        versions.commit({"entities": t.kg_entities.withColumn("status", F.when(F.rand(1) >= 0, F.raise_error(F.lit("died"))).otherwise("lost")), "assertions": t.kg_assertions.limit(0)})
+    except Exception as error:  # the writer's; readers do not see it
+        if "died" not in str(error):
+            raise
+    return store.live(versions.read()["entities"]).select("id", "name", "status", "revision")
+
+
 from loomgraph.plans import graph_queries, store_queries  # noqa: E402, F401  (they add their queries)

@@ -13,30 +13,18 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import decode_list, encode_list, parse_date
 from loomgraph.session import ship
-
-VERSION = 1
+from loomgraph.sources.store import Store
 
 
 def save_store(tables: dict[str, DataFrame], path: str) -> None:
-    """Every table as Parquet below path, then a manifest: a reader that finds the manifest finds whole tables."""
-    spark = next(iter(tables.values())).sparkSession
-    counts = {}
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        counts[name] = spark.read.parquet(f"{path}/{name}").count()
-    manifest = [(json.dumps({"version": VERSION, "tables": counts, "id": uuid.uuid4().hex}),)]
-    spark.createDataFrame(manifest, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_manifest")
+    """tables, and no others, as the next version of the store in path: readers see it at once and whole, or not at all."""
+    store = Store(next(iter(tables.values())).sparkSession, path)
+    store.commit(tables, drop=tuple(store.manifest()["tables"]))
 
 
 def load_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    manifest = json.loads(spark.read.text(f"{path}/_manifest").first()["value"])
-    if manifest["version"] != VERSION:
-        raise ValueError(f"version {manifest['version']}, not {VERSION}")
-    out = {name: spark.read.parquet(f"{path}/{name}") for name in manifest["tables"]}
-    for name, n in manifest["tables"].items():
-        if out[name].count() != n:
-            raise ValueError(f"{name}: {out[name].count()} rows, not {n}")
-    return out
+    """The tables of the last version; a ValueError where a part is not as it was written, or the format is a newer one."""
+    return Store(spark, path).read()
 
 
 def export_names(rows: DataFrame, entities: DataFrame, *columns: str) -> DataFrame:

@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.sources.store import Store, keyed, live
+
 #: Columns of an event, and its types in the stream.
 EVENT = "id long, at timestamp, arrived timestamp, kind string, value double"
 COUNTS = "start timestamp, kind string, n long, cents long"
@@ -94,3 +96,40 @@ def replay(events: DataFrame, folder: str, late: str = "4 days", width: str = "1
     end_mark(events, late, width).write.parquet(f"{landing}/end")
     run(spark, landing, checkpoint, out, late, width)
     return results(spark, out)
+
+
+def merge(spark: SparkSession, landing: str, checkpoint: str, store: Store, name: str, schema: str, latest: list[str], gone: str, after: Callable[[int], None] | None = None) -> None:
+    """Takes what has landed since the last run into a keyed table of a store, a version for each batch, and ends.
+
+    A batch that is run again, after a crash between the store's commit and the stream's, finds its number applied and
+    changes nothing. gone is the condition under which a row deletes its key.
+    """
+    stream = spark.readStream.schema(schema).parquet(f"{landing}/*")
+
+    def write(rows: DataFrame, number: int) -> None:
+        store.upsert(name, rows, latest, stream=checkpoint, batch=number, gone=F.expr(gone))
+        if after:
+            after(number)
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+CHANGE = "change_id long, client_id long, seq long, op string, valid_at timestamp_ntz, source string, segment string, city string, balance double"
+
+
+def replay_changes(changes: DataFrame, folder: str, slices: int = 3, buckets: int = 8) -> DataFrame:
+    """The state of every client after its changes came as a stream into a store in folder, in slices by change_id and a start for each.
+
+    changes has the columns of CHANGE. Of a client's changes that of the greatest seq counts, of equals that of the
+    greatest change_id, whenever it came; op D deletes. Changes without a client are refused. Repeats change nothing.
+    """
+    spark = changes.sparkSession
+    known = changes.where("client_id is not null").select([c.split()[0] for c in CHANGE.split(", ")])
+    store, landing = Store(spark, f"{folder}/store"), f"{folder}/landing"
+    store.commit({"clients_now": keyed(spark.createDataFrame([], CHANGE))}, keys={"clients_now": ["client_id"]}, buckets=buckets)
+    ends = known.agg(F.percentile_approx("change_id", [k / slices for k in range(1, slices)] or [0.5], 10_000)).first()[0] or []
+    place = sum(((F.coalesce("change_id", F.lit(-1)) > F.lit(e)).cast("int") for e in ends), F.lit(0)) if slices > 1 else F.lit(0)
+    for k in range(slices):
+        known.where(place == k).write.parquet(f"{landing}/{k}")
+        merge(spark, landing, f"{folder}/checkpoint", store, "clients_now", CHANGE, ["seq", "change_id"], "op = 'D'")
+    return live(store.read()["clients_now"])

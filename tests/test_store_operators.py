@@ -350,9 +350,9 @@ def test_stores_refuse_other_versions(spark, tmp_path, entities):
     assert nodes.count() == 7 and pairs(e, "src", "dst", "assertion_id") == [("e1", "e2", "a1")]
     snapshot.save_store({"nodes": nodes, "edges": e}, path)
     assert snapshot.load_store(spark, path)["nodes"].count() == 7
-    manifest = spark.read.text(f"{path}/_manifest").first()["value"].replace('"version": 1', '"version": 2')
-    spark.createDataFrame([(manifest,)], "value string").write.mode("overwrite").text(f"{path}/_manifest")
-    with pytest.raises(ValueError, match="version"):
+    manifest = tmp_path / "store" / "versions" / "1.json"
+    (manifest.parent / "2.json").write_text(manifest.read_text().replace('"format": 1', '"format": 2'))
+    with pytest.raises(ValueError, match="format 2"):
         snapshot.load_store(spark, path)
     (tmp_path / "names").write_text("Roof\n\n  Wall \n")
     assert column(snapshot.read_names(spark, f"file://{tmp_path}/names"), "name") == ["Roof", "Wall"]
