@@ -20,7 +20,6 @@ from loomgraph.sources.store import Store, keyed, live
 #: Columns of an event, and its types in the stream.
 EVENT = "id long, at timestamp, arrived timestamp, kind string, value double"
 COUNTS = "start timestamp, kind string, n long, cents long"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def accepted(events: DataFrame, late: str) -> DataFrame:
@@ -61,12 +60,12 @@ def end_mark(events: DataFrame, late: str, width: str) -> DataFrame:
 
 
 def run(spark: SparkSession, landing: str, checkpoint: str, out: str, late: str, width: str, after: Callable[[int], None] | None = None) -> None:
-    """Takes in what has landed since the last run of this checkpoint, and ends. after is called when a batch is written, with its number."""
-    own = spark.newSession()
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # state beyond memory
-    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    stream = own.readStream.schema(EVENT).parquet(f"{landing}/*")
+    """Takes in what has landed since the last run of this checkpoint, and ends. after is called when a batch is written, with its number.
+
+    State is kept as the session says; where ids within the watermark outgrow the executors' memory, that should be
+    RocksDB (spark.sql.streaming.stateStore.providerClass), which costs some megabytes of disk for each partition.
+    """
+    stream = spark.readStream.schema(EVENT).parquet(f"{landing}/*")
     once = accepted(stream, late).withWatermark("at", late).dropDuplicatesWithinWatermark(["id", "at"])
 
     def write(rows: DataFrame, number: int) -> None:
