@@ -393,7 +393,8 @@ def erase(clients: DataFrame, clicks: DataFrame, sales: DataFrame, sale_lines: D
     by_sale = fresh(sale_lines, "by_sale")
     owners = sales.where(F.col("sale_id").isNotNull()).groupBy(F.col("sale_id").alias(by_sale)).agg(F.min("client_id").alias("owner"))
     owner_crc = fresh(sale_lines, "owner_crc")
-    owners = small(owners.select(by_sale, crc(F.col("owner")).alias(owner_crc)))
+    # written, so that the lines of a hot sale meet a shuffle of their own, which Spark can split
+    owners = small(written(owners.select(by_sale, crc(F.col("owner")).alias(owner_crc)), "owners"))
     lines = sale_lines.join(owners, sale_lines["sale_id"] == owners[by_sale], "left").drop(by_sale).withColumn(owner_crc, F.coalesce(owner_crc, F.lit(0)))
     laid = {
         "clients": lay_out(clients, F.col("client_id"), "clients", plans["clients"], root, work, files),
