@@ -222,23 +222,27 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
     """At most sample documents of each class and most bytes in all, none of them held out, in order of a hash of their ids.
 
-    Ids and lengths are looked at first; only the texts of the documents chosen leave the executors.
+    A text that does not fit what is left of the bytes is passed over, and the next ones are looked at. Repeated rows
+    of a document count once; different texts under one id are each taken, and a null text is an empty one. Ids and
+    lengths are looked at first; only the texts chosen leave the executors.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic", F.md5(F.concat(F.lit("tox:"), F.col("doc_id").cast("string"))).alias("place"))
     picked = None
     for y in (0, 1):
         part = usable.where(F.col("toxic") == y).orderBy("place").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    size = docs.select("doc_id", F.octet_length("text").alias("bytes")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.sum(F.coalesce("bytes", F.lit(0))).alias("bytes"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    print_ = F.xxhash64("text").alias("print")
+    size = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "place", F.octet_length("text").cast("long").alias("bytes"), print_).distinct()
     chosen, total = [], 0
-    for r in sorted(size.collect(), key=lambda r: (r["place"], r["toxic"])):  # as many rows as the sample has
-        total += r["bytes"]
-        if total <= most:
-            chosen.append((r["doc_id"], r["toxic"], r["place"]))
+    for r in sorted(size.collect(), key=lambda r: (r["place"], r["toxic"], r["bytes"], r["print"])):  # a row for each text of the documents picked
+        if total + r["bytes"] <= most:
+            total += r["bytes"]
+            chosen.append((r["doc_id"], r["toxic"], r["place"], r["print"]))
     spark = docs.sparkSession
-    ids = spark.createDataFrame(chosen, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, place string")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("place", "text", "toxic").collect()
-    return [(r["text"], int(r["toxic"])) for r in sorted(rows, key=lambda r: (r["place"], r["text"] or "", r["toxic"]))]
+    ids = spark.createDataFrame(chosen, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, place string, print long")
+    rows = texts.join(F.broadcast(ids.drop("print").distinct()), "doc_id").withColumn("print", print_).join(F.broadcast(ids.select("place", "toxic", "print")), ["place", "toxic", "print"]).select("place", "text", "toxic").distinct().collect()
+    return [(r["text"], int(r["toxic"])) for r in sorted(rows, key=lambda r: (r["place"], r["text"], r["toxic"]))]
 
 
 def toxic_share(labels: DataFrame) -> float | None:
