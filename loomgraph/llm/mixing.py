@@ -73,11 +73,11 @@ def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with the columns of docs.
 
     Nulls, repeats and empty tables as in mix. A document whose source has no words is not taken, and neither is any with
-    no copies; an empty text in a source with words is taken like its neighbours. docs may have columns of any name.
+    no copies; an empty text in a source with words is taken like its neighbours. docs may have columns of any name, also of those that mix gives: they come out as they were.
     """
-    copy = fresh(docs, "mix_copy")
-    mixed = mix(docs, **options).where(F.col("copies") > 0)
-    return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    whole = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))  # out of reach of the names that mix gives
+    mixed = mix(whole, **options).where(F.col("copies") > 0)
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("whole.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomgraph.llm.common import lean, slices, table
+from loomgraph.llm.common import fresh, lean, slices, table
 from loomgraph.session import ship
 
 #: Bound on the labelled sample that classifiers are fitted to: the smallest hashes of their ids. Pseudo-labels have no bound.
@@ -203,15 +203,15 @@ def score(model: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _sigmoid(model["both"].logit(z / 10))
 
 
-def classify(docs: DataFrame, labels: DataFrame, model: dict | None = None, **options) -> DataFrame:
-    """docs with quality_score, the probability of quality 1; one row for each row of docs.
+def classify(docs: DataFrame, labels: DataFrame, model: dict | None = None, into: str = "quality_score", **options) -> DataFrame:
+    """docs with the column into, the probability of quality 1; one row for each row of docs.
 
     Null text counts as empty, null language and source as values of their own. A row without an id is scored like any
     other, and is never in the labelled sample; of repeated ids one counts as labelled. Without labels of both kinds all
-    scores are the one label, or 1. A quality_score in docs is replaced. An empty table gives no rows.
+    scores are the one label, or 1. A column into in docs is replaced. An empty table gives no rows.
     """
     spark = ship(docs.sparkSession)
-    docs = docs.drop("quality_score")
+    docs = docs.drop(into)
     shared = spark.sparkContext.broadcast(train(docs, labels, **options) if model is None else model)
     names = docs.columns
     at = [names.index(c) for c in ("text", "lang", "source")]
@@ -219,14 +219,15 @@ def classify(docs: DataFrame, labels: DataFrame, model: dict | None = None, **op
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(shared.value, *_arrays(part, at)), pa.float64())], names=[*names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(shared.value, *_arrays(part, at)), pa.float64())], names=[*names, into])
 
-    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(into, DoubleType())]))
 
 
 def good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents whose score reaches the threshold, with the columns of docs; nulls, repeats and empty tables as in classify."""
-    return classify(docs, labels).where(F.col("quality_score") >= threshold).select(*docs.columns)
+    """The documents whose score reaches the threshold, with the columns of docs, whatever their names; nulls, repeats and empty tables as in classify."""
+    own = fresh(docs, "quality_score")
+    return classify(docs, labels, into=own).where(F.col(own) >= threshold).drop(own)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
