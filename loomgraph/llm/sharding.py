@@ -4,8 +4,8 @@ The tree splits recursively at weighted medians along the widest dimension until
 target bytes. The dimensions (size, share of non-ASCII bytes, lines) are functions of the text, with its CRC to order
 ties, so copies of a text meet the same splits and share a shard, and a document finds its leaf without any join. The
 medians come from histograms that executors add up: the driver sees a bounded number of bins, never rows.
-Texts with a noticeable part of a shard (at most SHARDS * ATOM of them) are dealt first, largest to the emptiest, and
-the splits leave room for them.
+A text that fills, with its copies, more than 1/ATOM of a shard is more than a split can even out: such texts (at most
+SHARDS * ATOM of them) are dealt first, largest to the emptiest, and the splits leave room for them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import table, written
 
 SHARDS = 16
-ATOM = 64
+ATOM = 8
 BINS = 1024
 ROUNDS = 8
 GRID = (1 << 30) - 1
@@ -133,8 +133,9 @@ def _level(load: list[int], total: int) -> float:
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; one row per document.
 
-    Null text counts as empty; equal texts share a shard, so a text with more than its share of all bytes makes one
-    shard larger. Repeated rows get a slot each. An empty table gives no rows.
+    Null text counts as empty; equal texts share a shard, so a text with more than its share of all bytes, be it very
+    long or often repeated, makes one shard larger. Repeated rows get a slot each. Other columns of docs play no part,
+    whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = _keys(written(measures(docs), "kd-rows"))
