@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import pattern_section, slug
 from loomgraph.operators.components import components
+from loomgraph.operators.leveling import longest
 from loomgraph.session import Scratch
 
 
@@ -56,20 +57,7 @@ def unreachable(nodes: DataFrame, edges: DataFrame, entrances: DataFrame) -> Dat
 
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level): the longest path from a source, for nodes that no cycle blocks. Nodes on or behind cycles are missing."""
-    save = Scratch(edges, "levels")
-    rest = save(edges.select("src", "dst").distinct())
-    nodes = save(rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct())
-    out, level = None, 0
-    while True:
-        ready = save(nodes.join(rest.select(F.col("dst").alias("node")), "node", "left_anti"))
-        if ready.isEmpty():
-            break
-        part = ready.withColumn("level", F.lit(level))
-        out = part if out is None else out.unionByName(part)
-        rest = save(rest.join(ready.withColumnRenamed("node", "src"), "src", "left_anti"))
-        nodes = save(nodes.join(ready, "node", "left_anti"))
-        level += 1
-    return out if out is not None else nodes.withColumn("level", F.lit(0)).limit(0)
+    return longest(edges)
 
 
 def has_cycle(edges: DataFrame) -> bool:
