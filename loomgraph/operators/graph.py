@@ -14,6 +14,10 @@ from loomgraph.operators.leveling import longest
 from loomgraph.session import Scratch
 
 
+#: Rows that the layers or distances of one part of the sources hold, about.
+ROWS = 50_000_000
+
+
 def typed_edges(parts: list[tuple[str, int, DataFrame]]) -> DataFrame:
     """(src, dst, edge_type, phase, seq) of several edge tables in the order of their phases."""
     out = None
@@ -142,37 +146,44 @@ def cross_sections(edges: DataFrame, sections: DataFrame) -> DataFrame:
     return rows.groupBy(F.least("x", "y").alias("section_a"), F.greatest("x", "y").alias("section_b")).agg(F.count("*").alias("n"))
 
 
-def betweenness(edges: DataFrame, parts: int = 1) -> DataFrame:
+def betweenness(edges: DataFrame, parts: int | None = None, rows: int = ROWS) -> DataFrame:
     """(node, betweenness), normalised, undirected, by Brandes' accumulation as joins: layers outward from every source, then back.
 
-    A layer holds (source, node, paths) and is written, so the work is as large as sources times edges but no task holds
-    the graph; parts deals the sources into so many rounds. Nodes that lie on no shortest path have 0.
+    A layer holds (source, node, paths) and is written. Sources go in parts, so many that the layers of one hold about
+    rows rows; after each part the sums so far are folded into one table and its layers are deleted. A layer is told from
+    what was seen by the two layers before it. Nodes that lie on no shortest path have 0.
     """
     e = undirected(edges)
     save = Scratch(edges, "between")
     both = save(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     nodes = save(both.select(F.col("src").alias("node")).distinct())
     n = nodes.count()
-    total = nodes.select("node", F.lit(0.0).alias("part"))
+    parts = parts or max(1, -(-n * n // rows))
+    total = save(nodes.select("node", F.lit(0.0).alias("part")))
     for p in range(parts):
+        own = Scratch(edges, "between-part")
         mine = nodes.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == p)
-        layers = [save(mine.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
-        seen = layers[0].select("source", "node")
+        layers = [own(mine.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
         while True:
+            seen = layers[-1].select("source", "node")
+            seen = seen.unionByName(layers[-2].select("source", "node")) if len(layers) > 1 else seen
             ahead = layers[-1].join(both, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-            layer = save(ahead.join(seen, ["source", "node"], "left_anti"))
+            layer = own(ahead.join(seen, ["source", "node"], "left_anti"))
             if layer.isEmpty():
                 break
             layers.append(layer)
-            seen = seen.unionByName(layer.select("source", "node"))
         below = layers[-1].withColumn("dep", F.lit(0.0))
+        gained = total
         for layer in reversed(layers[:-1]):
-            total = total.unionByName(below.select("node", F.col("dep").alias("part")))
+            gained = gained.unionByName(below.select("node", F.col("dep").alias("part")))
             up = below.select("source", F.col("node").alias("w"), F.col("paths").alias("more"), "dep").join(both, F.col("w") == F.col("src")).select("source", F.col("dst").alias("node"), "more", "dep")
             gains = up.join(layer, ["source", "node"]).groupBy("source", "node").agg(F.sum(F.col("paths") / F.col("more") * (1 + F.col("dep"))).alias("dep"))
-            below = save(layer.join(gains, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep")))
+            below = own(layer.join(gains, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep")))
+        total = save(gained.groupBy("node").agg(F.sum("part").alias("part")))
+        save.drop(save.n - 1)
+        own.clear()
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return total.groupBy("node").agg(F.round(F.sum("part") * scale, 6).alias("betweenness"))
+    return total.select("node", F.round(F.col("part") * scale, 6).alias("betweenness"))
 
 
 def communities(edges: DataFrame) -> DataFrame:
@@ -403,21 +414,102 @@ def clustering_coefficient(edges: DataFrame) -> DataFrame:
     return rows.select("node", F.when(F.col("degree") > 1, F.coalesce("triangles", F.lit(0)) * 2 / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0).alias("coefficient"))
 
 
-def measures(edges: DataFrame) -> DataFrame:
+def _both(e: DataFrame) -> DataFrame:
+    return e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def depths(both: DataFrame, sources: DataFrame, save: Scratch) -> DataFrame:
+    """(start, node, depth) from each of sources (node), breadth first along both, an edge table of both directions.
+
+    What is new in a layer is told by the two layers before it: a neighbour lies one nearer, as far, or one farther.
+    """
+    layer = save(sources.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
+    found, before, depth = layer, layer.limit(0), 0
+    while not layer.isEmpty():
+        depth += 1
+        seen = layer.select("start", "node").unionByName(before.select("start", "node"))
+        ahead = layer.join(both, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        before, layer = layer, save(ahead.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        found = found.unionByName(layer)
+    return found
+
+
+def eccentricities(both: DataFrame, sources: DataFrame, nodes: int, rows: int = ROWS) -> DataFrame:
+    """(node, eccentricity, total, reached) of sources (node): the greatest and the summed distances, and how many nodes they are to.
+
+    Sources go in parts, so many that the distances of one are about rows rows; those of a part are deleted after it.
+    """
+    out = Scratch(both, "far")
+    n = sources.count()
+    parts = max(1, -(-n * nodes // rows))
+    done = []
+    for p in range(parts):
+        own = Scratch(both, "far-part")
+        mine = sources.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == p)
+        far = depths(both, mine, own)
+        done.append(out(far.groupBy(F.col("start").alias("node")).agg(F.max("depth").alias("eccentricity"), F.sum(F.col("depth").cast("long")).alias("total"), (F.count("*") - 1).alias("reached"))))
+        own.clear()
+    whole = done[0]
+    for d in done[1:]:
+        whole = whole.unionByName(d)
+    return whole
+
+
+def largest(e: DataFrame, save: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node) of the largest component of undirected edges, the one of the smallest node among equals, and (node, component) of all."""
+    comps = save(components(e, "src", "dst"))
+    top = comps.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.col("size").desc(), "component").limit(1)
+    return save(comps.join(F.broadcast(top.select("component")), "component", "left_semi").select("node")), comps
+
+
+def diameter(edges: DataFrame, rows: int = ROWS) -> DataFrame:
+    """One row: diameter of the largest component, and sources, the number of nodes from which distances were taken.
+
+    Two sweeps, from a hub to a farthest node and from there to its farthest, give a lower bound; a node half way between
+    is the root. Nodes at depth i from it are no more than 2i apart from any of depth i or less, so layers are
+    looked at from the outermost inward, until what was found is more than twice the depth of the next one. Exact, and
+    mostly after a few layers, where all distances would be the square of the nodes. No edges: 0 and no sources.
+    """
+    save = Scratch(edges, "diameter")
+    e = save(undirected(edges))
+    inside, _ = largest(e, save)
+    both = save(_both(e).join(inside.withColumnRenamed("node", "src"), "src", "left_semi"))
+    n = inside.count()
+    spark = edges.sparkSession
+    one = lambda rows_: rows_.first()
+    kind = dict(inside.dtypes)["node"]
+    if not n:
+        return spark.createDataFrame([(0, 0)], "diameter int, sources int")
+    at = lambda node: save(depths(both, spark.createDataFrame([(node,)], f"node {kind}"), save).select("node", "depth"))
+    hub = one(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k")).orderBy(F.col("k").desc(), "node"))["node"]
+    a = one(at(hub).orderBy(F.col("depth").desc(), "node"))["node"]
+    from_a = at(a)
+    b, low = one(from_a.orderBy(F.col("depth").desc(), "node"))
+    from_b = at(b)
+    middle = from_a.join(from_b.withColumnRenamed("depth", "back"), "node").where((F.col("depth") + F.col("back") == low) & (F.col("depth") == low // 2))
+    layers = at(one(middle.orderBy("node"))["node"])
+    i = layers.agg(F.max("depth")).first()[0]
+    low, taken = max(low, i), 4
+    while low < 2 * i:
+        fringe = layers.where(F.col("depth") == i).select("node")
+        best, count = eccentricities(both, fringe, n, rows).agg(F.max("eccentricity"), F.count("*")).first()
+        low, taken, i = max(low, best), taken + count, i - 1
+    return spark.createDataFrame([(low, taken)], "diameter int, sources int")
+
+
+def measures(edges: DataFrame, rows: int = ROWS) -> DataFrame:
     """One row: nodes, edges, density, clustering (mean), components, and diameter and mean path of the largest component.
 
-    Distances go breadth first from every node of that component at once.
+    Distances go breadth first from every node of that component, in parts of about rows distances that are added up and
+    deleted. Where only the diameter is wanted, diameter() takes far fewer sources.
     """
     save = Scratch(edges, "measures")
     e = save(undirected(edges))
-    comps = save(components(e, "src", "dst"))
-    size = comps.groupBy("component").agg(F.count("*").alias("size"))
-    largest = size.orderBy(F.col("size").desc(), "component").limit(1)
-    inside = comps.join(largest.select("component"), "component", "left_semi").select("node")
-    far = around(e, inside.select(F.col("node").alias("start"), "node"), 1_000_000_000).where("depth > 0").agg(F.max("depth").alias("diameter"), F.round(F.avg("depth"), 6).alias("mean_path"))
+    inside, comps = largest(e, save)
+    far = eccentricities(save(_both(e)), inside, inside.count(), rows).agg(F.max(F.when(F.col("eccentricity") > 0, F.col("eccentricity"))).alias("diameter"), F.round(F.try_divide(F.sum("total"), F.sum("reached")), 6).alias("mean_path"))
     n = comps.agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"))
-    rows = n.crossJoin(e.agg(F.count("*").alias("edges"))).crossJoin(clustering_coefficient(e).agg(F.round(F.avg("coefficient"), 6).alias("clustering"))).crossJoin(far)  # one row each
-    return rows.select("nodes", "edges", F.round(F.try_divide(F.col("edges") * 2, F.col("nodes") * (F.col("nodes") - 1)), 6).alias("density"), "clustering", "components", "diameter", "mean_path")
+    rows_ = n.crossJoin(e.agg(F.count("*").alias("edges"))).crossJoin(clustering_coefficient(e).agg(F.round(F.avg("coefficient"), 6).alias("clustering"))).crossJoin(far)  # one row each
+    return rows_.select("nodes", "edges", F.round(F.try_divide(F.col("edges") * 2, F.col("nodes") * (F.col("nodes") - 1)), 6).alias("density"), "clustering", "components", "diameter", "mean_path")
 
 
-__all__ = ["allowed", "around", "betweenness", "build", "clustering_coefficient", "collapse", "collapse_all", "communities", "components", "cross_degree", "cross_sections", "degree", "degree_stats", "has_cycle", "histogram", "hubs", "levels", "measures", "modularity", "pattern_graph", "precedes", "reachable", "sections", "sequences", "strong_components", "subgraph", "top_subgraph", "triangles", "typed_edges", "undirected", "unreachable"]
+__all__ = ["allowed", "around", "betweenness", "build", "clustering_coefficient", "collapse", "collapse_all", "communities", "components", "cross_degree", "cross_sections", "degree", "degree_stats", "depths", "diameter", "eccentricities", "has_cycle", "histogram", "hubs", "levels", "measures", "modularity", "pattern_graph", "precedes", "reachable", "sections", "sequences", "strong_components", "subgraph", "top_subgraph", "triangles", "typed_edges", "undirected", "unreachable"]

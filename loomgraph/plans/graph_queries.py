@@ -250,3 +250,25 @@ def oN10_delta(t):
 def oN10_work(t):
     """What oN10_delta meets and scores, beside the square of the live items."""
     return similarity.work(*_delta(t), 0.4)
+
+
+def _loops(t):
+    return t.kg_loops.where(F.col("status") == "proposed").select(F.col("predecessor_id").alias("src"), F.col("successor_id").alias("dst"))
+
+
+@query()
+def oG13_diameter(t):
+    """Of the graph of all loops, from few sources."""
+    return graph.diameter(_loops(t))
+
+
+@query()
+def oG13_loops(t):
+    """All measures of that graph."""
+    return graph.measures(_loops(t))
+
+
+@query()
+def oG10_loops(t):
+    """Betweenness of its nodes."""
+    return graph.betweenness(_loops(t))

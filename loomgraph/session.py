@@ -79,3 +79,7 @@ class Scratch:
     def drop(self, n: int) -> None:
         """Deletes the nth table, which nothing reads any more."""
         remove(self.spark, f"{self.base}/{n}")
+
+    def clear(self) -> None:
+        """Deletes all tables, which nothing reads any more."""
+        remove(self.spark, self.base)
