@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import decode_list, origin_rank
 from loomgraph.operators import knowledge
 
 #: Fixed values of the report: floor materials that count as slip resistant or waterproof, element classes that prove a
-#: system, and objects that a model cannot show.
+#: system, and objects that a model's geometry and materials cannot show.
 SLIP_RESISTANT = ("tiles", "concrete", "stone", "vinyl", "screed", "terrazzo", "ceramic", "epoxy", "resin", "linoleum")
 WATERPROOF = ("tiles", "concrete", "stone", "vinyl", "ceramic", "epoxy", "resin", "membrane", "linoleum")
 SYSTEMS = {
@@ -32,6 +31,7 @@ SYSTEMS = {
 }
 FLOORS = {"Anti-slip Flooring": SLIP_RESISTANT, "Waterproof Flooring": WATERPROOF}
 COUNTED = {"Windows": "windows", "Doors": "doors", "Entrance Door": "doors", "External Door": "doors"}
+UNSHOWN = ("Countertop Material", "Refrigeration Unit", "Nosing Profile", "Door Hardware", "Stringer", "Landing", "Ceiling", "Countertop", "Cabinetry")
 USAGES = {"kitchen": "Kitchen", "living": "Living Room", "circulation": "Hallway / Circulation Corridor", "toilet": "Toilet / WC", "stair": "Staircase / Stair Hall", "retail": "Retail Unit / Shop Front"}
 
 
@@ -150,28 +150,45 @@ def model_facts(elements: DataFrame, layers: DataFrame) -> DataFrame:
     return systems.crossJoin(walls)  # one row each
 
 
-def check(facts: DataFrame, requirements: DataFrame, model: DataFrame) -> DataFrame:
-    """space_type, predicate, object, space, outcome, detail of every space against the requirements (entity, predicate, object, confidence) of its usage.
+def rules(spark: SparkSession) -> DataFrame:
+    """(object, fact, priority): which fact decides on an object; of several that a space has, the one of the least priority."""
+    rows = [("Flooring", "floor", 0), ("Insulation", "insulation", 0)]
+    rows += [(o, f"floor for {o}", 0) for o in FLOORS] + [(o, column, 0) for o, column in COUNTED.items()] + [(o, f"system {o}", 0) for o in SYSTEMS] + [(o, "unshown", 1) for o in UNSHOWN]
+    return spark.createDataFrame(rows, "object string, fact string, priority int")
 
-    A chain of rules decides on PASS, FAIL or UNCHECKED. Where all spaces of a usage agree there is one row without a space.
-    """
-    entity = F.create_map(*[F.lit(x) for kv in USAGES.items() for x in kv])
-    rows = facts.withColumn("entity", F.try_element_at(entity, F.col("usage"))).where("entity is not null").join(requirements, "entity").crossJoin(F.broadcast(model))  # one row
-    o, floor = F.col("object"), F.col("floor")
+
+def evidence(facts: DataFrame, model: DataFrame) -> DataFrame:
+    """facts with evidence: by name of a fact, whether it holds in a space or its model (null: it cannot be told) and what is said in either case."""
+    floor = F.col("floor")
     listed = F.array_join(floor, ", ")
-    outcome, detail = F.lit("UNCHECKED"), F.concat(F.lit("no check implemented for '"), o, F.lit("'"))
-    rules: list[tuple[Column, Column, Column, Column]] = [(o == "Flooring", F.size(floor) > 0, F.concat(F.lit("floor material present: "), listed), F.lit("no floor covering found"))]
+    says = lambda holds, yes, no: F.struct(holds.cast("boolean").alias("holds"), yes.cast("string").alias("yes"), no.cast("string").alias("no"))
+    out = {"floor": says(F.size(floor) > 0, F.concat(F.lit("floor material present: "), listed), F.lit("no floor covering found")), "insulation": says(F.col("Insulation"), F.lit("insulation layer found in wall assemblies"), F.lit("no insulation layer in any wall assembly")), "unshown": says(F.lit(None), F.lit(None), F.lit("requires non-geometric IFC data"))}
     for name, approved in FLOORS.items():
         good = F.array_intersect(floor, F.array(*map(F.lit, approved)))
         bad = F.when(F.size(floor) == 0, "no floor covering found").otherwise(F.concat(F.lit("floor is "), listed, F.lit(f" — not in approved set {{{', '.join(sorted(approved))}}}")))
-        rules.append((o == name, F.size(good) > 0, F.concat(F.lit("approved material: "), F.array_join(F.array_sort(good), ", ")), bad))
-    for name, column in COUNTED.items():
-        rules.append((o == name, F.col(column) > 0, F.concat(F.col(column).cast("string"), F.lit(f" {column[:-1]}(s)")), F.lit(f"no {column} found")))
+        out[f"floor for {name}"] = says(F.size(good) > 0, F.concat(F.lit("approved material: "), F.array_join(F.array_sort(good), ", ")), bad)
+    for column in dict.fromkeys(COUNTED.values()):
+        out[column] = says(F.col(column) > 0, F.concat(F.col(column).cast("string"), F.lit(f" {column[:-1]}(s)")), F.lit(f"no {column} found"))
     for name in SYSTEMS:
-        rules.append((o == name, F.col(f"`{name}`"), F.lit("system elements present in model"), F.lit("no MEP elements of this type found in model")))
-    rules.append((o == "Insulation", F.col("Insulation"), F.lit("insulation layer found in wall assemblies"), F.lit("no insulation layer in any wall assembly")))
-    outcome = reduce(lambda rest, r: F.when(r[0], F.when(r[1], "PASS").otherwise("FAIL")).otherwise(rest), reversed(rules), outcome)
-    detail = reduce(lambda rest, r: F.when(r[0], F.when(r[1], r[2]).otherwise(r[3])).otherwise(rest), reversed(rules), detail)
+        out[f"system {name}"] = says(F.col(f"`{name}`"), F.lit("system elements present in model"), F.lit("no MEP elements of this type found in model"))
+    named = F.create_map(*[x for k, v in out.items() for x in (F.lit(k), v)])
+    return facts.crossJoin(F.broadcast(model)).withColumn("evidence", named).select(*facts.columns, "evidence")  # model is one row
+
+
+def check(facts: DataFrame, requirements: DataFrame, model: DataFrame, ruled: DataFrame | None = None) -> DataFrame:
+    """space_type, predicate, object, space, outcome, detail of every space against the requirements (entity, predicate, object, confidence) of its usage.
+
+    ruled, by default rules(), is a table (object, fact, priority): the fact of least priority decides PASS or FAIL; one
+    that cannot be told, and an object without a rule, is UNCHECKED. Where all spaces of a usage agree there is one row
+    without a space.
+    """
+    ruled = rules(facts.sparkSession) if ruled is None else ruled
+    one = ruled.groupBy("object").agg(F.min_by("fact", F.struct("priority", "fact")).alias("fact"))
+    entity = F.create_map(*[F.lit(x) for kv in USAGES.items() for x in kv])
+    known = evidence(facts, model).withColumn("entity", F.try_element_at(entity, F.col("usage"))).where("entity is not null")
+    rows = known.join(requirements, "entity").join(one, "object", "left").withColumn("said", F.try_element_at("evidence", F.col("fact")))
+    outcome = F.when(F.col("said.holds"), "PASS").when(~F.col("said.holds"), "FAIL").otherwise("UNCHECKED")
+    detail = F.when(F.col("said.holds"), F.col("said.yes")).otherwise(F.coalesce(F.col("said.no"), F.concat(F.lit("no check implemented for '"), "object", F.lit("'"))))
     rows = rows.select(F.col("usage").alias("space_type"), "predicate", "object", "confidence", "space", outcome.alias("outcome"), detail.alias("detail"))
     key = ["space_type", "predicate", "object", "confidence"]
     groups = rows.groupBy(key).agg(F.min("outcome").alias("one"), F.max("outcome").alias("other"), F.min_by("detail", "space").alias("said"))
@@ -195,4 +212,4 @@ def names_of(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, decode_list(F.col(column)))
 
 
-__all__ = ["Service", "assertion_query", "by_repository", "check", "failures", "model_facts", "names_of", "sequence_text", "space_facts", "text", "totals", "usage"]
+__all__ = ["Service", "assertion_query", "by_repository", "check", "evidence", "failures", "model_facts", "names_of", "rules", "sequence_text", "space_facts", "text", "totals", "usage"]

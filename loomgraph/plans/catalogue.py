@@ -563,4 +563,4 @@ def oS13_store(t):
     return store.live(versions.read()["entities"]).select("id", "name", "status", "revision")
 
 
-from loomgraph.plans import graph_queries, store_queries  # noqa: E402, F401  (they add their queries)
+from loomgraph.plans import graph_queries, row_queries, store_queries  # noqa: E402, F401  (they add their queries)
