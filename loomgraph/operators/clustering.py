@@ -197,3 +197,35 @@ def match_framings(rows: DataFrame, threshold: float = 0.70) -> DataFrame:
 
     e, i = dict(rows.dtypes)["entity"], dict(rows.dtypes)["item"]
     return rows.groupBy("entity").applyInPandas(run, f"entity {e}, item {i}, grp {i}, size int, consistency double")
+
+
+def linkage_by_group(items: DataFrame, threshold: float = 0.25, strict: bool = False, small: int = BLOCK) -> DataFrame:
+    """(grp, id, cluster): average-linkage clusters within each group of items (grp, id, vector), named by their smallest id.
+
+    Groups are routed by size: those of at most small rows go together, a task function for each; a larger one goes
+    through the rounds over blocks, so there are no more of these than rows divided by small. The meaning is that of
+    average_linkage in either case. A group of one row is its own cluster; a null group is a group.
+    """
+    ship(items.sparkSession)
+    save = Scratch(items, "groups")
+    rows = save(items.select("grp", "id", _unit("vector").alias("v")))
+    size = rows.groupBy("grp").agg(F.count("*").alias("n"))
+    large = [r["grp"] for r in size.where(F.col("n") > small).select("grp").collect()]  # fewer than rows / small
+    kinds = dict(rows.dtypes)
+    schema = f"grp {kinds['grp']}, id {kinds['id']}, cluster {kinds['id']}"
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id", ignore_index=True)
+        names = part["id"].to_numpy().copy()
+        size = part["v"].map(lambda x: 0 if x is None else len(x)).to_numpy()
+        for n in np.unique(size[size > 0]):
+            at = np.flatnonzero(size == n)
+            names[at] = part["id"].to_numpy()[at][linkage(np.array(part["v"].iloc[at].tolist(), float), np.ones(len(at)), threshold, strict)]
+        return pd.DataFrame({"grp": part["grp"], "id": part["id"], "cluster": names})
+
+    mine = F.col("grp")
+    out = rows.join(F.broadcast(size.where(F.col("n") > small).select(F.col("grp").alias("big"))), mine.eqNullSafe(F.col("big")), "left_anti").groupBy("grp").applyInPandas(run, schema) if large else rows.groupBy("grp").applyInPandas(run, schema)
+    for grp in large:
+        one = items.where(mine.eqNullSafe(F.lit(grp)))
+        out = out.unionByName(average_linkage(one.select("id", "vector"), threshold, strict, small).select(F.lit(grp).cast(kinds["grp"]).alias("grp"), "id", "cluster"))
+    return out

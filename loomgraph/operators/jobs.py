@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import passes
+from loomgraph.sources.store import Store
 
 
 def steps(models: list[str], numbers: list[str]) -> list[tuple[str, str | None]]:
@@ -67,6 +68,42 @@ def normalise(tables: dict[str, DataFrame], subpasses: dict[str, Callable[[dict]
     return promote(out), ran
 
 
+def resumable(store: Store, steps: list[tuple[str, Callable[[dict[str, DataFrame]], dict[str, DataFrame]]]], after: Callable[[str], None] | None = None) -> list[str]:
+    """Runs steps over the tables of a store, each at most once; the names of those that ran.
+
+    A step takes the tables and returns those that it changes. These and the mark that the step is done are one version
+    of the store, so a job that died is run again as it is: finished steps are passed over, and a step that had not
+    been committed starts from the tables it had. after is called after each commit.
+    """
+    ran = []
+    for name, step in steps:
+        m = store.manifest()
+        if name in m["applied"]:
+            continue
+        store.commit(step(store.read(check=False)), m["number"], applied={name: 1})
+        ran.append(name)
+        if after:
+            after(name)
+    return ran
+
+
+def compress(assertions: DataFrame, vectors: DataFrame, statements: Callable[[DataFrame], DataFrame], subjects: DataFrame | None = None, proposed: int = 0, cap: int = 5_000, least: int = 3, threshold: float = 0.25, dry: bool = False, model: str = "model") -> DataFrame:
+    """Abstractions on demand: of all subjects, or of those given (id), without a mark of progress.
+
+    assertions as normalise.abstractions takes them; vectors: id, vector. Live assertions of a subject are clustered by
+    average linkage, and clusters of at least so many become abstraction rows with what statements says of their
+    prompts. A dry run gives subject_id, cluster, child_ids and prompt instead, and asks nobody.
+    """
+    from loomgraph.operators import clustering
+    from loomgraph.operators import normalise as norms
+
+    rows = assertions if subjects is None else assertions.join(subjects.select(F.col("id").alias("subject_id")).distinct(), "subject_id", "left_semi")
+    live = norms.abstraction_groups(rows, least)
+    labels = clustering.linkage_by_group(live.select(F.col("subject_id").alias("grp"), "id").join(vectors, "id"), threshold).select("id", "cluster")
+    made = norms.abstractions(rows, labels, proposed, cap, least)
+    return made.select("subject_id", "cluster", "child_ids", "prompt") if dry else norms.accept_abstractions(made, statements(made), model=model)
+
+
 def store_path(flag: str | None = None, env: dict | None = None, pointer: str | None = None, shipped: str = "store") -> str:
     """Where the store is: a flag, else LOOMGRAPH_STORE, else what a pointer file names, else the shipped copy."""
     env = os.environ if env is None else env

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import CORE_PREDICATES, assertion_text, constraint_text, decode_list, pattern_text
-from loomgraph.operators import conflicts, curation, graph, integrity, lifecycle, normalise, passes, reports
+from loomgraph.operators import conflicts, curation, graph, integrity, jobs, knowledge, lifecycle, normalise, passes, reports
 from loomgraph.plans.catalogue import query
 from loomgraph.plans.graph_queries import BUILT, ELECTED, GROUPED, LIST, SAID, _built, _classified, _merged
 
@@ -179,3 +179,15 @@ def oX8_report(t):
     asked = t.rows([(entity, "requires", o, 0.9) for entity in reports.USAGES.values() for o in objects], "entity string, predicate string, object string, confidence double")
     rows = reports.check(reports.space_facts(spaces, seen.drop("material"), layers), asked, reports.model_facts(seen.select("element", "ifc_class"), layers))
     return rows.select("space_type", "object", "space", "outcome")
+
+
+@query(f"""WITH l AS (SELECT DISTINCT a.id, subject_id, predicate, coalesce(s.name, subject_id) AS subject, coalesce(o.name, object_id) AS object, CAST(substr(object_id, 2) AS BIGINT) % 10 AS v FROM kg_assertions a LEFT JOIN kg_entities s ON s.id = subject_id LEFT JOIN kg_entities o ON o.id = object_id WHERE a.status IN ('accepted', 'proposed')),
+g AS (SELECT subject_id, v, min(id) AS cluster, list(id ORDER BY id) AS ids, string_agg('  ' || nth || '. ' || subject || ' ' || predicate || ' ' || object, chr(10) ORDER BY id) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, v ORDER BY id) AS nth FROM l) GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT subject_id, cluster, array_to_string(ids, ',') AS children, prompt FROM g""")
+def oN18_compress(t):
+    """A dry run over all subjects: assertions whose objects share a vector are near, others are not."""
+    vectors = t.embeddings.groupBy(F.col("label").cast("long").alias("v")).agg(F.min_by("embedding", "vec_id").alias("vector"))  # one for each label
+    rows = knowledge.with_names(t.kg_assertions, t.kg_entities, "subject", "object").withColumns({"rationale": F.lit(""), "conditions": F.array().cast("array<string>"), "seq": F.lit(0)}).dropDuplicates(["id"])
+    near = t.kg_assertions.select("id", (F.substring("object_id", 2, 20).cast("long") % 10).alias("v")).dropDuplicates(["id"]).join(vectors, "v").select("id", "vector")
+    made = jobs.compress(rows, near, lambda made: made, dry=True, cap=1_000_000)
+    return made.select("subject_id", "cluster", F.array_join("child_ids", ",").alias("children"), "prompt")
