@@ -74,9 +74,10 @@ def build(live: DataFrame, keep: Scratch, pivots: int | None = None, part: int =
     drawn = live.select("id", "size", "u").orderBy(F.xxhash64("id", "size"), "id", "u").limit(wanted)
     lengths = live.groupBy("size").agg(F.min(F.struct("id", "u")).alias("x")).select("x.id", "size", "x.u")
     chosen = keep(drawn.unionByName(lengths).dropDuplicates(["size", "u"]).select(F.col("size"), F.xxhash64("u", "size").alias("cell"), "u"))
-    near = live.join(F.broadcast(chosen.select("size", "cell", F.col("u").alias("p"))), "size").select("id", "size", "u", "cell", _product(F.col("u"), F.col("p"), dims).alias("cos"))
-    nearest = near.groupBy("id", "size", "u").agg(F.max_by(F.struct("cell", "cos"), F.struct("cos", "cell")).alias("at"))  # repeated rows come once
-    held = keep(nearest.select("id", "size", "u", F.col("at.cell").alias("cell"), _angle(F.col("at.cos")).alias("angle")))
+    every = chosen.groupBy("size").agg(F.collect_list(F.struct("cell", F.col("u").alias("p"))).alias("pivots"))  # at most PIVOTS and the lengths, in a row for each length
+    nearest = F.array_max(F.transform("pivots", lambda p: F.struct(dot(F.col("u"), p["p"]).alias("cos"), p["cell"].alias("cell"))))
+    held = live.join(F.broadcast(every), "size").withColumn("at", nearest).select("id", "size", "u", F.col("at.cell").alias("cell"), _angle(F.col("at.cos")).alias("angle"))
+    held = keep(held)
     stats = held.groupBy("cell", "size").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("rows"))
     cells = keep(chosen.join(stats, ["cell", "size"]).withColumn("parts", F.ceil(F.col("rows") / part).cast("int")))
     members = held.join(F.broadcast(cells.select("cell", "size", "parts")), ["cell", "size"]).select("cell", F.pmod(F.xxhash64("id", "u"), F.col("parts")).cast("int").alias("part"), "id", "size", "u")
@@ -97,7 +98,7 @@ def _prepared(new: DataFrame, live: DataFrame, threshold: float, pivots: int | N
     if threshold <= 0:
         raise ValueError("the threshold must be positive: below it every pair would be one")
     keep = Scratch(live, "pivots")
-    index = build(keep(units(live)), keep, pivots, part)
+    index = build(keep(units(live).distinct()), keep, pivots, part)
     fresh = keep(units(new).distinct())
     deal = max(1, -(-fresh.count() // part))
     left = _met(fresh, index, threshold, deal)
