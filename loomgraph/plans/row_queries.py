@@ -8,6 +8,7 @@ from loomgraph.functions.scalars import CORE_PREDICATES, assertion_text, constra
 from loomgraph.operators import conflicts, curation, graph, integrity, jobs, knowledge, lifecycle, normalise, passes, reports
 from loomgraph.plans.catalogue import query
 from loomgraph.plans.graph_queries import BUILT, ELECTED, GROUPED, LIST, SAID, _built, _classified, _merged
+from loomgraph.sources import snapshot
 
 
 @query(f"WITH {BUILT} SELECT id, coalesce(node_type, 'bare') AS node_type FROM nodes")
@@ -191,3 +192,30 @@ def oN18_compress(t):
     near = t.kg_assertions.select("id", (F.substring("object_id", 2, 20).cast("long") % 10).alias("v")).dropDuplicates(["id"]).join(vectors, "v").select("id", "vector")
     made = jobs.compress(rows, near, lambda made: made, dry=True, cap=1_000_000)
     return made.select("subject_id", "cluster", F.array_join("child_ids", ",").alias("children"), "prompt")
+
+
+@query(r"""WITH p AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), chr(12)), chr(12))) AS piece, unnest(generate_series(0, len(string_split(replace(text, chr(10), chr(12)), chr(12))) - 1)) AS page FROM documents),
+e AS (SELECT doc_id, max(page) AS last_page FROM p GROUP BY 1)
+SELECT doc_id, doc_id || '_p' || (page // 5 * 5 + 1) || '-' || least(page // 5 * 5 + 5, last_page + 1) AS chunk_id, (page // 5 * 5 + 1)::INTEGER AS first, least(page // 5 * 5 + 5, last_page + 1)::INTEGER AS last, sha256(string_agg(piece, chr(10) ORDER BY page)) AS text_sha256
+FROM p JOIN e USING (doc_id) WHERE trim(regexp_replace(piece, '\s+', ' ', 'g')) <> '' GROUP BY doc_id, page // 5, last_page""")
+def oS9_chunks(t):
+    """Lines as pages, five to a chunk; blank ones are left out, their numbers count."""
+    docs = t.documents.select("doc_id", F.translate("text", "\n", "\f").alias("text"))
+    return snapshot.page_chunks(docs).select("doc_id", "chunk_id", "first", "last", F.sha2("text", 256).alias("text_sha256"))
+
+
+KINDS = {"click": "exception", "view": "context_limitation", "purchase": "potential_error", "error": "scope_restriction"}
+
+
+@query("""WITH f AS (SELECT 'U' || user_id AS id, CASE event_type WHEN 'click' THEN 'exception' WHEN 'view' THEN 'context_limitation' WHEN 'purchase' THEN 'potential_error' WHEN 'error' THEN 'scope_restriction' ELSE 'other' END AS kind, event_id % 3 AS model, value, props, event_id FROM events),
+d AS (SELECT id, kind, props, arg_min(value, event_id) AS value FROM f GROUP BY 1, 2, 3), n AS (SELECT id, kind, count(DISTINCT model) AS models FROM f GROUP BY 1, 2),
+m AS (SELECT id, kind, any_value(models) AS models, max(value) AS best, count(*) AS details FROM d JOIN n USING (id, kind) GROUP BY 1, 2), u AS (SELECT DISTINCT 'U' || user_id AS id, user_id FROM events WHERE user_id % 4 <> 0)
+SELECT id, CASE WHEN id IN (SELECT id FROM m WHERE kind = 'potential_error' AND models >= 2 AND best >= 100) THEN 'conflicted' ELSE 'accepted' END AS status,
+  1 + coalesce((SELECT details FROM m WHERE m.id = u.id AND kind = 'exception' AND best >= 100), 0)::INTEGER AS exceptions, coalesce((SELECT details FROM m WHERE m.id = u.id AND kind = 'context_limitation' AND best >= 100), 0)::INTEGER AS applicability FROM u""")
+def oE11_applied(t):
+    """Users as statements, three of four there; what events say of them as findings."""
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in KINDS.items()], F.lit("other"))
+    found = t.events.select(F.concat(F.lit("U"), "user_id").alias("item_id"), kind.alias("finding_type"), (F.col("event_id") % 3).alias("model"), F.col("value").alias("confidence"), F.col("props").alias("detail"), F.col("event_id").alias("seq"))
+    rows = t.events.where("user_id % 4 <> 0").select(F.concat(F.lit("U"), "user_id").alias("id")).distinct().withColumns({"status": F.lit("accepted"), "exceptions": F.array(F.lit("before")), "applicability": F.array().cast("array<string>")})
+    done = passes.apply_findings(rows, passes.findings(found, 100))["assertions"]
+    return done.select("id", "status", F.size("exceptions").alias("exceptions"), F.size("applicability").alias("applicability"))
