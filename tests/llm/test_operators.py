@@ -513,7 +513,7 @@ def test_queries_against_sql(spark, name):
     same(queries.QUERIES[name](spark, SMALL), queries.SQL[name], duck(SMALL))
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL) - {"op11_erasure"}))  # op11 returns files, see test_erasure
 def test_queries_cover_their_tables(spark, name):
     rows = queries.QUERIES[name](spark, SMALL).collect()
     source = spark.read.parquet(f"{SMALL}/{'conversations' if name == 'op2_chat' else 'documents'}.parquet")
