@@ -10,6 +10,8 @@
    than its meeting places together (near copies) is verified as a whole, a looser one place by place. Pairs that sizes
    allow are verified on the whole sets, by matrix products over blocks of BLOCK sets, so neither a frequent shingle nor
    a large group of near copies is gathered in one task.
+4. Groups of more than a block are verified in two steps: each block by itself with a few pivots of the group, which
+   connects near copies in proportion to their number; then only blocks that do not belong to one component meet.
 
 Equal sets are one set throughout. The result is the components of the links; no pair is lost, none is listed.
 Shingles and sets are compared by 64-bit hashes.
@@ -33,6 +35,8 @@ from loomgraph.session import shared_dir, ship
 WORDS = 4
 PERCENT = 85
 BLOCK = 128
+SHINGLES = 1_000_000
+PIVOTS = 4
 PAIRS_A_ROW = 50
 KNOWN_WORDS = 300_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -197,32 +201,70 @@ def groups(members: DataFrame, crowd: DataFrame) -> DataFrame:
     return whole.unionByName(members.join(apart, "place").select(F.col("place").alias("crowd"), "sid", "n"))
 
 
-def units(crowd: DataFrame, percent: int) -> DataFrame:
-    """(unit, crowd, block, sid, n): pieces of work on groups. One of up to BLOCK sets is whole in one; of a larger one, blocks meet whose sizes allow links.
+def size_band(n: Column, percent: int) -> Column:
+    """Bands of sizes: linked sets are in the same one or in neighbouring ones."""
+    return F.floor(F.log(n) / F.lit(1.0001 * np.log(100 / percent))).cast("int")
 
-    Sizes are cut into bands so that linked sets are in the same band or neighbouring ones; a band has blocks of about BLOCK sets.
+
+def blocks_of(count: Column, shingles: Column) -> Column:
+    """Blocks for a number of sets with that many shingles: about BLOCK sets and about SHINGLES shingles in each."""
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(shingles / SHINGLES)).cast("int")
+
+
+def divided(group: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (crowd, sid, n) of groups that fit into a block, and those of larger ones."""
+    size = group.groupBy("crowd").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    fits = (F.col("size") <= BLOCK) & (F.col("weight") <= SHINGLES)
+    sized = group.join(size.select("crowd", fits.alias("fits")), "crowd")
+    return sized.where("fits").drop("fits"), sized.where("not fits").drop("fits")
+
+
+def packed(few: DataFrame) -> DataFrame:
+    """(unit, crowd, block, sid, n): groups that fit into a block, some to a unit."""
+    all_of = few.agg(F.count("*").alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("weight")).first()
+    packs = max(1, all_of["sets"] // 500, all_of["weight"] // (4 * SHINGLES))
+    unit = F.concat(F.lit("p"), F.pmod(F.xxhash64("crowd"), F.lit(packs)).cast("string"))
+    return few.select(unit.alias("unit"), "crowd", F.lit("").alias("block"), "sid", "n")
+
+
+def by_pivots(many: DataFrame, percent: int) -> DataFrame:
+    """(unit, crowd, block, sid, n): each block of a large group by itself, with the pivots of its band and of those beside it.
+
+    Pivots are the PIVOTS sets of a band that come first by hash. They tie together what blocks have in common, so a
+    group of near copies is connected after this, at a cost in proportion to its size.
     """
-    size = crowd.groupBy("crowd").agg(F.count("*").alias("size"))
-    sized = crowd.join(size, "crowd")
-    few = sized.where(F.col("size") <= BLOCK)
-    packs = F.pmod(F.xxhash64("crowd"), F.lit(max(1, few.count() // 500)))
-    whole = few.select(F.concat(F.lit("p"), packs.cast("string")).alias("unit"), "crowd", F.lit("").alias("block"), "sid", "n")
-    many = sized.where(F.col("size") > BLOCK).withColumn("band", F.floor(F.log("n") / F.lit(1.0001 * np.log(100 / percent))).cast("int"))
-    bands = many.groupBy("crowd", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    near = lambda k, name: bands.select("crowd", (F.col("band") + k).alias("band"), F.col("blocks").alias(name))
-    meets = bands.join(near(-1, "above"), ["crowd", "band"], "left").join(near(1, "below"), ["crowd", "band"], "left")
-    meets = small(written(meets, "bands"))  # a row for each band of each crowd that is more than a block
-    placed = many.join(meets, ["crowd", "band"]).withColumn("x", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    own = F.struct(F.col("band").alias("band"), F.col("x").alias("x"))
-
-    def with_band(shift: int, count: str) -> Column:
-        n = F.coalesce(F.col(count), F.lit(0))
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda y: F.struct((F.col("band") + shift).alias("band"), y.alias("x")))).otherwise(F.array().cast("array<struct<band:int,x:int>>"))
-
-    placed = placed.withColumn("other", F.explode(F.concat(with_band(0, "blocks"), with_band(1, "above"), with_band(-1, "below"))))
-    name = lambda s: F.concat_ws(".", s["band"].cast("string"), s["x"].cast("string"))
-    unit = F.concat_ws("/", F.col("crowd").cast("string"), name(F.least(own, F.col("other"))), name(F.greatest(own, F.col("other"))))
-    return whole.unionByName(placed.select(unit.alias("unit"), "crowd", name(own).alias("block"), "sid", "n"))
+    banded = many.withColumn("band", size_band(F.col("n"), percent))
+    bands = small(written(banded.groupBy("crowd", "band").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")), "bands"))
+    name = lambda band, x: F.concat_ws(".", F.lit("q"), F.col("crowd").cast("string"), F.col(band).cast("string"), F.col(x).cast("string"))
+    own = banded.join(bands, ["crowd", "band"]).withColumn("x", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    key = F.xxhash64("sid", F.lit("pivot"))
+    pivots = banded.groupBy("crowd", "band", F.pmod(key, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(key.alias("h"), "sid", "n")).alias("p"))
+    reach = pivots.select("crowd", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "p.sid", "p.n")
+    sent = reach.join(bands, ["crowd", "band"]).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = own.select(name("band", "x").alias("unit"), "crowd", "sid", "n").unionByName(sent.select(name("band", "x").alias("unit"), "crowd", "sid", "n"))
+    return rows.distinct().select("unit", "crowd", F.lit("").alias("block"), "sid", "n")
+
+
+def still_apart(many: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(unit, crowd, block, sid, n): blocks of large groups that meet after links were found by pivots: none of one component meet.
+
+    found has (sid, component). What a component has in a band of a group is in blocks of its own; where that is less
+    than half a block, sets go into mixed blocks, which meet all. Only bands that sizes allow to link meet.
+    """
+    sets = many.withColumn("band", size_band(F.col("n"), percent)).join(found, "sid", "left")
+    of = ["crowd", "band", "component"]
+    label = F.coalesce(F.col("component").cast("string"), F.lit(""))
+    large = sets.where("component is not null").groupBy(*of).agg(F.count("*").alias("c")).where(F.col("c") * 2 >= BLOCK).select(*of, label.alias("label"))
+    sets = written(sets.join(small(written(large, "settled")), of, "left").select("crowd", "sid", "n", "band", F.coalesce("label", F.lit("")).alias("label")), "labelled")
+    parts = small(written(sets.groupBy("crowd", "band", "label").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")), "parts"))
+    own = sets.join(parts, ["crowd", "band", "label"]).withColumn("x", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    others = parts.select("crowd", F.col("band").alias("band2"), F.col("label").alias("label2"), F.col("blocks").alias("blocks2"))
+    own = own.withColumn("band2", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    meets = own.join(others, ["crowd", "band2"]).where("label <> label2 or label = ''").withColumn("x2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
+    name = lambda *c: F.concat_ws(".", *[F.col(k).cast("string") for k in c])
+    mine, other = name("band", "label", "x"), name("band2", "label2", "x2")
+    unit = F.concat_ws("/", F.lit("r"), F.col("crowd").cast("string"), F.least(mine, other), F.greatest(mine, other))
+    return meets.select(unit.alias("unit"), "crowd", mine.alias("block"), "sid", "n")
 
 
 def link_pairs(sets: list[np.ndarray], blocks: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -312,8 +354,18 @@ def set_links(docs: DataFrame, scanned: DataFrame, words: int, percent: int) ->
     members = written(places(kept, boundary(kept, percent), percent), "places")
     crowd = written(crowds(members, shared_dir(docs.sparkSession)), "crowds")
     whole = whole_sets(docs, scanned, crowd.select("sid"), words)
-    work = units(written(groups(members, crowd), "groups"), percent).join(whole, "sid")
-    return work.groupBy("unit").applyInPandas(_verify(percent), "a long, b long")
+    few, many = divided(written(groups(members, crowd), "groups"))
+    few, many = written(few, "few"), written(many, "many")
+
+    def verified(work: DataFrame) -> DataFrame:
+        return written(work.join(whole, "sid").groupBy("unit").applyInPandas(_verify(percent), "a long, b long"), "verified")
+
+    links = verified(packed(few))
+    if many.isEmpty():
+        return links
+    near = verified(by_pivots(many, percent))
+    found = written(components(near, folder=shared_dir(docs.sparkSession)).withColumnRenamed("node", "sid"), "found")
+    return links.unionByName(near).unionByName(verified(still_apart(many, found, percent)))
 
 
 def whole_sets(docs: DataFrame, scanned: DataFrame, needed: DataFrame, words: int) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from compare import duck, same
 
@@ -560,3 +561,65 @@ def test_pipeline_stages_take_odd_rows(docs, spark):
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.columns == ["doc_id", "pieces"] and rows.count() > 0
+
+
+def _near_copies(n, seed, spread=2):
+    """n texts of 120 words, each with spread words of a common one changed."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{seed}x{i}" for i in range(120)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        for j in rng.integers(0, 120, spread):
+            w[j] = f"e{seed}y{k}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_large_crowds_meet_by_pivots(spark, monkeypatch):
+    # three crowds joined by a shared opening: links within each, some sets alone, blocks of 16 sets
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    texts = _near_copies(150, 1) + _near_copies(90, 2) + _near_copies(60, 3, 9)
+    opening = " ".join(f"o{i}" for i in range(30))
+    rows = [(i, f"{opening} {t}" if i % 3 == 0 else t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.classes(df, 4, 85).collect())) == classes(rows, 4, 85)
+
+
+def test_rows_to_verify_grow_with_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    sent = {}
+    for n in (400, 1600):
+        many = spark.range(n).selectExpr("1L as crowd", "xxhash64(id) as sid", "100L + id % 5 as n")
+        first = jaccard.by_pivots(many, 85)
+        one = many.select("sid", F.lit(7).cast("long").alias("component"))
+        sent[n] = first.count()
+        assert jaccard.still_apart(many, one, 85).isEmpty()  # all of one component: nothing left to meet
+        assert n <= sent[n] <= 2 * n
+        most = first.groupBy("unit").count().agg(F.max("count")).first()[0]
+        assert most <= 3 * 16 + 3 * jaccard.PIVOTS
+    assert sent[1600] <= 5 * sent[400]
+
+
+def test_blocks_are_bounded_in_shingles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHINGLES", 500)
+    texts = _near_copies(40, 5)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.classes(df, 4, 85).collect())) == classes(rows, 4, 85)
+
+
+def test_mixed_blocks_meet_all(spark):
+    # sets without a component, and of two, in one crowd: every pair of different components shares a unit, from different blocks or a mixed one
+    many = spark.range(600).selectExpr("1L as crowd", "id as sid", "100L + id % 40 as n")
+    found = spark.range(560).selectExpr("id as sid", "cast(id % 2 as long) as component")
+    rows = jaccard.still_apart(many, found, 85).collect()
+    at = {}
+    for r in rows:
+        at.setdefault(r["sid"], set()).add((r["unit"], r["block"]))
+    comp = {i: i % 2 if i < 560 else None for i in range(600)}
+    band = {r["sid"]: r["b"] for r in many.select("sid", jaccard.size_band(F.col("n"), 85).alias("b")).collect()}
+    for a in range(0, 600, 7):
+        for b in range(600):
+            if a != b and abs(band[a] - band[b]) <= 1 and (comp[a] is None or comp[a] != comp[b]):
+                assert {u for u, _ in at[a]} & {u for u, _ in at[b]}, (a, b)
