@@ -224,3 +224,42 @@ def test_store_round_trip(spark, tmp_path):
     assert {r["id"]: r["tags"] for r in snapshot.upsert(rows, new, replace=True).collect()} == {"1": ["a"], "2": ["n"], "3": None}
     snapshot.write_csv(rows, f"file://{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/csv").count() == 2
+
+
+def test_match_framings_against_all_permutations(spark):
+    rng = np.random.default_rng(8)
+    rows, item = [], 0
+    for entity, counts in {"e1": (3, 3, 4), "e2": (1, 4), "e3": (2,), None: (2, 3)}.items():
+        for framing, n in enumerate(counts):
+            for _ in range(n):
+                rows.append((entity, framing, item, rng.normal(size=4).tolist()))
+                item += 1
+    rows.append(("e3", 1, item, [0.0, 0.0, 0.0, 0.0]))  # a vector without direction is like nothing
+    threshold = 0.3
+
+    def cos(x, y):
+        a, b = np.linalg.norm(x), np.linalg.norm(y)
+        return float(np.dot(x, y) / (a * b)) if a and b else 0.0
+
+    want = {}
+    for entity in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == entity]
+        vector, group = {r[2]: r[3] for r in mine}, {r[2]: {r[2]} for r in mine}
+        for f, g in itertools.combinations(sorted({r[1] for r in mine}), 2):
+            a, b = ([r[2] for r in mine if r[1] == k] for k in (f, g))
+            if len(a) > len(b):
+                a, b = b, a
+            best = max(itertools.permutations(b, len(a)), key=lambda p: sum(cos(vector[x], vector[y]) for x, y in zip(a, p, strict=True)))
+            for x, y in zip(a, best, strict=True):
+                if cos(vector[x], vector[y]) >= threshold:
+                    both = group[x] | group[y]
+                    group.update(dict.fromkeys(both, both))
+        for i, members in group.items():
+            pairs = [cos(vector[x], vector[y]) for x, y in itertools.combinations(sorted(members), 2)]
+            want[i] = (entity, min(members), len(members), sum(pairs) / len(pairs) if pairs else None)
+    df = spark.createDataFrame(rows, "entity string, framing int, item long, vector array<double>")
+    got = {r["item"]: r for r in clustering.match_framings(df, threshold).collect()}
+    assert got.keys() == want.keys() and any(w[2] > 2 for w in want.values())
+    for i, (entity, grp, size, mean) in want.items():
+        assert (got[i]["entity"], got[i]["grp"], got[i]["size"]) == (entity, grp, size)
+        assert got[i]["consistency"] is None if mean is None else abs(got[i]["consistency"] - mean) < 1e-9
