@@ -1,4 +1,4 @@
-"""Average-linkage clusters in rounds over blocks, and optimal matching in a Pandas function over small groups."""
+"""Average-linkage clusters in rounds over blocks, and optimal matching between framings, routed by size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators import auction
+from loomgraph.operators.components import components
 from loomgraph.session import Scratch, ship
 
 #: Rows of a block: one task holds two blocks, and a matrix of one block by itself in the last step.
@@ -167,21 +169,30 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) for a, b in pairs) if turned else sorted(pairs)
 
 
-def match_framings(rows: DataFrame, threshold: float = 0.70) -> DataFrame:
+def match_framings(rows: DataFrame, threshold: float = 0.70, small: int = 2048, block: int = BLOCK, known: int = 64) -> DataFrame:
     """rows (entity, framing, item, vector) to (entity, item, grp, size, consistency).
 
     Framings are matched pairwise by optimal assignment on cosine; matches that reach the threshold join groups; the
-    consistency of a group is the mean pairwise cosine, null for one member. Entities are small groups.
+    consistency of a group is the mean pairwise cosine, null for one member. A group is named by its first item in the
+    order of framing and item, nulls first. Entities are routed by size: those of at most small rows are matched in one task each, the
+    pairs of framings of larger ones together in the rounds of an auction. A vector that is null, zero or holds what is
+    null or not finite has the cosine 0 with all; shorter vectors count as filled up with zeros.
     """
     ship(rows.sparkSession)
+    save = Scratch(rows, "framings")
+    kinds = dict(rows.dtypes)
+    e, i = kinds["entity"], kinds["item"]
+    rows = save(rows.select("entity", "framing", "item", _unit("vector").alias("vector")))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["framing", "item"]).reset_index(drop=True)
-        v = np.array(part["vector"].tolist(), float)
-        norms = np.linalg.norm(v, axis=1, keepdims=True)
-        sim = (v / np.where(norms > 0, norms, 1)) @ (v / np.where(norms > 0, norms, 1)).T
+        part = part.sort_values(["framing", "item"], na_position="first").reset_index(drop=True)
+        v = np.zeros((len(part), max([1, *(len(x) for x in part["vector"] if x is not None)])))
+        for row, x in zip(v, part["vector"], strict=True):
+            if x is not None:
+                row[: len(x)] = x
+        sim = v @ v.T
         root = np.arange(len(part))
-        by = [g.index.to_numpy() for _, g in part.groupby("framing")]
+        by = [g.index.to_numpy() for _, g in part.groupby("framing", dropna=False)]
         for x in range(len(by)):
             for y in range(x + 1, len(by)):
                 for i, j in assignment(-sim[np.ix_(by[x], by[y])]):
@@ -195,8 +206,37 @@ def match_framings(rows: DataFrame, threshold: float = 0.70) -> DataFrame:
             out += [(part["entity"][i], part["item"][i], part["item"][at[0]], len(at), mean) for i in at]
         return pd.DataFrame(out, columns=["entity", "item", "grp", "size", "consistency"])
 
-    e, i = dict(rows.dtypes)["entity"], dict(rows.dtypes)["item"]
-    return rows.groupBy("entity").applyInPandas(run, f"entity {e}, item {i}, grp {i}, size int, consistency double")
+    sizes = save(rows.groupBy(F.col("entity").alias("e")).agg(F.count("*").alias("n")))
+    routed = rows.join(sizes, F.col("entity").eqNullSafe(F.col("e")))
+    near = routed.where(F.col("n") <= small).select("entity", "framing", "item", "vector")
+    near = near.groupBy("entity").applyInPandas(run, f"entity {e}, item {i}, grp {i}, size int, consistency double")
+    if sizes.where(F.col("n") > small).isEmpty():
+        return near
+    return near.unionByName(_match_large(routed.where(F.col("n") > small).select("entity", "framing", "item", "vector"), save, threshold, block, known))
+
+
+def _match_large(rows: DataFrame, save: Scratch, threshold: float, block: int, known: int) -> DataFrame:
+    """match_framings of rows whose vectors are unit vectors or null, without gathering an entity or a group."""
+    nodes = save(rows.withColumn("node", F.monotonically_increasing_id()))
+    framings = save(nodes.groupBy("entity", "framing").agg(F.min("node").alias("side")))
+    a, b = framings.alias("a"), framings.alias("b")
+    pairs = save(a.join(b, F.col("a.entity").eqNullSafe(F.col("b.entity")) & (F.col("a.side") < F.col("b.side"))).select(F.col("a.side").alias("side_a"), F.col("b.side").alias("side_b")).withColumn("pid", F.monotonically_increasing_id()))
+    side = nodes.alias("n").join(framings.alias("f"), F.col("n.entity").eqNullSafe(F.col("f.entity")) & F.col("n.framing").eqNullSafe(F.col("f.framing")))
+    members = save(side.select("node", "side", F.col("vector").alias("v")))
+    found = save(auction.assign(members, pairs, block, known).select("a", "b"))
+    vectors = members.select("node", "v")
+    both = found.join(vectors.select(F.col("node").alias("a"), F.col("v").alias("u")), "a").join(vectors.select(F.col("node").alias("b"), F.col("v").alias("w")), "b")
+    cosine = F.coalesce(F.aggregate(F.zip_with("u", "w", lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+    links = save(both.where(cosine >= threshold).select("a", "b"))
+    root = components(links).select(F.col("node"), "component")
+    named = save(nodes.join(root, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    # The sum of unit vectors tells the mean of all pairs: its square less the members' own squares, over k (k - 1).
+    summed = named.select("component", F.posexplode("vector").alias("at", "x")).groupBy("component", "at").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    square = summed.groupBy("component").agg((F.sum(F.col("s") * F.col("s")) - F.sum("q")).alias("cross"))
+    first = F.min(F.struct("framing", "item")).getField("item").alias("grp")
+    group = named.groupBy("component").agg(first, F.count("*").cast("int").alias("size")).join(square, "component", "left")
+    mean = F.when(F.col("size") > 1, F.coalesce("cross", F.lit(0.0)) / (F.col("size") * (F.col("size") - 1.0))).alias("consistency")
+    return named.join(group, "component").select("entity", "item", "grp", "size", mean)
 
 
 def linkage_by_group(items: DataFrame, threshold: float = 0.25, strict: bool = False, small: int = BLOCK) -> DataFrame:

@@ -6,7 +6,7 @@ from compare import SF
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import review_threshold
-from loomgraph.operators import clustering, graph, knowledge, lifecycle, normalise
+from loomgraph.operators import auction, clustering, graph, knowledge, lifecycle, normalise
 from loomgraph.plans import catalogue
 from loomgraph.sources import snapshot
 
@@ -263,3 +263,41 @@ def test_match_framings_against_all_permutations(spark):
     for i, (entity, grp, size, mean) in want.items():
         assert (got[i]["entity"], got[i]["grp"], got[i]["size"]) == (entity, grp, size)
         assert got[i]["consistency"] is None if mean is None else abs(got[i]["consistency"] - mean) < 1e-9
+
+
+def test_auction_total_equals_the_hungarian_one(spark):
+    rng = np.random.default_rng(3)
+    sides = {10: rng.normal(size=(7, 3)), 11: rng.normal(size=(8, 3)), 12: np.repeat(rng.normal(size=(2, 3)), 3, axis=0), 13: rng.normal(size=(1, 3))}
+    unit = {k: v / np.linalg.norm(v, axis=1, keepdims=True) for k, v in sides.items()}
+    unit[10][4] = 0  # like nothing
+    rows = [(100 * k + n, k, None if not v.any() else v.tolist()) for k, m in unit.items() for n, v in enumerate(m)]
+    members = spark.createDataFrame(rows, "node long, side long, v array<double>")
+    pairs = [(0, 10, 11), (1, 11, 10), (2, 10, 12), (3, 13, 12), (4, 10, 99)]
+    got = auction.assign(members, spark.createDataFrame(pairs, "pid long, side_a long, side_b long"), block=3, known=6, quantum=10**5).collect()
+    for pid, a, b in pairs[:4]:
+        mine = [(r["a"] - 100 * a, r["b"] - 100 * b) for r in got if r["pid"] == pid]
+        sim = unit[a] @ unit[b].T
+        assert len(mine) == min(sim.shape) == len({x for x, _ in mine}) == len({y for _, y in mine})
+        assert abs(sum(sim[p] for p in mine) - sum(sim[p] for p in clustering.assignment(-sim))) < 1e-4
+    assert all(r["pid"] < 4 for r in got)
+
+
+def test_lots_of_bidders_outbid_one_another(spark):
+    vectors = {0: [[1.0, 0.0], [0.8, 0.6], [0.6, 0.8]], 1: [[0.96, 0.28], [0.6, 0.8], [0.0, 1.0]]}
+    members = spark.createDataFrame([(10 * k + n, k, v) for k, side in vectors.items() for n, v in enumerate(side)], "node long, side long, v array<double>")
+    got = auction.assign(members, spark.createDataFrame([(7, 0, 1)], "pid long, side_a long, side_b long"), lot=1, quantum=25).collect()
+    sim = np.array(vectors[0]) @ np.array(vectors[1]).T
+    best = sum(np.rint(25 * sim[p]) for p in clustering.assignment(-np.rint(25 * sim)))
+    assert sum(np.rint(25 * sim[r["a"], r["b"] - 10]) for r in got) == best and len(got) == 3
+
+
+def test_large_entities_are_matched_as_small_ones(spark):
+    rng = np.random.default_rng(5)
+    rows = [(e, f, 100 * f + n, rng.normal(size=3).tolist()) for e in ("e1", None) for f, many in ((0, 4), (1, 5), (2, 3)) for n in range(many)]
+    rows = [(e, f, k, v) for k, (e, f, _, v) in enumerate(rows)] + [("e1", 0, 900, None), ("e2", None, 901, [1.0, 0.0]), ("e2", 1, 902, [2.0])]
+    df = spark.createDataFrame(rows, "entity string, framing int, item long, vector array<double>")
+    small, large = ({r["item"]: r for r in clustering.match_framings(df, 0.5, small=n, block=4, known=5).collect()} for n in (1000, 1))
+    assert small.keys() == large.keys() == {r[2] for r in rows} and any(r["size"] > 1 for r in small.values())
+    for i, r in small.items():
+        assert (r["entity"], r["grp"], r["size"]) == (large[i]["entity"], large[i]["grp"], large[i]["size"])
+        assert (r["consistency"] is None) == (large[i]["consistency"] is None) and abs((r["consistency"] or 0) - (large[i]["consistency"] or 0)) < 1e-9
