@@ -99,14 +99,14 @@ def _bid(part: pd.DataFrame) -> pd.DataFrame:
     return out.assign(pid=part["pid"].iloc[0])[["pid", "o", "price", "b"]]
 
 
-def assign(members: DataFrame, pairs: DataFrame, block: int = 4096, known: int = 64, lot: int = 16384, quantum: int = QUANTUM) -> DataFrame:
+def assign(members: DataFrame, pairs: DataFrame, block: int = 4096, known: int = 256, lot: int = 4096, quantum: int = QUANTUM) -> DataFrame:
     """(pid, a, b): for each of pairs (pid, side_a, side_b) the assignment of largest total cosine of members (node, side, v).
 
     node, side and pid are longs, node is unique, v holds unit vectors; null or zero vectors have the cosine 0 with all,
     shorter ones count as filled up with zeros. Every row of the smaller side gets a partner. Cosines count in steps of
     1 / quantum; of assignments with equal totals any one is given. A pair with an empty side gives nothing. A task holds
-    two blocks of vectors, or the lists of one lot of bidders. Where one lot holds a pair, the rounds are those that list
-    objects anew (tens); lots that bid against one another take hundreds.
+    two blocks of vectors, or the lists of one lot of bidders. Where one lot holds a pair, the rounds are the phases and
+    those that list objects anew, which are more the shorter the lists; lots that bid against one another take hundreds.
     """
     ship(members.sparkSession)
     save = Scratch(members, "auction")

@@ -169,7 +169,7 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) for a, b in pairs) if turned else sorted(pairs)
 
 
-def match_framings(rows: DataFrame, threshold: float = 0.70, small: int = 2048, block: int = BLOCK, known: int = 64) -> DataFrame:
+def match_framings(rows: DataFrame, threshold: float = 0.70, small: int = 6144, block: int = BLOCK, known: int = 256) -> DataFrame:
     """rows (entity, framing, item, vector) to (entity, item, grp, size, consistency).
 
     Framings are matched pairwise by optimal assignment on cosine; matches that reach the threshold join groups; the
