@@ -146,20 +146,49 @@ def cross_sections(edges: DataFrame, sections: DataFrame) -> DataFrame:
     return rows.groupBy(F.least("x", "y").alias("section_a"), F.greatest("x", "y").alias("section_b")).agg(F.count("*").alias("n"))
 
 
+def twins(e: DataFrame, save: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(members, both) of undirected edges whose nodes with the same neighbours are one: members (node, rep), both (src, dst, ms, md).
+
+    Twins are no neighbours of one another, are two steps apart, and are as far as one another from all else, so distances
+    and shortest paths of one speak for all. rep is the smallest of them, ms and md say how many nodes src and dst stand
+    for. Sums of hashes propose twins and a join of their edges with those of rep proves them, so no neighbourhood is
+    gathered. No two of what is left are twins.
+    """
+    both = save(_both(e))
+    hashes = [F.sum(F.xxhash64("dst", F.lit(seed)).cast("decimal(20,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    marks = save(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"), *hashes))
+    key = ["k", "h1", "h2"]
+    guess = save(marks.join(marks.groupBy(*key).agg(F.min("node").alias("rep")), key).where("node <> rep").select("node", "rep", "k"))
+    own = guess.join(both, F.col("node") == F.col("src")).select("node", "rep", "k", "dst")
+    shared = own.join(both.select(F.col("src").alias("rep"), "dst"), ["rep", "dst"]).groupBy("node", "rep", "k").agg(F.count("*").alias("same"))
+    proven = shared.where("same = k").select("node", "rep")
+    members = save(marks.select("node").join(proven, "node", "left").select("node", F.coalesce("rep", "node").alias("rep")))
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n"))
+    heads = save(sizes.select(F.col("rep").alias("node"), "n"))
+    thin = both.join(heads.select(F.col("node").alias("src"), F.col("n").alias("ms")), "src").join(heads.select(F.col("node").alias("dst"), F.col("n").alias("md")), "dst")
+    return members, save(thin.select("src", "dst", "ms", "md"))
+
+
 def betweenness(edges: DataFrame, parts: int | None = None, rows: int = ROWS) -> DataFrame:
     """(node, betweenness), normalised, undirected, by Brandes' accumulation as joins: layers outward from every source, then back.
 
-    A layer holds (source, node, paths) and is written. Sources go in parts, so many that the layers of one hold about
-    rows rows; after each part the sums so far are folded into one table and its layers are deleted. A layer is told from
-    what was seen by the two layers before it. Nodes that lie on no shortest path have 0.
+    Nodes with the same neighbours count as one that stands for all of them (twins): it is one source, weighs as many as
+    it stands for, and its twins, two steps away, add what they owe to its neighbours. A layer holds (source, node, paths)
+    and is written. Sources go in parts, so many that the layers of one hold about rows rows; after each part the sums so
+    far are folded into one table and its layers are deleted. A layer is told from what was seen by the two layers before
+    it. Nodes that lie on no shortest path have 0. Without twins this is all sources times all edges.
     """
-    e = undirected(edges)
     save = Scratch(edges, "between")
-    both = save(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    nodes = save(both.select(F.col("src").alias("node")).distinct())
-    n = nodes.count()
-    parts = parts or max(1, -(-n * n // rows))
-    total = save(nodes.select("node", F.lit(0.0).alias("part")))
+    members, both = twins(save(undirected(edges)), save)
+    n = members.count()
+    nodes = save(members.groupBy(F.col("rep").alias("node")).agg(F.count("*").alias("m")))
+    heads = nodes.count()
+    parts = parts or max(1, -(-heads * heads // rows))
+    degrees = both.groupBy(F.col("src").alias("at")).agg(F.sum("md").alias("k"))
+    # from a node to each of its m - 1 twins all k paths pass one neighbour each
+    aside = both.join(degrees, F.col("src") == F.col("at")).select(F.col("dst").alias("node"), (F.col("ms") * (F.col("ms") - 1.0) / F.col("k")).alias("part"))
+    total = save(nodes.select("node", F.lit(0.0).alias("part")).unionByName(aside).groupBy("node").agg(F.sum("part").alias("part")))
+    weight = nodes.select(F.col("node").alias("source"), "m")
     for p in range(parts):
         own = Scratch(edges, "between-part")
         mine = nodes.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == p)
@@ -167,7 +196,8 @@ def betweenness(edges: DataFrame, parts: int | None = None, rows: int = ROWS) ->
         while True:
             seen = layers[-1].select("source", "node")
             seen = seen.unionByName(layers[-2].select("source", "node")) if len(layers) > 1 else seen
-            ahead = layers[-1].join(both, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+            through = F.col("paths") * (F.col("ms") if len(layers) > 1 else 1)  # the source is one node, without its twins
+            ahead = layers[-1].join(both, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum(through).alias("paths"))
             layer = own(ahead.join(seen, ["source", "node"], "left_anti"))
             if layer.isEmpty():
                 break
@@ -175,15 +205,15 @@ def betweenness(edges: DataFrame, parts: int | None = None, rows: int = ROWS) ->
         below = layers[-1].withColumn("dep", F.lit(0.0))
         gained = total
         for layer in reversed(layers[:-1]):
-            gained = gained.unionByName(below.select("node", F.col("dep").alias("part")))
-            up = below.select("source", F.col("node").alias("w"), F.col("paths").alias("more"), "dep").join(both, F.col("w") == F.col("src")).select("source", F.col("dst").alias("node"), "more", "dep")
-            gains = up.join(layer, ["source", "node"]).groupBy("source", "node").agg(F.sum(F.col("paths") / F.col("more") * (1 + F.col("dep"))).alias("dep"))
+            gained = gained.unionByName(below.join(weight, "source").select("node", (F.col("dep") * F.col("m")).alias("part")))
+            up = below.select("source", F.col("node").alias("w"), F.col("paths").alias("more"), "dep").join(both, F.col("w") == F.col("src")).select("source", F.col("dst").alias("node"), "more", "dep", "ms")
+            gains = up.join(layer, ["source", "node"]).groupBy("source", "node").agg(F.sum(F.col("ms") * F.col("paths") / F.col("more") * (1 + F.col("dep"))).alias("dep"))
             below = own(layer.join(gains, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep")))
         total = save(gained.groupBy("node").agg(F.sum("part").alias("part")))
         save.drop(save.n - 1)
         own.clear()
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return total.select("node", F.round(F.col("part") * scale, 6).alias("betweenness"))
+    return members.join(total.withColumnRenamed("node", "rep"), "rep").select("node", F.round(F.col("part") * scale, 6).alias("betweenness"))
 
 
 def communities(edges: DataFrame) -> DataFrame:
@@ -435,19 +465,23 @@ def depths(both: DataFrame, sources: DataFrame, save: Scratch) -> DataFrame:
 
 
 def eccentricities(both: DataFrame, sources: DataFrame, nodes: int, rows: int = ROWS) -> DataFrame:
-    """(node, eccentricity, total, reached) of sources (node): the greatest and the summed distances, and how many nodes they are to.
+    """(node, m, eccentricity, total, reached) of sources (node): the greatest and the summed distances, and how many nodes they are to.
 
-    Sources go in parts, so many that the distances of one are about rows rows; those of a part are deleted after it.
+    both: edges of twins(). A source speaks for the m nodes that it stands for; its own twins are two steps away. Sources
+    go in parts, so many that the distances of one are about rows rows; those of a part are deleted after it. nodes: how
+    many rows a source reaches at most.
     """
     out = Scratch(both, "far")
     n = sources.count()
     parts = max(1, -(-n * nodes // rows))
+    weight = out(both.select("src", "ms").distinct())
     done = []
     for p in range(parts):
         own = Scratch(both, "far-part")
         mine = sources.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == p)
-        far = depths(both, mine, own)
-        done.append(out(far.groupBy(F.col("start").alias("node")).agg(F.max("depth").alias("eccentricity"), F.sum(F.col("depth").cast("long")).alias("total"), (F.count("*") - 1).alias("reached"))))
+        far = depths(both, mine, own).join(weight, F.col("node") == F.col("src"))
+        sums = far.groupBy(F.col("start").alias("node")).agg(F.max("depth").alias("deep"), F.sum(F.col("depth") * F.col("ms")).alias("sum"), F.sum("ms").alias("all"), F.max(F.when(F.col("depth") == 0, F.col("ms"))).alias("m"))
+        done.append(out(sums.select("node", "m", F.when(F.col("m") > 1, F.greatest("deep", F.lit(2))).otherwise(F.col("deep")).alias("eccentricity"), (F.col("sum") + 2 * (F.col("m") - 1)).alias("total"), (F.col("all") - 1).alias("reached"))))
         own.clear()
     whole = done[0]
     for d in done[1:]:
@@ -465,7 +499,7 @@ def largest(e: DataFrame, save: Scratch) -> tuple[DataFrame, DataFrame]:
 def diameter(edges: DataFrame, rows: int = ROWS) -> DataFrame:
     """One row: diameter of the largest component, and sources, the number of nodes from which distances were taken.
 
-    Two sweeps, from a hub to a farthest node and from there to its farthest, give a lower bound; a node half way between
+    Nodes with the same neighbours are one (twins), two steps apart. Two sweeps, from a hub to a farthest node and from there to its farthest, give a lower bound; a node half way between
     is the root. Nodes at depth i from it are no more than 2i apart from any of depth i or less, so layers are
     looked at from the outermost inward, until what was found is more than twice the depth of the next one. Exact, and
     mostly after a few layers, where all distances would be the square of the nodes. No edges: 0 and no sources.
@@ -473,8 +507,9 @@ def diameter(edges: DataFrame, rows: int = ROWS) -> DataFrame:
     save = Scratch(edges, "diameter")
     e = save(undirected(edges))
     inside, _ = largest(e, save)
-    both = save(_both(e).join(inside.withColumnRenamed("node", "src"), "src", "left_semi"))
-    n = inside.count()
+    _, all_ = twins(e, save)
+    both = save(all_.join(inside.withColumnRenamed("node", "src"), "src", "left_semi"))
+    n, most = both.agg(F.count_distinct("src"), F.max("ms")).first()
     spark = edges.sparkSession
     one = lambda rows_: rows_.first()
     kind = dict(inside.dtypes)["node"]
@@ -489,7 +524,7 @@ def diameter(edges: DataFrame, rows: int = ROWS) -> DataFrame:
     middle = from_a.join(from_b.withColumnRenamed("depth", "back"), "node").where((F.col("depth") + F.col("back") == low) & (F.col("depth") == low // 2))
     layers = at(one(middle.orderBy("node"))["node"])
     i = layers.agg(F.max("depth")).first()[0]
-    low, taken = max(low, i), 4
+    low, taken = max(low, i, 2 if most > 1 else 0), 4
     while low < 2 * i:
         fringe = layers.where(F.col("depth") == i).select("node")
         best, count = eccentricities(both, fringe, n, rows).agg(F.max("eccentricity"), F.count("*")).first()
@@ -500,16 +535,18 @@ def diameter(edges: DataFrame, rows: int = ROWS) -> DataFrame:
 def measures(edges: DataFrame, rows: int = ROWS) -> DataFrame:
     """One row: nodes, edges, density, clustering (mean), components, and diameter and mean path of the largest component.
 
-    Distances go breadth first from every node of that component, in parts of about rows distances that are added up and
-    deleted. Where only the diameter is wanted, diameter() takes far fewer sources.
+    Distances go breadth first from every node of that component, of nodes with the same neighbours from one (twins), in
+    parts of about rows distances that are added up and deleted. Where only the diameter is wanted, diameter() takes far fewer sources.
     """
     save = Scratch(edges, "measures")
     e = save(undirected(edges))
     inside, comps = largest(e, save)
-    far = eccentricities(save(_both(e)), inside, inside.count(), rows).agg(F.max(F.when(F.col("eccentricity") > 0, F.col("eccentricity"))).alias("diameter"), F.round(F.try_divide(F.sum("total"), F.sum("reached")), 6).alias("mean_path"))
+    members, both = twins(e, save)
+    heads = save(inside.join(members.where("node = rep"), "node", "left_semi"))
+    far = eccentricities(both, heads, heads.count(), rows).agg(F.max(F.when(F.col("eccentricity") > 0, F.col("eccentricity"))).alias("diameter"), F.round(F.try_divide(F.sum(F.col("m") * F.col("total")), F.sum(F.col("m") * F.col("reached"))), 6).alias("mean_path"))
     n = comps.agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"))
     rows_ = n.crossJoin(e.agg(F.count("*").alias("edges"))).crossJoin(clustering_coefficient(e).agg(F.round(F.avg("coefficient"), 6).alias("clustering"))).crossJoin(far)  # one row each
     return rows_.select("nodes", "edges", F.round(F.try_divide(F.col("edges") * 2, F.col("nodes") * (F.col("nodes") - 1)), 6).alias("density"), "clustering", "components", "diameter", "mean_path")
 
 
-__all__ = ["allowed", "around", "betweenness", "build", "clustering_coefficient", "collapse", "collapse_all", "communities", "components", "cross_degree", "cross_sections", "degree", "degree_stats", "depths", "diameter", "eccentricities", "has_cycle", "histogram", "hubs", "levels", "measures", "modularity", "pattern_graph", "precedes", "reachable", "sections", "sequences", "strong_components", "subgraph", "top_subgraph", "triangles", "typed_edges", "undirected", "unreachable"]
+__all__ = ["allowed", "around", "betweenness", "build", "clustering_coefficient", "collapse", "collapse_all", "communities", "components", "cross_degree", "cross_sections", "degree", "degree_stats", "depths", "diameter", "eccentricities", "has_cycle", "histogram", "hubs", "levels", "measures", "modularity", "pattern_graph", "precedes", "reachable", "sections", "sequences", "strong_components", "subgraph", "top_subgraph", "triangles", "twins", "typed_edges", "undirected", "unreachable"]

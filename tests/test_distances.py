@@ -94,3 +94,23 @@ def test_betweenness_in_parts(spark):
     want = central(neighbours(edges))
     got = {r["node"]: r["betweenness"] for r in graph.betweenness(df, rows=200).collect()}
     assert set(got) == set(want) and all(abs(got[x] - want[x]) < 2e-6 for x in want)
+
+
+def test_nodes_with_the_same_neighbours_are_one_source(spark):
+    edges = [(h, 10 + (h + 1) % 3) for h in range(3)] + [(h, 100 + 10 * h + i) for h in range(3) for i in range(6)] + [(h, 200 + i) for h in (0, 1) for i in range(5)]
+    edges += [(10, 11), (11, 12), (12, 300), (300, 301), (900, 901), (900, 902), (7, 7)]
+    near = neighbours(edges)
+    df = spark.createDataFrame(edges, "src long, dst long")
+    e = graph.undirected(df)
+    members, both = graph.twins(e, graph.Scratch(e, "twins-test"))
+    found = {r["node"]: r["rep"] for r in members.collect()}
+    assert all(found[x] == min(y for y in near if near[y] == near[x]) for x in near)
+    assert both.count() == sum(len({found[y] for y in near[x]}) for x in set(found.values()))
+    want = central(near)
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(df).collect()}
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 2e-6 for x in want)
+    m, d = graph.measures(df).first(), graph.diameter(df).first()
+    assert (m["diameter"], m["mean_path"], m["nodes"]) == (*far(near), len(near))
+    assert d["diameter"] == far(near)[0] and d["sources"] <= len(set(found.values())) + 4
+    star = spark.createDataFrame([(0, i) for i in range(1, 9)], "src long, dst long")
+    assert graph.diameter(star).first()["diameter"] == 2 and graph.measures(star).first()["mean_path"] == round((16 + 56 * 2) / 72, 6)
