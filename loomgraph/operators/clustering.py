@@ -48,7 +48,9 @@ def linkage(sums: np.ndarray, sizes: np.ndarray, threshold: float, strict: bool)
 def _unit(vector: str):
     """vector over its norm; null where it has none (zero, null or not finite)."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when((norm > 0) & (norm < float("inf")), F.transform(vector, lambda x: x.cast("double") / norm))
+    # bound as a lambda's variable, the norm is taken once for a row and not once for each component
+    over = lambda n: F.when((n > 0) & (n < float("inf")), F.transform(vector, lambda x: x.cast("double") / n))
+    return F.get(F.transform(F.array(norm), over), F.lit(0))
 
 
 def _nearest(live: DataFrame, threshold: float, strict: bool, blocks: int) -> DataFrame:
@@ -242,7 +244,7 @@ def _match_large(rows: DataFrame, save: Scratch, threshold: float, block: int, k
 def linkage_by_group(items: DataFrame, threshold: float = 0.25, strict: bool = False, small: int = BLOCK) -> DataFrame:
     """(grp, id, cluster): average-linkage clusters within each group of items (grp, id, vector), named by their smallest id.
 
-    Groups are routed by size: those of at most small rows go together, a task function for each; a larger one goes
+    Groups are routed by size: those of at most small rows lie together, many to a task; a larger one goes
     through the rounds over blocks, so there are no more of these than rows divided by small. The meaning is that of
     average_linkage in either case. A group of one row is its own cluster; a null group is a group.
     """
@@ -254,17 +256,51 @@ def linkage_by_group(items: DataFrame, threshold: float = 0.25, strict: bool = F
     kinds = dict(rows.dtypes)
     schema = f"grp {kinds['grp']}, id {kinds['id']}, cluster {kinds['id']}"
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id", ignore_index=True)
-        names = part["id"].to_numpy().copy()
-        size = part["v"].map(lambda x: 0 if x is None else len(x)).to_numpy()
-        for n in np.unique(size[size > 0]):
-            at = np.flatnonzero(size == n)
-            names[at] = part["id"].to_numpy()[at][linkage(np.array(part["v"].iloc[at].tolist(), float), np.ones(len(at)), threshold, strict)]
-        return pd.DataFrame({"grp": part["grp"], "id": part["id"], "cluster": names})
+    def labels(v: list, n: np.ndarray) -> np.ndarray:
+        """The place of the first member of its cluster for each row of a group, in the order of ids: vectors end to end, and their lengths."""
+        first, at = np.arange(len(n)), np.concatenate([[0], np.cumsum(n)])
+        for size in np.unique(n[n > 0]):
+            mine = np.flatnonzero(n == size)
+            u = v[at[mine][:, None] + np.arange(size)] if len(mine) < len(n) else v.reshape(len(n), size)
+            seen: dict = {}
+            of = np.array([seen.setdefault(x.tobytes(), len(seen)) for x in u + 0.0]) if threshold > 0 else np.arange(len(u))  # equal vectors are one from the start
+            _, head, count = np.unique(of, return_index=True, return_counts=True)
+            first[mine] = mine[head[linkage(u[head] * count[:, None], count.astype(float), threshold, strict)[of]]]
+        return first
+
+    def run(batches):
+        """Groups lie together and in the order of ids; the last one of a batch may go on in the next."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def found(t):
+            g, v = pc.rank(t["grp"], null_placement="at_start", tiebreaker="min").to_numpy(), t["v"].combine_chunks()
+            sizes = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+            flat = pc.list_flatten(v).to_numpy(zero_copy_only=False)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
+            to, at = np.concatenate([[0], np.cumsum(sizes)]), np.arange(len(g))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a + 1:
+                    at[a:b] = a + labels(flat[to[a] : to[b]], sizes[a:b])
+            ids = t["id"].combine_chunks()
+            return pa.RecordBatch.from_arrays([t["grp"].combine_chunks(), ids, ids.take(pa.array(at))], ["grp", "id", "cluster"])
+
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if not len(t):
+                continue
+            g = pc.rank(t["grp"], null_placement="at_start", tiebreaker="min").to_numpy()
+            cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0
+            if cut:
+                yield found(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None:
+            yield found(rest)
 
     mine = F.col("grp")
-    out = rows.join(F.broadcast(size.where(F.col("n") > small).select(F.col("grp").alias("big"))), mine.eqNullSafe(F.col("big")), "left_anti").groupBy("grp").applyInPandas(run, schema) if large else rows.groupBy("grp").applyInPandas(run, schema)
+    near = rows.join(F.broadcast(size.where(F.col("n") > small).select(F.col("grp").alias("big"))), mine.eqNullSafe(F.col("big")), "left_anti") if large else rows
+    out = near.repartition("grp").sortWithinPartitions("grp", "id").mapInArrow(run, schema)
     for grp in large:
         one = items.where(mine.eqNullSafe(F.lit(grp)))
         out = out.unionByName(average_linkage(one.select("id", "vector"), threshold, strict, small).select(F.lit(grp).cast(kinds["grp"]).alias("grp"), "id", "cluster"))

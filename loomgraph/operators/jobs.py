@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import passes
+from loomgraph.session import Scratch
 from loomgraph.sources.store import Store
 
 
@@ -87,20 +88,21 @@ def resumable(store: Store, steps: list[tuple[str, Callable[[dict[str, DataFrame
     return ran
 
 
-def compress(assertions: DataFrame, vectors: DataFrame, statements: Callable[[DataFrame], DataFrame], subjects: DataFrame | None = None, proposed: int = 0, cap: int = 5_000, least: int = 3, threshold: float = 0.25, dry: bool = False, model: str = "model") -> DataFrame:
+def compress(assertions: DataFrame, vectors: DataFrame, statements: Callable[[DataFrame], DataFrame], subjects: DataFrame | None = None, proposed: int = 0, cap: int | None = 5_000, least: int = 3, threshold: float = 0.25, dry: bool = False, model: str = "model", entities: DataFrame | None = None) -> DataFrame:
     """Abstractions on demand: of all subjects, or of those given (id), without a mark of progress.
 
     assertions as normalise.abstractions takes them; vectors: id, vector. Live assertions of a subject are clustered by
     average linkage, and clusters of at least so many become abstraction rows with what statements says of their
-    prompts. A dry run gives subject_id, cluster, child_ids and prompt instead, and asks nobody.
+    prompts, as many as the queue has room for, or all without a cap. A dry run gives subject_id, cluster, child_ids and prompt instead, and asks nobody.
     """
     from loomgraph.operators import clustering
     from loomgraph.operators import normalise as norms
 
     rows = assertions if subjects is None else assertions.join(subjects.select(F.col("id").alias("subject_id")).distinct(), "subject_id", "left_semi")
-    live = norms.abstraction_groups(rows, least)
+    save = Scratch(rows, "compress")
+    live = save(norms.abstraction_groups(rows, least))
     labels = clustering.linkage_by_group(live.select(F.col("subject_id").alias("grp"), "id").join(vectors, "id"), threshold).select("id", "cluster")
-    made = norms.abstractions(rows, labels, proposed, cap, least)
+    made = norms.clusters_made(live, save(labels), proposed, cap, least, entities)
     return made.select("subject_id", "cluster", "child_ids", "prompt") if dry else norms.accept_abstractions(made, statements(made), model=model)
 
 

@@ -222,8 +222,8 @@ def oN5_mapped(t):
 @query(f"WITH l AS (SELECT * FROM kg_assertions WHERE {LIVE}), g AS (SELECT subject_id FROM l GROUP BY 1 HAVING count(*) >= 3), c AS (SELECT subject_id, predicate, count(*) AS n, min(id) AS first, max(id) AS last FROM l WHERE subject_id IN (SELECT subject_id FROM g) GROUP BY 1, 2 HAVING count(*) >= 3) SELECT subject_id, predicate AS cluster, n::INTEGER AS n, first, last FROM c ORDER BY subject_id, cluster LIMIT 400")
 def oN6_abstractions(t):
     """Clusters are the predicates of a subject here; the queue has room for 400."""
-    rows = knowledge.with_names(t.kg_assertions, t.kg_entities, "subject", "object").withColumns({"rationale": F.lit(""), "conditions": F.array().cast("array<string>"), "seq": F.lit(0)})
-    made = normalise.abstractions(rows, t.kg_assertions.select("id", F.col("predicate").alias("cluster")).distinct(), 100, 500)
+    rows = t.kg_assertions.select("id", "subject_id", "object_id", "predicate", "status").withColumns({"rationale": F.lit(""), "conditions": F.array().cast("array<string>"), "seq": F.lit(0)})
+    made = normalise.abstractions(rows, t.kg_assertions.select("id", F.col("predicate").alias("cluster")).distinct(), 100, 500, entities=t.kg_entities)
     return made.select("subject_id", "cluster", F.size("child_ids").alias("n"), F.array_min("child_ids").alias("first"), F.array_max("child_ids").alias("last"))
 
 
