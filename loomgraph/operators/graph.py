@@ -33,24 +33,40 @@ def collapse(edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 1_000_000) -> DataFrame:
-    """(start, node, depth) of everything reachable from start (columns start, node), breadth first; start itself at 0."""
+    """(start, node, depth) of everything reachable from start (columns start, node), breadth first; start itself at 0.
+
+    A node that one edge leads to is new when its only predecessor was, unless it is where the search began; so only nodes
+    that several edges lead to are compared with what was found before, and only with those.
+    """
     save = Scratch(edges, "reach")
-    frontier = save(start.select("start", "node").distinct().withColumn("depth", F.lit(0)))
-    found = frontier
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    met = save(step.groupBy("next").agg(F.count("*").alias("n")).where("n > 1").select(F.col("next").alias("at")))
+    crossed = not met.isEmpty()
+    step = save(step.join(met, F.col("next").eqNullSafe(F.col("at")), "left").select("node", "next", F.coalesce(F.lit(crossed) & (F.col("at").isNotNull() | F.col("next").isNull()), F.lit(False)).alias("many")))
+    roots = save(start.select("start", "node").distinct().withColumns({"depth": F.lit(0), "many": F.lit(True)}))
+    kinds = dict(roots.dtypes)
+    own = kinds["start"] == kinds["node"] and roots.where(~F.col("start").eqNullSafe(F.col("node"))).isEmpty()  # every start begins at itself
+    frontier = found = known = roots
     for depth in range(1, max_depth + 1):
-        ahead = frontier.join(step, "node").select("start", F.col("next").alias("node")).distinct()
-        frontier = save(ahead.join(found, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        ahead = frontier.select("start", "node").join(step, "node").select("start", F.col("next").alias("node"), "many")
+        one = ahead.where("not many").select("start", "node")
+        new = one.where(~F.col("node").eqNullSafe(F.col("start"))) if own else one.join(roots, ["start", "node"], "left_anti")
+        new = new.withColumn("many", F.lit(False))
+        if crossed:
+            several = ahead.where("many").select("start", "node").distinct().join(known, ["start", "node"], "left_anti")
+            new = new.unionByName(several.withColumn("many", F.lit(True)))
+        frontier = save(new.select("start", "node", F.lit(depth).alias("depth"), "many"))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
-    return found
+        known = known.unionByName(frontier.where("many")) if crossed else known
+    return found.select("start", "node", "depth")
 
 
 def around(edges: DataFrame, start: DataFrame, max_depth: int = 50) -> DataFrame:
     """(start, node, depth) of everything within max_depth steps of start (columns start, node) along edges in either direction."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return reachable(edges.select("src", "dst").unionByName(back), start, max_depth)
+    save = Scratch(edges, "around")
+    return _layers(save(_both(edges).distinct()), start.select("start", "node").distinct(), save, max_depth)
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, entrances: DataFrame) -> DataFrame:
@@ -449,16 +465,21 @@ def _both(e: DataFrame) -> DataFrame:
 
 
 def depths(both: DataFrame, sources: DataFrame, save: Scratch) -> DataFrame:
-    """(start, node, depth) from each of sources (node), breadth first along both, an edge table of both directions.
+    """(start, node, depth) from each of sources (node), breadth first along both, an edge table of both directions."""
+    return _layers(both, sources.select(F.col("node").alias("start"), "node").distinct(), save)
+
+
+def _layers(both: DataFrame, start: DataFrame, save: Scratch, max_depth: int | None = None) -> DataFrame:
+    """(start, node, depth) from start (start, node), breadth first along both, an edge table of both directions.
 
     What is new in a layer is told by the two layers before it: a neighbour lies one nearer, as far, or one farther.
     """
-    layer = save(sources.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
+    layer = save(start.withColumn("depth", F.lit(0)))
     found, before, depth = layer, layer.limit(0), 0
-    while not layer.isEmpty():
+    while depth != max_depth and not layer.isEmpty():
         depth += 1
         seen = layer.select("start", "node").unionByName(before.select("start", "node"))
-        ahead = layer.join(both, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        ahead = layer.select("start", F.col("node").alias("src")).join(both.select("src", "dst"), "src").select("start", F.col("dst").alias("node")).distinct()
         before, layer = layer, save(ahead.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         found = found.unionByName(layer)
     return found

@@ -301,3 +301,47 @@ def test_large_entities_are_matched_as_small_ones(spark):
     for i, r in small.items():
         assert (r["entity"], r["grp"], r["size"]) == (large[i]["entity"], large[i]["grp"], large[i]["size"])
         assert (r["consistency"] is None) == (large[i]["consistency"] is None) and abs((r["consistency"] or 0) - (large[i]["consistency"] or 0)) < 1e-9
+
+
+def test_names_by_both_ways(spark, monkeypatch):
+    from loomgraph.operators import knowledge
+    from loomgraph.sources import snapshot
+
+    rows = spark.createDataFrame([("1", "a", "b"), ("2", "b", "x"), ("3", None, "c")], "id string, subject_id string, object_id string")
+    names = spark.createDataFrame([("a", "A", "accepted"), ("b", "B", "accepted"), ("c", "C", "merged")], "id string, name string, status string")
+    for bound in (10, 0):
+        monkeypatch.setattr(knowledge, "NAMES", bound)
+        got = {(r["id"], r["subject"], r["object"]) for r in knowledge.with_names(rows, names, "subject", "object").collect()}
+        assert got == {("1", "A", "B"), ("2", "B", "x"), ("3", None, "C")}
+        out = snapshot.export_names(rows, names, "subject_id", "object_id")
+        assert out.columns == rows.columns and {tuple(r) for r in out.collect()} == {("1", "A", "B"), ("2", "B", "x"), ("3", None, "c")}
+        plan = knowledge.with_names(rows, names, "subject", "object")._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (bound > 0) or "LocalTableScan" in plan
+
+
+def test_reachable_where_ways_meet(spark):
+    e = [(1, 2), (2, 3), (3, 4), (4, 2), (1, 5), (5, 4), (6, 1), (7, 7), (4, 8)]
+    near = {}
+    for a, b in e:
+        near.setdefault(a, set()).add(b)
+
+    def depths(s, both=False):
+        ways = {x: set(y) for x, y in near.items()}
+        if both:
+            for a, b in e:
+                ways.setdefault(b, set()).add(a)
+        d, order = {s: 0}, [s]
+        for x in order:
+            for y in ways.get(x, ()):
+                if y not in d:
+                    d[y] = d[x] + 1
+                    order.append(y)
+        return {(s, n, k) for n, k in d.items()}
+
+    df = edges(spark, *[e])
+    start = spark.createDataFrame([(n, n) for n in range(1, 9)], "start long, node long")
+    assert {tuple(r) for r in graph.reachable(df, start).collect()} == set().union(*(depths(s) for s in range(1, 9)))
+    assert {tuple(r) for r in graph.around(df, start, 50).collect()} == set().union(*(depths(s, True) for s in range(1, 9)))
+    assert {tuple(r) for r in graph.around(df, start, 1).collect()} == {t for s in range(1, 9) for t in depths(s, True) if t[2] <= 1}
+    two = spark.createDataFrame([("s", 6), ("s", 3)], "start string, node long")
+    assert {(r["node"], r["depth"]) for r in graph.reachable(df, two).collect()} == {(6, 0), (3, 0), (1, 1), (4, 1), (2, 2), (5, 2), (8, 2)}
