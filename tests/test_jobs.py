@@ -70,3 +70,25 @@ def test_abstractions_on_demand(spark):
     assert {tuple(r["child_ids"]) for r in nodes.collect()} == want and {r["status"] for r in nodes.collect()} == {"proposed"}
     dry = jobs.compress(df, vectors, says, dry=True)
     assert dry.columns == ["subject_id", "cluster", "child_ids", "prompt"] and dry.count() == 4
+
+
+def test_equal_vectors_of_a_group_and_no_cap(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators import clustering, jobs
+
+    rows = [(f"g{i % 3}" if i % 3 else None, f"i{i:03}", [[1.0, 0.0], [0.0, 2.0], [0.0, 1.0], None][i % 4]) for i in range(60)]
+    df = spark.createDataFrame(rows, "grp string, id string, vector array<double>")
+    want = {r[1]: min(x[1] for x in rows if x[0] == r[0] and x[2] and r[2] and (x[2][0] > 0) == (r[2][0] > 0)) if r[2] else r[1] for r in rows}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups go over several batches
+    try:
+        got = {r["id"]: r["cluster"] for r in clustering.linkage_by_group(df, 0.25).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    said = df.where("grp is not null").select(F.col("grp").alias("subject_id"), "id", F.lit("o").alias("object_id"), F.lit("requires").alias("predicate"), F.lit("").alias("rationale"), F.array().cast("array<string>").alias("conditions"), F.lit("accepted").alias("status"), F.lit(0).alias("seq"))
+    names = spark.createDataFrame([("g1", "one"), ("o", "object")], "id string, name string")
+    run = lambda cap: [(r["subject_id"], r["cluster"], r["prompt"].split("\n")[0]) for r in jobs.compress(said, df.where("vector is not null").select("id", "vector"), lambda m: m, dry=True, cap=cap, entities=names).collect()]
+    every = sorted(run(None))
+    assert len(every) == 4 and every[0][2] == "  1. one requires object" and every[2][2] == "  1. g2 requires object"
+    assert run(3) == every[:3]
