@@ -28,32 +28,13 @@ def resolve_like(entities: DataFrame, pattern: str, merged: bool = True) -> Data
     return rows if merged else rows.where("status <> 'merged'")
 
 
-#: Names in use up to this number are broadcast (about 100 bytes each); they are counted first.
-NAMES = 500_000
-
-
-def name_join(rows: DataFrame, names: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """rows with a column of names (id, name) for each of keys (column: new column), null where there is none.
-
-    ids are unique. Where rows use few names, these are broadcast, so rows stay where they are; else rows are dealt by the
-    key and each task holds its share of the names, without a sort.
-    """
-    used = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in keys]).first()
-    few = [c for c in keys if used[c] <= NAMES]
-    for c in [*[c for c in keys if c not in few], *few]:
-        side = names.select(F.col("id").alias("_key"), F.col("name").alias(keys[c]))
-        if c in few:
-            side = F.broadcast(side.join(rows.select(F.col(c).alias("_key")).distinct(), "_key", "left_semi"))
-        else:
-            side = side.hint("shuffle_hash")
-        rows = rows.join(side, F.col(c) == F.col("_key"), "left").drop("_key")
-    return rows
-
-
 def with_names(rows: DataFrame, entities: DataFrame, *columns: str) -> DataFrame:
     """rows with <c> for each <c>_id: the entity's name, else the id itself."""
-    rows = name_join(rows, entities, {f"{c}_id": f"{c}_name" for c in columns})
-    return rows.withColumns({c: F.coalesce(f"{c}_name", f"{c}_id") for c in columns}).drop(*[f"{c}_name" for c in columns])
+    for c in columns:
+        names = entities.select(F.col("id").alias(f"{c}_key"), F.col("name").alias(f"{c}_name"))
+        rows = rows.join(names, F.col(f"{c}_id") == F.col(f"{c}_key"), "left")
+        rows = rows.withColumn(c, F.coalesce(f"{c}_name", f"{c}_id")).drop(f"{c}_key", f"{c}_name")
+    return rows
 
 
 def requirements(assertions: DataFrame, entities: DataFrame, subjects: DataFrame | None = None, context: str | None = None) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import decode_list, encode_list, parse_date
-from loomgraph.operators.knowledge import name_join
 from loomgraph.session import ship
 from loomgraph.sources.store import Store
 
@@ -30,9 +29,10 @@ def load_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def export_names(rows: DataFrame, entities: DataFrame, *columns: str) -> DataFrame:
     """rows with ids replaced by the names of entities that are not merged; other ids stay."""
-    order = rows.columns
-    rows = name_join(rows, entities.where("status <> 'merged'"), {c: f"_{c}_name" for c in columns})
-    return rows.withColumns({c: F.coalesce(f"_{c}_name", c) for c in columns}).select(*order)
+    for c in columns:
+        live = entities.where("status <> 'merged'").select(F.col("id").alias(c), F.col("name").alias("_name"))
+        rows = rows.join(live, c, "left").withColumn(c, F.coalesce("_name", c)).drop("_name")
+    return rows
 
 
 def import_names(rows: DataFrame, entities: DataFrame, *columns: str) -> DataFrame:
