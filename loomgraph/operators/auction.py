@@ -24,7 +24,8 @@ SHRINK = 16
 LEAST = -(2**62)
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+def matrix(vectors: pd.Series, width: int) -> np.ndarray:
+    """vectors as rows, filled up with zeros."""
     out = np.zeros((len(vectors), width))
     for row, v in zip(out, vectors):
         if v is not None:
@@ -42,7 +43,7 @@ def _lists(need: DataFrame, objects: DataFrame, prices: DataFrame, known: int, q
             return pd.DataFrame({"pid": [], "b": [], "o": [], "worth": [], "net": []})
         x, y = x.sort_values("b", ignore_index=True), y.sort_values("o", ignore_index=True)
         width = max(1, max(len(v) for side in (x, y) for v in side["v"] if v is not None) if x["v"].notna().any() or y["v"].notna().any() else 1)
-        u, w = _matrix(x["v"], width), _matrix(y["v"], width)
+        u, w = matrix(x["v"], width), matrix(y["v"], width)
         price, scale, out = y["price"].to_numpy(np.int64), int(y["n"].iloc[0]) + 1, []
         keep = min(known + 1, len(y))
         for start in range(0, len(x), 512):

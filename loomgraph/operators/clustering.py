@@ -143,32 +143,58 @@ def average_linkage(items: DataFrame, threshold: float, strict: bool = True, blo
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
-    """The assignment of least total cost (Hungarian algorithm with potentials)."""
+    """The assignment of least total cost: rows bid for columns by what their second best leaves, and shortest augmenting paths place the rest."""
     turned = cost.shape[0] > cost.shape[1]
-    c = cost.T if turned else cost
+    c = np.ascontiguousarray(cost.T) if turned else cost
     n, m = c.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j, least, used, way = i, 0, np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, int)
-        while True:
-            used[j] = True
-            row = match[j]
-            free = np.flatnonzero(~used[1:]) + 1
-            reduced = c[row - 1, free - 1] - u[row] - v[free]
-            better = reduced < least[free]
-            least[free[better]], way[free[better]] = reduced[better], j
-            k = free[least[free].argmin()]
-            delta = least[k]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
+    u, v, match, of = np.zeros(n), np.zeros(m), np.full(m, -1), np.full(n, -1)
+    r, better, way = np.empty(m), np.empty(m, bool), np.zeros(m, int)
+    todo, bids = list(range(n - 1, -1, -1)), 4 * n if m > 1 else 0  # ties could bid without end
+    while todo and bids:
+        bids -= 1
+        i = todo.pop()
+        np.subtract(c[i], v, out=r)
+        j = int(r.argmin())
+        least, r[j] = r[j], np.inf
+        k = int(r.argmin())
+        if least == r[k] and match[j] >= 0:
+            if match[k] >= 0:
+                continue
             j = k
-            if match[j] == 0:
+        u[i] = r[k] if r[k] < np.inf else least
+        v[j] -= u[i] - least
+        was, match[j], of[i] = match[j], i, j
+        if was >= 0:
+            of[was] = -1
+            todo.append(was)
+    for start in np.flatnonzero(of < 0):
+        least, price, i, low = np.full(m, np.inf), v.copy(), start, 0.0
+        rows, cols, at = [], [], []
+        while True:
+            np.subtract(c[i], price, out=r)
+            r += low - u[i]
+            np.less(r, least, out=better)
+            np.copyto(least, r, where=better)
+            np.copyto(way, i, where=better)
+            j = int(least.argmin())
+            low = least[j]
+            cols.append(j)
+            at.append(low)
+            least[j], price[j] = np.inf, -np.inf
+            if match[j] < 0:
                 break
-        while j:
-            match[j], j = match[way[j]], way[j]
-    pairs = [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
-    return sorted((b, a) for a, b in pairs) if turned else sorted(pairs)
+            i = match[j]
+            rows.append(i)
+        u[start] += low
+        u[rows] += low - np.array(at[:-1])
+        v[cols] -= low - np.array(at)
+        i = -1
+        while i != start:
+            i = way[j]
+            match[j] = i
+            of[i], j = j, of[i]
+    pairs = list(enumerate(of.tolist()))
+    return sorted((b, a) for a, b in pairs) if turned else pairs
 
 
 def match_framings(rows: DataFrame, threshold: float = 0.70, small: int = 6144, block: int = BLOCK, known: int = 256) -> DataFrame:
@@ -176,9 +202,10 @@ def match_framings(rows: DataFrame, threshold: float = 0.70, small: int = 6144,
 
     Framings are matched pairwise by optimal assignment on cosine; matches that reach the threshold join groups; the
     consistency of a group is the mean pairwise cosine, null for one member. A group is named by its first item in the
-    order of framing and item, nulls first. Entities are routed by size: those of at most small rows are matched in one task each, the
-    pairs of framings of larger ones together in the rounds of an auction. A vector that is null, zero or holds what is
-    null or not finite has the cosine 0 with all; shorter vectors count as filled up with zeros.
+    order of framing and item, nulls first. Entities are routed by size: those of at most small rows are matched in one task each; of
+    larger ones each pair of framings of at most small rows is a task, and the pairs with a larger framing go together
+    through the rounds of an auction. A vector that is null, zero or holds what is null or not finite has the cosine 0
+    with all; shorter vectors count as filled up with zeros.
     """
     ship(rows.sparkSession)
     save = Scratch(rows, "framings")
@@ -214,18 +241,22 @@ def match_framings(rows: DataFrame, threshold: float = 0.70, small: int = 6144,
     near = near.groupBy("entity").applyInPandas(run, f"entity {e}, item {i}, grp {i}, size int, consistency double")
     if sizes.where(F.col("n") > small).isEmpty():
         return near
-    return near.unionByName(_match_large(routed.where(F.col("n") > small).select("entity", "framing", "item", "vector"), save, threshold, block, known))
+    return near.unionByName(_match_large(routed.where(F.col("n") > small).select("entity", "framing", "item", "vector"), save, threshold, small, block, known))
 
 
-def _match_large(rows: DataFrame, save: Scratch, threshold: float, block: int, known: int) -> DataFrame:
+def _match_large(rows: DataFrame, save: Scratch, threshold: float, small: int, block: int, known: int) -> DataFrame:
     """match_framings of rows whose vectors are unit vectors or null, without gathering an entity or a group."""
     nodes = save(rows.withColumn("node", F.monotonically_increasing_id()))
-    framings = save(nodes.groupBy("entity", "framing").agg(F.min("node").alias("side")))
+    framings = save(nodes.groupBy("entity", "framing").agg(F.min("node").alias("side"), F.count("*").alias("n")))
     a, b = framings.alias("a"), framings.alias("b")
-    pairs = save(a.join(b, F.col("a.entity").eqNullSafe(F.col("b.entity")) & (F.col("a.side") < F.col("b.side"))).select(F.col("a.side").alias("side_a"), F.col("b.side").alias("side_b")).withColumn("pid", F.monotonically_increasing_id()))
+    pairs = save(a.join(b, F.col("a.entity").eqNullSafe(F.col("b.entity")) & (F.col("a.side") < F.col("b.side"))).select(F.col("a.side").alias("side_a"), F.col("b.side").alias("side_b"), F.greatest("a.n", "b.n").alias("n")).withColumn("pid", F.monotonically_increasing_id()))
     side = nodes.alias("n").join(framings.alias("f"), F.col("n.entity").eqNullSafe(F.col("f.entity")) & F.col("n.framing").eqNullSafe(F.col("f.framing")))
     members = save(side.select("node", "side", F.col("vector").alias("v")))
-    found = save(auction.assign(members, pairs, block, known).select("a", "b"))
+    found = _match_pairs(members, pairs.where(F.col("n") <= small))
+    large = pairs.where(F.col("n") > small).drop("n")
+    if not large.isEmpty():
+        found = found.unionByName(auction.assign(members, large, block, known).select("a", "b"))
+    found = save(found)
     vectors = members.select("node", "v")
     both = found.join(vectors.select(F.col("node").alias("a"), F.col("v").alias("u")), "a").join(vectors.select(F.col("node").alias("b"), F.col("v").alias("w")), "b")
     cosine = F.coalesce(F.aggregate(F.zip_with("u", "w", lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
@@ -241,6 +272,21 @@ def _match_large(rows: DataFrame, save: Scratch, threshold: float, block: int, k
     return named.join(group, "component").select("entity", "item", "grp", "size", mean)
 
 
+def _match_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): the assignment of largest total cosine of members (node, side, v) for each of pairs (pid, side_a, side_b), one task each."""
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        x, y = (s.sort_values("node", ignore_index=True) for s in (x, y))
+        width = max([1, *(len(v) for s in (x, y) for v in s["v"] if v is not None)])
+        u, w = auction.matrix(x["v"], width), auction.matrix(y["v"], width)
+        # With the smaller side as rows the matrix is not copied.
+        best = assignment(-u @ w.T) if len(u) <= len(w) else [(i, j) for j, i in assignment(-w @ u.T)]
+        return pd.DataFrame({"a": x["node"].to_numpy()[[i for i, _ in best]], "b": y["node"].to_numpy()[[j for _, j in best]]})
+
+    one, other = (pairs.join(members, F.col(f"side_{s}") == F.col("side")).select(*[F.col(c).alias(c) for c in ("pid", "node", "v")]) for s in "ab")
+    return one.groupBy("pid").cogroup(other.groupBy("pid")).applyInPandas(run, "a long, b long")
+
+
 def linkage_by_group(items: DataFrame, threshold: float = 0.25, strict: bool = False, small: int = BLOCK) -> DataFrame:
     """(grp, id, cluster): average-linkage clusters within each group of items (grp, id, vector), named by their smallest id.
 

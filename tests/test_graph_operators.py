@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from compare import SF
 from pyspark.sql import functions as F
 
@@ -303,6 +304,29 @@ def test_large_entities_are_matched_as_small_ones(spark):
         assert (r["consistency"] is None) == (large[i]["consistency"] is None) and abs((r["consistency"] or 0) - (large[i]["consistency"] or 0)) < 1e-9
 
 
+def test_framings_of_large_entities_meet_in_pairs_without_an_auction(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [("e", f, n, rng.normal(size=4).tolist()) for n, f in enumerate(rng.permutation([0] * 9 + [1] * 7 + [None] * 8))]
+    df = spark.createDataFrame([(e, None if f is None else int(f), n, v) for e, f, n, v in rows], "entity string, framing int, item long, vector array<double>")
+    whole = clustering.match_framings(df, 0.5, small=24).collect()
+    monkeypatch.setattr(auction, "assign", lambda *_: pytest.fail("an auction"))
+    parts = clustering.match_framings(df, 0.5, small=9).collect()
+    plain = lambda found: sorted((r["item"], r["grp"], r["size"], round(r["consistency"] or 0, 9)) for r in found)
+    assert plain(whole) == plain(parts) and any(r["size"] == 3 for r in whole)
+
+
+def test_assignment_against_all_permutations():
+    rng = np.random.default_rng(7)
+    for n, m in ((1, 1), (1, 3), (3, 1), (5, 5), (4, 7), (7, 4), (0, 2)):
+        for cost in (rng.normal(size=(n, m)), rng.integers(0, 3, size=(n, m)).astype(float), np.zeros((n, m))):
+            got = clustering.assignment(cost)
+            short, long = sorted((n, m))
+            c = cost if n <= m else cost.T
+            best = min(sum(c[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(long), short))
+            assert len(got) == short == len({i for i, _ in got}) == len({j for _, j in got}) and got == sorted(got)
+            assert abs(sum(cost[p] for p in got) - best) < 1e-9
+
+
 def test_reachable_where_ways_meet(spark):
     e = [(1, 2), (2, 3), (3, 4), (4, 2), (1, 5), (5, 4), (6, 1), (7, 7), (4, 8)]
     near = {}
