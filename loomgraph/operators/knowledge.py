@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.scalars import cosine, decode_list, in_context, norm, origin_rank
+from loomgraph.functions.arrays import units
+from loomgraph.functions.scalars import decode_list, in_context, norm, origin_rank
+from loomgraph.session import ship
 
 
 def resolve(names: DataFrame, entities: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:
@@ -85,23 +90,41 @@ def touching(relations: DataFrame, entities: DataFrame, ids: DataFrame) -> DataF
     return with_names(ends.dropDuplicates(["subject_id", "relation", "object_id"]), entities, "subject", "object")
 
 
-def search(queries: DataFrame, vectors: DataFrame, live: DataFrame, k: int = 10, min_score: float = 0.0, bound: int = 10_000) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, live: DataFrame, k: int = 10, min_score: float = 0.0, bound: int = 10_000, block: int = 4096) -> DataFrame:
     """query_id, item_id, score: the k most similar vectors by cosine, then without items that are not live.
 
-    Up to bound queries are broadcast against all vectors. More are dealt into blocks of about bound by a hash of their
-    id, and the blocks are searched one after another, so that any number of queries is answered. The k best of each
-    query come from one window, whose groups Spark cuts to k rows before the shuffle.
+    Queries are dealt into blocks of about bound by a hash of their id, vectors into blocks of about block, and each two
+    blocks meet in a task as a product of matrices, which hands on k rows for each query. The k best of all come from
+    one window, whose groups Spark cuts to k rows before the shuffle.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // bound))
-    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    found = None
-    for i in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.coalesce(place, F.lit(0)) == i)
-        pairs = vectors.join(F.broadcast(some), F.size("vector") == F.size("query_vector"))
-        scored = pairs.select("query_id", "item_id", F.round(cosine(F.col("query_vector"), F.col("vector")), 6).alias("score")).where(F.col("score") >= min_score)
-        best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id"))).where(F.col("rank") <= k)
-        found = best if found is None else found.unionByName(best)
+    ship(vectors.sparkSession)
+    many, some = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // bound))
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["item_id"]
+    left = queries.where("query_vector is not null").select(F.col("query_id").alias("query_id"), F.col("query_vector").alias("query_vector"), F.pmod(F.xxhash64("query_id"), F.lit(some)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("j"))
+    right = vectors.where("vector is not null").select("item_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(some - 1))).alias("i"), F.pmod(F.xxhash64("item_id"), F.lit(many)).cast("int").alias("j"))
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        y = y.take(pc.sort_indices(y, sort_keys=[("item_id", "ascending")], null_placement="at_start"))  # of equals the first
+        ys, found = units(y["vector"]), []
+        for n, (at, u) in units(x["query_vector"]).items():
+            if n not in ys:
+                continue
+            to, v = ys[n]
+            step = max(1, 2**21 // len(v))
+            for start in range(0, len(at), step):
+                score = np.round(u[start : start + step] @ v.T, 6) + 0.0
+                least = np.partition(score, -k, 1)[:, -k] if len(v) > k else np.full(len(score), -np.inf)
+                a, b = np.nonzero(score >= np.maximum(least, min_score)[:, None])
+                s = score[a, b]
+                order = np.lexsort((b, -s, a))
+                a, b, s = a[order], b[order], s[order]
+                ahead = np.arange(len(a)) - np.searchsorted(a, a) < k
+                found.append((at[start + a[ahead]], to[b[ahead]], s[ahead]))
+        a, b, s = (np.concatenate([f[c] for f in found]) if found else np.array([], kind) for c, kind in enumerate((int, int, float)))
+        return pa.table({"query_id": x["query_id"].take(pa.array(a)), "item_id": y["item_id"].take(pa.array(b)), "score": pa.array(s)})
+
+    scored = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
+    found = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id"))).where(F.col("rank") <= k)
     return found.join(live.select("item_id"), "item_id", "left_semi").select("query_id", "item_id", "score")
 
 

@@ -163,6 +163,18 @@ def test_search_takes_queries_in_blocks(spark):
     assert whole == parts and {r[0] for r in whole} == set(range(40))
 
 
+def test_search_with_ties_and_odd_vectors(spark):
+    v = [(i, [1.0, 0.0]) for i in range(30)] + [(30, [0.0, 0.0]), (31, None), (32, [None, 1.0]), (33, [1.0, 0.0, 0.0]), (34, [3.0, 4.0]), (35, [float("nan"), 1.0]), (36, []), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(v, "item_id long, vector array<double>").repartition(3)
+    q = df.where("item_id in (3, 30, 31, 33, 34, 36)").selectExpr("item_id query_id", "vector query_vector")
+    for block in (5, 4096):
+        found = knowledge.search(q, df, df, 4, 0.0, bound=2, block=block)
+        assert "CoGroupsInArrow" in found._jdf.queryExecution().toString()  # products of blocks, no pair of rows is joined
+        got = {i: sorted((-r["score"], r["item_id"]) for r in found.where(f"query_id = {i}").collect()) for i in (3, 30, 31, 33, 34, 36)}
+        assert got == {3: [(-1.0, 0), (-1.0, 1), (-1.0, 2)], 30: [(0.0, 0), (0.0, 1), (0.0, 2)], 31: [], 33: [(-1.0, 33)], 34: [(-1.0, 34), (-0.6, 0), (-0.6, 1)], 36: [(0.0, 36)]}  # the vector without id takes a place, and is then not live
+    assert knowledge.search(q.limit(0), df, df).count() == knowledge.search(q, df.limit(0), df).count() == 0
+
+
 def test_best_match_of_many_candidates(spark):
     v = [(i, [1.0, 0.001 * i]) for i in range(10_050)]
     rows = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.5])], "id long, vector array<double>")
