@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.arrays import units
 from loomgraph.functions.scalars import cosine, norm
 from loomgraph.operators.knowledge import with_names
 from loomgraph.session import Scratch, ship
 
 #: Clusters up to which a queue's keys are broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows of a part of similar pairs at most; a task holds two parts.
+PART = 32_768
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block: str | None = None, blocks: int | None = None) -> DataFrame:
     """(a, b, score): ids of left and right whose vectors reach the cosine, each unordered pair once.
 
     Exact. With a block column only rows of a block meet. Both sides are dealt into parts and every part of one meets every
-    part of the other, so no task sees a whole side (blocks: how many parts, by default so that one has some thousand rows): as a product of matrices of unit vectors, or by equi-join where the
-    threshold lets pairs in that have no cosine (their score is 0).
+    part of the other, so no task sees a whole side (blocks: how many parts, by default eight, or fewer of some thousand
+    rows, or more of at most PART): as a product of matrices of unit vectors, or by equi-join where the
+    threshold lets pairs in that have no cosine (their score is 0). If left and right are one and the same table, two
+    parts meet once.
     """
+    if not block and threshold > 0:
+        return _block_products(left, right, threshold, blocks or _parts(left, right))
     if blocks is None:
         blocks = max(1, -(-max(left.count(), right.count()) // 4096))
-    if not block and threshold > 0:
-        return _block_products(left, right, threshold, blocks)
     l = left.select(F.col("id").alias("a"), F.col("vector").alias("va"), *([F.col(block).alias("k")] if block else []))  # noqa: E741
     r = right.select(F.col("id").alias("b"), F.col("vector").alias("vb"), *([F.col(block).alias("k")] if block else []))
     if block and threshold > 0:
@@ -38,52 +46,94 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block: st
     return pairs.select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("score")).where(F.col("score") >= threshold)
 
 
-def _units(vectors: pd.Series) -> dict:
-    """Vectors of each length over their norms, by length with their places; what is zero, null or not finite is zero, as cosine has it."""
-    by: dict = {}
-    size = vectors.map(len).to_numpy()
-    for n in np.unique(size):
-        at = np.flatnonzero(size == n)
-        v = np.array([[np.nan if x is None else x for x in vectors.iloc[i]] for i in at], float).reshape(len(at), n)
-        with np.errstate(all="ignore"):
-            v = v / np.sqrt((v * v).sum(1, keepdims=True))
-        by[n] = at, np.where(np.isfinite(v).all(1, keepdims=True), v, 0.0)
-    return by
-
-
-def _block_products(left: DataFrame, right: DataFrame, threshold: float, blocks: int, label: str | None = None) -> DataFrame:
-    """Pairs by products of blocks of unit vectors. A label is cut into blocks by its size, so that a frequent one is no hot group."""
+def similar_links(rows: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
+    """(a, b): few links that connect the same ids as similar_pairs of rows with themselves; each task hands on at most one for each of its rows."""
+    rows = rows.where("id is not null")
+    return _block_products(rows, rows, threshold, blocks or _parts(rows, rows), links=True).where("a <> b")
+
+
+def _parts(left: DataFrame, right: DataFrame) -> int:
+    n = left.count() if left is right else max(left.count(), right.count())
+    return max(1, -(-n // PART), min(8, -(-n // 4096)))
+
+
+def _hits(x: pa.ChunkedArray, y: pa.ChunkedArray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of x and of y, and the score, where the cosine reaches the threshold; some at a time."""
+    ys = units(y)
+    for n, (at, u) in units(x).items():
+        if n not in ys:
+            continue
+        to, v = ys[n]
+        step = max(1, 2**20 // len(v))
+        for start in range(0, len(at), step):
+            raw = u[start : start + step] @ v.T
+            a, b = np.nonzero(raw >= threshold - 1e-6)
+            score = np.round(raw[a, b], 6)
+            ok = score >= threshold
+            yield at[start + a[ok]], to[b[ok]], score[ok]
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label, where each node has the least place of its component so far, after the links of a and b."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        low, high = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _block_products(left: DataFrame, right: DataFrame, threshold: float, blocks: int, label: str | None = None, links: bool = False) -> DataFrame:
+    """Pairs by products of blocks of unit vectors. A label is cut into blocks by its size, so that a frequent one is no hot group.
+
+    A task gives its pairs in batches, so that they are never held together; or, with links, a link from each node to
+    the first of those it is connected to in this task.
+    """
     ship(left.sparkSession)
+    one = left is right
     keys = ["k"] if label else []
-    sides = [df.where("vector is not null").select("id", "vector", *([F.col(label).alias("k")] if label else [])) for df in (left, right)]
+    sides = [df.where("vector is not null").select(F.col("id").alias("id"), F.col("vector").alias("vector"), *([F.col(label).alias("k")] if label else [])) for df in (left, right)]
     if label:
         size = sides[0].unionByName(sides[1]).groupBy("k").agg(F.count("*").alias("rows"))
         size = size.select(F.col("k").alias("of"), F.least(F.lit(blocks), F.ceil(F.col("rows") / 4096)).cast("int").alias("parts"))
         sides = [df.join(size, F.col("k") == F.col("of")).drop("of") for df in sides]
     else:
         sides = [df.withColumn("parts", F.lit(blocks)) for df in sides]
-    each, mine = F.sequence(F.lit(0), F.col("parts") - 1), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    l = sides[0].select(*keys, F.col("id").alias("a"), F.col("vector").alias("va"), mine.alias("i"), F.explode(each).alias("j"))  # noqa: E741
-    r = sides[1].select(*keys, F.col("id").alias("b"), F.col("vector").alias("vb"), F.explode(each).alias("i"), mine.alias("j"))
-
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"a": [], "b": [], "score": []})]
-        if not len(x) or not len(y):
-            return out[0]
-        ys = _units(y["vb"])
-        for n, (at, u) in _units(x["va"]).items():
-            if n in ys:
-                to, v = ys[n]
-                for start in range(0, len(at), 1024):
-                    score = np.round(u[start : start + 1024] @ v.T, 6)
-                    a, b = np.nonzero(score >= threshold)
-                    one, other = x["a"].to_numpy()[at[start + a]], y["b"].to_numpy()[to[b]]
-                    keep = one < other
-                    out.append(pd.DataFrame({"a": one[keep], "b": other[keep], "score": score[a, b][keep]}))
-        return pd.concat(out[1:] or out)
-
-    found = l.groupBy(*keys, "i", "j").cogroup(r.groupBy(*keys, "i", "j"))
-    return found.applyInPandas(run, f"a {dict(left.dtypes)['id']}, b {dict(right.dtypes)['id']}, score double")
+    sides = [df.withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")) for df in sides]
+    if one:  # of two parts the lesser is the left one, and a part meets itself once
+        dealt = sides[0].withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select(*keys, F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") <= F.col("q")).alias("first"), "id", "vector")
+    else:
+        each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        dealt = sides[0].select(*keys, F.col("p").alias("i"), each.alias("j"), F.lit(True).alias("first"), "id", "vector")
+        dealt = dealt.unionByName(sides[1].select(*keys, each.alias("i"), F.col("p").alias("j"), F.lit(False).alias("first"), "id", "vector"))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        alone = one and key[-2].as_py() == key[-1].as_py()
+        x, y = t.filter(t["first"]), t if alone else t.filter(pc.invert(t["first"]))
+        ids = x["id"] if alone else pa.chunked_array(x["id"].chunks + y["id"].chunks, x["id"].type)
+        shift, root = 0 if alone else len(x), np.arange(len(ids))
+        for a, b, score in _hits(x["vector"], y["vector"], threshold):
+            if links:
+                root = _merged(root, a, b + shift)
+                continue
+            one_id, other = x["id"].take(pa.array(a)).combine_chunks(), y["id"].take(pa.array(b)).combine_chunks()
+            less = pc.fill_null(pc.less(one_id, other), False)
+            if one and not alone:
+                turned = pc.fill_null(pc.greater(one_id, other), False)
+                one_id, other, less = pc.if_else(turned, other, one_id), pc.if_else(turned, one_id, other), pc.or_(less, turned)
+            yield pa.RecordBatch.from_arrays([one_id, other, pa.array(score)], ["a", "b", "score"]).filter(less)
+        if links:
+            at = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(c)).combine_chunks() for c in (at, root[at])], ["a", "b"])
+
+    kinds = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
+    return dealt.groupBy(*keys, "i", "j").applyInArrow(run, f"a {kinds[0]}, b {kinds[1]}" + ("" if links else ", score double"))
 
 
 def best_match(rows: DataFrame, candidates: DataFrame, bound: int = 10_000, blocks: int = 16) -> DataFrame:

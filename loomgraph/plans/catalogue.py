@@ -284,7 +284,8 @@ def oE12_chunks(t):
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, {COS.format(a='a.embedding', b='b.embedding')} AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COS.format(a='a.embedding', b='b.embedding')} >= 0.25")
 def oV1_cosine_pairs(t):
-    return normalise.similar_pairs(_vectors(t), _vectors(t), 0.25)
+    v = _vectors(t)
+    return normalise.similar_pairs(v, v, 0.25)
 
 
 def _vectors(t):

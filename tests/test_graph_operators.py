@@ -94,6 +94,21 @@ def test_similar_pairs_without_a_block(spark):
     assert {(r["a"], r["b"]) for r in normalise.similar_pairs(df, df, 0.6, blocks=3).collect()} == want
 
 
+def test_a_table_meets_itself_once(spark):
+    rng = np.random.default_rng(4)
+    v = [(i, rng.normal(size=3).tolist()) for i in rng.permutation(60).tolist()] + [(70, None), (71, [0.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0])] + [(80 + i, [0.0, 2.0]) for i in range(9)]
+    df, twin = (spark.createDataFrame(v, "id long, vector array<double>") for _ in range(2))
+    for blocks in (1, 4):
+        found = normalise.similar_pairs(df, df, 0.8, blocks=blocks)
+        plain = lambda rows: sorted(map(tuple, rows.collect()))
+        assert plain(found) == plain(normalise.similar_pairs(df, twin, 0.8, blocks=blocks)) and found.count() > 90
+        links = normalise.similar_links(df, 0.8, blocks=blocks)
+        assert links.count() <= blocks * len(v) and plain(graph.components(links)) == plain(graph.components(found))
+    copies = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)], "id long, vector array<double>")
+    assert normalise.similar_links(copies, 0.9, blocks=2).count() <= 600  # of 44,850 pairs
+    assert {r["component"] for r in graph.components(normalise.similar_links(copies, 0.9, blocks=2)).collect()} == {0}
+
+
 def global_pairs(spark, least):
     rows = catalogue.Tables(spark, SF).embeddings.collect()
     v = np.array([r["embedding"] for r in rows], float)
