@@ -303,7 +303,7 @@ def oV6_election(t):
 @query(f"""WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {COS.format(a='a.embedding', b='b.embedding')} >= 0.3),
 w AS (SELECT a AS node, a AS other FROM p UNION SELECT w.node, p.b FROM w JOIN p ON p.a = w.other) SELECT node, min(other) AS component FROM w GROUP BY node""")
 def oV4_components(t):
-    return graph.components(normalise.similar_pairs(_vectors(t), _vectors(t), 0.3))
+    return graph.components(normalise.similar_links(_vectors(t), 0.3))
 
 
 @query()
