@@ -28,6 +28,8 @@ from loomgraph.session import Scratch, ship
 #: Rows of a part of a cell, or of the new rows, and pivots at most; the pivots are broadcast.
 PART = 4096
 PIVOTS = 1024
+#: A task holds a part of a cell and up to DEAL parts of new rows.
+DEAL = 8
 #: More components than LONG are multiplied with the pivots by a loop instead of unrolled code.
 LONG = 128
 #: Rounding of sums and angles that may not hide a pair.
@@ -100,9 +102,11 @@ def _prepared(new: DataFrame, live: DataFrame, threshold: float, pivots: int | N
     keep = Scratch(live, "pivots")
     index = build(keep(units(live).distinct()), keep, pivots, part)
     fresh = keep(units(new).distinct())
-    deal = max(1, -(-fresh.count() // part))
+    deal = max(1, -(-fresh.count() // (DEAL * part)))
     left = _met(fresh, index, threshold, deal)
-    right = index.members.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+    known = fresh.select(F.col("id").alias("known")).distinct()
+    marked = index.members.join(known, F.col("id") == F.col("known"), "left").withColumn("both", F.col("known").isNotNull()).drop("known")
+    right = marked.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
     return left, right, index, fresh
 
 
@@ -114,24 +118,26 @@ def delta_pairs(new: DataFrame, live: DataFrame, threshold: float, pivots: int |
     different lengths have no cosine; those without a direction take no part; empty tables give no pairs.
     """
     ship(live.sparkSession)
-    left, right, _, fresh = _prepared(new, live, threshold, pivots, part)
+    left, right, index, fresh = _prepared(new, live, threshold, pivots, part)
     kinds = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
 
     def products(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "score": []})
-        v = np.stack(y["u"].to_numpy())
-        out = []
+        u, v = np.stack(x["u"].to_numpy()), np.stack(y["u"].to_numpy())
+        one, other, both, out = x["id"].to_numpy(), y["id"].to_numpy(), y["both"].to_numpy(bool), []
         for start in range(0, len(x), 1024):
-            score = np.round(np.stack(x["u"].to_numpy()[start : start + 1024]) @ v.T, 6)
+            score = np.round(u[start : start + 1024] @ v.T, 6)
             a, b = np.nonzero(score >= threshold)
-            out.append(pd.DataFrame({"a": x["id"].to_numpy()[start + a], "b": y["id"].to_numpy()[b], "score": score[a, b]}))
+            found = pd.DataFrame({"a": one[start + a], "b": other[b], "score": score[a, b]})
+            out.append(found[(found["a"] != found["b"]) & (~both[b] | (found["a"] < found["b"]))])
         return pd.concat(out)
 
     keys = ["size", "cell", "part", "share"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(products, f"a {kinds[0]}, b {kinds[1]}, score double").where("a <> b")
-    known = fresh.select(F.col("id").alias("b")).distinct().withColumn("both", F.lit(True))
-    return found.join(known, "b", "left").where("both is null or a < b").select("a", "b", "score").distinct()
+    # Each two rows meet once, so only an id with several vectors can give a pair twice.
+    several = any(not df.groupBy("id").count().where("count > 1").isEmpty() for df in (fresh, index.members))
+    return found.distinct() if several else found
 
 
 def work(new: DataFrame, live: DataFrame, threshold: float, pivots: int | None = None, part: int = PART) -> DataFrame:

@@ -49,6 +49,16 @@ def test_delta_pairs(spark, dims, spread, threshold, pivots, part):
     assert "Cartesian" not in got._jdf.queryExecution().toString()
 
 
+def test_found_pairs_are_not_shuffled(spark):
+    rows = clustered(random.Random(2), 60, 4, 0.5)
+    for extra in ([], [(0, rows[0][1][::-1])]):  # an id with two vectors may give a pair twice
+        live = spark.createDataFrame(rows + extra, "id long, vector array<double>")
+        got = similarity.delta_pairs(live.where("id % 3 = 0"), live, 0.5)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lstrip().startswith("Aggregate") == bool(extra) and "Join" not in plan.split("FlatMapCoGroups")[0]
+        assert len({tuple(r) for r in got.collect()}) == got.count() > 0
+
+
 def test_clusters_are_skipped(spark):
     rows = clustered(random.Random(1), 600, 16, 0.05)
     live = spark.createDataFrame(rows, "id long, vector array<double>")
