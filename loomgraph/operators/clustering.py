@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +15,10 @@ from loomgraph.operators import auction
 from loomgraph.operators.components import components
 from loomgraph.session import Scratch, ship
 
-#: Rows of a block: one task holds two blocks, and a matrix of one block by itself in the last step.
+#: Rows that the last step holds as a matrix in one task. In the rounds before it a task holds two parts of up to eight times as many.
 BLOCK = 4096
+#: The place of no row.
+_NONE = np.iinfo(np.int64).max
 
 
 def linkage(sums: np.ndarray, sizes: np.ndarray, threshold: float, strict: bool) -> np.ndarray:
@@ -53,41 +59,102 @@ def _unit(vector: str):
     return F.get(F.transform(F.array(norm), over), F.lit(0))
 
 
-def _nearest(live: DataFrame, threshold: float, strict: bool, blocks: int) -> DataFrame:
+class _Best:
+    """The nearest neighbour found so far of each row of a part: its cosine, and its place in the part at."""
+
+    def __init__(self, n: int):
+        self.cos, self.at = np.full(n, -np.inf), np.full(n, _NONE)
+
+    def take(self, a: np.ndarray, b: np.ndarray, cos: np.ndarray) -> None:
+        """Neighbours b of rows a with their cosines; of equal cosines the least place is kept."""
+        order = np.lexsort((b, -cos, a))
+        a, b, cos = a[order], b[order], cos[order]
+        first = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
+        a, b, cos = a[first], b[first], cos[first]
+        better = (cos > self.cos[a]) | ((cos == self.cos[a]) & (b < self.at[a]))
+        self.cos[a[better]], self.at[a[better]] = cos[better], b[better]
+
+
+def _best_of_products(u: np.ndarray, v: np.ndarray, threshold: float, same: bool, run: int = 128) -> tuple[_Best, _Best]:
+    """The nearest of v for each row of u, and of u for each of v, within the threshold; if same, u is v and each pair is met once.
+
+    Products in single precision tell which pairs may be the nearest, by the maxima of runs; only these are scored in
+    double precision, or all of a piece where many are.
+    """
+    step, width = 4 * run, 16 * run
+    slack = (u.shape[1] + 4) * 6e-8 + 1e-9
+    of_u = _Best(len(u))
+    of_v = of_u if same else _Best(len(v))
+    low_u, low_v = (np.concatenate([w, np.zeros((-len(w) % run, w.shape[1]))]).astype(np.float32) for w in (u, v))  # whole runs
+    room = np.empty(step * width, np.float32)
+    for start in range(0, len(u), step):
+        for at in range(start // width * width if same else 0, len(v), width):
+            x, y = low_u[start : start + step], low_v[at : at + width]
+            raw = np.matmul(x, y.T, out=room[: len(x) * len(y)].reshape(len(x), len(y)))
+            raw[len(u) - start :], raw[:, len(v) - at :] = -np.inf, -np.inf
+            if same and at < start + step:
+                raw[np.arange(at, at + len(y))[None, :] <= np.arange(start, start + len(x))[:, None]] = -np.inf
+            hits = []
+            for axis, best, begin in ((1, of_u, start), (0, of_v, at)):
+                runs = raw.reshape(len(x), -1, run) if axis else raw.reshape(-1, run, len(y))
+                tops = runs.max(2).T if axis else runs.max(1)
+                least = np.maximum(best.cos[begin : begin + raw.shape[1 - axis]], 1 - threshold) - slack
+                top = tops.max(0)[: len(least)]
+                on = np.flatnonzero(top >= least)
+                floor = np.maximum(least[on], top[on] - 2 * slack).astype(np.float32) - np.float32(1e-6)
+                g, q = np.nonzero(tops[:, on] >= floor)
+                piece = runs[on[q], g] if axis else runs[g, :, on[q]]
+                k, c = np.nonzero(piece >= floor[q][:, None])
+                near, far = on[q[k]], g[k] * run + c
+                hits.append((near, far) if axis else (far, near))
+            a, b = (np.concatenate(side) for side in zip(*hits, strict=True))
+            if not len(a):
+                continue
+            if len(a) * 16 > raw.size:
+                cos = u[start : start + step] @ v[at : at + width].T
+                a, b = np.nonzero(raw >= 1 - threshold - slack - 1e-6)
+                cos = cos[a, b]
+            else:
+                a, b = np.divmod(np.unique(a * raw.shape[1] + b), raw.shape[1])
+                cos = np.einsum("ij,ij->i", u[start + a], v[at + b])
+            cos = np.clip(np.round(cos, 12), -1, 1)
+            ok = 1 - cos <= threshold
+            a, b, cos = start + a[ok], at + b[ok], cos[ok]
+            of_u.take(a, b, cos)
+            of_v.take(b, a, cos)
+    return of_u, of_v
+
+
+def _nearest(live: DataFrame, threshold: float, strict: bool, parts: int) -> DataFrame:
     """(cluster, other) of live (cluster, s, n): the neighbour of least distance within the threshold, the smaller name of equals.
 
-    Each pair is scored once, in the task of its two blocks, so both ends see the same number; a task returns the best of
-    each row and column.
+    Each pair is scored once, in the task of its two parts, so both ends see the same number; a task returns the best of
+    each of its rows.
     """
-    place = F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int")
+    place = F.pmod(F.xxhash64("cluster"), F.lit(parts)).cast("int")
     rows = live.select(F.size("s").alias("dim"), place.alias("p"), "cluster", F.transform("s", lambda x: x / F.col("n")).alias("mean"))
-    left = rows.select("dim", F.col("p").alias("i"), F.explode(F.sequence("p", F.lit(blocks - 1))).alias("j"), "cluster", "mean")
-    right = rows.select("dim", F.explode(F.sequence(F.lit(0), "p")).alias("i"), F.col("p").alias("j"), "cluster", "mean")
+    dealt = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = dealt.select("dim", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") <= F.col("q")).alias("first"), "cluster", "mean")
     kind = dict(live.dtypes)["cluster"]
 
-    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"cluster": [], "d": [], "other": []})
-        x, y = (side.sort_values("cluster", ignore_index=True) for side in (x, y))
-        u, v = (np.array(side["mean"].tolist(), float) for side in (x, y))
-        same, out = key[1] == key[2], []
-        top, at = np.full(len(y), np.inf), np.zeros(len(y), int)
-        for start in range(0, len(x), 512):
-            dist = 1 - np.clip(np.round(u[start : start + 512] @ v.T, 12), -1, 1)
-            if same:
-                dist[np.arange(len(y))[None, :] <= np.arange(start, start + len(dist))[:, None]] = np.inf
-            b, least = dist.argmin(1), dist.min(1)
-            ok = least <= threshold
-            out.append(pd.DataFrame({"cluster": x["cluster"].to_numpy()[start : start + 512][ok], "d": least[ok], "other": y["cluster"].to_numpy()[b[ok]]}))
-            a, least = dist.argmin(0), dist.min(0)
-            nearer = least < top
-            top[nearer], at[nearer] = least[nearer], start + a[nearer]
-        ok = top <= threshold
-        out.append(pd.DataFrame({"cluster": y["cluster"].to_numpy()[ok], "d": top[ok], "other": x["cluster"].to_numpy()[at[ok]]}))
-        return pd.concat([o for o in out if len(o)] or out[:1], ignore_index=True)
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        same, dim = key[1] == key[2], key[0].as_py()
+        sides = [t] if same else [t.filter(t["first"]), t.filter(pc.invert(t["first"]))]
+        if not all(len(side) for side in sides):
+            return
+        del t
+        sides = [side.take(pc.sort_indices(side["cluster"])) for side in sides]  # places are in the order of names
+        names = [side["cluster"].combine_chunks() for side in sides]
+        means = [pc.list_flatten(side["mean"].combine_chunks()).to_numpy().reshape(len(side), dim) for side in sides]
+        found = _best_of_products(means[0], means[-1], threshold, same)
+        for best, mine, others in zip(found, names, reversed(names), strict=False):
+            on = np.flatnonzero(best.at < _NONE)
+            yield pa.RecordBatch.from_arrays([mine.take(pa.array(on)), pa.array(1 - best.cos[on]), others.take(pa.array(best.at[on]))], ["cluster", "d", "other"])
 
     keys = ["dim", "i", "j"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"cluster {kind}, d double, other {kind}")
+    # Tiles are few and long: with more partitions than tiles, few lie together in one.
+    found = dealt.repartition(2 * parts * (parts + 1), *keys).groupBy(*keys).applyInArrow(run, f"cluster {kind}, d double, other {kind}")
     near = found.where(F.col("d") < threshold if strict else F.col("d") <= threshold)
     return near.groupBy("cluster").agg(F.min(F.struct("d", "other")).alias("best")).select("cluster", "best.other")
 
@@ -115,16 +182,16 @@ def average_linkage(items: DataFrame, threshold: float, strict: bool = True, blo
         return save(roots.join(merges, F.col("cluster") == F.col("old"), "left").select("rep", F.coalesce("new", "cluster").alias("cluster")))
 
     while (left := live.count()) > block:
-        near = save(_nearest(live, threshold, strict, -(-left // block)))
+        near = save(_nearest(live, threshold, strict, max(-(-left // (8 * block)), min(8, -(-left // block)))))
         if near.isEmpty():
             live = live.limit(0)
             break
-        back = near.select(F.col("cluster").alias("new"), F.col("other").alias("old"))
-        merges = save(near.join(back, (F.col("cluster") == F.col("old")) & (F.col("other") == F.col("new"))).where("new < old").select("old", "new"))
-        gone = merges.join(live, F.col("old") == F.col("cluster")).select("new", F.col("s").alias("s2"), F.col("n").alias("n2"))
-        stay = live.join(near, "cluster", "left_semi").join(merges, F.col("cluster") == F.col("old"), "left_anti").join(gone, F.col("cluster") == F.col("new"), "left")
-        summed = F.when(F.col("s2").isNull(), F.col("s")).otherwise(F.zip_with("s", "s2", lambda x, y: x + y))
-        live = save(stay.select("cluster", summed.alias("s"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")))
+        both = near.groupBy(F.least("cluster", "other").alias("new"), F.greatest("cluster", "other").alias("old")).agg(F.count("*").alias("ends"))
+        merges = save(both.where("ends = 2").select("old", "new"))
+        stay = live.join(near.select("cluster"), "cluster", "left_semi").join(merges, F.col("cluster") == F.col("old"), "left")
+        pairs = stay.groupBy(F.coalesce("new", "cluster").alias("cluster")).agg(F.collect_list("s").alias("s"), F.sum("n").alias("n"))
+        summed = F.when(F.size("s") == 1, F.get("s", F.lit(0))).otherwise(F.zip_with(F.get("s", F.lit(0)), F.get("s", F.lit(1)), lambda x, y: x + y))
+        live = save(pairs.select("cluster", summed.alias("s"), "n"))
         roots = moved(roots, merges)
 
     def finish(part: pd.DataFrame) -> pd.DataFrame:
