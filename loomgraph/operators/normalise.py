@@ -73,7 +73,7 @@ def _hits(x: pa.ChunkedArray, y: pa.ChunkedArray, threshold: float) -> Iterator[
             yield at[start + a[ok]], to[b[ok]], score[ok]
 
 
-def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """label, where each node has the least place of its component so far, after the links of a and b."""
     while True:
         x, y = label[a], label[b]
@@ -120,7 +120,7 @@ def _block_products(left: DataFrame, right: DataFrame, threshold: float, blocks:
         shift, root = 0 if alone else len(x), np.arange(len(ids))
         for a, b, score in _hits(x["vector"], y["vector"], threshold):
             if links:
-                root = _merged(root, a, b + shift)
+                root = merged(root, a, b + shift)
                 continue
             one_id, other = x["id"].take(pa.array(a)).combine_chunks(), y["id"].take(pa.array(b)).combine_chunks()
             less = pc.fill_null(pc.less(one_id, other), False)
