@@ -51,7 +51,7 @@ def linkage(sums: np.ndarray, sizes: np.ndarray, threshold: float, strict: bool)
     return labels
 
 
-def _unit(vector: str):
+def unit(vector: str):
     """vector over its norm; null where it has none (zero, null or not finite)."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     # bound as a lambda's variable, the norm is taken once for a row and not once for each component
@@ -171,7 +171,7 @@ def average_linkage(items: DataFrame, threshold: float, strict: bool = True, blo
     """
     ship(items.sparkSession)
     save = Scratch(items, "linkage")
-    rows = save(items.select("id", _unit("vector").alias("v")))
+    rows = save(items.select("id", unit("vector").alias("v")))
     kind = dict(rows.dtypes)["id"]
     groups = save(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     live = save(groups.select(F.col("rep").alias("cluster"), F.transform("v", lambda x: x * F.col("n")).alias("s"), "n"))
@@ -278,7 +278,7 @@ def match_framings(rows: DataFrame, threshold: float = 0.70, small: int = 6144,
     save = Scratch(rows, "framings")
     kinds = dict(rows.dtypes)
     e, i = kinds["entity"], kinds["item"]
-    rows = save(rows.select("entity", "framing", "item", _unit("vector").alias("vector")))
+    rows = save(rows.select("entity", "framing", "item", unit("vector").alias("vector")))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["framing", "item"], na_position="first").reset_index(drop=True)
@@ -354,6 +354,19 @@ def _match_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return one.groupBy("pid").cogroup(other.groupBy("pid")).applyInPandas(run, "a long, b long")
 
 
+def group_labels(v: np.ndarray, n: np.ndarray, threshold: float, strict: bool) -> np.ndarray:
+    """The place of the first member of its cluster for each row of a group, in the order of ids: unit vectors end to end, and their lengths."""
+    first, at = np.arange(len(n)), np.concatenate([[0], np.cumsum(n)])
+    for size in np.unique(n[n > 0]):
+        mine = np.flatnonzero(n == size)
+        u = v[at[mine][:, None] + np.arange(size)] if len(mine) < len(n) else v.reshape(len(n), size)
+        seen: dict = {}
+        of = np.array([seen.setdefault(x.tobytes(), len(seen)) for x in u + 0.0]) if threshold > 0 else np.arange(len(u))  # equal vectors are one from the start
+        _, head, count = np.unique(of, return_index=True, return_counts=True)
+        first[mine] = mine[head[linkage(u[head] * count[:, None], count.astype(float), threshold, strict)[of]]]
+    return first
+
+
 def linkage_by_group(items: DataFrame, threshold: float = 0.25, strict: bool = False, small: int = BLOCK) -> DataFrame:
     """(grp, id, cluster): average-linkage clusters within each group of items (grp, id, vector), named by their smallest id.
 
@@ -363,24 +376,12 @@ def linkage_by_group(items: DataFrame, threshold: float = 0.25, strict: bool = F
     """
     ship(items.sparkSession)
     save = Scratch(items, "groups")
-    rows = save(items.select("grp", "id", _unit("vector").alias("v")))
+    rows = save(items.select("grp", "id", unit("vector").alias("v")))
     size = rows.groupBy("grp").agg(F.count("*").alias("n"))
     large = [r["grp"] for r in size.where(F.col("n") > small).select("grp").collect()]  # fewer than rows / small
     kinds = dict(rows.dtypes)
     schema = f"grp {kinds['grp']}, id {kinds['id']}, cluster {kinds['id']}"
 
-    def labels(v: list, n: np.ndarray) -> np.ndarray:
-        """The place of the first member of its cluster for each row of a group, in the order of ids: vectors end to end, and their lengths."""
-        first, at = np.arange(len(n)), np.concatenate([[0], np.cumsum(n)])
-        for size in np.unique(n[n > 0]):
-            mine = np.flatnonzero(n == size)
-            u = v[at[mine][:, None] + np.arange(size)] if len(mine) < len(n) else v.reshape(len(n), size)
-            seen: dict = {}
-            of = np.array([seen.setdefault(x.tobytes(), len(seen)) for x in u + 0.0]) if threshold > 0 else np.arange(len(u))  # equal vectors are one from the start
-            _, head, count = np.unique(of, return_index=True, return_counts=True)
-            first[mine] = mine[head[linkage(u[head] * count[:, None], count.astype(float), threshold, strict)[of]]]
-        return first
-
     def run(batches):
         """Groups lie together and in the order of ids; the last one of a batch may go on in the next."""
         import pyarrow as pa
@@ -394,7 +395,7 @@ def linkage_by_group(items: DataFrame, threshold: float = 0.25, strict: bool = F
             to, at = np.concatenate([[0], np.cumsum(sizes)]), np.arange(len(g))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b > a + 1:
-                    at[a:b] = a + labels(flat[to[a] : to[b]], sizes[a:b])
+                    at[a:b] = a + group_labels(flat[to[a] : to[b]], sizes[a:b], threshold, strict)
             ids = t["id"].combine_chunks()
             return pa.RecordBatch.from_arrays([t["grp"].combine_chunks(), ids, ids.take(pa.array(at))], ["grp", "id", "cluster"])
 

@@ -88,21 +88,41 @@ def resumable(store: Store, steps: list[tuple[str, Callable[[dict[str, DataFrame
     return ran
 
 
-def compress(assertions: DataFrame, vectors: DataFrame, statements: Callable[[DataFrame], DataFrame], subjects: DataFrame | None = None, proposed: int = 0, cap: int | None = 5_000, least: int = 3, threshold: float = 0.25, dry: bool = False, model: str = "model", entities: DataFrame | None = None) -> DataFrame:
+def compress(assertions: DataFrame, vectors: DataFrame, statements: Callable[[DataFrame], DataFrame], subjects: DataFrame | None = None, proposed: int = 0, cap: int | None = 5_000, least: int = 3, threshold: float = 0.25, dry: bool = False, model: str = "model", entities: DataFrame | None = None, by: str = "id", small: int = 4096) -> DataFrame:
     """Abstractions on demand: of all subjects, or of those given (id), without a mark of progress.
 
     assertions as normalise.abstractions takes them; vectors: id, vector. Live assertions of a subject are clustered by
     average linkage, and clusters of at least so many become abstraction rows with what statements says of their
     prompts, as many as the queue has room for, or all without a cap. A dry run gives subject_id, cluster, child_ids and prompt instead, and asks nobody.
+    Where assertions share vectors, by is the column that names theirs, vectors has a row for each of its values, and a
+    repeated id of a subject counts once. Without a cap, and with at most small vectors, a subject of at most small
+    assertions is clustered and put into words in one task, many subjects to a task; larger ones go through rounds.
     """
     from loomgraph.operators import clustering
     from loomgraph.operators import normalise as norms
 
     rows = assertions if subjects is None else assertions.join(subjects.select(F.col("id").alias("subject_id")).distinct(), "subject_id", "left_semi")
     save = Scratch(rows, "compress")
-    live = save(norms.abstraction_groups(rows, least))
-    labels = clustering.linkage_by_group(live.select(F.col("subject_id").alias("grp"), "id").join(vectors, "id"), threshold).select("id", "cluster")
-    made = norms.clusters_made(live, save(labels), proposed, cap, least, entities)
+    near, together = vectors, None
+    if by != "id":
+        rows = rows.where(F.col("status").isin("accepted", "proposed"))
+        known = vectors.where(F.col(by).isNotNull()).select(by, clustering.unit("vector").alias("v")).limit(small + 1).collect() if cap is None else None
+        if known is not None and len(known) <= small:
+            large = save(rows.groupBy("subject_id").agg(F.count("*").alias("n")).where(F.col("n") > small).select(F.col("subject_id").alias("big")))
+            hot = not large.isEmpty()  # there are fewer than rows / small
+            mine = F.col("subject_id") == F.col("big")
+            together = norms.clusters_together(rows.join(F.broadcast(large), mine, "left_anti") if hot else rows, [tuple(k) for k in known], by, threshold, least, entities)
+            rows = rows.join(F.broadcast(large), mine, "left_semi")
+        if together is None or hot:
+            rows = save(rows.dropDuplicates(["subject_id", "id"]))
+            near = rows.select("id", by).join(vectors, by).select("id", "vector")
+    if together is None or hot:
+        live = save(norms.abstraction_groups(rows, least))
+        labels = clustering.linkage_by_group(live.select(F.col("subject_id").alias("grp"), "id").join(near, "id"), threshold, small=small).select("id", "cluster")
+        made = norms.clusters_made(live, save(labels), proposed, cap, least, entities)
+        made = made if together is None else made.unionByName(together)
+    else:
+        made = together
     return made.select("subject_id", "cluster", "child_ids", "prompt") if dry else norms.accept_abstractions(made, statements(made), model=model)
 
 

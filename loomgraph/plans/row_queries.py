@@ -188,9 +188,9 @@ SELECT subject_id, cluster, array_to_string(ids, ',') AS children, prompt FROM g
 def oN18_compress(t):
     """A dry run over all subjects: assertions whose objects share a vector are near, others are not."""
     vectors = t.embeddings.groupBy(F.col("label").cast("long").alias("v")).agg(F.min_by("embedding", "vec_id").alias("vector"))  # one for each label
-    rows = t.kg_assertions.select("id", "subject_id", "object_id", "predicate", "status").dropDuplicates(["id"]).withColumns({"rationale": F.lit(""), "conditions": F.array().cast("array<string>"), "seq": F.lit(0)})
-    near = t.kg_assertions.select("id", (F.substring("object_id", 2, 20).cast("long") % 10).alias("v")).dropDuplicates(["id"]).join(vectors, "v").select("id", "vector")
-    made = jobs.compress(rows, near, lambda made: made, dry=True, cap=None, entities=t.kg_entities)
+    v = (F.substring("object_id", 2, 20).cast("long") % 10).alias("v")
+    rows = t.kg_assertions.select("id", "subject_id", "object_id", "predicate", "status", v).withColumns({"rationale": F.lit(""), "conditions": F.array().cast("array<string>"), "seq": F.lit(0)})
+    made = jobs.compress(rows, vectors, lambda made: made, dry=True, cap=None, entities=t.kg_entities, by="v")
     return made.select("subject_id", "cluster", F.array_join("child_ids", ",").alias("children"), "prompt")
 
 

@@ -92,3 +92,37 @@ def test_equal_vectors_of_a_group_and_no_cap(spark):
     every = sorted(run(None))
     assert len(every) == 4 and every[0][2] == "  1. one requires object" and every[2][2] == "  1. g2 requires object"
     assert run(3) == every[:3]
+
+
+@pytest.mark.parametrize("small", [4096, 12])  # with 12, some subjects and, with as many vectors, all go through the rounds
+@pytest.mark.parametrize("named", [True, False])
+def test_shared_vectors_give_the_same_abstractions(spark, small, named):
+    rng = np.random.default_rng(8)
+    keys = [(k, None if k == 3 else [0.0, 0.0] if k == 4 else [float(x) for x in rng.normal(size=2 if k < 9 else 3)]) for k in range(11)] + [(11, [1.0, 0.0]), (12, [2.0, 0.0])]
+    keys = keys[3:] if small == 12 else keys
+    rows = [(f"i{i:03}", None if i % 41 == 0 else f"s{i % 5 if i % 3 else 7}", f"o{i % 4}", "requires", "why" if i % 2 else "", ["c"] if i % 5 == 0 else [], "proposed" if i % 6 else "deprecated", 3 - i % 3, int(rng.integers(0, 14))) for i in range(130)]
+    df = spark.createDataFrame(rows, "id string, subject_id string, object_id string, predicate string, rationale string, conditions array<string>, status string, seq int, v int")
+    df = df if named else df.withColumns({"subject": F.lower("subject_id"), "object": F.col("object_id")})
+    vectors = spark.createDataFrame(keys, "v int, vector array<double>")
+    entities = spark.createDataFrame([("s1", "one"), ("o2", "two"), ("s9", "none"), ("s2", None)], "id string, name string") if named else None
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        said = lambda d, v, **more: rows_of(jobs.compress(d, v, lambda m: m, dry=True, least=2, entities=entities, **more))
+        want = said(df, df.join(vectors, "v").select("id", "vector"), cap=None)
+        assert len(want) > 5 and max(len({rows[int(i[1:])][8] for i in r[2]}) for r in want) > 1
+        assert said(df.unionByName(df.where("id < 'i050'")), vectors, cap=None, by="v", small=small) == want
+        assert said(df, vectors, cap=4, by="v") == want[:4]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_shared_vectors_are_not_dealt_with_their_rows(spark, monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("a vector for each row")
+
+    monkeypatch.setattr(clustering, "linkage_by_group", never)
+    rows = [(f"i{i}", f"s{i % 4}", f"o{i}", "requires", "", [], "accepted", 0, i % 3 % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, subject_id string, object_id string, predicate string, rationale string, conditions array<string>, status string, seq int, v int")
+    entities = spark.createDataFrame([("s1", "one")], "id string, name string")
+    made = jobs.compress(df, spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "v int, vector array<double>"), lambda m: m, dry=True, cap=None, entities=entities, by="v")
+    assert len(made.collect()) == 8
