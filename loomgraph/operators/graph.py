@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from loomgraph.functions.scalars import pattern_section, slug
+from loomgraph.operators import pieces
 from loomgraph.operators.components import components
 from loomgraph.operators.leveling import longest
-from loomgraph.session import Scratch
+from loomgraph.session import Scratch, ship
 
 
 #: Rows that the layers or distances of one part of the sources hold, about.
@@ -356,13 +358,32 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> tuple[Data
     return nodes.join(ids, "id", "left_semi"), edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
 
 
-def sequences(edges: DataFrame, start: DataFrame, names: DataFrame, max_depth: int = 50) -> DataFrame:
+def sequences(edges: DataFrame, start: DataFrame | None, names: DataFrame, max_depth: int = 50, small: int = pieces.SMALL) -> DataFrame:
     """start, entity, n, sequence, has_cycle, cycle, truncated for each start (start): what it precedes and what precedes it, in order.
 
     sequence holds names, ordered by the longest path from a source and then by id; every edge points forward in it. With a
     cycle among what was reached, the order is by id and cycle names one. truncated: something lies at max_depth. A start
-    without edges is its own sequence. names: id, name; an unknown id is its own name.
+    without edges is its own sequence. names: id, name; an unknown id is its own name. Without start, every end of an edge
+    is one. Connected pieces of at most small nodes without a cycle are solved in one task each, many to a task; only the others
+    are searched layer by layer.
     """
+    kind = edges.select(F.array("src", "dst").alias("ends")).schema["ends"].dataType.elementType
+    if not isinstance(kind, AtomicType):
+        return _sequences_by_layers(edges, _ends(edges).withColumnRenamed("node", "start") if start is None else start, names, max_depth)
+    ship(edges.sparkSession)
+    solved, rest = pieces.whole(edges, Scratch(edges, "pieces"), small)
+    asked = None if start is None else Scratch(edges, "asked")(start.select("start").distinct())
+    out = pieces.sequences(solved, asked, names, max_depth)
+    left = _ends(rest).withColumnRenamed("node", "start") if asked is None else asked.join(solved.select(F.col("node").alias("start")), "start", "left_anti")
+    return out if left.isEmpty() else out.unionByName(_sequences_by_layers(rest, left, names, max_depth))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+def _sequences_by_layers(edges: DataFrame, start: DataFrame, names: DataFrame, max_depth: int) -> DataFrame:
+    """sequences by a search from all starts at once, layer by layer."""
     save = Scratch(edges, "sequence")
     step = save(edges.select("src", "dst").distinct())
     asked = start.select("start").distinct()

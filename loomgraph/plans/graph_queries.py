@@ -58,9 +58,7 @@ def oG2_subgraph(t):
 @query("""WITH c AS (SELECT o_custkey, 'O' || o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
 SELECT a.id AS start, count(*) AS n, string_agg(b.id, '>' ORDER BY b.place) AS sequence, false AS has_cycle, max(abs(a.place - b.place)) >= 50 AS truncated FROM c a JOIN c b USING (o_custkey) WHERE a.n > 1 AND abs(a.place - b.place) <= 50 GROUP BY a.id""")
 def oG4_sequences(t):
-    dag = t.kg_process_dag
-    starts = dag.select(F.explode(F.array("src", "dst")).alias("start")).distinct()
-    rows = graph.sequences(dag, starts, t.kg_entities.select("id", "name"))
+    rows = graph.sequences(t.kg_process_dag, None, t.kg_entities.select("id", "name"))
     return rows.select("start", "n", F.array_join("sequence", ">").alias("sequence"), "has_cycle", "truncated")
 
 
