@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,8 @@ from loomgraph.session import Scratch, ship
 
 #: Rows that the last step holds as a matrix in one task. In the rounds before it a task holds two parts of up to eight times as many.
 BLOCK = 4096
+#: Clusters of a tight group that one task merges; it holds no matrix of them.
+TIGHT = 32_768
 #: The place of no row.
 _NONE = np.iinfo(np.int64).max
 
@@ -51,6 +53,37 @@ def linkage(sums: np.ndarray, sizes: np.ndarray, threshold: float, strict: bool)
     return labels
 
 
+def chains(sums: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """labels of linkage up to the threshold, itself included, with the sums and sizes of the clusters at their labels; no matrix is held."""
+    labels, at = np.arange(len(sums)), np.arange(len(sums))
+    sums, sizes = sums.copy(), sizes.astype(float)
+    s, n, mean, live, chain = sums, sizes, sums / sizes[:, None], np.ones(len(sums), bool), []
+    while live.any():
+        if 2 * live.sum() < len(live) and len(live) > 64:
+            chain = (np.cumsum(live) - 1)[chain].tolist()
+            at, mean, live = at[live], mean[live], live[live]
+        if not chain:
+            chain = [int(live.argmax())]
+        a = chain[-1]
+        row = 1 - np.clip(np.round(mean @ mean[a], 12), -1, 1)
+        row[~live] = row[a] = np.inf
+        b = int(row.argmin())
+        if not row[b] <= threshold:
+            live[a] = False
+            chain.pop()
+        elif len(chain) > 1 and (row[chain[-2]] <= row[b] or b in chain):
+            low, high = sorted((a, chain[-2]))
+            x, y = at[low], at[high]
+            s[x] += s[y]
+            n[x] += n[y]
+            mean[low], live[high] = s[x] / n[x], False
+            labels[labels == y] = x
+            chain = chain[:-2]
+        else:
+            chain.append(b)
+    return labels, sums, sizes
+
+
 def unit(vector: str):
     """vector over its norm; null where it has none (zero, null or not finite)."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -125,19 +158,14 @@ def _best_of_products(u: np.ndarray, v: np.ndarray, threshold: float, same: bool
     return of_u, of_v
 
 
-def _nearest(live: DataFrame, threshold: float, strict: bool, parts: int) -> DataFrame:
-    """(cluster, other) of live (cluster, s, n): the neighbour of least distance within the threshold, the smaller name of equals.
-
-    Each pair is scored once, in the task of its two parts, so both ends see the same number; a task returns the best of
-    each of its rows.
-    """
+def _tiles(live: DataFrame, parts: int, run: Callable[[bool, list[pa.Array], list[np.ndarray]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """run of each two parts of live (cluster, s, n), of one length of vectors, in a task: whether they are one part, names and means of each."""
     place = F.pmod(F.xxhash64("cluster"), F.lit(parts)).cast("int")
     rows = live.select(F.size("s").alias("dim"), place.alias("p"), "cluster", F.transform("s", lambda x: x / F.col("n")).alias("mean"))
     dealt = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt = dealt.select("dim", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") <= F.col("q")).alias("first"), "cluster", "mean")
-    kind = dict(live.dtypes)["cluster"]
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tile(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         same, dim = key[1] == key[2], key[0].as_py()
         sides = [t] if same else [t.filter(t["first"]), t.filter(pc.invert(t["first"]))]
@@ -146,15 +174,77 @@ def _nearest(live: DataFrame, threshold: float, strict: bool, parts: int) -> Dat
         del t
         sides = [side.take(pc.sort_indices(side["cluster"])) for side in sides]  # places are in the order of names
         names = [side["cluster"].combine_chunks() for side in sides]
-        means = [pc.list_flatten(side["mean"].combine_chunks()).to_numpy().reshape(len(side), dim) for side in sides]
+        yield from run(same, names, [pc.list_flatten(side["mean"].combine_chunks()).to_numpy().reshape(len(side), dim) for side in sides])
+
+    keys = ["dim", "i", "j"]
+    # Tiles are few and long: with more partitions than tiles, few lie together in one.
+    return dealt.repartition(2 * parts * (parts + 1), *keys).groupBy(*keys).applyInArrow(tile, schema)
+
+
+def _links_of_products(u: np.ndarray, v: np.ndarray, threshold: float, same: bool) -> np.ndarray:
+    """For each row of u and then, if not same, of v, the least place of the rows that pairs within the threshold connect it with.
+
+    Products are in single precision, so a pair a little beyond the threshold may connect as well; none within is missed.
+    """
+    from loomgraph.operators.normalise import merged
+
+    step, width, shift = 512, 2048, 0 if same else len(u)
+    least = np.float32(1 - threshold - (u.shape[1] + 4) * 6e-8 - 1e-6)
+    low_u, low_v = u.astype(np.float32), v.astype(np.float32)
+    root = np.arange(shift + len(v))
+    for start in range(0, len(u), step):
+        for at in range(start // width * width if same else 0, len(v), width):
+            raw = low_u[start : start + step] @ low_v[at : at + width].T
+            if raw.max() >= least:
+                a, b = np.nonzero(raw >= least)
+                root = merged(root, start + a, shift + at + b)
+    return root
+
+
+def _tight(live: DataFrame, save: Scratch, threshold: float, parts: int, most: int) -> DataFrame | None:
+    """(old, new, s, n) of the clusters that have another within the threshold, merged up to it: s and n of those that stay, or None if there are none.
+
+    Average linkage brings no cluster nearer than the nearest two of its members, so what pairs within the threshold connect
+    merges up to it without regard to the rest: a task does this for a group of at most most clusters. Many near copies, which
+    merge one after another, thus need no round each. Larger groups are left out.
+    """
+    kind = dict(live.dtypes)["cluster"]
+
+    def run(same: bool, names: list[pa.Array], means: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        root = _links_of_products(means[0], means[-1], threshold, same)
+        at, ids = np.flatnonzero(root != np.arange(len(root))), pa.concat_arrays(names)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), ids.take(pa.array(root[at]))], ["a", "b"])
+
+    links = save(_tiles(live, parts, run, f"a {kind}, b {kind}"))
+    if links.isEmpty():
+        return None
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("cluster", ignore_index=True)
+        labels, s, n = chains(np.array(part["s"].tolist(), float), part["n"].to_numpy(), threshold)
+        stays = labels == np.arange(len(labels))
+        return pd.DataFrame({"old": part["cluster"], "new": part["cluster"].to_numpy()[labels], "s": [x if on else None for x, on in zip(s, stays, strict=True)], "n": n.astype(int)})
+
+    group = save(components(links).select(F.col("node").alias("cluster"), "component"))
+    size = group.groupBy("component").agg(F.count("*").alias("k")).where(F.col("k") <= most).select("component")
+    return save(live.join(group.join(size, "component"), "cluster").groupBy("component").applyInPandas(merge, f"old {kind}, new {kind}, s array<double>, n long"))
+
+
+def _nearest(live: DataFrame, threshold: float, strict: bool, parts: int) -> DataFrame:
+    """(cluster, other) of live (cluster, s, n): the neighbour of least distance within the threshold, the smaller name of equals.
+
+    Each pair is scored once, in the task of its two parts, so both ends see the same number; a task returns the best of
+    each of its rows.
+    """
+    kind = dict(live.dtypes)["cluster"]
+
+    def run(same: bool, names: list[pa.Array], means: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         found = _best_of_products(means[0], means[-1], threshold, same)
         for best, mine, others in zip(found, names, reversed(names), strict=False):
             on = np.flatnonzero(best.at < _NONE)
             yield pa.RecordBatch.from_arrays([mine.take(pa.array(on)), pa.array(1 - best.cos[on]), others.take(pa.array(best.at[on]))], ["cluster", "d", "other"])
 
-    keys = ["dim", "i", "j"]
-    # Tiles are few and long: with more partitions than tiles, few lie together in one.
-    found = dealt.repartition(2 * parts * (parts + 1), *keys).groupBy(*keys).applyInArrow(run, f"cluster {kind}, d double, other {kind}")
+    found = _tiles(live, parts, run, f"cluster {kind}, d double, other {kind}")
     near = found.where(F.col("d") < threshold if strict else F.col("d") <= threshold)
     return near.groupBy("cluster").agg(F.min(F.struct("d", "other")).alias("best")).select("cluster", "best.other")
 
@@ -164,7 +254,7 @@ def average_linkage(items: DataFrame, threshold: float, strict: bool = True, blo
 
     Merging stops at the threshold (below it if strict). A cluster is its size and the sum of its unit vectors, whose
     products give the mean distance of two clusters, so no cluster is gathered. Equal vectors are one cluster from the
-    start. In each round all pairs that are each other's nearest merge at once, which leads to the same clusters as one
+    start, and what lies within an eighth of the threshold merges up to it first, group by group. In each round all pairs that are each other's nearest merge at once, which leads to the same clusters as one
     merge after another; a cluster without neighbour within the threshold is finished. When at most block clusters are
     left, one task does the rest. Among equal distances the smaller names merge first. A vector that is null, zero or
     holds what is null or not finite stays alone, and vectors of different lengths never merge.
@@ -181,8 +271,12 @@ def average_linkage(items: DataFrame, threshold: float, strict: bool = True, blo
         """roots after merges (old, new)."""
         return save(roots.join(merges, F.col("cluster") == F.col("old"), "left").select("rep", F.coalesce("new", "cluster").alias("cluster")))
 
+    parts = lambda left: max(-(-left // (8 * block)), min(8, -(-left // block)))
+    if (left := live.count()) > block and (near := _tight(live, save, threshold / 8, parts(left), TIGHT)) is not None:
+        roots = moved(roots, near.where("old <> new").select("old", "new"))
+        live = save(live.join(near.select(F.col("old").alias("cluster")), "cluster", "left_anti").unionByName(near.where("old = new").select(F.col("new").alias("cluster"), "s", "n")))
     while (left := live.count()) > block:
-        near = save(_nearest(live, threshold, strict, max(-(-left // (8 * block)), min(8, -(-left // block)))))
+        near = save(_nearest(live, threshold, strict, parts(left)))
         if near.isEmpty():
             live = live.limit(0)
             break
